@@ -1,11 +1,12 @@
 """The queries of this subpackage and their SQL."""
 
-from covey.llm import bpe, exact_dedup, line_dedup, mixing, quality_rules
+from covey.llm import bpe, exact_dedup, line_dedup, mixing, ngram_join, quality_rules
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_bpe": bpe.op2_bpe,
     "op3_mixing": mixing.op3_mixing,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
 }
