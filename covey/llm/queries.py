@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from covey.llm import bpe, exact_dedup, line_dedup, mixing, ngram_join, quality_rules
+from covey.llm import bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, toxicity, url_filters
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -9,5 +9,14 @@ QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_quality_rules": quality_rules.op6_quality_rules,
+    "op7_url_filters": url_filters.op7_url_filters,
+    "op8_quality_classifier": quality_classifier.op8_quality_classifier,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_toxicity": toxicity.op10_toxicity,
+}
+SQL = {
+    "op1_line_dedup": line_dedup.OP1_SQL,
+    "op3_mixing": mixing.OP3_SQL,
+    "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op7_url_filters": url_filters.OP7_SQL,
 }
-SQL = {"op1_line_dedup": line_dedup.OP1_SQL, "op3_mixing": mixing.OP3_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
