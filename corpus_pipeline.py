@@ -1,8 +1,51 @@
-"""A corpus from documents to token ids: STAGES in order, each over all that the stage before it kept."""
+"""A corpus from documents to token ids: STAGES in order, each over all that the stage before it kept.
 
-STAGES = []
+Every stage but the last returns the columns of documents; n_chars follows the text.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from covey.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
+from covey.llm.common import staged
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.good_documents(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that many documents share stay in one of them."""
+    return line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays."""
+    return ngram_join.first_of_groups(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed_documents(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts, and digests of the ids and of the text they decode to."""
+    return bpe.digests(docs, bpe.tokenizer_path())
+
+
+STAGES = [("quality_rules", rules), ("line_dedup", lines), ("ngram_join", near_copies), ("mixing", mix), ("bpe", tokens)]
+#: BPE can't be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = staged(docs, name)
+    return docs

@@ -72,12 +72,12 @@ def op7_url_filters(spark, sf_dir):
 
 _VALUES = ", ".join(f"('{a}', '{b}', TIMESTAMP '{c} 00:00:00', {d})" for a, b, c, d in ENTRIES)
 OP7_SQL = rf"""
-WITH e(list, domain, at, listed) AS (VALUES {_VALUES}),
-v AS (SELECT *, lead(at) OVER (PARTITION BY list, domain ORDER BY at) AS ends FROM e),
+WITH e(list, domain, since, listed) AS (VALUES {_VALUES}),
+v AS (SELECT *, lead(since) OVER (PARTITION BY list, domain ORDER BY since) AS ends FROM e),
 c AS (SELECT page_id, nullif(rtrim(regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '.'), '') AS host,
   TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST((page_id * 7919) % 366 AS INTEGER)) AS fetched_at FROM pages)
 SELECT c.page_id, c.host, c.fetched_at, count(*) FILTER (WHERE v.list = 'block') AS n_block, count(*) FILTER (WHERE v.list = 'allow') AS n_allow,
   count(*) FILTER (WHERE v.list = 'block') > 0 AND count(*) FILTER (WHERE v.list = 'allow') = 0 AS blocked
-FROM c LEFT JOIN v ON v.listed AND (c.host = v.domain OR ends_with(c.host, '.' || v.domain)) AND v.at <= c.fetched_at AND (v.ends IS NULL OR c.fetched_at < v.ends)
+FROM c LEFT JOIN v ON v.listed AND (c.host = v.domain OR ends_with(c.host, '.' || v.domain)) AND v.since <= c.fetched_at AND (v.ends IS NULL OR c.fetched_at < v.ends)
 GROUP BY c.page_id, c.host, c.fetched_at
 """
