@@ -1 +1,25 @@
-"""covey.functions"""
+"""Column expressions that several operators use."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def draw_key(seed: int, *columns: str) -> Column:
+    """A fixed pseudo-random order of rows: the MD5 of the seed and the columns."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
+
+
+def draw_int(key: Column) -> Column:
+    """A uniform integer below 2 ** 32 from an MD5."""
+    return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+
+
+def unordered(a: str, b: str) -> tuple[Column, Column]:
+    return F.least(a, b), F.greatest(a, b)
+
+
+def dot(a: str, b: str) -> Column:
+    """Inner product of two arrays of numbers, in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
