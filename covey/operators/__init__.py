@@ -1 +1 @@
-"""covey.operators"""
+"""Operators: functions from DataFrames to DataFrames."""

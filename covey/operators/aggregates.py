@@ -107,7 +107,7 @@ def delta_ratio(curve: DataFrame, reference: DataFrame) -> DataFrame:
     """curve and reference: level, mean. Difference and ratio at each level, and whether the curve has risen since the level before."""
     both = curve.select("level", "mean").join(reference.select("level", F.col("mean").alias("matched")), "level")
     before = F.lag("mean").over(W.orderBy("level"))
-    return both.select("level", "mean", "matched", (F.col("mean") - F.col("matched")).alias("delta"), F.try_divide("mean", "matched").alias("ratio"), (F.col("mean") > before).alias("rising"))
+    return both.select("level", "mean", "matched", (F.col("mean") - F.col("matched")).alias("delta"), F.try_divide("mean", "matched").alias("ratio"), F.coalesce(F.col("mean") > before, F.lit(False)).alias("rising"))
 
 
 def invariants(pairs: DataFrame, max_hops: int) -> DataFrame:

@@ -1 +1 @@
-"""covey.plans"""
+"""Queries: operators applied to the tables in their roles, with their SQL."""

@@ -1 +1 @@
-"""covey.sources"""
+"""Readers, writers, and the roles of tables."""
