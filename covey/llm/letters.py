@@ -73,3 +73,12 @@ def per_word(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     sums = np.concatenate([np.zeros((1, *values.shape[1:])), np.cumsum(values, axis=0, dtype=np.float64)])
     ends = np.cumsum(counts)
     return sums[ends] - sums[ends - counts]
+
+
+def lettered(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the words (no end being another's begin) that have a letter."""
+    if not len(begin):
+        return begin, end
+    letters = np.r_[0, np.cumsum(kinds()[points] == 2)]
+    has = letters[end] > letters[begin]
+    return begin[has], end[has]

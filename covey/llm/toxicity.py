@@ -21,17 +21,24 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from covey.llm.common import documents, small_batches, text_of
-from covey.llm.letters import code_points, grams, per_word, word_runs
+from covey.llm.letters import code_points, grams, lettered, per_word, word_runs
 
 #: Labelled documents of each class at most; lengths of n-grams; bits of a bucket; size of an embedding.
 SAMPLE, GRAMS, BITS, SIZE = 1500, (3, 4, 5), 17, 12
 #: Epochs of the two rounds, words of a batch, step, weight of words of toxic documents in the first round, words longer than this count by their beginning in training.
-EPOCHS, BATCH, STEP, FIRST_WEIGHT, LONGEST = (3, 5), 4096, 0.5, 0.3, 60
+EPOCHS, BATCH, STEP, FIRST_WEIGHT, LONGEST = (3, 8), 4096, 0.5, 0.3, 60
+#: Weight of a toxic word in the second round, how often an n-gram has to be seen before its own weight counts for half, and in how many toxic documents a word that no clean one has is a clear case.
+STANDS_OUT, SEEN, OFTEN = 5.0, 2.0, 8
 #: Rows of the folds; fixed by the contract.
 FOLDS, HELD_OUT = 5, 0
 SEED = 7
 
 
+def _word_runs(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of letters and digits with at least one letter."""
+    return lettered(points, *word_runs(points, 1))
+
+
 def word_grams(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return [grams(points, begin, end, n, BITS) for n in GRAMS]
 
@@ -41,7 +48,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for doc_id, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "text")), strict=True):
             points = code_points(text)
-            begin, end = word_runs(points, 1)
+            begin, end = _word_runs(points)
             low = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
             rows += [(doc_id, y, w) for w in {low[a : min(b, a + LONGEST)] for a, b in zip(begin.tolist(), end.tolist(), strict=True)}]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.string()))], ["doc_id", "y", "word"])
@@ -61,7 +68,7 @@ class Model:
 
     def worst(self, text: str) -> float:
         points = code_points(text)
-        begin, end = word_runs(points, 1)
+        begin, end = _word_runs(points)
         return float(self.words(points, begin, end).max()) if len(begin) else -30.0
 
     def score(self, text: str) -> float:
@@ -91,7 +98,7 @@ class _Bags:
 
 def _round(bags: _Bags, emb: np.ndarray, out: np.ndarray, bias: np.ndarray, at: np.ndarray, ones: np.ndarray, zeros: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
     """Minimises the cross entropy of words `at`, seen `ones` and `zeros` times with either label; emb, out and bias change in place."""
-    weight = np.log1p(ones + zeros)
+    weight = np.log1p(ones + zeros) * np.where(ones > zeros, STANDS_OUT, 1.0)
     share = ones / np.maximum(1e-9, ones + zeros)
     square = np.full(len(emb), 1e-6)
     for _ in range(epochs):
@@ -140,25 +147,35 @@ def train(words: list[str], toxic: np.ndarray, clean: np.ndarray, pairs: tuple[n
     np.add.at(top, word[chosen], 1)
     rare = (top < 0.5 * toxic) & (clean > 0)
     top[rare] = 0  # stands out in few of its documents, and occurs in clean ones
-    stands = (clean == 0) & (z > np.median(z[word[chosen]]))
+    low, middle = np.quantile(z[word[chosen]], [0.1, 0.5])
+    stands = (clean == 0) & ((z > middle) | ((toxic >= OFTEN) & (z > low)))
     top[stands] = np.maximum(top[stands], toxic[stands])
     zeros = np.where(top > 0, clean, clean + toxic).astype(float)
     _round(bags, emb, out, bias, every, 3 * top, zeros, EPOCHS[1], rng)
-    z = logits()
+    weights = _settled(bags, emb @ (out[:, 1] - out[:, 0]))
+    shift = float(bias[1] - bias[0])
+    z = per_word(weights[bags.codes], bags.counts) / np.maximum(1, bags.counts) + shift
     worst = np.full(len(labels), -30.0)
     np.maximum.at(worst, doc, z[word])
-    return Model(emb @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]), *_calibrated(worst, labels))
+    return Model(weights, shift, *_calibrated(worst, labels))
+
+
+def _settled(bags: _Bags, weights: np.ndarray) -> np.ndarray:
+    """Weights of n-grams that few words have, drawn towards the usual one: what was never seen is taken for clean."""
+    seen = np.bincount(bags.codes, minlength=len(weights))
+    usual = float(np.median(weights[seen > 0]))
+    drawn = (seen * weights + SEEN * usual) / (seen + SEEN)
+    return np.where(weights > usual, drawn, weights)
 
 
 def _calibrated(worst: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Scale and offset such that a half lies where the fewest training documents are on the wrong side, in the middle of the gap."""
-    order = np.argsort(worst)
-    w, y = worst[order], labels[order]
-    wrong = np.r_[0, np.cumsum(y == 1)] / max(1, (y == 1).sum()) + 3 * np.r_[np.cumsum((y == 0)[::-1])[::-1], 0] / max(1, (y == 0).sum())
-    best = np.flatnonzero(wrong == wrong.min())
-    k = int(best[len(best) // 2])
-    cut = w[0] - 1 if k == 0 else w[-1] + 1 if k == len(w) else (w[k - 1] + w[k]) / 2
-    return 1.0, -float(cut)
+    """Scale and offset such that a half lies where shares of training documents on the wrong side are least, clean ones weighing thrice; in a gap, at its middle."""
+    cuts = np.unique(worst)
+    cuts = np.r_[cuts[0] - 1, (cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1]
+    toxic, clean = np.sort(worst[labels == 1]), np.sort(worst[labels == 0])
+    wrong = np.searchsorted(toxic, cuts) / len(toxic) + 3 * (1 - np.searchsorted(clean, cuts) / len(clean))
+    near = cuts[wrong <= wrong.min() + 0.005]
+    return 1.0, -float((near.min() + near.max()) / 2)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
