@@ -20,24 +20,25 @@ from covey.llm.common import documents, small_batches, text_of
 SYMBOLS, LEAST_WORDS, REPEATED, WINDOW = b"#*$%&|<>", 10, 20, 5
 #: Line rules: symbols for each word, share of words that shout, separators of a menu, words of a line that may end as it likes, share of a document's words that may go.
 MARKUP, SHOUTING, SEPARATORS, FREE_END, LOST = 0.25, 0.5, 3, 10, 0.5
-BOILERPLATE = re.compile(rb"cookie|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|lorem ipsum|licensed under|released under|copyright|subscribe to|sign up|log ?in to", re.I)
-END = re.compile(r"[.!?…。！？:;][\"'”’»)\]]*$")
-_SEPARATOR = re.compile(rb"(?:^|\s)(?:\||>|/|-|\xc2\xb7|\xc2\xbb|\xe2\x80\xba)(?=\s|$)")
+BOILERPLATE = re.compile(rb"cookie|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|lorem ipsum|licensed under|released under|copyright|subscribe to|sign up|log ?in to", re.IGNORECASE)
+END = re.compile("[.!?…。！？:;][\"'”’»)\\]]*$")
+#: Words that separate the entries of a menu.
+BETWEEN = frozenset(x.encode() for x in ("|", ">", "/", "-", "·", "»", "›"))
 
 
 def failed_rule(line: bytes) -> str | None:
     """The first rule that a line with a word fails, or None."""
     words = line.split()
-    n = len(words)
+    n, between = len(words), sum(w in BETWEEN for w in words)
     if sum(line.count(bytes((c,))) for c in SYMBOLS) > MARKUP * n:
-        return "navigation" if len(_SEPARATOR.findall(line)) >= SEPARATORS else "markup"
-    if n >= 3 and (b"!!" in line or b"??" in line) and sum(w.rstrip(b".").endswith((b"!!", b"??")) for w in words) > SHOUTING * n:
+        return "navigation" if between >= SEPARATORS else "markup"
+    if n >= 3 and sum(w.rstrip(b".").endswith((b"!!", b"??")) for w in words) > SHOUTING * n:
         return "punctuation"
-    if len(_SEPARATOR.findall(line)) > max(SEPARATORS - 1, n // 4):
+    if between > max(SEPARATORS - 1, n // 4):
         return "navigation"
     if BOILERPLATE.search(line):
         return "boilerplate"
-    if n < FREE_END and n >= 2 and not END.search(line.decode(errors="replace").rstrip()):
+    if n < FREE_END and n >= 2 and not END.search(line.rstrip().decode(errors="replace")):
         return "punctuation"
     return None
 
@@ -121,3 +122,22 @@ def cleaned_text(text: str) -> str:
 
 def op6_quality_rules(spark, sf_dir):
     return quality_rules(documents(spark, sf_dir))
+
+
+_BETWEEN = ", ".join(f"'{x.decode()}'" for x in sorted(BETWEEN))
+_END = END.pattern.replace("'", "''")
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d)),
+m AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup FROM l),
+k AS (SELECT *, len(lw) AS n, len(list_filter(lw, lambda x: x IN ({_BETWEEN}))) AS between_words, len(regexp_extract_all(line, '[#*$%&|<>]')) AS marks, len(list_filter(lw, lambda x: regexp_matches(x, '(!!|\?\?)\.*$'))) AS shouts FROM m WHERE len(lw) > 0),
+f AS (SELECT *, marks > {MARKUP} * n OR (n >= 3 AND shouts > {SHOUTING} * n) OR between_words > greatest({SEPARATORS} - 1, n // 4) OR regexp_matches(line, '{BOILERPLATE.pattern.decode()}', 'i')
+  OR (n < {FREE_END} AND n >= 2 AND NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '{_END}')) AS failed FROM k),
+g AS (SELECT doc_id, count(*) FILTER (WHERE dup) AS dup, coalesce(sum(n) FILTER (WHERE failed), 0) AS lost FROM f GROUP BY 1),
+x AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WINDOW} + 2, 1))) AS i FROM d),
+y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + {WINDOW} - 1]) > 1 AS again FROM x),
+r AS (SELECT doc_id, count(DISTINCT p) AS rep FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM y WHERE again) GROUP BY 1),
+b AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda z: length(z))), 0)::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0)::BIGINT AS n_lost_words FROM d LEFT JOIN g USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEATED} * n_words AS base_failed,
+  NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {REPEATED} * n_words) AND n_lost_words <= {LOST} * n_words AS kept, n_lost_words FROM b
+"""

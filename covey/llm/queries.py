@@ -17,6 +17,8 @@ QUERIES = {
 SQL = {
     "op1_line_dedup": line_dedup.OP1_SQL,
     "op3_mixing": mixing.OP3_SQL,
+    "op4_ngram_join": ngram_join.OP4_SQL,
     "op5_exact_dedup": exact_dedup.OP5_SQL,
+    "op6_quality_rules": quality_rules.OP6_SQL,
     "op7_url_filters": url_filters.OP7_SQL,
 }
