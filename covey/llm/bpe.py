@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -20,8 +21,14 @@ from pyspark.sql import DataFrame
 
 from covey.llm.common import documents, small_batches, text_of
 
-#: Words in the young half of the cache; the old half is as large.
-YOUNG = 60_000
+#: Words in the young half of a cache; the old half is as large.
+YOUNG = 120_000
+#: Texts of letters, digits and marks of ASCII and Latin-1 alone; normalising leaves these as they are but for case.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+#: Fixed value: the pattern of the files' pre-tokenizer, for lower-cased texts that PLAIN covers.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_LETTERS = "a-z\u00df-\u00f6\u00f8-\u00ff"
+PIECES = re.compile(SPLIT.replace("\\p{L}", _LETTERS).replace("\\p{N}", "0-9"))
 
 
 class Codec:
@@ -35,6 +42,7 @@ class Codec:
             spec = json.load(f)
         model, self.end = spec["model"], spec["model"]["end_of_word_suffix"]
         assert model["type"] == "BPE" and not model["byte_fallback"] and spec["decoder"] is None and spec["post_processor"] is None
+        assert spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] == SPLIT
         whole = Tokenizer.from_file(path)
         self.normalise, self.pieces = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -44,23 +52,32 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.token = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
         self.joined = {pair for t in model["vocab"] for pair in pairwise(t.removesuffix(self.end))}
-        self.words = _Cache(self._word, young)
+        self.bytes = {c: self.pieces(chr(c))[0][0] for c in range(0xC0, 0x100)}  # as the pre-tokenizer writes their bytes
+        self.words, self.known = _Cache(self._word, young), _Cache(self._coded, young)
 
     def fragments(self, piece: str) -> list[str]:
         """A pre-tokenized piece, cut at every pair of symbols that no vocabulary entry contains."""
+        if self.joined.issuperset(pairwise(piece)):
+            return [piece]
         at = [0, *(k + 1 for k, pair in enumerate(pairwise(piece)) if pair not in self.joined), len(piece)]
         return [piece[a:b] for a, b in pairwise(at)]
 
-    def _piece(self, piece: str) -> list[int]:
+    def _coded(self, piece: str) -> list[int]:
         cuts = self.fragments(piece)
         return [t.id for k, f in enumerate(cuts) for t in (self.last if k == len(cuts) - 1 else self.inner).tokenize(f)]
 
     def _plain(self, text: str) -> list[int]:
-        return [i for piece, _ in self.pieces(self.normalise(text)) for i in self._piece(piece)] if text else []
+        if PLAIN.fullmatch(text):
+            pieces = [p if p.isascii() else p.translate(self.bytes) for p in PIECES.findall(text.lower())]
+        else:
+            pieces = [p for p, _ in self.pieces(self.normalise(text))]
+        return [i for p in pieces for i in self.known[p]]
 
     def _word(self, word: bytes) -> tuple[int, str, str]:
         """Length, ids and tokens of a text without white space, as strings."""
         text, ids = word.decode(), []
+        if not any(s in text for s in self.special):
+            ids, text = self._plain(text), ""
         while text:  # special tokens are cut out before all else
             at, name = min(((p, s) for s in self.special if (p := text.find(s)) >= 0), default=(len(text), ""))
             ids += self._plain(text[:at])
@@ -71,7 +88,8 @@ class Codec:
 
     def codes(self, text: bytes) -> list[tuple[int, str, str]]:
         """The codes of the words of a text that have any."""
-        return [c for w in text.split() if (c := self.words[w])[0]]
+        found = list(map(self.words.__getitem__, text.split()))
+        return found if all([c[0] for c in found]) else [c for c in found if c[0]]
 
     def encode(self, text: str) -> list[int]:
         return [int(i) for _, ids, _ in self.codes(text.encode()) for i in ids.split(" ")]
@@ -87,7 +105,7 @@ class _Cache(dict):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
-    def __missing__(self, word: bytes):
+    def __missing__(self, word: bytes | str):
         code = self.old.get(word) or self.make(word)
         if len(self) >= self.most:
             self.old = dict(self)
