@@ -134,14 +134,55 @@ def all_numbers(v: np.ndarray, known: np.ndarray, missing: str = "distinct") ->
 _COLUMNS = ("effrank", "participation", "rowsum", "cluster_single", "cluster_complete", "cluster_average", "mean_interp")
 
 
+def batched_numbers(v: np.ndarray) -> dict[str, np.ndarray]:
+    """all_numbers() for n sets of p >= 2 packs at once, packs that are not known being distinct. v: n x p x d, zero rows where not known."""
+    n, p, _ = v.shape
+    g = v @ v.transpose(0, 2, 1)
+    at = np.arange(p)
+    g[:, at, at] = 1.0
+    lam = np.clip(np.linalg.eigvalsh(g), 1e-300, None)
+    q = np.where(lam > 1e-12, lam, 0.0)
+    q /= q.sum(axis=1, keepdims=True)
+    sim = np.clip(g, 0, 1)
+    upper = np.triu_indices(p, 1)
+    s = np.sort(sim[:, upper[0], upper[1]], axis=1)[:, ::-1]
+    if p == 2:
+        single = complete = average = 2 - s[:, 0]
+    elif p == 3:
+        single, complete, average = 3 - s[:, 0] - s[:, 1], 3 - s[:, 0] - s[:, 2], 3 - s[:, 0] - (s[:, 1] + s[:, 2]) / 2
+    else:
+        single, complete, average = (np.array([linkage(x, m) for x in sim]) for m in ("single", "complete", "average"))
+    return {
+        "effrank": np.exp(-np.where(q > 0, q * np.log(np.where(q > 0, q, 1)), 0).sum(axis=1)), "participation": p * p / (g * g).sum(axis=(1, 2)), "rowsum": (1 / np.maximum(g, 0).sum(axis=2)).sum(axis=1),
+        "cluster_single": single, "cluster_complete": complete, "cluster_average": average, "mean_interp": 1 + (1 - s.mean(axis=1)) * (p - 1),
+    }
+
+
 def _kernel(batches: Iterator[pa.RecordBatch], missing: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = []
-        for vectors in batch.column("vectors").to_pylist():
-            size = max((len(x) for x in vectors if x), default=1)
-            v = np.array([x if x else [0.0] * size for x in vectors], float).reshape(len(vectors), size)
-            found.append(all_numbers(v, np.array([bool(x) for x in vectors]), missing))
-        yield pa.RecordBatch.from_arrays([batch.column("set_key"), *(pa.array([f[c] for f in found], pa.float64()) for c in _COLUMNS)], ["set_key", *_COLUMNS])
+        sets = batch.column("vectors")
+        rows = sets.flatten()
+        ends, lens = np.cumsum(sets.value_lengths().to_numpy()), rows.value_lengths().to_numpy()
+        starts = ends - sets.value_lengths().to_numpy()
+        v = np.zeros((len(lens), int(lens.max(initial=1))))
+        at = np.repeat(np.arange(len(lens)), lens)
+        v[at, np.arange(len(at)) - np.repeat(np.cumsum(lens) - lens, lens)] = rows.flatten().to_numpy()
+        out = {c: np.zeros(len(starts)) for c in _COLUMNS}
+        known = np.r_[0, np.cumsum(lens > 0)]
+        plain = (known[ends] - known[starts] == ends - starts) | (missing == "distinct")
+        for p in np.unique(ends - starts):
+            own = np.flatnonzero((ends - starts == p) & plain)
+            for part in np.array_split(own, max(1, len(own) * int(p) ** 2 // 2_000_000)):
+                if p >= 2 and len(part):
+                    for c, x in batched_numbers(v[starts[part][:, None] + np.arange(p)]).items():
+                        out[c][part] = x
+                elif len(part):
+                    for c in _COLUMNS:
+                        out[c][part] = float(p)
+        for k in np.flatnonzero(~plain):
+            for c, x in all_numbers(v[starts[k] : ends[k]], lens[starts[k] : ends[k]] > 0, missing).items():
+                out[c][k] = x
+        yield pa.RecordBatch.from_arrays([batch.column("set_key"), *(pa.array(out[c], pa.float64()) for c in _COLUMNS)], ["set_key", *_COLUMNS])
 
 
 def for_pairs(pairs: DataFrame, shared: DataFrame, emb: DataFrame, missing: str = "distinct") -> DataFrame:

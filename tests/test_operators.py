@@ -81,6 +81,19 @@ def test_linkage_against_plain_agglomeration():
             assert ne.linkage(s, method) == pytest.approx(1 + total)
 
 
+@pytest.mark.parametrize("p", [2, 3, 4, 7])
+def test_batches_agree_with_single_sets(p):
+    rng = np.random.default_rng(p)
+    v = rng.normal(size=(6, p, 4))
+    v /= np.linalg.norm(v, axis=2, keepdims=True)
+    v[0, 0] = 0
+    v[1, 1] = v[1, 0]
+    out = ne.batched_numbers(v)
+    for k in range(6):
+        one = ne.all_numbers(v[k], np.linalg.norm(v[k], axis=1) > 0)
+        assert {c: x[k] for c, x in out.items()} == pytest.approx(one)
+
+
 def test_neff_kernel_agrees_with_expressions(spark):
     m = frame(spark, [(u, p) for u in range(4) for p in range(6) if (u + p) % 4], "user_id long, pack_id long")
     rng = np.random.default_rng(2)
