@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: White space of every contract here: space and U+0009 to U+000D.
@@ -68,3 +69,16 @@ def parts(spark: SparkSession) -> int:
 
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def first_of_each(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """Of each value of key the `most` rows that come first by hash of doc_id.
+
+    Values are counted first, and only rows whose hash is low enough for about four times that many are
+    ranked, so that no task ranks more than a few times `most` rows of a value, whatever the table's size.
+    """
+    counts = rows.groupBy(F.col(key).alias("__value")).agg(F.count("*").alias("__n"))
+    place = F.xxhash64("doc_id") / F.lit(float(1 << 64)) + 0.5
+    low = rows.withColumn("__place", place).join(F.broadcast(counts), F.col(key) == F.col("__value")).where(F.col("__place") < F.lit(4.0 * most) / F.col("__n"))
+    ranked = low.withColumn("__rank", F.row_number().over(W.partitionBy(key).orderBy("__place", "doc_id")))
+    return ranked.where(F.col("__rank") <= most).select(*rows.columns)

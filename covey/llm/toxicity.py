@@ -17,10 +17,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from covey.llm.common import documents, small_batches, text_of
+from covey.llm.common import documents, first_of_each, small_batches, text_of
 from covey.llm.letters import code_points, grams, lettered, per_word, word_runs
 
 #: Labelled documents of each class at most; lengths of n-grams; bits of a bucket; size of an embedding.
@@ -182,8 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """labels: doc_id and y (0 or 1). Rows held out are not used, nor those without a label."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(True))
     known = labels.where((F.col("y").isin(0, 1)) & ~held).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
-    place = F.row_number().over(W.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = F.broadcast(known.withColumn("place", place).where(F.col("place") <= sample).select("doc_id", "y"))  # at most 2 x `sample` rows
+    ids = F.broadcast(first_of_each(known, "y", sample))  # at most 2 x `sample` rows
     rows = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id")
     got = rows.select("doc_id", "y", "text").mapInArrow(_words, "doc_id long, y int, word string").toArrow()  # distinct words of the sample
     doc_ids = np.unique(got.column("doc_id").to_numpy(), return_inverse=True)[1].astype(np.int32)
