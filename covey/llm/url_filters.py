@@ -66,8 +66,8 @@ def op7_url_filters(spark, sf_dir):
     """pages has no fetch time; page_id dates it within 2024."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     fetched = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(cast(pmod(page_id * 7919, 366) as int))")
-    rows = spark.createDataFrame(ENTRIES, "list string, domain string, at string, listed boolean")
-    return filter_urls(pages.select("page_id", "url", fetched.alias("fetched_at")), rows.withColumn("at", F.to_timestamp("at")))
+    entries = spark.sql(f"SELECT * FROM VALUES {_VALUES} AS e(list, domain, at, listed)")
+    return filter_urls(pages.select("page_id", "url", fetched.alias("fetched_at")), entries)
 
 
 _VALUES = ", ".join(f"('{a}', '{b}', TIMESTAMP '{c} 00:00:00', {d})" for a, b, c, d in ENTRIES)
