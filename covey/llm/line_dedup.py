@@ -151,7 +151,7 @@ def keep_bitmaps(docs: DataFrame, least: int = LONG, shared: int = SHARED) -> Da
     key = ("hash", "id_null", F.desc("doc_id"))
     order = cut(lines.repartitionByRange(parts(spark), *key).sortWithinPartitions(*key, "row_hash", "pos"))
     found: dict[bytes, list] = defaultdict(list)
-    for e in order.mapInArrow(_edges, _EDGE).toLocalIterator():  # two rows for each partition
+    for e in order.mapInArrow(_edges, _EDGE).collect():  # two rows for each partition
         found[bytes(e["hash"])].append((e["docs"], e["id_null"], e["top"]))
     edges = {h: (sum(n for n, _, _ in x), *min(((none, -top) for _, none, top in x))) for h, x in found.items()}
     edges = {h: (n, none, -top) for h, (n, none, top) in edges.items()}
