@@ -495,7 +495,7 @@ def _answer(members: DataFrame, roots: DataFrame) -> DataFrame:
     grouped = own.join(sets, (F.col("print") == F.col("p")) & (F.col("n") > 0), "left")
     group = F.when(F.col("n") == 0, F.concat(F.lit("e"), F.col("node").cast("string"))).when(F.col("root").isNotNull(), F.concat(F.lit("r"), F.col("root").cast("string"))).otherwise(F.hex("print"))
     grouped = grouped.select("doc_id", F.col("n").cast("long").alias("n_shingles"), group.alias("group"))
-    least = grouped.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    least = cut(grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")))  # with a shuffle of its own on either side, a large group can be split
     return grouped.join(least, "group").select("doc_id", "n_shingles", "component_id")
 
 
