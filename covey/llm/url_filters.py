@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from covey.llm.common import staged
+
 #: Entries of the query: dated, with one domain taken off its list and put on again, and one exception.
 ENTRIES = [
     ("block", "cheap-pills.example.com", "2024-01-20", True), ("block", "cheap-pills.example.com", "2024-05-01", False), ("block", "cheap-pills.example.com", "2024-08-15", True),
@@ -54,7 +56,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     captures are judged one by one; an empty table, of captures or entries, is no special case.
     """
     own = captures.select("page_id", host_of(F.col("url")).alias("host"), "fetched_at")
-    lists = host_intervals(own.where("host IS NOT NULL").select("host").distinct(), intervals(entries))
+    lists = staged(host_intervals(own.where("host IS NOT NULL").select("host").distinct(), intervals(entries)), "lists")  # then a host that very many captures have can be split in the join
     joined = own.join(lists, "host", "left")
     active = F.filter(F.coalesce("entries", F.expr("array()").cast("array<struct<list:string,domain:string,begin:timestamp,end:timestamp>>")), lambda e: (e["begin"] <= F.col("fetched_at")) & (e["end"].isNull() | (F.col("fetched_at") < e["end"])))
     count = lambda name: F.size(F.filter(active, lambda e: e["list"] == name)).cast("long")
