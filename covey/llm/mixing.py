@@ -5,7 +5,7 @@ summed along the source, one random offset is added, and a copy is emitted for e
 the running sum crosses. Documents run from large to small, so that what is taken differs from the
 target by less than the largest document. The prefix sum is exact and needs no task that sees a whole
 source: rows are counted by (source, size, digest prefix), the counts are summed over the prefixes of a
-size and the sizes of a source, and only rows of one such leaf are ranked.
+size (in two levels) and the sizes of a source, and only rows of one such leaf are ranked.
 """
 
 from __future__ import annotations
@@ -63,12 +63,17 @@ def mix(rows: DataFrame) -> DataFrame:
     """
     leaves = rows.groupBy("__key", "__size", "__leaf").agg(F.count("*").alias("n"))
     leaves = staged(leaves, "leaves")
-    before = W.partitionBy("__key", "__size").orderBy("__leaf").rowsBetween(W.unboundedPreceding, -1)
+    first = F.substring("__leaf", 1, 1).alias("__first")
+    before = W.partitionBy("__key", "__size", "__first").orderBy("__leaf").rowsBetween(W.unboundedPreceding, -1)
+    lower = W.partitionBy("__key", "__size").orderBy("__first").rowsBetween(W.unboundedPreceding, -1)
     larger = W.partitionBy("__key").orderBy(F.desc("__size")).rowsBetween(W.unboundedPreceding, -1)
     sizes = leaves.groupBy("__key", "__size").agg(F.sum("n").alias("n"))
     sizes = sizes.select("__key", "__size", F.coalesce(F.sum("n").over(larger), F.lit(0)).alias("start"))
-    starts = leaves.withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0))).join(sizes, ["__key", "__size"]).join(targets(leaves), "__key")
-    starts = starts.select("__key", "__size", "__leaf", (F.col("start") + F.col("inside")).alias("__start"), "source_size", "target", "offset")
+    firsts = leaves.groupBy("__key", "__size", first).agg(F.sum("n").alias("n"))
+    firsts = firsts.select("__key", "__size", "__first", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("under"))
+    starts = leaves.select("*", first).withColumn("inside", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    starts = starts.join(firsts, ["__key", "__size", "__first"]).join(sizes, ["__key", "__size"]).join(targets(leaves), "__key")
+    starts = starts.select("__key", "__size", "__leaf", (F.col("start") + F.col("under") + F.col("inside")).alias("__start"), "source_size", "target", "offset")
     rank = F.row_number().over(W.partitionBy("__key", "__size", "__leaf").orderBy("__hash", "doc_id")) - 1
     joined = rows.withColumn("__at", rank).join(starts, ["__key", "__size", "__leaf"])
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
