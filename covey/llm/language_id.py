@@ -16,10 +16,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from covey.llm.common import documents, small_batches, text_of
+from covey.llm.common import documents, first_of_each, small_batches, text_of
 from covey.llm.letters import code_points, grams, per_word, script_table, word_runs
 
 #: Documents of a language that are learned from, at most; bits of a trigram's bucket; cost of a change; added count; share of a language's letters that a script must have.
@@ -124,8 +123,8 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from the rows of docs that are not held out and have a language."""
     known = docs.where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    ids = known.select("doc_id", "lang").withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("place") <= sample)
-    ids = F.broadcast(ids.select("doc_id", "lang").distinct())  # at most `sample` rows of each language
+    ids = first_of_each(known.select("doc_id", "lang"), "lang", sample)
+    ids = F.broadcast(ids.distinct())  # at most `sample` rows of each language
     rows = known.join(ids, ["doc_id", "lang"])
     sums = rows.select("lang", "text").mapInArrow(_counts, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     return Model([tuple(r) for r in sums.collect()])  # at most 2 ** BITS rows of each language
