@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,12 +120,13 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _documents(batches: Iterator[pa.RecordBatch], keys: list[int], size: int) -> Iterator[pa.RecordBatch]:
-    known = _Hashes()
-    for batch in batches:
+    known, part = _Hashes(), TaskContext.get().partitionId()
+    for k, batch in enumerate(batches):
         ids = batch.column("doc_id")
         sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), len(keys), known, size)
         prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "S16")
-        name = xxhash.xxh3_128_digest(b"".join(xxhash.xxh3_128_digest(repr(x).encode()) for x in ids.to_pylist()) + prints.tobytes())
+        # by place too, since batches of repeated rows are equal
+        name = xxhash.xxh3_128_digest(b"%d|%d|" % (part, k) + b"".join(xxhash.xxh3_128_digest(repr(x).encode()) for x in ids.to_pylist()) + prints.tobytes())
         rows = _deal(sets, np.frombuffer(prints.tobytes(), "<u8").reshape(-1, 2)[:, 0].copy(), name, keys)
         values = np.array([-1 if x is None else x for x in ids.to_pylist()], "<i8").tobytes() + np.array([x is None for x in ids.to_pylist()], np.uint8).tobytes()
         sizes = np.array([len(s) for s in sets], "<u4").tobytes()

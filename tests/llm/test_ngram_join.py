@@ -30,6 +30,10 @@ def test_all(docs, rows, bounds):
     assert Counter(map(tuple, ngram_join.near_groups(docs, **bounds).collect())) == plain(rows)
 
 
+def test_repeated_batches(docs, rows):
+    assert Counter(map(tuple, ngram_join.near_groups(docs.union(docs)).collect())) == plain(rows + rows)
+
+
 def family(seed, sizes, words=90):
     rnd = random.Random(seed)
     rows, shared = [], " ".join(f"p{k}" for k in range(60))
