@@ -13,8 +13,8 @@ from covey.llm.common import staged
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.good_documents(docs)
+    """Documents that the quality rules reject go, and lines that fail go from the others."""
+    return quality_rules.good_documents(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

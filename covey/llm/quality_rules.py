@@ -106,18 +106,27 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield batch.filter(pa.array([t is not None and measures(t)[6] for t in batch.column("text").cast(pa.binary()).to_pylist()], pa.bool_()))
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        found = [measures(t) if t is not None else None for t in texts]
+        kept = [m is not None and m[6] for m in found]
+        at, field = batch.schema.get_field_index("text"), batch.schema.field("text")
+        left = [_cleaned(t) if m[7] else t for t, m, k in zip(texts, found, kept, strict=True) if k]
+        yield batch.filter(pa.array(kept, pa.bool_())).set_column(at, field, pa.array(left, pa.binary()).cast(field.type))
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns and whole texts."""
+    """The rows of docs that the rules keep, with all their columns; the lines that fail are taken out of text."""
     small_batches(docs.sparkSession)
     return docs.mapInArrow(_kept, docs.schema)
 
 
+def _cleaned(text: bytes) -> bytes:
+    return b"\n".join(x for x in text.split(b"\n") if not x.strip() or not failed_rule(x))
+
+
 def cleaned_text(text: str) -> str:
     """A text without the lines that fail."""
-    return "\n".join(x for x in text.split("\n") if not x.strip() or not failed_rule(x.encode()))
+    return _cleaned(text.encode()).decode()
 
 
 def op6_quality_rules(spark, sf_dir):

@@ -40,5 +40,13 @@ def test_stages(spark, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, before.collect()))
 
 
+def test_failed_lines_go(spark):
+    good, more = "This line says in plain words what it has to say, and it ends well.", "Another sentence follows here with quite different words in it."
+    rows = [(1, f"{good}\nHome | About | Contact | Help\n\nAll rights reserved.\n{more}", "en", "s", 9), (2, good, "en", "s", 9), (3, "Home | About | Contact | Help", "en", "s", 9), (4, None, "en", "s", 9)]
+    out = corpus_pipeline.rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int"), SF).collect()
+    left = {1: f"{good}\n\n{more}", 2: good}
+    assert sorted(tuple(r) for r in out) == [(k, t, "en", "s", len(t)) for k, t in left.items()]
+
+
 def test_line_stage_of_nothing(spark):
     assert line_dedup.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
