@@ -93,7 +93,7 @@ def _eight(data: bytes, bucket: int) -> np.ndarray:
     return wide.reshape(-1).view("<u8") | np.uint64(bucket << 48)
 
 
-#: Dealt rows: where to, which batch, which bucket (-1: the batch's own row), documents of the batch that are in it, their set digests or ids, shingles.
+#: Dealt rows: where to, which batch, which bucket (-1: the batch's own row), documents of the batch that are in it (or their ids and keys), their set digests, shingles.
 _DEALT = "to int, batch binary, bucket int, docs binary, marks binary, counts binary, codes binary"
 _ROW = pa.schema([("to", pa.int32()), ("batch", pa.binary()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "marks", "counts", "codes"))])
 
@@ -128,7 +128,7 @@ def _documents(batches: Iterator[pa.RecordBatch], keys: list[int], size: int) ->
         # by place too, since batches of repeated rows are equal
         name = xxhash.xxh3_128_digest(b"%d|%d|" % (part, k) + b"".join(xxhash.xxh3_128_digest(repr(x).encode()) for x in ids.to_pylist()) + prints.tobytes())
         rows = _deal(sets, np.frombuffer(prints.tobytes(), "<u8").reshape(-1, 2)[:, 0].copy(), name, keys)
-        values = np.array([-1 if x is None else x for x in ids.to_pylist()], "<i8").tobytes() + np.array([x is None for x in ids.to_pylist()], np.uint8).tobytes()
+        values = np.array([-1 if x is None else x for x in ids.to_pylist()], "<i8").tobytes() + batch.column("key").to_numpy().astype("<i8").tobytes() + np.array([x is None for x in ids.to_pylist()], np.uint8).tobytes()
         sizes = np.array([len(s) for s in sets], "<u4").tobytes()
         own = (keys[name[0] % len(keys)], name, -1, values, prints.tobytes(), sizes, len(rows).to_bytes(4, "little"))
         yield _rows([*rows, own])
@@ -195,7 +195,7 @@ def _shared(batches: Iterator[pa.RecordBatch], keys: list[int], at_once: int) ->
 
 
 #: rank: shingles of a document that may take part in a link, rare ones first; null if it cannot link.
-_MEMBER = "doc_id long, print binary, n int, rank binary"
+_MEMBER = "doc_id long, key long, print binary, n int, rank binary"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +208,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rest) != int.from_bytes(own["codes"], "little"):
             raise RuntimeError("a batch of documents came back in part; its source must give the same rows each time it is read")
         sizes = np.frombuffer(own["counts"], "<u4").astype(np.int64)
-        ids, none = np.frombuffer(own["docs"][: 8 * len(sizes)], "<i8"), np.frombuffer(own["docs"][8 * len(sizes) :], np.uint8)
+        (ids, texts), none = np.frombuffer(own["docs"][: 16 * len(sizes)], "<i8").reshape(2, -1), np.frombuffer(own["docs"][16 * len(sizes) :], np.uint8)
         who = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(r["docs"], "<u4") for r in rest)]).astype(np.int64)
         codes = np.concatenate([np.empty(0, np.uint64), *(_eight(r["codes"], r["bucket"]) for r in rest)])
         grade = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(r["counts"], np.uint8) for r in rest)])
@@ -222,8 +222,8 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = [codes[b - c : b].astype("<u8").tobytes() if live else None for b, c, live in zip(ends.tolist(), count.tolist(), alive.tolist(), strict=True)]
         prints = [own["marks"][16 * k : 16 * k + 16] for k in range(len(sizes))]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([None if z else x for x, z in zip(ids.tolist(), none.tolist(), strict=True)], pa.int64()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(ranks, pa.binary())],
-            ["doc_id", "print", "n", "rank"],
+            [pa.array([None if z else x for x, z in zip(ids.tolist(), none.tolist(), strict=True)], pa.int64()), pa.array(texts, pa.int64()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32()), pa.array(ranks, pa.binary())],
+            ["doc_id", "key", "print", "n", "rank"],
         )
 
 
@@ -449,11 +449,23 @@ def near_groups(docs: DataFrame, size: int = SIZE, chunk: int = CHUNK, at_once:
     a component_id unless the component has no other. Other columns are ignored; an empty table gives
     an empty result. docs must give the same rows whenever it is read (a table, or a checkpoint).
     """
+    grouped = _grouped(docs, size, chunk, at_once)
+    least = cut(grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")))  # with a shuffle of its own on either side, a large group can be split
+    return grouped.join(least, "group").select("doc_id", "n_shingles", "component_id")
+
+
+def _key():
+    """A hash of the text, which tells rows of one doc_id apart."""
+    return F.xxhash64(text_of())
+
+
+def _grouped(docs: DataFrame, size: int = SIZE, chunk: int = CHUNK, at_once: int = AT_ONCE) -> DataFrame:
+    """One row for each row of docs: doc_id, key, n_shingles, group (its component)."""
     spark = docs.sparkSession
     small_batches(spark)
     n = min(parts(spark), 1 << 16)
     keys = _keys(spark, n)
-    dealt = docs.select("doc_id", text_of().alias("text")).mapInArrow(lambda b: _documents(b, keys, size), _DEALT)
+    dealt = docs.select("doc_id", text_of().alias("text"), _key().alias("key")).mapInArrow(lambda b: _documents(b, keys, size), _DEALT)
     back = dealt.repartition(n, "to").mapInArrow(lambda b: _shared(b, keys, at_once), _DEALT)
     members = back.repartition(n, "to").mapInArrow(_members, _MEMBER)
     members = staged(members.withColumn("node", F.monotonically_increasing_id()), "members")
@@ -491,20 +503,32 @@ def _between(several: DataFrame, alive: DataFrame, links: DataFrame, n: int) ->
 
 
 def _answer(members: DataFrame, roots: DataFrame) -> DataFrame:
-    own = members.select("doc_id", "print", "n", "node")
+    own = members.select("doc_id", "key", "print", "n", "node")
     nodes = roots.union(roots.select("root", "root").distinct()).toDF("node", "root")
     sets = members.where("rank IS NOT NULL").select("node", F.col("print").alias("p")).join(nodes, "node").select("p", "root")
     grouped = own.join(sets, (F.col("print") == F.col("p")) & (F.col("n") > 0), "left")
     group = F.when(F.col("n") == 0, F.concat(F.lit("e"), F.col("node").cast("string"))).when(F.col("root").isNotNull(), F.concat(F.lit("r"), F.col("root").cast("string"))).otherwise(F.hex("print"))
-    grouped = grouped.select("doc_id", F.col("n").cast("long").alias("n_shingles"), group.alias("group"))
-    least = cut(grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")))  # with a shuffle of its own on either side, a large group can be split
-    return grouped.join(least, "group").select("doc_id", "n_shingles", "component_id")
+    return grouped.select("doc_id", "key", F.col("n").cast("long").alias("n_shingles"), group.alias("group"))
 
 
 def first_of_groups(docs: DataFrame) -> DataFrame:
-    """The rows of docs of which the doc_id stands for its component; rows without a doc_id stay."""
-    firsts = near_groups(docs).where("component_id IS NOT NULL AND doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(firsts.hint("shuffle_hash"), docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One row of docs for each component: of the smallest doc_id, and where that has several texts, of one of them.
+
+    A row without a doc_id stands for its component only if no row of it has one. Rows without shingles are
+    components of their own and all stay.
+    """
+    grouped = _grouped(docs).where("n_shingles > 0")
+    firsts = cut(grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")))
+    chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    kinds = grouped.join(firsts, "group").groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.max(chosen).alias("chosen"))
+    kinds = cut(kinds.where("NOT chosen OR n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__hash"), "chosen"))  # rows to leave out, and repeats of a first
+    keyed = docs.withColumn("__key", _key())
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash"))
+    out = keyed.join(kinds.hint("shuffle_hash"), same, "left_anti")
+    repeats = kinds.where("chosen")
+    if not repeats.isEmpty():
+        out = out.unionByName(keyed.join(repeats.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "__key"]))
+    return out.drop("__key")
 
 
 def op4_ngram_join(spark, sf_dir):

@@ -80,6 +80,16 @@ def test_first_of_groups(docs, none):
     assert ngram_join.near_groups(none).count() == 0
 
 
+def test_one_row_of_each_group(spark, tmp_path):
+    w = [f"w{k}" for k in range(60)]
+    a, near, other, alone, small = " ".join(w), " ".join(w[:59]), " ".join(w[::-1]), " ".join(w[::2]), "just three words"
+    rows = [(1, a, "x"), (1, a, "x"), (1, near, "y"), (2, near, "x"), (3, near, "x"), (3, other, "x"), (None, a, "x"), (None, alone, "x"), (None, alone, "x"), (7, small, "x"), (7, small, "z"), (8, "", "x"), (8, "", "x"), (None, None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "d"))
+    out = Counter((r.doc_id, r.text) for r in ngram_join.first_of_groups(spark.read.parquet(str(tmp_path / "d"))).collect())
+    first = (1, a) if (1, a) in out else (1, near)
+    assert out == Counter([first, (3, other), (None, alone), (7, small), (8, ""), (8, ""), (None, None)])
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)] + [(1000 + k, 1001 + k) for k in range(50)] + [(5, 5)]
