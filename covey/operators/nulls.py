@@ -104,14 +104,19 @@ def with_p(table: DataFrame) -> DataFrame:
     return table.join(kinds, ["shared_packs", "expected"])
 
 
+#: Users of a bucket in which curveball matches.
+BUCKET = 64
+
+
 def curveball(m: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
     """Membership with both margins kept: in each round users are matched at random and deal out anew the packs that only one of the two has.
 
-    All matches of a round are disjoint, so a round is one join; a match is made inside buckets of a hash.
+    All matches of a round are disjoint, so a round is one join; a match is made inside buckets of a hash, of about
+    BUCKET users each whatever the shuffle partitions, so that at most one user of a bucket has no partner.
     """
     from covey.operators.edges import checkpointed
 
-    buckets = max(1, int(m.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4)
+    buckets = max(1, m.select("user_id").distinct().count() // BUCKET)
     state = m.groupBy("user_id").agg(F.collect_set("pack_id").alias("packs"))
     for k in range(rounds):
         key = F.md5(F.concat_ws("|", F.lit(f"{seed}|{k}"), F.col("user_id").cast("string")))

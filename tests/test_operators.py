@@ -256,6 +256,19 @@ def test_bicm(spark):
     assert nu.poisson_p(0, 0.0) == 1.0 and nu.poisson_p(3, 1.0) == pytest.approx(2 * (1 - 0.9197), abs=1e-3)
 
 
+def test_curveball_matches_nearly_all(spark):
+    m = spark.createDataFrame([(u, 10 * u + k) for u in range(150) for k in range(8)], "user_id long, pack_id long")
+    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("4", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append({(r.user_id, r.pack_id) for r in nu.curveball(m, 1, 1).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    assert len({u for u, p in found[1] if p // 10 != u}) >= 140
+
+
 def test_curveball(spark):
     m = membership(spark)
     new = nu.curveball(m, 4, 3)
