@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covey.session import checkpointed
+
 
 def induced(edges: DataFrame, nodes: DataFrame, either: bool = False) -> DataFrame:
     """Edges with both ends in nodes (column node), or with at least one."""
@@ -60,17 +60,6 @@ def core(edges: DataFrame, least: int, rounds: int | None = None) -> DataFrame:
     return edges
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Lineage cut in the folder of spark.checkpoint.dir; a temporary one only in local mode."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(where or f"/tmp/covey-{uuid.uuid4().hex}")
-    return df.checkpoint()
-
-
 def degree_table(edges: DataFrame) -> DataFrame:
     """node, out_degree, in_degree, degree over the union of both ends."""
     out = edges.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("out_degree"))

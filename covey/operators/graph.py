@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from covey.functions import draw_key
-from covey.operators.edges import checkpointed
+from covey.session import checkpointed
 
 
 def load(edges: DataFrame, directed: bool = False) -> DataFrame:

@@ -114,7 +114,7 @@ def curveball(m: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
     All matches of a round are disjoint, so a round is one join; a match is made inside buckets of a hash, of about
     BUCKET users each whatever the shuffle partitions, so that at most one user of a bucket has no partner.
     """
-    from covey.operators.edges import checkpointed
+    from covey.session import checkpointed
 
     buckets = max(1, m.select("user_id").distinct().count() // BUCKET)
     state = m.groupBy("user_id").agg(F.collect_set("pack_id").alias("packs"))

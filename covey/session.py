@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,42 @@ def session(app: str = "covey", master: str | None = None, shuffle_partitions: i
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; checkpoints go there too.
+
+    Only where the setting is absent and there is one machine (local mode, as in tests) is a folder made
+    for the session; it goes when the session's JVM ends.
+    """
+    context = spark.sparkContext
+    kept = context._jsc.sc().getCheckpointDir()
+    where = spark.conf.get("spark.checkpoint.dir", None) or (kept.get() if kept.isDefined() else None)
+    if where is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = tempfile.mkdtemp(prefix="covey-")
+        delete_at_end(spark, where)
+    if not kept.isDefined():
+        context.setCheckpointDir(where)
+    return where
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have the folder go when the driver's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
     """df, if it has all the columns."""
     if missing := [n for n in names if n not in df.columns]:
