@@ -1,7 +1,7 @@
 """Effective number of distinct shared packs.
 
-Closed forms are DataFrame expressions over distinct pack pairs; what needs linear algebra (effective
-rank, linkage) runs as an Arrow kernel over distinct shared sets.
+Pairs are reduced to distinct shared sets before anything is computed; every estimator then runs as an
+Arrow kernel over those sets, batched by size, so a set costs its own square once however many pairs share it.
 """
 
 from __future__ import annotations
@@ -10,56 +10,31 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from covey.functions import dot
 
+EIGEN, LINKS = ("effrank", "rowsum", "participation"), ("single", "complete", "average")
+#: The estimators of a set under one signal.
+METHODS = (*EIGEN, *(f"cluster_{x}" for x in LINKS), "mean_interp")
 
-def pack_dots(shared: DataFrame, emb: DataFrame) -> DataFrame:
-    """pack_i <= pack_j and their similarity g, once for each pair of packs that occurs in a shared set.
 
-    A pack without an embedding is an axis of its own: 1 with itself, 0 with all others.
-    """
-    a, b = shared.withColumnRenamed("pack_id", "pack_i"), shared.withColumnRenamed("pack_id", "pack_j")
-    both = a.join(b, ["user_a", "user_b"]).where("pack_i <= pack_j").select("pack_i", "pack_j").distinct()
-    e, f = emb.select(F.col("pack_id").alias("pack_i"), F.col("embedding").alias("ei")), emb.select(F.col("pack_id").alias("pack_j"), F.col("embedding").alias("ej"))
-    g = F.when(F.col("pack_i") == F.col("pack_j"), F.lit(1.0)).when(F.col("ei").isNull() | F.col("ej").isNull(), F.lit(0.0)).otherwise(dot("ei", "ej"))
-    return both.join(e, "pack_i", "left").join(f, "pack_j", "left").select("pack_i", "pack_j", g.alias("g"))
-
-
-def gram(shared: DataFrame, dots: DataFrame) -> DataFrame:
-    """user_a, user_b, pack_i, pack_j, g for all ordered pairs of packs of each shared set."""
-    a, b = shared.withColumnRenamed("pack_id", "pack_i"), shared.withColumnRenamed("pack_id", "pack_j")
-    both = a.join(b, ["user_a", "user_b"]).withColumn("lo", F.least("pack_i", "pack_j")).withColumn("hi", F.greatest("pack_i", "pack_j"))
-    return both.join(dots.toDF("lo", "hi", "g"), ["lo", "hi"]).select("user_a", "user_b", "pack_i", "pack_j", "g")
-
-
-def participation(grams: DataFrame) -> DataFrame:
-    trace = F.sum(F.when(F.col("pack_i") == F.col("pack_j"), F.col("g")).otherwise(0.0))
-    return grams.groupBy("user_a", "user_b").agg((trace * trace / F.sum(F.col("g") * F.col("g"))).alias("n_eff"))
+def checked_method(method: str) -> str:
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method}; there are {', '.join(METHODS)}")
+    return method
 
 
-def rowsum(grams: DataFrame) -> DataFrame:
-    rows = grams.groupBy("user_a", "user_b", "pack_i").agg(F.sum(F.greatest("g", F.lit(0.0))).alias("r"))
-    return rows.groupBy("user_a", "user_b").agg(F.sum(1 / F.col("r")).alias("n_eff"))
+# --- similarities of packs --------------------------------------------------
 
 
-def mean_interp(grams: DataFrame) -> DataFrame:
-    """1 + (1 - mean off-diagonal similarity) * (P - 1), similarities clipped to [0, 1]."""
-    off = F.when(F.col("pack_i") != F.col("pack_j"), F.least(F.greatest("g", F.lit(0.0)), F.lit(1.0)))
-    sums = grams.groupBy("user_a", "user_b").agg(F.avg(off).alias("mean"), F.countDistinct("pack_i").alias("p"))
-    return sums.select("user_a", "user_b", F.when(F.col("p") == 1, F.lit(1.0)).otherwise(1 + (1 - F.col("mean")) * (F.col("p") - 1)).alias("n_eff"))
-
-
-def weighted(grams: DataFrame, spec: DataFrame) -> DataFrame:
-    """grams with rows scaled by the square root of each pack's specificity, brought to mean 1 within the set; what is not positive counts as 1."""
-    own = grams.where("pack_i = pack_j").select("user_a", "user_b", F.col("pack_i").alias("pack_id")).join(spec, "pack_id", "left")
-    mean = own.groupBy("user_a", "user_b").agg(F.avg("specificity").alias("mean"))
-    ratio = F.try_divide(F.col("specificity"), F.col("mean"))
-    w = own.join(mean, ["user_a", "user_b"]).select("user_a", "user_b", "pack_id", F.when(ratio > 0, ratio).otherwise(1.0).alias("w"))
-    wi, wj = w.toDF("user_a", "user_b", "pack_i", "wi"), w.toDF("user_a", "user_b", "pack_j", "wj")
-    return grams.join(wi, ["user_a", "user_b", "pack_i"]).join(wj, ["user_a", "user_b", "pack_j"]).select("user_a", "user_b", "pack_i", "pack_j", (F.col("g") * F.sqrt("wi") * F.sqrt("wj")).alias("g"))
+def pack_dots(found: DataFrame, emb: DataFrame) -> DataFrame:
+    """Adds the similarity g to pack pairs: the dot product of unit embeddings, 0 where one is missing."""
+    e = emb.select(F.col("pack_id").alias("pack_i"), F.col("embedding").alias("ei"))
+    f = emb.select(F.col("pack_id").alias("pack_j"), F.col("embedding").alias("ej"))
+    g = F.when(F.col("ei").isNull() | F.col("ej").isNull(), F.lit(0.0)).otherwise(dot("ei", "ej"))
+    return found.join(e, "pack_i", "left").join(f, "pack_j", "left").withColumn("g", g).drop("ei", "ej")
 
 
 def jaccard_packs(m: DataFrame) -> DataFrame:
@@ -71,14 +46,17 @@ def jaccard_packs(m: DataFrame) -> DataFrame:
     return both.select("pack_i", "pack_j", (F.col("shared") / (F.col("ki") + F.col("kj") - F.col("shared"))).alias("jaccard"))
 
 
+# --- kernels: n sets of p packs at once -------------------------------------
+
+
 def linkage(s: np.ndarray, method: str) -> float:
     """1 + the sum of merge heights of an agglomeration over distances 1 - clip(s, 0, 1)."""
-    if method not in ("single", "complete", "average"):
+    if method not in LINKS:
         raise ValueError(f"unknown linkage {method}")
     n = len(s)
     if n < 2:
         return float(n)
-    d = 1 - np.clip(s, 0, 1)
+    d = 1 - np.clip((s + s.T) / 2, 0, 1)
     np.fill_diagonal(d, np.inf)
     size, height = np.ones(n), 0.0
     chain: list[int] = []
@@ -107,96 +85,265 @@ def linkage(s: np.ndarray, method: str) -> float:
     return 1.0 + float(height)
 
 
-def effective_rank(g: np.ndarray) -> float:
-    lam = np.linalg.eigvalsh(g)
-    lam = lam[lam > 1e-12]
-    p = lam / lam.sum() if len(lam) else lam
-    return float(np.exp(-(p * np.log(p)).sum())) if len(p) else float(len(g))
+def _diversity(s: np.ndarray, empty: float) -> np.ndarray:
+    """exp of the entropy of the eigenvalues above 1e-12, of each of n matrices."""
+    lam = np.linalg.eigvalsh(s)
+    lam = np.where(lam > 1e-12, lam, 0.0)
+    total = lam.sum(axis=1, keepdims=True)
+    q = lam / np.where(total > 0, total, 1)
+    return np.where(total[:, 0] > 0, np.exp(-np.where(q > 0, q * np.log(np.where(q > 0, q, 1)), 0).sum(axis=1)), empty)
+
+
+def _eigen(g: np.ndarray, wanted: tuple[str, ...], empty: float) -> dict[str, np.ndarray]:
+    """The eigenvalue family of n Gram matrices: effrank of g as it is, rowsum of what is not negative."""
+    out = {}
+    if "effrank" in wanted:
+        out["effrank"] = _diversity(g, empty)
+    if "participation" in wanted:
+        square = (g * g).sum(axis=(1, 2))
+        out["participation"] = np.where(square > 0, np.trace(g, axis1=1, axis2=2) ** 2 / np.where(square > 0, square, 1), empty)
+    if "rowsum" in wanted:
+        rows = np.maximum(g, 0).sum(axis=2)
+        out["rowsum"] = np.where(rows > 0, 1 / np.where(rows > 0, rows, 1), 0).sum(axis=1)
+    return out
+
+
+def _clusters(s: np.ndarray, wanted: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Linkages and the interpolation by the mean, of n similarity matrices; closed forms up to three packs."""
+    p = s.shape[1]
+    s = np.clip(s, 0, 1)
+    upper = np.triu_indices(p, 1)
+    x = np.sort(s[:, upper[0], upper[1]], axis=1)[:, ::-1]
+    out = {}
+    for link in LINKS:
+        if f"cluster_{link}" in wanted:
+            if p == 2:
+                out[f"cluster_{link}"] = 2 - x[:, 0]
+            elif p == 3:
+                last = {"single": x[:, 1], "complete": x[:, 2], "average": (x[:, 1] + x[:, 2]) / 2}[link]
+                out[f"cluster_{link}"] = 3 - x[:, 0] - last
+            else:
+                out[f"cluster_{link}"] = np.array([linkage(y, link) for y in s])
+    if "mean_interp" in wanted:
+        out["mean_interp"] = 1 + (1 - x.mean(axis=1)) * (p - 1)
+    return out
+
+
+def set_weights(specificity: np.ndarray) -> np.ndarray:
+    """Weights of one set, or of n sets of one size: what is not positive and finite is 1, and then their mean is brought to 1."""
+    with np.errstate(invalid="ignore"):
+        w = np.where(np.isfinite(specificity) & (specificity > 0), specificity, 1.0)
+    return w / w.mean(axis=-1, keepdims=True)
+
+
+def embedding_numbers(v: np.ndarray, known: np.ndarray, wanted: tuple[str, ...] = METHODS, missing: str = "distinct", specificity: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Estimators of n sets of p packs. v: n x p x d unit rows, zero where not known (n x p).
+
+    A pack that is not known is an axis of its own, or with missing="drop" left out of the eigenvalue
+    family; all sets must then know the same number of packs. No packs count 0, one pack counts 1.
+    """
+    n, p, _ = v.shape
+    if p < 2:
+        return {c: np.full(n, float(p)) for c in wanted}
+    g = v @ v.transpose(0, 2, 1)
+    at = np.arange(p)
+    g[:, at, at] = 1.0
+    out = _clusters(g, wanted)
+    if set(wanted) & set(EIGEN):
+        e, w = g, specificity
+        if missing == "drop":
+            left = int(known[0].sum()) if n else p
+            rows = np.argsort(~known, axis=1, kind="stable")[:, :left]
+            e = np.take_along_axis(np.take_along_axis(g, rows[:, :, None], 1), rows[:, None, :], 2)
+            w = None if w is None else np.take_along_axis(w, rows, 1)
+            if left < 2:
+                return out | {c: np.full(n, float(left)) for c in wanted if c in EIGEN}
+        if w is not None:
+            root = np.sqrt(set_weights(w))
+            e = e * root[:, :, None] * root[:, None, :]
+        out |= _eigen(e, wanted, 0.0)
+    return out
+
+
+def similarity_numbers(s: np.ndarray, wanted: tuple[str, ...] = METHODS) -> dict[str, np.ndarray]:
+    """Estimators of n similarity matrices that need not be positive: negative eigenvalues are left out, and flagged as `nonpsd`."""
+    n, p, _ = s.shape
+    if p < 2:
+        return {c: np.full(n, float(p)) for c in wanted} | {"nonpsd": np.zeros(n, bool)}
+    even = (s + s.transpose(0, 2, 1)) / 2
+    clipped = np.clip(s, 0, 1)
+    out = _clusters(s, wanted) | _eigen(clipped, tuple(set(wanted) - {"effrank"}), float(p))
+    if "effrank" in wanted:
+        out["effrank"] = _diversity(even, float(p))
+    return out | {"nonpsd": (np.linalg.eigvalsh(even) < -1e-9).any(axis=1)}
+
+
+def all_numbers(v: np.ndarray, known: np.ndarray, missing: str = "distinct", specificity: np.ndarray | None = None) -> dict[str, float]:
+    """embedding_numbers() of one set. v: p x d, known: p."""
+    w = None if specificity is None else specificity[None]
+    return {c: float(x[0]) for c, x in embedding_numbers(v[None], known[None], METHODS, missing, w).items()}
+
+
+#: Numbers of the matrices that are held at once.
+_HELD = 2_000_000
+
+
+def _parts(own: np.ndarray, p: int) -> list[np.ndarray]:
+    return [x for x in np.array_split(own, max(1, len(own) * p * p // _HELD)) if len(x)]
+
+
+def _by_embedding(batches: Iterator[pa.RecordBatch], wanted: tuple[str, ...], missing: str) -> Iterator[pa.RecordBatch]:
+    """Rows: set_key, rows (array of {at, v, w})."""
+    for batch in batches:
+        sets = batch.column("rows")
+        lens = sets.value_lengths().to_numpy()
+        ends = np.cumsum(lens)
+        starts = ends - lens
+        items = sets.flatten()
+        vectors = items.field("v")
+        dims = vectors.value_lengths().to_numpy()
+        v = np.zeros((len(dims), int(dims.max(initial=1))))
+        v[np.repeat(np.arange(len(dims)), dims), np.arange(int(dims.sum())) - np.repeat(np.cumsum(dims) - dims, dims)] = vectors.flatten().to_numpy()
+        w = items.field("w").to_numpy(zero_copy_only=False)
+        known = dims > 0
+        n_known = np.r_[0, np.cumsum(known)]
+        n_known = n_known[ends] - n_known[starts]
+        out = {c: np.zeros(len(lens)) for c in wanted}
+        weighted = bool((w != 1).any())
+        for p, k in {(int(a), int(b)) for a, b in zip(lens, n_known, strict=True)}:
+            for part in _parts(np.flatnonzero((lens == p) & (n_known == k)), p):
+                rows = starts[part][:, None] + np.arange(p)
+                for c, x in embedding_numbers(v[rows], known[rows], wanted, missing, w[rows] if weighted else None).items():
+                    out[c][part] = x
+        yield pa.RecordBatch.from_arrays([batch.column("set_key"), *(pa.array(out[c], pa.float64()) for c in wanted)], ["set_key", *wanted])
+
+
+def _by_similarity(batches: Iterator[pa.RecordBatch], wanted: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Rows: set_key, p, sims (array of {i, j, s}, places from 0)."""
+    for batch in batches:
+        size = batch.column("p").to_numpy()
+        sims = batch.column("sims")
+        lens = sims.value_lengths().to_numpy()
+        ends = np.cumsum(lens)
+        i, j, s = (sims.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("i", "j", "s"))
+        out = {c: np.zeros(len(size)) for c in wanted} | {"nonpsd": np.zeros(len(size), bool)}
+        for p in np.unique(size).tolist():
+            for part in _parts(np.flatnonzero(size == p), p):
+                m = np.zeros((len(part), p, p))
+                m[:, np.arange(p), np.arange(p)] = 1.0
+                for k, row in enumerate(part):
+                    own = slice(ends[row] - lens[row], ends[row])
+                    m[k, i[own], j[own]] = m[k, j[own], i[own]] = s[own]
+                for c, x in similarity_numbers(m, wanted).items():
+                    out[c][part] = x
+        yield pa.RecordBatch.from_arrays([batch.column("set_key"), *(pa.array(out[c], pa.float64()) for c in wanted), pa.array(out["nonpsd"], pa.bool_())], ["set_key", *wanted, "nonpsd"])
 
 
-def all_numbers(v: np.ndarray, known: np.ndarray, missing: str = "distinct") -> dict[str, float]:
-    """Every estimator for one set. v: unit rows, zero where not known. `missing` says what the eigen family does with packs that are not."""
-    k = len(v)
-    if k < 2:
-        return dict.fromkeys(("effrank", "participation", "rowsum", "cluster_single", "cluster_complete", "cluster_average", "mean_interp"), float(k))
-    g = v @ v.T
-    whole = g.copy()
-    np.fill_diagonal(whole, 1.0)
-    e = whole if missing == "distinct" else g[np.ix_(known, known)]
-    sim = np.clip(whole, 0, 1)
-    out = {"effrank": 0.0, "participation": 0.0, "rowsum": 0.0} if not len(e) else dict.fromkeys(("effrank", "participation", "rowsum"), 1.0) if len(e) == 1 else {
-        "effrank": effective_rank(e), "participation": float(np.trace(e) ** 2 / (e * e).sum()), "rowsum": float((1 / np.maximum(e, 0).sum(axis=1)).sum()),
-    }
-    out |= {f"cluster_{m}": linkage(sim, m) for m in ("single", "complete", "average")}
-    return out | {"mean_interp": 1 + (1 - float((sim.sum() - np.trace(sim)) / (k * (k - 1)))) * (k - 1)}
+# --- plans ------------------------------------------------------------------
 
 
-_COLUMNS = ("effrank", "participation", "rowsum", "cluster_single", "cluster_complete", "cluster_average", "mean_interp")
+def keyed_sets(shared: DataFrame, keys: tuple[str, ...] = ("user_a", "user_b")) -> DataFrame:
+    """keys, packs (sorted) and set_key, equal for equal sets."""
+    return with_set_key(shared.groupBy(*keys).agg(F.sort_array(F.collect_list("pack_id")).alias("packs")))
 
 
-def batched_numbers(v: np.ndarray) -> dict[str, np.ndarray]:
-    """all_numbers() for n sets of p >= 2 packs at once, packs that are not known being distinct. v: n x p x d, zero rows where not known."""
-    n, p, _ = v.shape
-    g = v @ v.transpose(0, 2, 1)
-    at = np.arange(p)
-    g[:, at, at] = 1.0
-    lam = np.clip(np.linalg.eigvalsh(g), 1e-300, None)
-    q = np.where(lam > 1e-12, lam, 0.0)
-    q /= q.sum(axis=1, keepdims=True)
-    sim = np.clip(g, 0, 1)
-    upper = np.triu_indices(p, 1)
-    s = np.sort(sim[:, upper[0], upper[1]], axis=1)[:, ::-1]
-    if p == 2:
-        single = complete = average = 2 - s[:, 0]
-    elif p == 3:
-        single, complete, average = 3 - s[:, 0] - s[:, 1], 3 - s[:, 0] - s[:, 2], 3 - s[:, 0] - (s[:, 1] + s[:, 2]) / 2
-    else:
-        single, complete, average = (np.array([linkage(x, m) for x in sim]) for m in ("single", "complete", "average"))
-    return {
-        "effrank": np.exp(-np.where(q > 0, q * np.log(np.where(q > 0, q, 1)), 0).sum(axis=1)), "participation": p * p / (g * g).sum(axis=(1, 2)), "rowsum": (1 / np.maximum(g, 0).sum(axis=2)).sum(axis=1),
-        "cluster_single": single, "cluster_complete": complete, "cluster_average": average, "mean_interp": 1 + (1 - s.mean(axis=1)) * (p - 1),
-    }
-
-
-def _kernel(batches: Iterator[pa.RecordBatch], missing: str) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = batch.column("vectors")
-        rows = sets.flatten()
-        ends, lens = np.cumsum(sets.value_lengths().to_numpy()), rows.value_lengths().to_numpy()
-        starts = ends - sets.value_lengths().to_numpy()
-        v = np.zeros((len(lens), int(lens.max(initial=1))))
-        at = np.repeat(np.arange(len(lens)), lens)
-        v[at, np.arange(len(at)) - np.repeat(np.cumsum(lens) - lens, lens)] = rows.flatten().to_numpy()
-        out = {c: np.zeros(len(starts)) for c in _COLUMNS}
-        known = np.r_[0, np.cumsum(lens > 0)]
-        plain = (known[ends] - known[starts] == ends - starts) | (missing == "distinct")
-        for p in np.unique(ends - starts):
-            own = np.flatnonzero((ends - starts == p) & plain)
-            for part in np.array_split(own, max(1, len(own) * int(p) ** 2 // 2_000_000)):
-                if p >= 2 and len(part):
-                    for c, x in batched_numbers(v[starts[part][:, None] + np.arange(p)]).items():
-                        out[c][part] = x
-                elif len(part):
-                    for c in _COLUMNS:
-                        out[c][part] = float(p)
-        for k in np.flatnonzero(~plain):
-            for c, x in all_numbers(v[starts[k] : ends[k]], lens[starts[k] : ends[k]] > 0, missing).items():
-                out[c][k] = x
-        yield pa.RecordBatch.from_arrays([batch.column("set_key"), *(pa.array(out[c], pa.float64()) for c in _COLUMNS)], ["set_key", *_COLUMNS])
-
-
-def for_pairs(pairs: DataFrame, shared: DataFrame, emb: DataFrame, missing: str = "distinct") -> DataFrame:
-    """pairs with k_shared and all estimators; n_eff is cluster_average. Equal shared sets are computed once; pairs that share nothing get 0."""
-    sets = shared.groupBy("user_a", "user_b").agg(F.sort_array(F.collect_list("pack_id")).alias("packs")).withColumn("set_key", F.md5(F.concat_ws(",", F.col("packs").cast("array<string>"))))
+def with_set_key(sets: DataFrame) -> DataFrame:
+    return sets.withColumn("set_key", F.md5(F.concat_ws(",", F.col("packs").cast("array<string>"))))
+
+
+def set_numbers(sets: DataFrame, emb: DataFrame, wanted: tuple[str, ...] = METHODS, missing: str = "distinct", specificity: DataFrame | None = None) -> DataFrame:
+    """set_key and the wanted estimators, once for each distinct set of keyed_sets(). specificity: pack_id, specificity."""
+    if missing not in ("distinct", "drop"):
+        raise ValueError(f"unknown policy {missing} for packs without an embedding")
     one = sets.groupBy("set_key").agg(F.first("packs").alias("packs")).select("set_key", F.posexplode("packs").alias("at", "pack_id"))
-    vectors = one.join(emb, "pack_id", "left").groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("embedding", F.expr("array()").cast("array<double>")).cast("array<double>").alias("v")))).alias("rows"))
-    numbers = vectors.select("set_key", F.col("rows.v").alias("vectors")).mapInArrow(lambda b: _kernel(b, missing), "set_key string, " + ", ".join(f"{c} double" for c in _COLUMNS))
-    out = pairs.join(sets.select("user_a", "user_b", "set_key", F.size("packs").cast("long").alias("k_shared")), ["user_a", "user_b"], "left").join(numbers, "set_key", "left").drop("set_key")
-    return out.fillna(0, ["k_shared"]).fillna(0.0, list(_COLUMNS)).withColumn("n_eff", F.col("cluster_average"))
+    rows = one.join(emb.select("pack_id", F.col("embedding").cast("array<double>").alias("v")), "pack_id", "left")
+    rows = rows.withColumn("w", F.lit(1.0)) if specificity is None else rows.join(specificity.select("pack_id", F.col("specificity").alias("w")), "pack_id", "left")
+    item = F.struct("at", F.coalesce("v", F.expr("cast(array() AS array<double>)")).alias("v"), F.coalesce("w", F.lit(1.0)).alias("w"))
+    held = rows.groupBy("set_key").agg(F.sort_array(F.collect_list(item)).alias("rows"))
+    wanted = tuple(map(checked_method, wanted))
+    return held.mapInArrow(lambda b: _by_embedding(b, wanted, missing), "set_key string, " + ", ".join(f"{c} double" for c in wanted))
+
+
+def set_similarity_numbers(sets: DataFrame, sims: DataFrame, wanted: tuple[str, ...] = METHODS) -> DataFrame:
+    """As set_numbers(), from a table of similarities (pack_i < pack_j, s; 0 where absent), with the flag nonpsd."""
+    one = sets.groupBy("set_key").agg(F.first("packs").alias("packs"))
+    at = one.select("set_key", F.posexplode("packs").alias("at", "pack"))
+    a, b = at.toDF("set_key", "i", "pack_i"), at.toDF("set_key", "j", "pack_j")
+    found = a.join(b, "set_key").where("i < j").join(sims.toDF("pack_i", "pack_j", "s"), ["pack_i", "pack_j"])
+    lists = found.groupBy("set_key").agg(F.collect_list(F.struct("i", "j", "s")).alias("sims"))
+    none = F.expr("cast(array() AS array<struct<i:int,j:int,s:double>>)")
+    rows = one.join(lists, "set_key", "left").select("set_key", F.size("packs").alias("p"), F.coalesce("sims", none).alias("sims"))
+    wanted = tuple(map(checked_method, wanted))
+    return rows.mapInArrow(lambda x: _by_similarity(x, wanted), "set_key string, " + ", ".join(f"{c} double" for c in wanted) + ", nonpsd boolean")
+
+
+def for_pairs(
+    pairs: DataFrame, shared: DataFrame, emb: DataFrame, method: str = "cluster_average", missing: str = "distinct", specificity: DataFrame | None = None,
+    observation: Observation | None = None, keys: tuple[str, ...] = ("user_a", "user_b"),
+) -> DataFrame:
+    """pairs with k_shared, n_eff_effrank, n_eff_rowsum, n_eff_participation, n_eff_<method>, and n_eff, which is that of the method.
+
+    Pairs that share nothing count 0. specificity weighs the eigenvalue family. An observation, if given,
+    gets `mismatches` when the result is computed: pairs whose k_shared is not their shared_packs.
+    """
+    wanted = tuple(dict.fromkeys((*EIGEN, checked_method(method))))
+    sets = keyed_sets(shared, keys)
+    numbers = set_numbers(sets, emb, wanted, missing, specificity)
+    numbers = numbers.select("set_key", *[F.col(c).alias(f"n_eff_{c}") for c in wanted])
+    found = sets.select(*keys, "set_key", F.size("packs").cast("long").alias("k_shared")).join(numbers, "set_key", "left").drop("set_key")
+    out = pairs.join(found, list(keys), "left").fillna(0, ["k_shared"]).fillna(0.0, [f"n_eff_{c}" for c in wanted]).withColumn("n_eff", F.col(f"n_eff_{method}"))
+    if observation is not None and "shared_packs" in out.columns:
+        out = out.observe(observation, F.count_if(F.col("k_shared") != F.col("shared_packs")).alias("mismatches"))
+    return out
+
+
+def one_number(shared: DataFrame, emb: DataFrame, method: str, missing: str = "distinct", specificity: DataFrame | None = None) -> DataFrame:
+    """user_a, user_b, n_eff by one estimator, for pairs that share a pack."""
+    return sets_number(keyed_sets(shared), emb, method, missing, specificity)
+
+
+def sets_number(sets: DataFrame, emb: DataFrame, method: str, missing: str = "distinct", specificity: DataFrame | None = None) -> DataFrame:
+    """As one_number(), from keyed_sets()."""
+    numbers = set_numbers(sets, emb, (method,), missing, specificity).withColumnRenamed(method, "n_eff")
+    return sets.drop("packs").join(numbers, "set_key").drop("set_key")
 
 
-def top_shared(shared: DataFrame, grams: DataFrame, top: int) -> DataFrame:
-    """The packs shared by most pairs: pairs, and mean cosine distance to the packs shared with them."""
-    far = grams.where("pack_i <> pack_j").groupBy(F.col("pack_i").alias("pack_id")).agg(F.avg(1 - F.col("g")).alias("mean_distance"))
+def bundle(sets: DataFrame, emb: DataFrame, jaccard: DataFrame) -> DataFrame:
+    """user_a, user_b, count, and every estimator under both signals (METHODS with __emb and __jac), with the flag nonpsd__jac.
+
+    jaccard: pack_i < pack_j, jaccard, of the observed membership, also where sets are those of a null model.
+    """
+    e = set_numbers(sets, emb).select("set_key", *[F.col(c).alias(f"{c}__emb") for c in METHODS])
+    j = set_similarity_numbers(sets, jaccard)
+    j = j.select("set_key", *[F.col(c).alias(f"{c}__jac") for c in METHODS], F.col("nonpsd").alias("nonpsd__jac"))
+    return sets.withColumn("count", F.size("packs").cast("double")).drop("packs").join(e, "set_key").join(j, "set_key").drop("set_key")
+
+
+def tidy(bundled: DataFrame) -> DataFrame:
+    """bundle() as user_a, user_b, statistic, value."""
+    names = [c for c in bundled.columns if c not in ("user_a", "user_b", "nonpsd__jac")]
+    return bundled.selectExpr("user_a", "user_b", f"stack({len(names)}, {', '.join(f"'{c}', `{c}`" for c in names)}) AS (statistic, value)")
+
+
+def in_band(pairs: DataFrame, low: float, high: float, value: str = "n_eff") -> DataFrame:
+    """Pairs whose value lies between two of its percentiles, both included."""
+    ends = F.broadcast(pairs.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__ends")))  # one row
+    return pairs.crossJoin(ends).where((F.col(value) >= F.col("__ends")[0]) & (F.col(value) <= F.col("__ends")[1])).drop("__ends")
+
+
+def top_shared(shared: DataFrame, emb: DataFrame, top: int) -> DataFrame:
+    """The packs shared by most pairs: pairs, and mean_distance, the mean over pairs of a pack's mean cosine
+    distance to the other packs with an embedding that the pair shares (null where there is none).
+
+    Similarities are computed once for each pair of packs: what many pairs share is summed first.
+    """
+    known = shared.join(emb.select("pack_id"), "pack_id", "left_semi")
+    several = known.groupBy("user_a", "user_b").agg(F.count("*").alias("k")).where("k > 1")
+    own = known.join(several, ["user_a", "user_b"]).select("user_a", "user_b", "pack_id", (1 / (F.col("k") - 1)).alias("share"))
+    a, b = own.withColumnRenamed("pack_id", "pack_i"), own.drop("share").withColumnRenamed("pack_id", "pack_j")
+    both = a.join(b, ["user_a", "user_b"]).where("pack_i < pack_j").groupBy("pack_i", "pack_j").agg(F.sum("share").alias("share"))
+    g = pack_dots(both, emb).withColumn("far", F.col("share") * (1 - F.col("g")))
+    far = g.select(F.col("pack_i").alias("pack_id"), "far").union(g.select("pack_j", "far")).groupBy("pack_id").agg(F.sum("far").alias("far"))
+    far = far.join(own.groupBy("pack_id").agg(F.count("*").alias("n")), "pack_id").select("pack_id", (F.col("far") / F.col("n")).alias("mean_distance"))
     counts = shared.groupBy("pack_id").agg(F.count("*").alias("pairs"))
     return counts.join(far, "pack_id", "left").orderBy(F.desc("pairs"), "pack_id").limit(top)

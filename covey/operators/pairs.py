@@ -9,13 +9,36 @@ from pyspark.sql import functions as F
 from covey.functions import draw_int, draw_key
 
 
-def comember_pairs(m: DataFrame, min_packs: int = 1) -> DataFrame:
-    """Every pair of users that share a pack, with the number they share: an equi-join on the pack, summed map-side."""
+#: Members of a pack that meet in one task; larger packs are dealt out in blocks.
+BLOCK = 4000
+
+
+def _sides(m: DataFrame, min_packs: int) -> DataFrame:
+    """Rows of user_a, user_b, pack_id for each pair that shares the pack.
+
+    An equi-join on the pack; the members of a pack of more than BLOCK are cut into blocks, and each pair of
+    blocks is a key of its own, so that no task has all pairs of a large pack.
+    """
     if min_packs > 1:
         users = m.groupBy("user_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_packs)
         m = m.join(users, "user_id", "left_semi")
-    a, b = m.select(F.col("user_id").alias("user_a"), "pack_id"), m.select(F.col("user_id").alias("user_b"), "pack_id")
-    return a.join(b, "pack_id").where("user_a < user_b").groupBy("user_a", "user_b").agg(F.count("*").alias("shared_packs"))
+    sizes = m.groupBy("pack_id").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks")).where("blocks > 1")
+    cut = m.join(sizes, "pack_id", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own, other = F.pmod(F.xxhash64("user_id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    a = cut.select("pack_id", F.col("user_id").alias("user_a"), own.alias("block_a"), other.alias("block_b"))
+    b = cut.select("pack_id", F.col("user_id").alias("user_b"), own.alias("block_b"), other.alias("block_a"))
+    return a.join(b, ["pack_id", "block_a", "block_b"]).where("user_a < user_b").select("user_a", "user_b", "pack_id")
+
+
+def comember_pairs(m: DataFrame, min_packs: int = 1) -> DataFrame:
+    """Every pair of users that share a pack, with the number they share, summed map-side."""
+    return _sides(m, min_packs).groupBy("user_a", "user_b").agg(F.count("*").alias("shared_packs"))
+
+
+def comember_sets(m: DataFrame, least: int = 1, min_packs: int = 1) -> DataFrame:
+    """user_a, user_b, packs (sorted) of the pairs that share at least `least` packs."""
+    sets = _sides(m, min_packs).groupBy("user_a", "user_b").agg(F.sort_array(F.collect_list("pack_id")).alias("packs"))
+    return sets.where(F.size("packs") >= least)
 
 
 def levels(pairs: DataFrame, max_shared: int) -> DataFrame:

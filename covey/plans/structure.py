@@ -316,72 +316,146 @@ def ego_rings(spark, d):
 
 # --- effective number of packs ---------------------------------------------
 
-_SH = "sh AS (SELECT s2.user_a, s2.user_b, a.pack_id FROM (SELECT user_a, user_b FROM co WHERE shared_packs >= 2) s2 JOIN m a ON a.user_id = s2.user_a JOIN m b ON b.user_id = s2.user_b AND b.pack_id = a.pack_id)"
-_GR = "pq AS (SELECT DISTINCT a.pack_id AS i, b.pack_id AS j FROM sh a JOIN sh b USING (user_a, user_b) WHERE a.pack_id <= b.pack_id), ps AS (SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE WHEN x.embedding IS NULL OR y.embedding IS NULL THEN 0.0::DOUBLE ELSE list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) END AS g FROM pq LEFT JOIN embeddings x ON x.vec_id = i LEFT JOIN embeddings y ON y.vec_id = j), gm AS (SELECT a.user_a, a.user_b, a.pack_id AS i, b.pack_id AS j, ps.g FROM sh a JOIN sh b USING (user_a, user_b) JOIN ps ON ps.i = least(a.pack_id, b.pack_id) AND ps.j = greatest(a.pack_id, b.pack_id))"
+_SH = """sh AS (
+  SELECT s2.user_a, s2.user_b, a.pack_id FROM (SELECT user_a, user_b FROM co WHERE shared_packs >= 2) s2
+  JOIN m a ON a.user_id = s2.user_a JOIN m b ON b.user_id = s2.user_b AND b.pack_id = a.pack_id)"""
+_DOT = "list_sum(list_transform(list_zip(x.embedding, y.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
+_GR = f"""pq AS (SELECT DISTINCT a.pack_id AS i, b.pack_id AS j FROM sh a JOIN sh b USING (user_a, user_b) WHERE a.pack_id <= b.pack_id),
+ps AS (SELECT i, j, CASE WHEN i = j THEN 1.0::DOUBLE WHEN x.embedding IS NULL OR y.embedding IS NULL THEN 0.0::DOUBLE ELSE {_DOT} END AS g
+  FROM pq LEFT JOIN embeddings x ON x.vec_id = i LEFT JOIN embeddings y ON y.vec_id = j),
+gm AS (SELECT a.user_a, a.user_b, a.pack_id AS i, b.pack_id AS j, ps.g FROM sh a JOIN sh b USING (user_a, user_b)
+  JOIN ps ON ps.i = least(a.pack_id, b.pack_id) AND ps.j = greatest(a.pack_id, b.pack_id))"""
 _NEFF = f"WITH {S['m']}, {_CO}, {_SH}, {_GR}"
 
 
-def _shared(spark, d):
-    m = R.membership(spark, d)
-    return pr.shared_packs(pr.comember_pairs(m).where("shared_packs >= 2"), m)
-
-
-def _gram(spark, d):
-    shared = _shared(spark, d)
-    return ne.gram(shared, ne.pack_dots(shared, R.embeddings(spark, d)))
+def _sets(spark, d):
+    return ne.with_set_key(pr.comember_sets(R.membership(spark, d), 2))
 
 
-def _six(df):
-    return df.withColumn("n_eff", F.round("n_eff", 6))
+def _number(spark, d, method, **more):
+    return ne.sets_number(_sets(spark, d), R.embeddings(spark, d), method, **more).withColumn("n_eff", F.round("n_eff", 6))
 
 
 @query(f"{_NEFF}, r AS (SELECT user_a, user_b, i, sum(greatest(g, 0)) AS r FROM gm GROUP BY 1, 2, 3) SELECT user_a, user_b, round(sum(1 / r), 6) AS n_eff FROM r GROUP BY 1, 2")
 def neff_rowsum(spark, d):
-    return _six(ne.rowsum(_gram(spark, d)))
+    return _number(spark, d, "rowsum")
 
 
-@query(f"{_NEFF} SELECT user_a, user_b, round(pow(sum(CASE WHEN i = j THEN g ELSE 0 END), 2) / sum(g * g), 6) AS n_eff FROM gm GROUP BY 1, 2")
+_PART = "pow(sum(CASE WHEN i = j THEN g ELSE 0 END), 2) / sum(g * g)"
+
+
+@query(f"{_NEFF} SELECT user_a, user_b, round({_PART}, 6) AS n_eff FROM gm GROUP BY 1, 2")
 def neff_participation(spark, d):
-    return _six(ne.participation(_gram(spark, d)))
+    return _number(spark, d, "participation")
+
 
+_MEAN = "1 + (1 - avg(CASE WHEN i <> j THEN least(greatest(g, 0), 1) END)) * (count(DISTINCT i) - 1)"
 
-@query(f"{_NEFF} SELECT user_a, user_b, round(1 + (1 - avg(CASE WHEN i <> j THEN least(greatest(g, 0), 1) END)) * (count(DISTINCT i) - 1), 6) AS n_eff FROM gm GROUP BY 1, 2")
+
+@query(f"{_NEFF} SELECT user_a, user_b, round({_MEAN}, 6) AS n_eff FROM gm GROUP BY 1, 2")
 def neff_mean_interp(spark, d):
-    return _six(ne.mean_interp(_gram(spark, d)))
+    return _number(spark, d, "mean_interp")
+
+
+_SPEC = """sp AS (SELECT pack_id, ln((SELECT count(DISTINCT user_id) FROM m) / count(*)) AS s FROM m GROUP BY 1),
+sv AS (SELECT user_a, user_b, pack_id, CASE WHEN s > 0 THEN s ELSE 1.0::DOUBLE END AS s FROM sh LEFT JOIN sp USING (pack_id)),
+sw AS (SELECT user_a, user_b, pack_id, s / avg(s) OVER (PARTITION BY user_a, user_b) AS w FROM sv),
+gw AS (SELECT gm.user_a, gm.user_b, i, j, g * sqrt(x.w) * sqrt(y.w) AS g FROM gm
+  JOIN sw x ON x.user_a = gm.user_a AND x.user_b = gm.user_b AND x.pack_id = i JOIN sw y ON y.user_a = gm.user_a AND y.user_b = gm.user_b AND y.pack_id = j)"""
 
 
-@query(f"{_NEFF}, sp AS (SELECT pack_id, ln((SELECT count(DISTINCT user_id) FROM m) / count(*)) AS s FROM m GROUP BY 1), sw AS (SELECT user_a, user_b, pack_id, s / avg(s) OVER (PARTITION BY user_a, user_b) AS w FROM sh JOIN sp USING (pack_id)), gw AS (SELECT gm.user_a, gm.user_b, i, j, g * sqrt(x.w) * sqrt(y.w) AS g FROM gm JOIN sw x ON x.user_a = gm.user_a AND x.user_b = gm.user_b AND x.pack_id = i JOIN sw y ON y.user_a = gm.user_a AND y.user_b = gm.user_b AND y.pack_id = j) SELECT user_a, user_b, round(pow(sum(CASE WHEN i = j THEN g ELSE 0 END), 2) / sum(g * g), 6) AS n_eff FROM gw GROUP BY 1, 2")
+@query(f"{_NEFF}, {_SPEC} SELECT user_a, user_b, round({_PART}, 6) AS n_eff FROM gw GROUP BY 1, 2")
 def neff_specificity(spark, d):
-    return _six(ne.participation(ne.weighted(_gram(spark, d), mb.specificity(R.membership(spark, d)))))
+    return _number(spark, d, "participation", specificity=mb.specificity(R.membership(spark, d)))
+
+
+@query(f"""{_NEFF}, {_SPEC.replace('CASE WHEN s > 0 THEN s ELSE', 'CASE WHEN pack_id % 3 = 2 AND s > 0 THEN 0.5::DOUBLE * s ELSE')}
+SELECT user_a, user_b, round({_PART}, 6) AS n_eff FROM gw GROUP BY 1, 2""")
+def neff_specificity_gaps(spark, d):
+    """Weights of which some are missing and some negative: these count as 1 before the mean is brought to 1."""
+    spec = mb.specificity(R.membership(spark, d)).where("pack_id % 3 > 0").withColumn("specificity", F.col("specificity") * (F.col("pack_id") % 3 - 1.5))
+    return _number(spark, d, "participation", specificity=spec)
+
 
+_JC = """k AS (SELECT pack_id, count(*) AS k FROM {m} GROUP BY 1),
+jb AS (SELECT x.pack_id AS i, y.pack_id AS j, count(*) AS n FROM {m} x JOIN {m} y ON x.user_id = y.user_id AND x.pack_id < y.pack_id GROUP BY 1, 2),
+jc AS (SELECT i, j, n / (p.k + q.k - n) AS s FROM jb JOIN k p ON p.pack_id = i JOIN k q ON q.pack_id = j)"""
 
-@query(f"WITH {S['dm']}, k AS (SELECT pack_id, count(*) AS k FROM dm GROUP BY 1), b AS (SELECT x.pack_id AS pack_i, y.pack_id AS pack_j, count(*) AS n FROM dm x JOIN dm y ON x.user_id = y.user_id AND x.pack_id < y.pack_id GROUP BY 1, 2) SELECT pack_i, pack_j, round(n / (p.k + q.k - n), 9) AS jaccard FROM b JOIN k p ON p.pack_id = pack_i JOIN k q ON q.pack_id = pack_j")
+
+@query(f"WITH {S['dm']}, {_JC.format(m='dm')} SELECT i AS pack_i, j AS pack_j, round(s, 9) AS jaccard FROM jc")
 def jaccard_packs(spark, d):
     return ne.jaccard_packs(R.dense_membership(spark, d)).withColumn("jaccard", F.round("jaccard", 9))
 
 
-def _all(spark, d):
-    m = R.membership(spark, d)
-    pairs = pr.comember_pairs(m).where("shared_packs >= 2")
-    return ne.for_pairs(pairs, pr.shared_packs(pairs, m), R.embeddings(spark, d))
+def _bundle(spark, d):
+    return ne.bundle(_sets(spark, d), R.embeddings(spark, d), ne.jaccard_packs(R.membership(spark, d)))
+
+
+@query(f"""{_NEFF}, {_JC.format(m='m')},
+jm AS (SELECT gm.user_a, gm.user_b, gm.i, gm.j, CASE WHEN gm.i = gm.j THEN 1.0::DOUBLE ELSE coalesce(s, 0) END AS g
+  FROM gm LEFT JOIN jc ON jc.i = least(gm.i, gm.j) AND jc.j = greatest(gm.i, gm.j)),
+re AS (SELECT user_a, user_b, i, sum(greatest(g, 0)) AS r FROM gm GROUP BY 1, 2, 3), rj AS (SELECT user_a, user_b, i, sum(g) AS r FROM jm GROUP BY 1, 2, 3),
+e AS (SELECT user_a, user_b, count(DISTINCT i)::DOUBLE AS count, {_PART} AS p, {_MEAN} AS m FROM gm GROUP BY 1, 2),
+j AS (SELECT user_a, user_b, {_PART} AS p, {_MEAN} AS m FROM jm GROUP BY 1, 2),
+e2 AS (SELECT user_a, user_b, sum(1 / r) AS r FROM re GROUP BY 1, 2), j2 AS (SELECT user_a, user_b, sum(1 / r) AS r FROM rj GROUP BY 1, 2)
+SELECT user_a, user_b, e.count, round(e2.r, 6) AS rowsum__emb, round(e.p, 6) AS participation__emb, round(e.m, 6) AS mean_interp__emb,
+  round(j2.r, 6) AS rowsum__jac, round(j.p, 6) AS participation__jac, round(j.m, 6) AS mean_interp__jac
+FROM e JOIN e2 USING (user_a, user_b) JOIN j USING (user_a, user_b) JOIN j2 USING (user_a, user_b)""")
+def neff_all(spark, d):
+    """The estimators of the bundle that have closed forms, under both signals; the others are in the queries below."""
+    names = [f"{c}__{s}" for s in ("emb", "jac") for c in ("rowsum", "participation", "mean_interp")]
+    return _bundle(spark, d).select("user_a", "user_b", "count", *[F.round(c, 6).alias(c) for c in names])
+
 
+_LINKED = """SELECT user_a, user_b, k AS k_shared, round(CASE WHEN k = 2 THEN 2 - s[1] ELSE 1 + (1 - s[3]) + (1 - s[2]) END, 6) AS cluster_single,
+  round(CASE WHEN k = 2 THEN 2 - s[1] ELSE 1 + (1 - s[3]) + (1 - s[1]) END, 6) AS cluster_complete,
+  round(CASE WHEN k = 2 THEN 2 - s[1] ELSE 1 + (1 - s[3]) + ((1 - s[2]) + (1 - s[1])) / 2 END, 6) AS cluster_average FROM o WHERE k <= 3"""
 
-@query(f"{_NEFF}, o AS (SELECT user_a, user_b, count(DISTINCT i) AS k, list_sort(list(least(greatest(g, 0), 1)) FILTER (WHERE i < j)) AS s FROM gm GROUP BY 1, 2) SELECT user_a, user_b, k AS k_shared, round(CASE WHEN k = 2 THEN 2 - s[1] ELSE 1 + (1 - s[3]) + (1 - s[2]) END, 6) AS cluster_single, round(CASE WHEN k = 2 THEN 2 - s[1] ELSE 1 + (1 - s[3]) + (1 - s[1]) END, 6) AS cluster_complete, round(CASE WHEN k = 2 THEN 2 - s[1] ELSE 1 + (1 - s[3]) + ((1 - s[2]) + (1 - s[1])) / 2 END, 6) AS cluster_average FROM o WHERE k <= 3")
+
+@query(f"{_NEFF}, o AS (SELECT user_a, user_b, count(DISTINCT i) AS k, list_sort(list(least(greatest(g, 0), 1)) FILTER (WHERE i < j)) AS s FROM gm GROUP BY 1, 2) {_LINKED}")
 def neff_cluster_p2p3(spark, d):
-    out = _all(spark, d).where("k_shared <= 3")
-    return out.select("user_a", "user_b", "k_shared", *[F.round(c, 6).alias(c) for c in ("cluster_single", "cluster_complete", "cluster_average")])
+    out = _bundle(spark, d).where("count <= 3")
+    return out.select("user_a", "user_b", F.col("count").cast("long").alias("k_shared"), *[F.round(f"cluster_{x}__emb", 6).alias(f"cluster_{x}") for x in ne.LINKS])
 
 
-@query()
-def neff_all(spark, d):
-    return _all(spark, d)
+_TWO_G = """round(exp(-(CASE WHEN 1 + g > 1e-12 THEN (1 + g) / 2 * ln((1 + g) / 2) ELSE 0 END
+  + CASE WHEN 1 - g > 1e-12 THEN (1 - g) / 2 * ln((1 - g) / 2) ELSE 0 END)), 6)"""
 
 
-@query(f"{_NEFF}, o AS (SELECT user_a, user_b, min(g) FILTER (WHERE i < j) AS g FROM gm GROUP BY 1, 2 HAVING count(DISTINCT i) = 2) SELECT user_a, user_b, round(exp(-(CASE WHEN 1 + g > 1e-12 THEN (1 + g) / 2 * ln((1 + g) / 2) ELSE 0 END + CASE WHEN 1 - g > 1e-12 THEN (1 - g) / 2 * ln((1 - g) / 2) ELSE 0 END)), 6) AS n_eff FROM o")
+@query(f"{_NEFF}, o AS (SELECT user_a, user_b, min(g) FILTER (WHERE i < j) AS g FROM gm GROUP BY 1, 2 HAVING count(DISTINCT i) = 2) SELECT user_a, user_b, {_TWO_G} AS n_eff FROM o")
 def neff_effrank(spark, d):
-    return _all(spark, d).where("k_shared = 2").select("user_a", "user_b", F.round("effrank", 6).alias("n_eff"))
+    return _number(spark, d, "effrank").join(_sets(spark, d).where("size(packs) = 2").select("user_a", "user_b"), ["user_a", "user_b"], "left_semi")
+
 
+@query(f"""{_NEFF}, {_JC.format(m='m')}, o AS (SELECT user_a, user_b, min(i) AS i, max(j) AS j FROM gm GROUP BY 1, 2 HAVING count(DISTINCT i) = 2),
+q AS (SELECT user_a, user_b, coalesce(s, 0) AS g FROM o LEFT JOIN jc USING (i, j))
+SELECT user_a, user_b, {_TWO_G} AS effrank__jac, round(2 - g, 6) AS cluster_average__jac, FALSE AS nonpsd__jac FROM q""")
+def neff_jaccard_pairs(spark, d):
+    """The Jaccard signal's effective rank and linkage where a closed form exists: two shared packs."""
+    out = _bundle(spark, d).where("count = 2")
+    return out.select("user_a", "user_b", *[F.round(c, 6).alias(c) for c in ("effrank__jac", "cluster_average__jac")], "nonpsd__jac")
 
-@query(f"{_NEFF}, f AS (SELECT i AS pack_id, avg(1 - g) AS x FROM gm WHERE i <> j GROUP BY 1), c AS (SELECT pack_id, count(*) AS pairs FROM sh GROUP BY 1) SELECT pack_id, pairs, round(x, 6) AS mean_distance FROM c LEFT JOIN f USING (pack_id) ORDER BY pairs DESC, pack_id LIMIT 200")
+
+@query(f"""{_NEFF}, r AS (SELECT user_a, user_b, i, sum(greatest(g, 0)) AS r FROM gm GROUP BY 1, 2, 3), e AS (SELECT user_a, user_b, round(sum(1 / r), 6) AS n_eff_rowsum FROM r GROUP BY 1, 2),
+p AS (SELECT user_a, user_b, count(DISTINCT i) AS k, round({_PART}, 6) AS n_eff_participation FROM gm GROUP BY 1, 2)
+SELECT co.user_a, co.user_b, shared_packs, coalesce(k, 1) AS k_shared, coalesce(n_eff_rowsum, 1) AS n_eff_rowsum, coalesce(n_eff_participation, 1) AS n_eff_participation, coalesce(n_eff_rowsum, 1) AS n_eff
+FROM co LEFT JOIN e USING (user_a, user_b) LEFT JOIN p USING (user_a, user_b)""")
+def neff_for_pairs(spark, d):
+    """The facade over all co-member pairs: one shared pack counts 1."""
+    m = R.membership(spark, d)
+    pairs = pr.comember_pairs(m)
+    out = ne.for_pairs(pairs, pr.shared_packs(pairs, m), R.embeddings(spark, d), method="rowsum")
+    names = ("n_eff_rowsum", "n_eff_participation", "n_eff")
+    return out.select("user_a", "user_b", "shared_packs", "k_shared", *[F.round(c, 6).alias(c) for c in names])
+
+
+@query(f"""WITH {S['m']}, {_CO}, {_SH}, kn AS (SELECT sh.* FROM sh JOIN embeddings ON vec_id = pack_id),
+kc AS (SELECT *, count(*) OVER (PARTITION BY user_a, user_b) AS k FROM kn), ks AS (SELECT user_a, user_b, pack_id, 1 / (k - 1) AS share FROM kc WHERE k > 1),
+pq AS (SELECT a.pack_id AS i, b.pack_id AS j, sum(a.share) AS share FROM ks a JOIN ks b USING (user_a, user_b) WHERE a.pack_id < b.pack_id GROUP BY 1, 2),
+ps AS (SELECT i, j, share * (1 - {_DOT}) AS far FROM pq JOIN embeddings x ON x.vec_id = i JOIN embeddings y ON y.vec_id = j),
+f AS (SELECT pack_id, sum(far) AS far FROM (SELECT i AS pack_id, far FROM ps UNION ALL SELECT j, far FROM ps) GROUP BY 1), n AS (SELECT pack_id, count(*) AS n FROM ks GROUP BY 1),
+c AS (SELECT pack_id, count(*) AS pairs FROM sh GROUP BY 1)
+SELECT pack_id, pairs, round(far / n, 6) AS mean_distance FROM c LEFT JOIN f USING (pack_id) LEFT JOIN n USING (pack_id) ORDER BY pairs DESC, pack_id LIMIT 200""")
 def top_shared_packs(spark, d):
-    return ne.top_shared(_shared(spark, d), _gram(spark, d), 200).withColumn("mean_distance", F.round("mean_distance", 6))
+    shared = _sets(spark, d).select("user_a", "user_b", F.explode("packs").alias("pack_id"))
+    return ne.top_shared(shared, R.embeddings(spark, d), 200).withColumn("mean_distance", F.round("mean_distance", 6))

@@ -5,6 +5,7 @@ from math import log
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from covey.operators import aggregates as ag
@@ -88,24 +89,69 @@ def test_batches_agree_with_single_sets(p):
     v /= np.linalg.norm(v, axis=2, keepdims=True)
     v[0, 0] = 0
     v[1, 1] = v[1, 0]
-    out = ne.batched_numbers(v)
+    out = ne.embedding_numbers(v, np.linalg.norm(v, axis=2) > 0)
     for k in range(6):
         one = ne.all_numbers(v[k], np.linalg.norm(v[k], axis=1) > 0)
         assert {c: x[k] for c, x in out.items()} == pytest.approx(one)
 
 
-def test_neff_kernel_agrees_with_expressions(spark):
-    m = frame(spark, [(u, p) for u in range(4) for p in range(6) if (u + p) % 4], "user_id long, pack_id long")
+def test_weights_are_repaired_before_their_mean_is():
+    assert ne.set_weights(np.array([0.0, 3.0])).tolist() == [0.5, 1.5]
+    assert ne.set_weights(np.array([np.nan, -2.0, np.inf])).tolist() == [1, 1, 1]
+    v, w = unit([1, 0], [1, 1]), np.array([0.0, 3.0])
+    g = (v @ v.T) * np.sqrt(np.outer([0.5, 1.5], [0.5, 1.5]))
+    n = ne.all_numbers(v, np.ones(2, bool), specificity=w)
+    assert n["participation"] == pytest.approx(4 / (g * g).sum()) and n["cluster_single"] == pytest.approx(2 - v[0] @ v[1])
+
+
+def test_similarities_that_are_not_positive():
+    s = np.array([[1, 0.9, 0], [0.9, 1, 0.9], [0, 0.9, 1]])
+    lam = np.linalg.eigvalsh(s)
+    q = lam[lam > 1e-12] / lam[lam > 1e-12].sum()
+    out = ne.similarity_numbers(s[None])
+    assert out["nonpsd"].tolist() == [True] and not ne.similarity_numbers(np.eye(3)[None])["nonpsd"][0]
+    assert out["effrank"][0] == pytest.approx(np.exp(-(q * np.log(q)).sum())) and out["participation"][0] == pytest.approx(9 / (s * s).sum())
+    assert out["rowsum"][0] == pytest.approx((1 / s.sum(axis=1)).sum()) and out["mean_interp"][0] == pytest.approx(1 + (1 - 0.6) * 2)
+
+
+def test_neff_of_pairs(spark):
+    data = [(u, p) for u in range(4) for p in range(6) if (u + p) % 4]
+    m = frame(spark, data, "user_id long, pack_id long")
     rng = np.random.default_rng(2)
-    emb = frame(spark, [(p, [float(x) for x in unit(rng.normal(size=3).tolist())[0]]) for p in range(4)], "pack_id long, embedding array<double>")
-    pairs = pr.comember_pairs(m)
+    vectors = {p: unit(rng.normal(size=3).tolist())[0] for p in range(4)}
+    emb = frame(spark, [(p, [float(x) for x in v]) for p, v in vectors.items()], "pack_id long, embedding array<double>")
+    spec = {0: 2.0, 1: 0.0, 2: 0.7, 4: 5.0}
+    weights = frame(spark, list(spec.items()), "pack_id long, specificity double")
+    pairs = pr.comember_pairs(m).withColumn("shared_packs", F.col("shared_packs") + F.when(F.col("user_a") == 0, 1).otherwise(0))
     shared = pr.shared_packs(pairs, m)
-    grams = ne.gram(shared, ne.pack_dots(shared, emb))
-    out = {(r.user_a, r.user_b): r for r in ne.for_pairs(pairs, shared, emb).collect()}
-    for name, f in (("participation", ne.participation), ("rowsum", ne.rowsum), ("mean_interp", ne.mean_interp)):
-        for r in f(grams).collect():
-            k = out[r.user_a, r.user_b]
-            assert k.k_shared == k.shared_packs and (k.k_shared == 1 or k[name] == pytest.approx(r.n_eff)), name
+    with pytest.raises(ValueError):
+        ne.for_pairs(pairs, shared, emb, method="cluster_ward")
+    for missing, specificity, method in (("distinct", None, "cluster_average"), ("drop", None, "effrank"), ("distinct", weights, "cluster_single"), ("drop", weights, "mean_interp")):
+        seen = Observation()
+        out = {(r.user_a, r.user_b): r for r in ne.for_pairs(pairs, shared, emb, method, missing, specificity, seen).collect()}
+        assert seen.get["mismatches"] == sum(a == 0 for a, _ in out) and len(out) == pairs.count()
+        for (a, b), r in out.items():
+            packs = sorted({p for u, p in data if u == a} & {p for u, p in data if u == b})
+            v = np.array([vectors.get(p, np.zeros(3)) for p in packs])
+            want = ne.all_numbers(v, np.array([p in vectors for p in packs]), missing, None if specificity is None else np.array([spec.get(p, 1.0) for p in packs]))
+            assert r.k_shared == len(packs) and r.n_eff == pytest.approx(want[method]), (missing, method)
+            assert all(r[f"n_eff_{c}"] == pytest.approx(want[c]) for c in ne.EIGEN)
+    both = ne.bundle(ne.keyed_sets(shared), emb, ne.jaccard_packs(m))
+    members = {p: {u for u, q in data if q == p} for p in range(6)}
+    for r in both.collect():
+        packs = sorted({p for u, p in data if u == r.user_a} & {p for u, p in data if u == r.user_b})
+        s = np.array([[len(members[p] & members[q]) / len(members[p] | members[q]) for q in packs] for p in packs])
+        assert all(r[f"{c}__jac"] == pytest.approx(float(x[0])) for c, x in ne.similarity_numbers(s[None]).items() if c != "nonpsd")
+    assert ne.tidy(both).count() == 15 * both.count()
+
+
+def test_large_packs_are_dealt_out(spark, monkeypatch):
+    m = frame(spark, [(u, p) for u in range(60) for p in range(3) if (u * 7 + p) % 3], "user_id long, pack_id long")
+    want = rows(pr.comember_pairs(m))
+    monkeypatch.setattr(pr, "BLOCK", 7)
+    assert rows(pr.comember_pairs(m)) == want
+    sets = {(r.user_a, r.user_b): r.packs for r in pr.comember_sets(m, 2).collect()}
+    assert {(a, b): n for a, b, n in want if n >= 2} == {k: len(v) for k, v in sets.items()}
 
 
 # edges and graphs
