@@ -2,57 +2,100 @@
 
 from __future__ import annotations
 
-import tempfile
+import os
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from covey.session import checkpointed, delete, delete_at_end, shared_folder
+
 #: White space of every contract here: space and U+0009 to U+000D.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch to Python at most; with long texts the default of 10,000 fills a worker.
-BATCH_ROWS = 512
+#: Rows, and bytes of text, that a Python worker handles at once.
+BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+#: Bits of a filter that is broadcast, at most (16 MB), and bits for each key below that.
+FILTER_BITS, BITS_A_KEY = 1 << 27, 16
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share.
+def staged(df: DataFrame, name: str, bloom: str | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: lineage ends there, and any executor can read it.
 
-    Only where that setting is unset (tests on one machine) a folder of our own is set.
+    The table goes when the driver's JVM ends, or with forget() once nothing reads it any more.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="covey-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
-def staged(df: DataFrame, name: str, bloom: str | None = None) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage ends there, and any executor can read it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/covey-{uuid.uuid4().hex}/{name}"
-    writer = df.write
-    if bloom:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{bloom}", "true")
-    writer.parquet(path)
+    path = f"{shared_folder(spark)}/covey-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    delete_at_end(spark, os.path.dirname(path))
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df.checkpoint() in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+#: Paths of the staged tables that are still there, oldest first.
+_staged: list[str] = []
+
+
+def forget(spark: SparkSession, since: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
+    """Delete the tables that were staged after the first `since` of them, except those that `but` reads.
+
+    What was computed from them and is not written yet is lost.
+    """
+    used = {os.path.dirname(f) for df in but for f in df.inputFiles()}
+    for path in _staged[since:]:
+        if not any(f.endswith(path.split("://")[-1]) for f in used):
+            delete(spark, os.path.dirname(path))
+            _staged.remove(path)
+
+
+def n_staged() -> int:
+    return len(_staged)
+
+
+cut = checkpointed
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with columns c0, c1, ... so that no name can clash with an operator's own."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+
+
+def place(docs: DataFrame, name: str) -> int:
+    """Position of a column: of that very name, else of one that differs by case alone."""
+    if name in docs.columns:
+        return docs.columns.index(name)
+    return [c.lower() for c in docs.columns].index(name.lower())
+
+
+def own(docs: DataFrame, *names: str) -> DataFrame:
+    """These columns of docs alone, under these names, whatever else docs has."""
+    return numbered(docs).select(*[F.col(f"c{place(docs, n)}").alias(n) for n in names])
+
+
+def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int = BATCH_ROWS, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows, and of more than `most` bytes (or elements) of the column only where one row has them."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+            continue
+        values = batch.column(column)
+        lens = pc.list_value_length(values) if pa.types.is_list(values.type) else pc.binary_length(values)
+        ends = np.cumsum(pc.fill_null(lens, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < batch.num_rows:
+            before = int(ends[a - 1]) if a else 0
+            b = min(a + rows, max(a + 1, int(np.searchsorted(ends, before + most, "right"))))
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -82,3 +125,34 @@ def first_of_each(rows: DataFrame, key: str, most: int) -> DataFrame:
     low = rows.withColumn("__place", place).join(F.broadcast(counts), F.col(key) == F.col("__value")).where(F.col("__place") < F.lit(4.0 * most) / F.col("__n"))
     ranked = low.withColumn("__rank", F.row_number().over(W.partitionBy(key).orderBy("__place", "doc_id")))
     return ranked.where(F.col("__rank") <= most).select(*rows.columns)
+
+
+class Filter:
+    """A Bloom filter of one hash function in rows of 32,768 bits, made and asked by DataFrame functions.
+
+    It has BITS_A_KEY bits for each key (nothing passes wrongly but for some 6 %), up to FILTER_BITS in all,
+    which bounds what is broadcast: beyond that it lets more pass, and never holds a key back.
+    """
+
+    def __init__(self, hashes: DataFrame):
+        """hashes: one column, h (long)."""
+        n = hashes.count()
+        size = min(FILTER_BITS, max(1 << 15, 1 << (BITS_A_KEY * n).bit_length()))
+        self.rows = size >> 15
+        at = hashes.select(self._row(F.col("h")).alias("__row"), self._bit(F.col("h")).alias("__bit"))
+        self.table = staged(at.groupBy("__row").agg(F.bitmap_construct_agg("__bit").alias("__bits")), "filter")
+
+    def _row(self, h: Column) -> Column:
+        return F.pmod(h, F.lit(self.rows)).cast("int")
+
+    def _bit(self, h: Column) -> Column:
+        return F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(32767)).cast("long")
+
+    def asked(self, rows: DataFrame, h: Column, name: str) -> DataFrame:
+        """rows with a boolean column `name`, false only where no key has the hash h."""
+        bit = self._bit(h)
+        byte = F.conv(F.hex(F.substring(F.col("__bits"), (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+        hit = F.expr("shiftright(__byte, __shift) & 1") == 1
+        joined = rows.withColumn("__row", self._row(h)).join(F.broadcast(self.table), "__row", "left")
+        marked = joined.withColumn("__byte", byte).withColumn("__shift", bit.bitwiseAND(F.lit(7)).cast("int"))
+        return marked.withColumn(name, F.coalesce(hit, F.lit(False))).drop("__row", "__bits", "__byte", "__shift")
