@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covey.llm.common import cut, documents, parts, small_batches, text_of
+from covey.llm.common import Filter, cut, documents, forget, n_staged, numbered, own, parts, pieces, place, staged, text_of
 
 #: Fixed by the contract: white space, code points of a key at least, documents that hold it at least.
 BLANKS, LONG, SHARED = b" \t\n\x0b\x0c\r", 40, 5
@@ -38,7 +38,7 @@ def _long(key: bytes, least: int) -> bool:
 
 
 def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         out = [], [], [], [], [], []
         ids, rows = batch.column("doc_id").to_pylist(), batch.column("row_hash").to_pylist()
         for doc_id, row, text in zip(ids, rows, batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -144,12 +144,12 @@ def keep_bitmaps(docs: DataFrame, least: int = LONG, shared: int = SHARED) -> Da
     of one doc_id with different texts apart; such rows count as one document, and equal ones share a
     bitmap. A null doc_id counts as one document that is smaller than all others.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select("doc_id", text_of().alias("text")).withColumn("row_hash", F.xxhash64("text"))
-    lines = rows.mapInArrow(lambda b: _lines(b, least), _LINE)
+    spark, before = docs.sparkSession, n_staged()
+    rows = own(docs, "doc_id", "text").select("doc_id", text_of().alias("text")).withColumn("row_hash", F.xxhash64("text"))
+    lines = staged(rows.mapInArrow(lambda b: _lines(b, least), _LINE), "lines")  # read twice: for the bounds of the ranges, and to deal the rows out
     key = ("hash", "id_null", F.desc("doc_id"))
     order = cut(lines.repartitionByRange(parts(spark), *key).sortWithinPartitions(*key, "row_hash", "pos"))
+    forget(spark, before)
     found: dict[bytes, list] = defaultdict(list)
     for e in order.mapInArrow(_edges, _EDGE).collect():  # two rows for each partition
         found[bytes(e["hash"])].append((e["docs"], e["id_null"], e["top"]))
@@ -171,42 +171,58 @@ def kept_lines(text: bytes, bitmap: bytes | None) -> tuple[int, int, bytes]:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with column __bitmap; null where a document keeps all its lines."""
-    maps = bitmaps.select(F.col("id_null").alias("__null"), F.col("doc_id").alias("__id"), F.col("row_hash").alias("__row"), F.col("keep_bitmap").alias("__bitmap"))
-    on = (docs["doc_id"].isNull() == F.col("__null")) & (F.coalesce(docs["doc_id"], F.lit(0)) == F.col("__id")) & (F.xxhash64(text_of()) == F.col("__row"))
-    return docs.join(maps.hint("shuffle_hash"), on, "left").drop("__null", "__id", "__row")
+    """docs with columns numbered as by numbered(), and __bitmap: null where a document keeps all its lines.
+
+    Only documents that may lose lines, by a filter of bounded size, are shuffled to meet their bitmaps.
+    """
+    maps = staged(bitmaps.toDF("__null", "__id", "__hash", "__lines", "__bitmap").drop("__lines"), "bitmaps")
+    doc_id, text = (F.col(f"c{place(docs, n)}") for n in ("doc_id", "text"))
+    marked = Filter(maps.select(F.xxhash64("__id").alias("h"))).asked(numbered(docs), F.xxhash64(F.coalesce(doc_id, F.lit(0)).cast("long")), "__maybe")
+    on = (doc_id.isNull() == F.col("__null")) & (F.coalesce(doc_id, F.lit(0)) == F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__hash"))
+    met = marked.where("__maybe").join(maps.hint("shuffle_hash"), on, "left").drop("__null", "__id", "__hash", "__maybe")
+    return met.unionByName(marked.where("NOT __maybe").drop("__maybe").withColumn("__bitmap", F.lit(None).cast("binary")))
 
 
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         found = [kept_lines(*x) for x in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__bitmap").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64()), pa.array([hashlib.sha256(x[2]).hexdigest() for x in found], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts, maps = batch.column("text").cast(pa.binary()).to_pylist(), batch.column("__bitmap").to_pylist()
-        new = [t if t is None else kept_lines(t, m)[2].decode() for t, m in zip(texts, maps, strict=True)]
-        at = batch.schema.get_field_index("text")
-        yield batch.set_column(at, batch.schema.field(at), pa.array(new, pa.string())).select([c for c in batch.schema.names if c != "__bitmap"])
+def _texts(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, name):
+        texts, maps = batch.column(name).cast(pa.binary()).to_pylist(), batch.column("__bitmap").to_pylist()
+        new = [t if t is None else kept_lines(t, m)[2] for t, m in zip(texts, maps, strict=True)]
+        at = batch.schema.get_field_index(name)
+        yield batch.set_column(at, batch.schema.field(at), pa.array(new, pa.binary()).cast(pa.string())).select([c for c in batch.schema.names if c != "__bitmap"])
 
 
 def line_dedup(docs: DataFrame, least: int = LONG, shared: int = SHARED) -> DataFrame:
     """docs with the repeated lines taken out of text; all rows and other columns stay.
 
-    A null text stays null, an empty one is one empty line. Of a line in at least `shared` documents only
-    the largest doc_id keeps its copies, all of them. An empty table gives an empty result.
+    Of a line in at least `shared` documents only the largest doc_id keeps its copies, all of them (there
+    are no ties: rows of one doc_id are one document, and each of them keeps the line).
+    Nulls: a null text stays null, one null doc_id is the smallest document. Empty texts: one empty line.
+    Very long texts: read whole; a worker holds one at a time. Repeated rows: all stay, and lose the same
+    lines. Empty table: empty result. Other columns: kept, whatever their names. docs is read more than
+    once and must give the same rows each time (a table or a checkpoint).
     """
     marked = with_bitmaps(docs, keep_bitmaps(docs, least, shared))
-    return marked.mapInArrow(_texts, docs.schema)
+    name = f"c{place(docs, 'text')}"
+    return marked.mapInArrow(lambda b: _texts(b, name), numbered(docs).schema).toDF(*docs.columns)
 
 
-def op1_line_dedup(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    marked = with_bitmaps(docs, keep_bitmaps(docs)).select("doc_id", text_of().alias("text"), "__bitmap")
+def digests(docs: DataFrame, least: int = LONG, shared: int = SHARED) -> DataFrame:
+    """What line_dedup() leaves of each row of docs: doc_id, n_lines, n_dropped, kept_sha256. A null text is one empty line."""
+    docs = own(docs, "doc_id", "text")
+    marked = with_bitmaps(docs, keep_bitmaps(docs, least, shared)).select(F.col("c0").alias("doc_id"), F.coalesce("c1", F.lit("")).alias("text"), "__bitmap")
     return marked.mapInArrow(_answers, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
+def op1_line_dedup(spark, sf_dir):
+    return digests(documents(spark, sf_dir))
+
+
 OP1_SQL = r"""
 WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
