@@ -1,10 +1,11 @@
 """Exact dedup as a log-structured merge index over digests; DataFrame functions only.
 
-Each scan task is a memtable: it flushes one run of (digest, row) entries, sorted by digest, with a
-Bloom filter on the digest in the run's footer. Compaction merges the runs and keeps, for each digest,
-the smallest identifier and the number of rows. Digests with more than one row are hits; only their
-texts are fetched and compared byte for byte, and a digest that stands for more than one text is split
-by the texts themselves.
+Each scan task is a memtable: it flushes one run of (digest, doc_id, row) entries, sorted by digest.
+Compaction merges runs, and levels that came of earlier ones, into one level sorted by digest that keeps
+the smallest identifier of each digest and the number of its rows. Digests with more than one row are
+hits. A Bloom filter over the identifiers of hits is asked before any text leaves its scan task, so only
+texts of hits (and the few that pass wrongly) are shuffled; they are compared byte for byte, and a
+digest that stands for more than one text is split by the texts themselves.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covey.llm.common import SPACES, documents, staged, text_of
+from covey.llm.common import SPACES, Filter, documents, own, staged, text_of
 
 Digest = Callable[[Column], Column]
 
@@ -30,9 +31,11 @@ def sha256(text: Column) -> Column:
 
 def flush(docs: DataFrame, digest: Digest = sha256) -> DataFrame:
     """The sorted runs: one entry (digest, text_sha256, doc_id, row) for each row of docs."""
-    norm = docs.select("doc_id", normalised(text_of()).alias("norm"))
-    entries = norm.select("doc_id", digest(F.col("norm")).alias("digest"), sha256(F.col("norm")).alias("text_sha256"), F.monotonically_increasing_id().alias("row"))
-    return staged(entries.sortWithinPartitions("digest", "doc_id"), "runs", bloom="digest")
+    norm = own(docs, "doc_id", "text").select("doc_id", normalised(text_of()).alias("norm"))
+    weak = [] if digest is sha256 else [digest(F.col("norm")).alias("digest")]
+    entries = norm.select("doc_id", sha256(F.col("norm")).alias("text_sha256"), *weak, F.monotonically_increasing_id().alias("row"))
+    runs = staged(entries.sortWithinPartitions("digest" if weak else "text_sha256", "doc_id"), "runs")
+    return runs if weak else runs.withColumn("digest", F.col("text_sha256"))
 
 
 def _first() -> Column:
@@ -40,16 +43,26 @@ def _first() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
 
 
-def compact(runs: DataFrame) -> DataFrame:
-    """All runs merged: digest, the first entry that has it, and the number of entries."""
+def compact(runs: DataFrame, *levels: DataFrame) -> DataFrame:
+    """Runs and older levels merged into one level: digest, the first entry that has it, and the number of entries.
+
+    A run is reduced to one entry for each digest before it leaves its task, so a digest with very many
+    rows costs the merge one row for each run.
+    """
     merged = runs.groupBy("digest").agg(_first(), F.count("*").alias("group_size"))
-    return staged(merged.sortWithinPartitions("digest"), "level", bloom="digest")
+    if levels:
+        for older in levels:
+            merged = merged.unionByName(older)
+        merged = merged.groupBy("digest").agg(F.min("first").alias("first"), F.sum("group_size").alias("group_size"))
+    return staged(merged.sortWithinPartitions("digest"), "level")
 
 
 def hit_texts(docs: DataFrame, runs: DataFrame, level: DataFrame, digest: Digest) -> DataFrame:
     """Digest and normalised text of the rows whose digest has been seen more than once."""
-    ids = runs.join(level.where("group_size > 1").select("digest"), "digest", "left_semi").select(F.col("doc_id").alias("hit_id")).distinct()
-    rows = docs.select("doc_id", "text").join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
+    hits = runs.join(level.where("group_size > 1").select("digest"), "digest", "left_semi")
+    ids = staged(hits.select(F.col("doc_id").alias("hit_id")).distinct(), "hits")
+    asked = Filter(ids.select(F.xxhash64("hit_id").alias("h"))).asked(own(docs, "doc_id", "text"), F.xxhash64("doc_id"), "maybe")
+    rows = asked.where("maybe").join(ids.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_semi")
     norm = rows.select("doc_id", normalised(text_of()).alias("norm"))
     return norm.withColumn("digest", digest(F.col("norm")))
 
@@ -57,9 +70,10 @@ def hit_texts(docs: DataFrame, runs: DataFrame, level: DataFrame, digest: Digest
 def exact_dedup(docs: DataFrame, digest: Digest = sha256) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256.
 
-    Null and empty texts are equal. A null doc_id comes after all others. Repeated rows of one doc_id
-    belong to one group, of which one row is kept. An empty table gives an empty result; other columns
-    are ignored.
+    Nulls and empty texts: equal to each other; a null doc_id comes after all others. Very long texts:
+    digested and compared whole. Ties and repeated rows: rows of one doc_id and text belong to one group,
+    of which exactly one row is kept. Empty table: empty result. Other columns are ignored, whatever
+    their names. docs is read twice and must give the same texts each time.
     """
     runs = flush(docs, digest)
     level = compact(runs)
