@@ -2,8 +2,8 @@
 
 A list is a table of dated entries: from `at` on, `domain` is on the list `list` (listed) or off it again.
 The entries of a domain become validity intervals that end where its next entry begins. The hosts of the
-captures are reduced to distinct ones, matched with the intervals of all domains they lie under, and each
-capture is then held, as of its fetch time, against the intervals of its host.
+captures are reduced to distinct ones and matched with the intervals of all domains they lie under, which
+become steps in time; an as-of join then finds each capture's step at its fetch time.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from covey.llm.common import staged
+from covey.llm.common import own, staged
 
 #: Entries of the query: dated, with one domain taken off its list and put on again, and one exception.
 ENTRIES = [
@@ -40,27 +40,41 @@ def intervals(entries: DataFrame) -> DataFrame:
     return one.withColumn("end", F.lead("at").over(order)).where("listed").select("list", "domain", F.col("at").alias("begin"), "end")
 
 
-def host_intervals(hosts: DataFrame, valid: DataFrame) -> DataFrame:
-    """hosts: distinct column host. One row for each host under a listed domain: host, entries (array)."""
+def host_steps(hosts: DataFrame, valid: DataFrame) -> DataFrame:
+    """hosts: distinct column host. For each host under a listed domain, what is active from when to when:
+    host, since, until (exclusive; null: open), n_block, n_allow.
+
+    Intervals of a host and the domains above it become steps that do not overlap, so a capture meets one
+    step at most. A host has no more steps than its domains have entries.
+    """
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
     under = hosts.select("host", F.explode(suffixes).alias("domain")).join(valid, "domain")
-    return under.groupBy("host").agg(F.collect_list(F.struct("list", "domain", "begin", "end")).alias("entries"))
+    ends = F.explode(F.array(F.struct(F.col("begin").alias("since"), F.lit(1).alias("d")), F.struct(F.col("end").alias("since"), F.lit(-1).alias("d")))).alias("e")
+    changes = under.select("host", "list", ends).select("host", "list", "e.since", "e.d").where("since IS NOT NULL")
+    count = lambda name: F.sum(F.when(F.col("list") == name, F.col("d")).otherwise(0))
+    sums = changes.groupBy("host", "since").agg(count("block").alias("b"), count("allow").alias("a"))
+    order = W.partitionBy("host").orderBy("since")
+    return sums.select("host", "since", F.lead("since").over(order).alias("until"), F.sum("b").over(order).alias("n_block"), F.sum("a").over(order).alias("n_allow"))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """captures: page_id, url, fetched_at. One row for each: page_id, host, fetched_at, n_block, n_allow, blocked.
 
     A capture is blocked if an entry of the list `block` for its host or a domain above it is active when it
-    is fetched, and no entry of `allow` is. Without a host or a fetch time nothing is active. Repeated
-    captures are judged one by one; an empty table, of captures or entries, is no special case.
+    is fetched, and no entry of `allow` is.
+    Nulls and empty URLs: without a host or a fetch time nothing is active. Very long URLs: read whole.
+    Ties: of entries of one list, domain and time, listed wins; an interval holds its begin and not its
+    end. Repeated captures: judged one by one; repeated entries count once. Empty tables, of captures or
+    entries, are no special case. Other columns are ignored, whatever their names.
     """
-    own = captures.select("page_id", host_of(F.col("url")).alias("host"), "fetched_at")
-    lists = staged(host_intervals(own.where("host IS NOT NULL").select("host").distinct(), intervals(entries)), "lists")  # then a host that very many captures have can be split in the join
-    joined = own.join(lists, "host", "left")
-    active = F.filter(F.coalesce("entries", F.expr("array()").cast("array<struct<list:string,domain:string,begin:timestamp,end:timestamp>>")), lambda e: (e["begin"] <= F.col("fetched_at")) & (e["end"].isNull() | (F.col("fetched_at") < e["end"])))
-    count = lambda name: F.size(F.filter(active, lambda e: e["list"] == name)).cast("long")
-    found = joined.select("page_id", "host", "fetched_at", count("block").alias("n_block"), count("allow").alias("n_allow"))
+    rows = own(captures, "page_id", "url", "fetched_at").select("page_id", host_of(F.col("url")).alias("host"), "fetched_at")
+    hosts = rows.where("host IS NOT NULL").select(F.col("host")).distinct()
+    steps = staged(host_steps(hosts, intervals(own(entries, "list", "domain", "at", "listed"))), "steps")  # then a host that very many captures have can be split in the join
+    step = steps.withColumnRenamed("host", "of")
+    active = (F.col("host") == F.col("of")) & (F.col("since") <= F.col("fetched_at")) & (F.col("until").isNull() | (F.col("fetched_at") < F.col("until")))
+    count = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("long").alias(name)
+    found = rows.join(step, active, "left").select("page_id", "host", "fetched_at", count("n_block"), count("n_allow"))
     return found.withColumn("blocked", (F.col("n_block") > 0) & (F.col("n_allow") == 0))
 
 
