@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -23,3 +24,30 @@ def unordered(a: str, b: str) -> tuple[Column, Column]:
 def dot(a: str, b: str) -> Column:
     """Inner product of two arrays of numbers, in double precision."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def places(rows: DataFrame, key: str) -> DataFrame:
+    """The distinct values of key, and place: 0, 1, ... in order of their MD5.
+
+    Values are counted by the first digits of the MD5 (4,096 rows at most), the counts are summed up, and
+    values are ranked only among those of equal first digits: no task sees all of them.
+    """
+    hashed = rows.select(key).distinct().withColumn("__hash", F.md5(F.col(key).cast("string"))).withColumn("__first", F.substring("__hash", 1, 3))
+    counts = hashed.groupBy("__first").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("__first", before.alias("__start")))
+    rank = F.row_number().over(W.partitionBy("__first").orderBy("__hash", key)) - 1
+    return hashed.withColumn("__rank", rank).join(starts, "__first").select(key, (F.col("__start") + F.col("__rank")).alias("place"))
+
+
+def first_by_draw(rows: DataFrame, keys: list[str], most: int, order: list[Column], draw: Column) -> DataFrame:
+    """Of each value of keys the `most` rows that come first by order, whose first column is the MD5 `draw`.
+
+    Only rows whose MD5 is low enough for about four times `most` of their key are ranked, so that no task
+    ranks more than that of a key. (That fewer than `most` of more rows are low has a chance below 1e-20.)
+    """
+    counts = F.broadcast(rows.groupBy(*keys).agg(F.count("*").alias("__n")))  # a row for each value
+    share = F.conv(F.substring(draw, 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
+    low = rows.join(counts, keys).where(share * F.col("__n") <= 4 * most + 100).drop("__n")
+    ranked = low.withColumn("__place", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col("__place") <= most).drop("__place")

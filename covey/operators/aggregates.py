@@ -33,6 +33,13 @@ def distribution(pairs: DataFrame, raw: str, eff: str) -> DataFrame:
     return p.agg(F.count("*").alias("pairs"), *cols, F.avg((F.col(eff) < F.col(raw) - 1e-9).cast("double")).alias("reduced"), F.avg((F.abs(F.col(eff) - 1) < 1e-9).cast("double")).alias("ones"))
 
 
+def ratio_by_count(pairs: DataFrame, raw: str, eff: str, most: int = 8) -> DataFrame:
+    """For each count 1..most: pairs, mean of eff, and its ratio to the count; null where there are no pairs."""
+    spine = pairs.sparkSession.range(1, most + 1).select(F.col("id").alias("level"))
+    found = pairs.where(F.col(raw).between(1, most)).groupBy(F.col(raw).cast("long").alias("level")).agg(F.count("*").alias("n"), F.avg(eff).alias("mean"))
+    return spine.join(found, "level", "left").fillna(0, ["n"]).withColumn("ratio", F.col("mean") / F.col("level"))
+
+
 def stratum(column: str = "n_eff") -> Column:
     return F.when(F.col(column) < 1, "<1").when(F.col(column) <= 3, "1-3").otherwise(">3")
 
@@ -83,6 +90,13 @@ def log_histogram(rows: DataFrame, x: str, per_decade: int = 4) -> DataFrame:
     return own.groupBy(log_bin(F.col(x), per_decade).alias("bin")).agg(F.count("*").alias("n")).crossJoin(n).select("bin", "n", (F.col("n") / (F.col("all") * width)).alias("density"))
 
 
+def linear_histogram(rows: DataFrame, x: str, width: float) -> DataFrame:
+    """Count and density of x in bins [k * width, (k + 1) * width)."""
+    own = rows.where(F.col(x).isNotNull())
+    n = F.broadcast(own.agg(F.count("*").alias("all")))  # one row
+    return own.groupBy(F.floor(F.col(x) / width).cast("long").alias("bin")).agg(F.count("*").alias("n")).crossJoin(n).select("bin", "n", (F.col("n") / (F.col("all") * width)).alias("density"))
+
+
 def ccdf(rows: DataFrame, x: str) -> DataFrame:
     """Share of the positive values that are at least as large, for each distinct value: values are counted before they are ordered."""
     counts = rows.where(F.col(x) > 0).groupBy(F.col(x).alias("x")).agg(F.count("*").alias("k"))
@@ -97,10 +111,35 @@ def pivot_counts(pairs: DataFrame, most: int) -> DataFrame:
     return binned.groupBy("s").pivot("bin", [f"b{k}" for k in range(most + 1)]).count().fillna(0)
 
 
-def degree_populations(pairs: DataFrame, degrees: DataFrame) -> DataFrame:
-    """Median and mean degree of the ends of pairs with and without a shared pack; ends are not made distinct."""
-    ends = pairs.select(F.when(F.col("shared_packs") > 0, "shared").otherwise("none").alias("population"), F.explode(F.array("user_a", "user_b")).alias("node"))
-    return ends.join(degrees, "node").groupBy("population").agg(F.percentile("degree", F.lit(0.5)).alias("median"), F.avg("degree").alias("mean"), F.count("*").alias("n"))
+def degree_populations(populations: dict[str, DataFrame], degrees: DataFrame) -> DataFrame:
+    """Median, mean and number of the degrees of the ends of each population's pairs; ends are not made distinct."""
+    out = None
+    for name, pairs in populations.items():
+        one = pairs.select(F.lit(name).alias("population"), F.explode(F.array("user_a", "user_b")).alias("node"))
+        out = one if out is None else out.union(one)
+    return out.join(degrees, "node").groupBy("population").agg(F.percentile("degree", F.lit(0.5)).alias("median"), F.avg("degree").alias("mean"), F.count("*").alias("n"))
+
+
+def median_order(summary: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """One row: whether the medians of degree_populations() rise strictly in this order."""
+    medians = [F.max(F.when(F.col("population") == p, F.col("median"))) for p in order]
+    rising = F.lit(True)
+    for a, b in zip(medians, medians[1:], strict=False):
+        rising = rising & (a < b)
+    return summary.agg(*[m.alias(p) for m, p in zip(medians, order, strict=True)], F.coalesce(rising, F.lit(False)).alias("rising"))
+
+
+def swing(curves: DataFrame, setting: str) -> DataFrame:
+    """For each level, over the settings: smallest, largest and mean, relative spread (largest - smallest) / mean, and how many settings there are. curves: setting, level, mean."""
+    sums = curves.groupBy("level").agg(F.countDistinct(setting).alias("settings"), F.min("mean").alias("low"), F.max("mean").alias("high"), F.avg("mean").alias("mean"))
+    return sums.withColumn("spread", F.try_divide(F.col("high") - F.col("low"), F.col("mean")))
+
+
+def monotone(curves: DataFrame, setting: str) -> DataFrame:
+    """For each setting: levels, whether the mean rises strictly with the level, and the largest step down (0 if there is none)."""
+    before = F.lag("mean").over(W.partitionBy(setting).orderBy("level"))
+    steps = curves.withColumn("step", F.col("mean") - before)
+    return steps.groupBy(setting).agg(F.count("*").alias("levels"), F.coalesce(F.min("step") > 0, F.lit(True)).alias("rising"), F.greatest(F.lit(0.0), F.coalesce(-F.min("step"), F.lit(0.0))).alias("down"))
 
 
 def delta_ratio(curve: DataFrame, reference: DataFrame) -> DataFrame:

@@ -23,6 +23,12 @@ def without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes, edges.source == nodes.node, "left_anti").join(nodes, F.col("target") == nodes.node, "left_anti")
 
 
+def dropped_counts(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row: edges, those that touch a node of nodes (dropped), and those left."""
+    left = without(edges, nodes).agg(F.count("*").alias("kept"))
+    return edges.agg(F.count("*").alias("edges")).crossJoin(left).select("edges", (F.col("edges") - F.col("kept")).alias("dropped"), "kept")  # one row each
+
+
 def total_degrees(edges: DataFrame) -> DataFrame:
     """node and degree; a loop counts twice."""
     ends = edges.select(F.explode(F.array("source", "target")).alias("node"))

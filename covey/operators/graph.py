@@ -28,13 +28,24 @@ def ball(starts: DataFrame, graph: DataFrame, depth: int, reverse: bool = False)
 
 
 def hops(pairs: DataFrame, edges: DataFrame, max_hops: int = 4, directed: bool = False) -> DataFrame:
-    """Adds hops to pairs: the distance if it is 1..max_hops, else max_hops + 1. Balls of half the radius meet in the middle; repeated pairs are all filled."""
-    graph = load(edges, directed)
-    ends = pairs.select("user_a", "user_b").distinct().where("user_a <> user_b")
-    a = ball(ends.select(F.col("user_a").alias("node")), graph, -(-max_hops // 2)).select(F.col("start").alias("user_a"), "node", F.col("d").alias("da"))
-    b = ball(ends.select(F.col("user_b").alias("node")), graph, max_hops // 2, reverse=True).select(F.col("start").alias("user_b"), "node", F.col("d").alias("db"))
-    met = ends.join(a, "user_a").join(b, ["user_b", "node"]).groupBy("user_a", "user_b").agg(F.min(F.col("da") + F.col("db")).alias("hops"))
-    return pairs.join(met, ["user_a", "user_b"], "left").withColumn("hops", F.coalesce("hops", F.lit(max_hops + 1)).cast("long"))
+    """Adds hops to pairs: the distance if it is 1..max_hops, else max_hops + 1. Repeated pairs are all filled.
+
+    Distances are tried one after another, and balls of half the distance meet in the middle; only ends of
+    pairs that are still open have their balls grown, so that large balls are made for few.
+    """
+    graph = checkpointed(load(edges, directed))
+    left = checkpointed(pairs.select("user_a", "user_b").distinct().where("user_a <> user_b"))
+    found = None
+    for k in range(1, max_hops + 1):
+        a = ball(left.select(F.col("user_a").alias("node")), graph, -(-k // 2)).select(F.col("start").alias("user_a"), "node")
+        b = ball(left.select(F.col("user_b").alias("node")), graph, k // 2, reverse=True).select(F.col("start").alias("user_b"), "node")
+        met = checkpointed(left.join(a, "user_a").join(b, ["user_b", "node"]).select("user_a", "user_b").distinct().withColumn("hops", F.lit(k)))
+        found = met if found is None else found.union(met)
+        if k < max_hops:
+            left = checkpointed(left.join(met, ["user_a", "user_b"], "left_anti"))
+            if left.isEmpty():
+                break
+    return pairs.join(found, ["user_a", "user_b"], "left").withColumn("hops", F.coalesce("hops", F.lit(max_hops + 1)).cast("long"))
 
 
 def hop_label(max_hops: int, column: str = "hops"):
@@ -62,6 +73,12 @@ def shortest_paths(users: DataFrame, edges: DataFrame, directed: bool = True, dr
     return out.where("source <> target") if drop_self else out
 
 
+def path_summary(paths: DataFrame) -> DataFrame:
+    """One row of shortest_paths()'s table: pairs, those within reach, and their mean and largest distance."""
+    reached = F.when(F.col("distance") >= 0, F.col("distance"))
+    return paths.agg(F.count("*").alias("pairs"), F.count(reached).alias("reachable"), F.avg(reached).alias("mean"), F.max(reached).alias("max"))
+
+
 def rings(ego: DataFrame, edges: DataFrame, n_hops: int = 3, max_frontier: int | None = None, seed: int = 42) -> DataFrame:
     """node and hop of the followed at each exact distance from ego (column node). Rings are whole; only the front that is expanded may be a sample."""
     graph = load(edges, directed=True)

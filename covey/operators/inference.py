@@ -6,37 +6,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from covey.functions import draw_int
-
-
-def multiplicities(users: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
-    """boot, user, m: how often each user is drawn, with replacement, in each of n_boot resamples of all users (column user)."""
-    ranked = users.select("user").distinct().withColumn("place", F.row_number().over(W.orderBy("user")) - 1)
-    n = F.broadcast(users.select(F.countDistinct("user").alias("n")))  # one row
-    boots = F.broadcast(users.sparkSession.range(n_boot).select(F.col("id").alias("boot")))
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col("boot").cast("string"), F.lit("|"), F.col("place").cast("string")))
-    draws = ranked.crossJoin(boots).crossJoin(n).select("boot", (draw_int(key) % F.col("n")).alias("place")).groupBy("boot", "place").agg(F.count("*").alias("m"))
-    return draws.join(ranked, "place").select("boot", "user", "m")
+from covey.functions import draw_int, places
 
 
 def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("user_a", "user_b")).alias("user")).distinct()
 
 
-def resampled(pairs: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
-    """pairs once for each resample that draws both ends, with boot and weight w = m_a * m_b."""
-    m = multiplicities(ends(pairs), n_boot, seed)
-    a, b = m.select(F.col("user").alias("user_a"), "boot", F.col("m").alias("ma")), m.select(F.col("user").alias("user_b"), "boot", F.col("m").alias("mb"))
-    return pairs.join(a, "user_a").join(b, ["user_b", "boot"]).withColumn("w", (F.col("ma") * F.col("mb")).cast("double")).drop("ma", "mb")
+def drawn(units: DataFrame, n_boot: int, seed: int = 42) -> DataFrame:
+    """unit and drawn: one byte for each of n_boot resamples, how often it takes the unit.
 
-
-def wmean(value: str, where: str = "true") -> Column:
-    cond = F.expr(where)
-    return F.try_divide(F.sum(F.when(cond, F.col("w") * F.col(value))), F.sum(F.when(cond, F.col("w"))))
+    Each resample draws as many of the distinct units as there are, with replacement, by hash. A unit that
+    none takes has no row. No unit is drawn more than 255 times by any chance worth counting.
+    """
+    ranked = places(units.select("unit"), "unit")
+    n = F.broadcast(units.select(F.countDistinct("unit").alias("n")))  # one row
+    boots = F.broadcast(units.sparkSession.range(n_boot).select(F.col("id").cast("int").alias("boot")))
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col("boot").cast("string"), F.lit("|"), F.col("place").cast("string")))
+    draws = ranked.crossJoin(boots).crossJoin(n).select("boot", (draw_int(key) % F.col("n")).alias("place"))
+    lists = draws.groupBy("place").agg(F.collect_list("boot").alias("boots")).join(ranked, "place")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            boots = batch.column("boots")
+            at = np.repeat(np.arange(len(boots)), boots.value_lengths().to_numpy())
+            counts = np.bincount(at * n_boot + boots.flatten().to_numpy(), minlength=len(boots) * n_boot).reshape(len(boots), n_boot)
+            yield pa.RecordBatch.from_arrays([batch.column("unit"), pa.array([row.tobytes() for row in counts.clip(0, 255).astype(np.uint8)], pa.binary())], ["unit", "drawn"])
+
+    return lists.select("unit", "boots").mapInArrow(kernel, f"unit {dict(units.dtypes)['unit']}, drawn binary")
+
+
+def _products(batches: Iterator[pa.RecordBatch], keys: list[str], sums: list[str], n_boot: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Sums of the columns, weighted by the product of the draws of both ends, for each key and resample."""
+    found: dict[tuple, np.ndarray] = {}
+    for whole in batches:
+        for a in range(0, whole.num_rows, 2048):
+            batch = whole.slice(a, 2048)
+            weights = np.frombuffer(b"".join(batch.column("drawn_a").to_pylist()), np.uint8).reshape(-1, n_boot).astype(float)
+            if "drawn_b" in batch.schema.names:
+                weights *= np.frombuffer(b"".join(batch.column("drawn_b").to_pylist()), np.uint8).reshape(-1, n_boot)
+            x = np.stack([np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in sums], axis=1)
+            of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
+            for key in dict.fromkeys(of):
+                own = np.array([k == key for k in of])
+                found[key] = found.get(key, 0) + weights[own].T @ x[own]
+    for key, total in found.items():
+        columns = [pa.array([k] * n_boot, schema.field(name).type) for k, name in zip(key, keys, strict=True)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(n_boot), pa.int32()), *(pa.array(total[:, i]) for i in range(len(sums)))], schema=schema)
+
+
+def resampled_sums(rows: DataFrame, sums: dict[str, Column], n_boot: int, seed: int = 42, keys: tuple[str, ...] = (), unit: str | None = None) -> DataFrame:
+    """keys, boot and sums over the rows, each row weighted by how often a resample takes it; nulls count as 0.
+
+    The units drawn are the users of pairs (user_a, user_b; a pair weighs the product of its two), or with
+    `unit` the values of that column. boot -1 has the sums with all weights 1. keys must be few: each has a
+    row for each resample in every task.
+    """
+    named = [c.cast("double").alias(k) for k, c in sums.items()]
+    sides, by, sum_names = [unit] if unit else ["user_a", "user_b"], list(keys), list(sums)
+    own = rows.select(*keys, *sides, *named)
+    every = own.select(F.explode(F.array(*sides)).alias("unit")).distinct()
+    draws = drawn(every, n_boot, seed)
+    joined = own
+    for name, end in zip(("drawn_a", "drawn_b"), sides, strict=False):
+        joined = joined.join(draws.select(F.col("unit").alias(end), F.col("drawn").alias(name)), end)
+    kinds = dict(rows.dtypes)
+    text = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "boot int", *(f"{c} double" for c in sums)])
+    schema = to_arrow_schema(StructType.fromDDL(text))
+    names = [*keys, *(f"drawn_{x}" for x in "ab"[: len(sides)]), *sums]
+    parts = joined.select(*names).mapInArrow(lambda b: _products(b, by, sum_names, n_boot, schema), text)
+    total = [F.sum(c).alias(c) for c in sums]
+    plain = own.groupBy(*keys).agg(*[F.coalesce(F.sum(F.nanvl(c, F.lit(0.0))), F.lit(0.0)).alias(c) for c in sums])
+    return parts.groupBy(*keys, "boot").agg(*total).unionByName(plain.withColumn("boot", F.lit(-1)))
 
 
 def interval(boots: DataFrame, keys: list[str], value: str, ci: float = 95) -> DataFrame:
@@ -46,34 +93,79 @@ def interval(boots: DataFrame, keys: list[str], value: str, ci: float = 95) -> D
     return boots.groupBy(*keys).agg(*cols) if keys else boots.agg(*cols)
 
 
+def with_interval(stats: DataFrame, keys: list[str], value: str = "stat", name: str = "estimate") -> DataFrame:
+    """stats: keys, boot, value. keys, the value of boot -1 as name, ci_low and ci_high over the others."""
+    point = stats.where("boot = -1").select(*keys, F.col(value).alias(name))
+    ends = interval(stats.where("boot >= 0"), keys, value)
+    return point.join(ends, keys, "left") if keys else point.crossJoin(ends)  # one row each
+
+
+def mean_sums(name: str, value: str, where: str = "true") -> dict[str, Column]:
+    """The two sums of a weighted mean, for resampled_sums(); wmean(name) is the mean."""
+    cond = F.expr(where) & F.col(value).isNotNull()
+    return {f"{name}_w": F.when(cond, 1.0), f"{name}_v": F.when(cond, F.col(value))}
+
+
+def wmean(name: str) -> Column:
+    return F.try_divide(f"{name}_v", F.nullif(f"{name}_w", F.lit(0.0)))
+
+
+def weighted_mean(value: str, weight: str, where: str = "true") -> Column:
+    """Aggregate: the weighted mean, null where the weights add up to 0."""
+    cond = F.expr(where) & F.col(value).isNotNull()
+    return F.sum(F.when(cond, F.col(weight) * F.col(value))) / F.nullif(F.sum(F.when(cond, F.col(weight))), F.lit(0.0))
+
+
 def cluster_bootstrap(pairs: DataFrame, level: Column, value: str = "cosine", n_boot: int = 500, seed: int = 42) -> DataFrame:
     """level, mean (plain), n, ci_low, ci_high, err_low, err_high, with users as the units that are drawn."""
-    own = pairs.withColumn("level", level)
-    boots = resampled(own, n_boot, seed).groupBy("level", "boot").agg(wmean(value).alias("stat"))
-    point = own.groupBy("level").agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
-    out = point.join(interval(boots, ["level"], "stat"), "level", "left")
+    return cell_bootstrap(pairs.withColumn("level", level), ("level",), value, n_boot, seed)
+
+
+def cell_bootstrap(rows: DataFrame, cells: tuple[str, ...], value: str = "cosine", n_boot: int = 500, seed: int = 42, unit: str | None = None) -> DataFrame:
+    """The same for cells of several columns. Without users in the rows, `unit` names a column of row ids that are drawn instead."""
+    own = rows.where(F.col(value).isNotNull())
+    boots = resampled_sums(own, mean_sums("m", value), n_boot, seed, cells, unit).withColumn("stat", wmean("m"))
+    point = rows.groupBy(*cells).agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    out = point.join(interval(boots.where("boot >= 0"), list(cells), "stat"), list(cells), "left")
     return out.withColumn("err_low", F.col("mean") - F.col("ci_low")).withColumn("err_high", F.col("ci_high") - F.col("mean"))
 
 
-def bootstrap_statistics(pairs: DataFrame, stats: dict[str, Column], n_boot: int, seed: int = 42) -> DataFrame:
-    """term, estimate (all weights 1) and interval of several statistics (aggregates over w and the columns) in one pass."""
+def bootstrap_statistics(pairs: DataFrame, sums: dict[str, Column], stats: dict[str, Column], n_boot: int = 500, seed: int = 42, unit: str | None = None) -> DataFrame:
+    """term, estimate (all weights 1) and interval of several statistics in one pass. sums: of columns of a row; stats: of these sums."""
+    boots = resampled_sums(pairs, sums, n_boot, seed, unit=unit).select("boot", *[c.alias(k) for k, c in stats.items()])
     names = ", ".join(f"'{k}', `{k}`" for k in stats)
-    long = lambda df: df.selectExpr(*(["boot"] if "boot" in df.columns else []), f"stack({len(stats)}, {names}) AS (term, stat)")
-    aggs = [c.alias(k) for k, c in stats.items()]
-    boots = long(resampled(pairs, n_boot, seed).groupBy("boot").agg(*aggs))
-    point = long(pairs.withColumn("w", F.lit(1.0)).agg(*aggs)).withColumnRenamed("stat", "estimate")
-    return point.join(interval(boots, ["term"], "stat"), "term", "left")
+    return with_interval(boots.selectExpr("boot", f"stack({len(stats)}, {names}) AS (term, stat)"), ["term"])
 
 
-def mean_interval(rows: DataFrame, value: str, n_boot: int, seed: int = 42) -> DataFrame:
+def mean_interval(rows: DataFrame, value: str, n_boot: int = 2000, seed: int = 42) -> DataFrame:
     """Plain bootstrap of a mean: one row mean, n, ci_low, ci_high; no interval for fewer than two rows. rows: id, value."""
-    ranked = rows.select(F.col("id").alias("user"), F.col(value).alias("v"))
-    drawn = multiplicities(ranked, n_boot, seed).join(ranked, "user").groupBy("boot").agg((F.sum(F.col("m") * F.col("v")) / F.sum("m")).alias("stat"))
-    point = rows.agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
-    both = point.crossJoin(interval(drawn, [], "stat"))  # one row each
+    boots = resampled_sums(rows, mean_sums("m", value), n_boot, seed, unit="id").withColumn("stat", wmean("m"))
+    both = rows.agg(F.avg(value).alias("mean"), F.count("*").alias("n")).crossJoin(interval(boots.where("boot >= 0"), [], "stat"))  # one row each
     return both.select("mean", "n", *[F.when(F.col("n") >= 2, F.col(c)).alias(c) for c in ("ci_low", "ci_high")])
 
 
+def bootstrap_models(pairs: DataFrame, x: str, y: str, by: str, reference: int, n_boot: int = 500, seed: int = 42) -> DataFrame:
+    """term, estimate, interval: the slope of y on x without and with a level for each value of `by`, the slope of each value
+    (where x spreads), and its difference to the reference's; all from one resampling."""
+    sums = {k: v for k, v in zip(("sw", "sx", "sy", "sxx", "sxy", "syy"), _products_of(x, y), strict=True)}
+    known = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    spread = F.broadcast(known.groupBy(by).agg(F.count("*").alias("n"), (F.max(x) > F.min(x)).alias("spread")))  # a row for each level
+    boots = centred(resampled_sums(known, sums, n_boot, seed, (by,)).join(spread, by)).withColumn("slope", F.when((F.col("n") >= 2) & F.col("spread"), F.try_divide("cxy", F.nullif("cxx", F.lit(0.0)))))
+    whole = centred(boots.groupBy("boot").agg(*[F.sum(c).alias(c) for c in sums]))
+    with_levels = boots.groupBy("boot").agg(F.try_divide(F.sum("cxy"), F.nullif(F.sum("cxx"), F.lit(0.0))).alias("stat"))
+    each = boots.select("boot", F.concat(F.lit("slope|"), F.col(by).cast("string")).alias("term"), F.col("slope").alias("stat"))
+    ref = boots.where(F.col(by) == reference).select("boot", F.col("slope").alias("ref"))
+    apart = boots.where(F.col(by) != reference).join(ref, "boot").select("boot", F.concat(F.lit("interaction|"), F.col(by).cast("string")).alias("term"), (F.col("slope") - F.col("ref")).alias("stat"))
+    stats = whole.select("boot", F.lit("x|alone").alias("term"), F.try_divide("cxy", F.nullif("cxx", F.lit(0.0))).alias("stat"))
+    stats = stats.union(with_levels.select("boot", F.lit("x|with levels"), "stat")).union(each).union(apart)
+    return with_interval(stats, ["term"])
+
+
+def _products_of(x: str, y: str) -> list[Column]:
+    a, b = F.col(x).cast("double"), F.col(y).cast("double")
+    return [F.lit(1.0), a, b, a * a, a * b, b * b]
+
+
 def moments(x: str, y: str) -> list[Column]:
     w, a, b = F.col("w"), F.col(x), F.col(y)
     return [F.sum(w).alias("sw"), F.sum(w * a).alias("sx"), F.sum(w * b).alias("sy"), F.sum(w * a * a).alias("sxx"), F.sum(w * a * b).alias("sxy"), F.sum(w * b * b).alias("syy"), F.count("*").alias("n")]
@@ -104,7 +196,7 @@ def controlled_slope(pairs: DataFrame, x: str, y: str, control: str) -> DataFram
 
 
 def interaction(pairs: DataFrame, x: str, y: str, by: str, reference: int) -> DataFrame:
-    """The model y ~ x * C(by): for each level its slope, the difference to the reference's, its standard error and t."""
+    """The model y ~ x * C(by): for each level its slope, the difference to the reference's, its standard error, t and degrees of freedom."""
     own = pairs if "w" in pairs.columns else pairs.withColumn("w", F.lit(1.0))
     sums = centred(own.groupBy(by).agg(*moments(x, y))).withColumn("slope", slope()).where("slope IS NOT NULL")
     sums = sums.withColumn("rss", F.col("cyy") - F.col("slope") * F.col("cxy"))
@@ -113,7 +205,8 @@ def interaction(pairs: DataFrame, x: str, y: str, by: str, reference: int) -> Da
     sigma2 = F.try_divide(F.col("all_rss"), (F.col("all_n") - 2 * F.col("levels")).cast("double"))
     joined = sums.crossJoin(total).crossJoin(ref)  # a row for each level; one row each
     se = F.when(F.col(by) != reference, F.sqrt(sigma2 * (1 / F.col("cxx") + 1 / F.col("ref_cxx"))))
-    return joined.select(by, "n", "slope", (F.col("slope") - F.col("ref_slope")).alias("difference"), se.alias("se"), F.try_divide(F.col("slope") - F.col("ref_slope"), se).alias("t"))
+    df = F.col("all_n") - 2 * F.col("levels")
+    return joined.select(by, "n", "slope", (F.col("slope") - F.col("ref_slope")).alias("difference"), se.alias("se"), F.try_divide(F.col("slope") - F.col("ref_slope"), se).alias("t"), df.alias("df"))
 
 
 def two_predictors(pairs: DataFrame, x1: str, x2: str, y: str) -> DataFrame:
@@ -127,17 +220,62 @@ def two_predictors(pairs: DataFrame, x1: str, x2: str, y: str) -> DataFrame:
     return out.withColumn("gain", F.col("r2") - F.col("r2_one"))
 
 
-def log_link(pairs: DataFrame, x: str, y: str, families: tuple[str, ...] = ("poisson", "gamma")) -> DataFrame:
-    """family, term, estimate and dispersion of generalised linear models with log link; gamma on y > 0 only."""
+def least_squares(rows: DataFrame, xs: list[str], y: str, weight: str | None = None) -> DataFrame:
+    """term and estimate of y ~ 1 + xs; of all best solutions, if there are several, that of least length.
+
+    Only the moments, a row, come to the driver.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    columns = [F.lit(1.0), *(F.col(x).cast("double") for x in xs)]
+    k = len(columns)
+    known = rows.dropna(subset=[*xs, y])
+    sums = known.agg(*[F.sum(w * columns[i] * columns[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(k)], *[F.sum(w * columns[i] * F.col(y)).alias(f"t{i}") for i in range(k)]).first()
+    a = np.array([[sums[f"s{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
+    beta = np.linalg.pinv(a, rcond=1e-12, hermitian=True) @ np.array([sums[f"t{i}"] or 0.0 for i in range(k)])
+    return rows.sparkSession.createDataFrame(list(zip(["intercept", *xs], map(float, beta), strict=True)), "term string, estimate double")
+
+
+def log_link(pairs: DataFrame, x: str, y: str, by: str | None = None, reference: int = 1, families: tuple[str, ...] = ("poisson", "gamma")) -> DataFrame:
+    """family, term, estimate, p, n and dispersion of generalised linear models with log link: y ~ x, or y ~ x * C(by).
+
+    Gamma takes y > 0 only. The p are those of quasi-likelihood for the Poisson family (by its dispersion).
+    """
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GeneralizedLinearRegression
 
-    data = VectorAssembler(inputCols=[x], outputCol="features").transform(pairs.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias("label")))
+    data = pairs.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("label"), *([F.col(by).alias("by")] if by else [])).dropna()
+    terms = {x: F.col("x")}
+    if by:
+        others = sorted(r["by"] for r in data.select("by").distinct().collect() if r["by"] != reference)  # levels
+        terms |= {f"{by}[{v}]": (F.col("by") == v).cast("double") for v in others} | {f"{x}:{by}[{v}]": F.col("x") * (F.col("by") == v).cast("double") for v in others}
+    names = [f"t{k}" for k in range(len(terms))]
+    ready = VectorAssembler(inputCols=names, outputCol="features").transform(data.select("label", *[c.alias(n) for n, c in zip(names, terms.values(), strict=True)])).select("label", "features")
     rows = []
     for family in families:
-        fit = GeneralizedLinearRegression(family=family, link="log", maxIter=50).fit(data.where("label > 0") if family == "gamma" else data)
-        rows += [(family, "intercept", float(fit.intercept), float(fit.summary.dispersion)), (family, x, float(fit.coefficients[0]), float(fit.summary.dispersion))]
-    return pairs.sparkSession.createDataFrame(rows, "family string, term string, estimate double, dispersion double")
+        own = ready.where("label > 0") if family == "gamma" else ready
+        fit = GeneralizedLinearRegression(family=family, link="log", maxIter=50).fit(own)
+        spread = fit.summary.residuals("pearson").agg(F.sum(F.pow("pearsonResiduals", 2))).first()[0] / fit.summary.residualDegreeOfFreedom
+        scale = float(np.sqrt(spread / fit.summary.dispersion))
+        for term, estimate, t in zip([*terms, "intercept"], [*fit.coefficients, fit.intercept], fit.summary.tValues, strict=True):
+            rows.append((family, term, float(estimate), float(student_p(float(t) / scale, float(fit.summary.residualDegreeOfFreedom))), int(fit.summary.numInstances), float(spread)))
+    return pairs.sparkSession.createDataFrame(rows, "family string, term string, estimate double, p double, n long, dispersion double")
+
+
+def sign_agreement(models: DataFrame, key: str = "family", estimate: str = "estimate") -> DataFrame:
+    """For each term: how many models there are, and whether all their estimates have one sign."""
+    return models.groupBy("term").agg(F.count(key).alias("models"), (F.countDistinct(F.signum(estimate)) == 1).alias("agree"))
+
+
+def stability(table: DataFrame, setting: str, keys: list[str], t: str = "t", limit: float = 1.96) -> DataFrame:
+    """Over settings, for each of keys: whether the sign of t stays, and whether its significance does; and how many settings there are."""
+    known = table.where(F.col(t).isNotNull())
+    return known.groupBy(*keys).agg(F.countDistinct(setting).alias("settings"), (F.countDistinct(F.signum(t)) == 1).alias("same_sign"), (F.countDistinct(F.abs(t) > limit) == 1).alias("same_significance"))
+
+
+def with_t_p(table: DataFrame, t: str, df: str) -> DataFrame:
+    """Adds p, two-sided, of Student's t with df degrees of freedom."""
+    p = F.pandas_udf(lambda a, b: pd.Series([student_p(float(x), float(y)) if x == x and y > 0 else None for x, y in zip(a, b, strict=True)], dtype="float64"), "double")
+    return table.withColumn("p", p(F.col(t).cast("double"), F.col(df).cast("double")))
 
 
 def student_p(t: float, df: float) -> float:
@@ -194,3 +332,36 @@ def lowess(curve: DataFrame, x: str, y: str, frac: float = 0.3, rounds: int = 5)
             yield pdf
 
     return curve.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).where(F.col(y).isNotNull()).coalesce(1).mapInPandas(kernel, f"{x} double, {y} double, smooth double")
+
+
+def _pspline(x: np.ndarray, y: np.ndarray, w: np.ndarray, knots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fit and standard error of a cubic spline whose second differences are penalised as generalised cross-validation chooses."""
+    low, high = x.min(), x.max()
+    step = max(high - low, 1e-12) / (knots - 3)
+    at = (x[:, None] - low) / step - np.arange(-3, knots - 3)[None, :]  # place within each basis function, 0 to 4
+    basis = sum(s * np.clip(at - k, 0, None) ** 3 for k, s in enumerate((1, -4, 6, -4, 1))) / 6
+    basis[at >= 4] = 0
+    rough = np.diff(np.eye(knots), 2, axis=0)
+    gram, target, best = basis.T @ (w[:, None] * basis), basis.T @ (w * y), None
+    for lam in 10.0 ** np.arange(-4, 7):
+        inverse = np.linalg.pinv(gram + lam * rough.T @ rough)
+        fit = basis @ (inverse @ target)
+        used = np.trace(inverse @ gram)
+        left = (w * (y - fit) ** 2).sum()
+        score = len(x) * left / max(len(x) - used, 1e-9) ** 2
+        if best is None or score < best[0]:
+            best = (score, fit, np.sqrt(np.maximum(0, np.einsum("ij,jk,ik->i", basis, inverse @ gram @ inverse, basis)) * left / max(len(x) - used, 1e-9)))
+    return best[1], best[2]
+
+
+def smooth_curve(curve: DataFrame, x: str, y: str, n: str | None = None, knots: int = 10) -> DataFrame:
+    """Penalised spline through a curve (a row for each level: small), weighted by n: x, y, smooth, ci_low, ci_high."""
+
+    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(frames).sort_values("x")
+        if len(pdf):
+            fit, se = _pspline(pdf.x.to_numpy(float), pdf.y.to_numpy(float), pdf.n.to_numpy(float), min(knots, max(4, len(pdf))))
+            yield pdf.assign(smooth=fit, ci_low=fit - 1.96 * se, ci_high=fit + 1.96 * se)[["x", "y", "smooth", "ci_low", "ci_high"]]
+
+    own = curve.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), (F.col(n).cast("double") if n else F.lit(1.0)).alias("n")).dropna()
+    return own.coalesce(1).mapInPandas(kernel, "x double, y double, smooth double, ci_low double, ci_high double")

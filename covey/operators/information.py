@@ -18,22 +18,61 @@ def sequences(posts: DataFrame, time: str = "turn") -> DataFrame:
     return words.groupBy("user_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["w"])).alias("tokens"))
 
 
+class _Automaton:
+    """Suffix automaton of a token sequence: all its runs of tokens, in as many steps as it has tokens."""
+
+    def __init__(self, tokens: list[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.length = [-1], [0]
+        last = 0
+        for t in tokens:
+            new = self._state({}, 0, self.length[last] + 1)
+            p = last
+            while p >= 0 and t not in self.next[p]:
+                self.next[p][t] = new
+                p = self.link[p]
+            if p >= 0:
+                q = self.next[p][t]
+                if self.length[q] != self.length[p] + 1:
+                    copy = self._state(dict(self.next[q]), self.link[q], self.length[p] + 1)
+                    while p >= 0 and self.next[p].get(t) == q:
+                        self.next[p][t] = copy
+                        p = self.link[p]
+                    self.link[q] = copy
+                    q = copy
+                self.link[new] = q
+            last = new
+
+    def _state(self, following: dict[str, int], link: int, length: int) -> int:
+        self.next.append(following)
+        self.link.append(link)
+        self.length.append(length)
+        return len(self.next) - 1
+
+    def longest(self, tokens: list[str]) -> list[int]:
+        """For each place in tokens, how long the longest run of the sequence is that ends there."""
+        state, n, out = 0, 0, []
+        for t in tokens:
+            while state and t not in self.next[state]:
+                state = self.link[state]
+                n = self.length[state]
+            if t in self.next[state]:
+                state, n = self.next[state][t], n + 1
+            else:
+                n = 0
+            out.append(n)
+        return out
+
+
 def cross_entropy(target: list[str], source: list[str]) -> float | None:
-    """Match-length estimate, in bits per token, of the cross entropy of target given source: n log2(m) / sum of shortest unseen lengths."""
+    """Match-length estimate, in bits per token, of the cross entropy of target given source: n log2(m) / sum of shortest unseen lengths.
+
+    The longest match that begins at a place is one that ends there in the reversed sequences, so time is
+    linear in the tokens.
+    """
     if not target or len(source) < 2:
         return None
-    starts: dict[str, list[int]] = {}
-    for k, w in enumerate(source):
-        starts.setdefault(w, []).append(k)
-    total = 0
-    for i in range(len(target)):
-        best = 0
-        for k in starts.get(target[i], ()):
-            n = 0
-            while i + n < len(target) and k + n < len(source) and target[i + n] == source[k + n]:
-                n += 1
-            best = max(best, n)
-        total += best + 1
+    total = sum(_Automaton(source[::-1]).longest(target[::-1])) + len(target)
     return len(target) * log2(len(source)) / total
 
 
@@ -92,10 +131,14 @@ def hashing_encoder(size: int = 64) -> Callable[[list[str]], list[list[float]]]:
     return encode
 
 
-def english(text: str = "text", min_chars: int = 1) -> Column:
-    """A light stand-in for a language detector: the share of English function words among all words is high enough."""
+def english_share(text: str = "text") -> Column:
+    """The share of English function words among all words of a text, 0 without words: a light stand-in for a detector's probability."""
     from covey.operators.text import STOP_WORDS
 
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"[\p{L}']+"), F.lit(0))
-    hits = F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS)))
-    return (F.length(F.coalesce(F.col(text), F.lit(""))) >= min_chars) & (F.size(words) > 0) & (hits / F.greatest(F.size(words), F.lit(1)) >= 0.15)
+    return F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))) / F.greatest(F.size(words), F.lit(1))
+
+
+def english(text: str = "text", min_chars: int = 1, min_prob: float = 0.15, score: Column | None = None) -> Column:
+    """Whether a text is long enough and its score for English high enough. score: another detector's probability, in a column."""
+    return (F.length(F.coalesce(F.col(text), F.lit(""))) >= min_chars) & ((english_share(text) if score is None else F.coalesce(score, F.lit(0.0))) >= min_prob)

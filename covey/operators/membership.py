@@ -48,15 +48,24 @@ def alignment(packs: DataFrame, texts: DataFrame, n_check: int = 50) -> DataFram
     return n.crossJoin(F.broadcast(texts.agg(F.count("*").alias("texts")))).crossJoin(F.broadcast(wrong)).select(F.col("n").alias("packs"), "texts", "checked", "wrong")
 
 
-def corpus_counts(m: DataFrame, e: DataFrame, posts: DataFrame) -> DataFrame:
-    """metric and value: packs, members, memberships, edges, distinct edges, users with posts, posts."""
+def corpus_counts(m: DataFrame, e: DataFrame, posts: DataFrame, universe: DataFrame | None = None, min_packs: int = 2) -> DataFrame:
+    """metric and value: packs, members, memberships, edges, distinct edges, users with posts, posts; members of min_packs
+    packs or more, and, with a universe of users (user_id), what is left of members, edges and posts within it."""
     def one(df: DataFrame, name: str, value) -> DataFrame:
         return df.agg(value.cast("long").alias("value")).select(F.lit(name).alias("metric"), "value")
 
     rows = [
         one(m, "packs", F.countDistinct("pack_id")), one(m, "members", F.countDistinct("user_id")), one(m, "memberships", F.count("*")),
         one(e, "edges", F.count("*")), one(e, "distinct_edges", F.countDistinct("source", "target")), one(posts, "users_with_posts", F.countDistinct("user_id")), one(posts, "posts", F.count("*")),
+        one(user_margins(m).where(F.col("packs") >= min_packs), f"members_of_{min_packs}", F.count("*")),
     ]
+    if universe is not None:
+        u = universe.select("user_id").distinct()
+        inside = e.join(u, e.source == u.user_id, "left_semi").join(u, F.col("target") == u.user_id, "left_semi")
+        rows += [
+            one(m.join(u, "user_id", "left_semi"), "universe_members", F.countDistinct("user_id")), one(inside, "universe_edges", F.count("*")),
+            one(posts.join(u, "user_id", "left_semi"), "universe_posts", F.count("*")),
+        ]
     out = rows[0]
     for r in rows[1:]:
         out = out.union(r)

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from math import erfc, exp, lgamma, log, sqrt
+import zlib
+from collections.abc import Iterator
+from math import lgamma, sqrt
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from covey.functions import draw_int
+from covey.operators import aggregates as ag
+from covey.operators import inference as inf
+from covey.operators import neff as ne
+from covey.session import checkpointed
 
 
 def classes(m: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -65,13 +74,21 @@ def expected_margins(users: DataFrame, packs: DataFrame) -> DataFrame:
     return pu.select(F.lit("user").alias("side"), "degree", "n", "expected").union(pp.select(F.lit("pack"), "degree", "n", "expected"))
 
 
-def sample(users: DataFrame, packs: DataFrame, seed: int, rows: DataFrame | None = None) -> DataFrame:
-    """One draw of the canonical ensemble: user_id, pack_id, every cell on its own by a hash. rows restricts the users."""
+def samples(users: DataFrame, packs: DataFrame, seeds: list[int], rows: DataFrame | None = None) -> DataFrame:
+    """replicate, user_id, pack_id: draws of the canonical ensemble, every cell on its own by a hash. rows restricts the users.
+
+    The cost is that of all cells of these users; sample_by_class() costs no more than the links.
+    """
     u = users if rows is None else users.join(rows.select("user_id").distinct(), "user_id", "left_semi")
-    cells = u.crossJoin(packs)  # the ensemble is defined on all cells
-    uniform = draw_int(F.md5(F.concat_ws("|", F.lit(str(seed)), "user_id", "pack_id"))) / F.lit(float(1 << 32))
+    each = F.broadcast(users.sparkSession.createDataFrame([(int(x),) for x in seeds], "replicate int"))  # a row for each seed
+    cells = u.crossJoin(packs).crossJoin(each)  # the ensemble is defined on all cells
+    uniform = draw_int(F.md5(F.concat_ws("|", "replicate", "user_id", "pack_id"))) / F.lit(float(1 << 32))
     q = F.col("x") * F.col("y") / (1 + F.col("x") * F.col("y"))
-    return cells.where(uniform < q).select("user_id", "pack_id")
+    return cells.where(uniform < q).select("replicate", "user_id", "pack_id")
+
+
+def sample(users: DataFrame, packs: DataFrame, seed: int, rows: DataFrame | None = None) -> DataFrame:
+    return samples(users, packs, [seed], rows).drop("replicate")
 
 
 def cooccurrence(pairs: DataFrame, users: DataFrame, packs: DataFrame) -> DataFrame:
@@ -86,66 +103,197 @@ def cooccurrence(pairs: DataFrame, users: DataFrame, packs: DataFrame) -> DataFr
     return out.withColumn("z", F.when(F.col("variance") > 0, (F.col("shared_packs") - F.col("expected")) / F.sqrt("variance")))
 
 
+def sample_by_class(users: DataFrame, packs: DataFrame, seeds: list[int], rows: DataFrame | None = None) -> DataFrame:
+    """replicate, user_id, pack_id: the same ensemble at a cost of its links instead of all cells.
+
+    All packs of one size have the same chance with a user, so the user draws how many of each size it
+    gets, and then which; sizes (a row each) are broadcast, and packs are found by size and place.
+    """
+    ranked = packs.withColumn("place", F.row_number().over(W.partitionBy("k").orderBy(F.md5(F.col("pack_id").cast("string")), "pack_id")) - 1)
+    table = [(r["k"], r["y"], r["n"]) for r in packs.groupBy("k", "y").agg(F.count("*").alias("n")).orderBy("k").collect()]  # a row for each distinct size
+    u = users if rows is None else users.join(rows.select("user_id").distinct(), "user_id", "left_semi")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, y, n = np.array([t[0] for t in table]), np.array([t[1] for t in table]), np.array([t[2] for t in table])
+        for batch in batches:
+            for row, (user, x) in enumerate(zip(batch.column("user_id").to_pylist(), batch.column("x").to_pylist(), strict=True)):
+                q = x * y / (1 + x * y)
+                for seed in seeds:
+                    rng = np.random.default_rng([zlib.crc32(str(user).encode()), seed & 0x7FFFFFFF])
+                    counts = rng.binomial(n, q)
+                    at = np.concatenate([np.empty(0, np.int64), *(rng.choice(n[i], counts[i], replace=False) for i in np.flatnonzero(counts))])
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([pa.array([seed] * len(at), pa.int32()), batch.column("user_id").slice(row, 1).take(pa.array([0] * len(at))), pa.array(np.repeat(size, counts), pa.int64()), pa.array(at, pa.int64())], ["replicate", "user_id", "k", "place"])
+
+    drawn = u.select("user_id", "x").mapInArrow(kernel, f"replicate int, user_id {dict(users.dtypes)['user_id']}, k long, place long")
+    return drawn.join(ranked.select("k", F.col("place").cast("long").alias("place"), "pack_id"), ["k", "place"]).select("replicate", "user_id", "pack_id")
+
+
+def gamma_tails(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower and upper regularised incomplete gamma function of a > 0 and x > 0; of each pair the smaller is computed itself, so that it keeps its digits."""
+    front = np.exp(a * np.log(x) - x - np.array([lgamma(v) for v in a]))
+    series = x < a + 1
+    lower, upper = np.zeros(len(a)), np.zeros(len(a))
+    b, z = a[series], x[series]
+    term, total, k = 1 / b, 1 / b, 0
+    while len(b) and (term > total * 1e-17).any() and k < 100_000:
+        k += 1
+        term = term * z / (b + k)
+        total = total + term
+    lower[series] = front[series] * total if len(b) else 0
+    upper[series] = 1 - lower[series]
+    b, z = a[~series], x[~series]
+    if len(b):  # continued fraction
+        d = 1 / (z + 1 - b)
+        c, f = np.full(len(b), 1e300), d.copy()
+        for k in range(1, 100_000):
+            num, den = -k * (k - b), z + 2 * k + 1 - b
+            d = 1 / (num * d + den)
+            c = den + num / c
+            f = f * c * d
+            if (np.abs(c * d - 1) < 1e-15).all():
+                break
+        upper[~series] = front[~series] * f
+        lower[~series] = 1 - upper[~series]
+    return lower, upper
+
+
+def poisson_tails(s: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """Two-sided p: twice the smaller of P(X <= s) and P(X >= s), 1 at most; 1 where the rate is 0."""
+    s, rate = np.asarray(s, float), np.asarray(rate, float)
+    out = np.ones(len(s))
+    known = rate > 0
+    if known.any():
+        upto = gamma_tails(s[known] + 1, rate[known])[1]
+        some = s[known] > 0
+        least = np.ones(int(known.sum()))
+        if some.any():
+            least[some] = gamma_tails(s[known][some], rate[known][some])[0]
+        out[known] = np.minimum(1, 2 * np.minimum(upto, least))
+    return out
+
+
 def poisson_p(s: int, rate: float) -> float:
-    """Two-sided: twice the smaller tail, 1 at most; 1 where the rate is 0."""
-    if rate <= 0:
-        return 1.0
-    if rate > 1e5:
-        return min(1.0, erfc(abs(s - rate) / sqrt(2 * rate)))
-    terms = [exp(k * log(rate) - rate - lgamma(k + 1)) for k in range(s + 1)]
-    upto, below = sum(terms), sum(terms[:-1])
-    return min(1.0, 2 * min(upto, 1 - below))
+    return float(poisson_tails(np.array([s]), np.array([rate]))[0])
 
 
 def with_p(table: DataFrame) -> DataFrame:
     """Adds p_value to cooccurrence()'s table; distinct (shared, expected) are computed once."""
-    p = F.udf(lambda s, rate: poisson_p(int(s), float(rate)), T.DoubleType())
+    p = F.pandas_udf(lambda s, rate: pd.Series(poisson_tails(s.to_numpy(float), rate.to_numpy(float))), "double")
     kinds = table.select("shared_packs", "expected").distinct().withColumn("p_value", p("shared_packs", "expected"))
     return table.join(kinds, ["shared_packs", "expected"])
 
 
-#: Users of a bucket in which curveball matches.
-BUCKET = 64
+#: Users of a block in which curveball trades, about; rounds of new blocks where there are several.
+BLOCK, ROUNDS = 1024, 20
 
 
-def curveball(m: DataFrame, rounds: int, seed: int = 0) -> DataFrame:
-    """Membership with both margins kept: in each round users are matched at random and deal out anew the packs that only one of the two has.
+def curveball(m: DataFrame, seeds: list[int], trades: int | None = None) -> DataFrame:
+    """replicate, user_id, pack_id: for each seed the membership with both margins kept, after `trades` trades (5 for each link).
 
-    All matches of a round are disjoint, so a round is one join; a match is made inside buckets of a hash, of about
-    BUCKET users each whatever the shuffle partitions, so that at most one user of a bucket has no partner.
+    In a trade two users deal out anew the packs that only one of them has. Users are dealt into blocks by
+    a hash; a block makes its share of the round's trades one after another, and each round deals new
+    blocks, so that all users come to meet. All replicates run in the same jobs. What comes out depends on
+    the seed alone, not on partitions.
     """
-    from covey.session import checkpointed
-
-    buckets = max(1, m.select("user_id").distinct().count() // BUCKET)
-    state = m.groupBy("user_id").agg(F.collect_set("pack_id").alias("packs"))
+    users, links = m.select("user_id").distinct().count(), m.count()
+    trades = 5 * links if trades is None else trades
+    blocks = max(1, round(users / BLOCK))
+    rounds = 1 if blocks == 1 else ROUNDS
+    kind = dict(m.dtypes)
+    state = m.groupBy("user_id").agg(F.sort_array(F.collect_set("pack_id")).alias("packs"))
+    state = state.crossJoin(F.broadcast(m.sparkSession.createDataFrame([(int(x),) for x in seeds], "replicate int")))  # a row for each seed
+
+    def kernel(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def done() -> pa.RecordBatch:
+            rng = np.random.default_rng([held[0]["replicate"] & 0x7FFFFFFF, k, held[0]["block"]])
+            rows = [set(r["packs"]) for r in held]
+            n = round(trades / rounds * len(rows) / users) if len(rows) > 1 else 0
+            for i, j in rng.integers(0, len(rows), (n, 2)).tolist():
+                only_i, only_j = rows[i] - rows[j], rows[j] - rows[i]
+                if i != j and only_i and only_j:
+                    pool = sorted(only_i | only_j)
+                    mine = {pool[x] for x in rng.permutation(len(pool))[: len(only_i)].tolist()}
+                    both = rows[i] & rows[j]
+                    rows[i], rows[j] = both | mine, both | (set(pool) - mine)
+            return pa.RecordBatch.from_pylist([{"replicate": r["replicate"], "user_id": r["user_id"], "packs": sorted(p)} for r, p in zip(held, rows, strict=True)], schema=schema)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if held and (held[0]["replicate"], held[0]["block"]) != (r["replicate"], r["block"]):
+                    yield done()
+                    held.clear()
+                held.append(r)
+        if held:
+            yield done()
+
+    text = f"replicate int, user_id {kind['user_id']}, packs array<{kind['pack_id']}>"
+    schema = to_arrow_schema(StructType.fromDDL(text))
     for k in range(rounds):
-        key = F.md5(F.concat_ws("|", F.lit(f"{seed}|{k}"), F.col("user_id").cast("string")))
-        placed = state.withColumn("key", key).withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
-        place = F.row_number().over(W.partitionBy("bucket").orderBy("key")) - 1
-        placed = placed.withColumn("place", place).withColumn("match", F.floor(F.col("place") / 2)).drop("place")
-        duo = placed.groupBy("bucket", "match").agg(F.sort_array(F.collect_list(F.struct("key", "user_id", "packs"))).alias("duo"))
-        a, b = F.col("duo")[0], F.get("duo", F.lit(1))
-        both, only_a, only_b = F.array_intersect(a["packs"], b["packs"]), F.array_except(a["packs"], b["packs"]), F.array_except(b["packs"], a["packs"])
-        dealt = F.transform(F.sort_array(F.transform(F.concat(only_a, only_b), lambda p: F.struct(F.md5(F.concat_ws("|", F.lit(f"{seed}|{k}"), a["key"], p.cast("string"))).alias("h"), p.alias("p")))), lambda x: x["p"])
-        first, rest = F.slice(dealt, F.lit(1), F.size(only_a)), F.slice(dealt, F.size(only_a) + 1, F.greatest(F.size(only_b), F.lit(0)))
-        new = F.when(F.size("duo") == 1, F.array(F.struct(a["user_id"].alias("user_id"), a["packs"].alias("packs")))).otherwise(F.array(F.struct(a["user_id"].alias("user_id"), F.concat(both, first).alias("packs")), F.struct(b["user_id"].alias("user_id"), F.concat(both, rest).alias("packs"))))
-        state = checkpointed(duo.select(F.explode(new).alias("r")).select("r.user_id", "r.packs"))
-    return state.select("user_id", F.explode("packs").alias("pack_id"))
-
-
-def null_slopes(m: DataFrame, pairs: DataFrame, replicates: list[int], rounds: int) -> DataFrame:
-    """replicate, slope: the slope of the fixed cosine on the packs shared under each randomised membership."""
-    from covey.operators.inference import slopes
-    from covey.operators.pairs import shared_counts
-
-    out = None
-    for seed in replicates:
-        counts = shared_counts(pairs, curveball(m, rounds, seed)).join(pairs.select("user_a", "user_b", "cosine"), ["user_a", "user_b"])
-        one = slopes(counts, "shared_packs", "cosine", []).select(F.lit(seed).alias("replicate"), "slope")
+        key = F.md5(F.concat_ws("|", "replicate", F.lit(str(k)), F.col("user_id").cast("string")))
+        placed = state.withColumn("key", key).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
+        dealt = placed.repartition("replicate", "block").sortWithinPartitions("replicate", "block", "key").select("replicate", "block", "user_id", "packs")
+        state = checkpointed(dealt.mapInArrow(lambda b, k=k: kernel(b, k), text))
+    return state.select("replicate", "user_id", F.explode("packs").alias("pack_id"))
+
+
+def task_seeds(n_replicates: int, base: int = 0, task: int = 0, tasks: int = 1) -> list[int]:
+    """Seeds of one of several tasks that share the replicates: ceil(n / tasks) each, the last ones fewer."""
+    share = -(-n_replicates // tasks)
+    return [base + k for k in range(task * share, min((task + 1) * share, n_replicates))]
+
+
+def under(nulls: DataFrame, pairs: DataFrame, emb: DataFrame, method: str = "effrank", missing: str = "distinct") -> DataFrame:
+    """pairs once for each replicate of nulls (replicate, user_id, pack_id), with k_shared and n_eff under it; other columns of pairs stay as they are."""
+    replicates = F.broadcast(nulls.select("replicate").distinct())  # a row for each replicate
+    a = pairs.select("user_a", "user_b").join(nulls.withColumnRenamed("user_id", "user_a"), "user_a")
+    shared = a.join(nulls.withColumnRenamed("user_id", "user_b"), ["replicate", "user_b", "pack_id"], "left_semi")
+    return ne.for_pairs(pairs.crossJoin(replicates), shared, emb, method, missing, keys=("replicate", "user_a", "user_b"))
+
+
+def under_counts(nulls: DataFrame, pairs: DataFrame) -> DataFrame:
+    """replicate, user_a, user_b, shared_packs of listed pairs that share a pack under a replicate."""
+    a = pairs.select("user_a", "user_b").join(nulls.withColumnRenamed("user_id", "user_a"), "user_a")
+    shared = a.join(nulls.withColumnRenamed("user_id", "user_b"), ["replicate", "user_b", "pack_id"], "left_semi")
+    return shared.groupBy("replicate", "user_a", "user_b").agg(F.count("*").alias("shared_packs"))
+
+
+def statistics(scored: DataFrame, statistic: str, keys: tuple[str, ...] = ("replicate",), reference: int | None = None) -> DataFrame:
+    """stat, keys, value of pairs with n_eff, cosine and hops: the slope of cosine on n_eff, or how the slope at each distance differs from the first's."""
+    if statistic == "slope":
+        return inf.slopes(scored, "n_eff", "cosine", list(keys)).select(F.lit("slope").alias("stat"), *keys, F.col("slope").alias("value"))
+    if statistic != "interaction":
+        raise ValueError(f"unknown statistic {statistic}")
+    each = inf.slopes(scored, "n_eff", "cosine", [*keys, "hops"])
+    first = F.broadcast(scored.agg(F.min("hops").alias("first"))) if reference is None else None  # one row
+    each = each.crossJoin(first) if first is not None else each.withColumn("first", F.lit(reference))
+    ref = each.where("hops = first").select(*keys, F.col("slope").alias("ref"))
+    other = each.where("hops <> first")
+    joined = other.join(ref, list(keys)) if keys else other.crossJoin(ref)  # one row
+    return joined.select(F.concat(F.lit("interaction[hops="), F.col("hops").cast("string"), F.lit("]")).alias("stat"), *keys, (F.col("slope") - F.col("ref")).alias("value"))
+
+
+def curves(observed: DataFrame, scored: DataFrame, max_shared: int, n_boot: int = 500, seed: int = 42) -> DataFrame:
+    """x_kind, bin, observed_mean, observed_ci_low, observed_ci_high, null_mean, null_low, null_high for the bins 0..max_shared of the
+    packs shared (count) and of the rounded n_eff. observed: pairs with k_shared, n_eff and cosine; scored: under()'s rows."""
+    spark, out = observed.sparkSession, None
+    for kind, bin_of in (("count", F.greatest(F.lit(0), F.least("k_shared", F.lit(max_shared))).cast("long")), ("n_eff", ag.rint_bin("n_eff", max_shared))):
+        null = band(scored.groupBy("replicate", bin_of.alias("level")).agg(F.avg("cosine").alias("mean")))
+        own = inf.cluster_bootstrap(observed, bin_of, n_boot=n_boot, seed=seed)
+        own = own.select("level", F.col("mean").alias("observed_mean"), F.col("ci_low").alias("observed_ci_low"), F.col("ci_high").alias("observed_ci_high"))
+        spine = spark.range(max_shared + 1).select(F.lit(kind).alias("x_kind"), F.col("id").alias("level"))
+        one = spine.join(own, "level", "left").join(null, "level", "left").select("x_kind", F.col("level").alias("bin"), "observed_mean", "observed_ci_low", "observed_ci_high", "null_mean", "null_low", "null_high")
         out = one if out is None else out.union(one)
     return out
 
 
+def cooccurrence_summary(table: DataFrame, level: float = 0.05) -> DataFrame:
+    """One row of with_p()'s table: pairs, and the share whose p is below the level."""
+    return table.agg(F.count("*").alias("pairs"), F.avg((F.col("p_value") < level).cast("double")).alias("significant"))
+
+
 def reduce(observed: DataFrame, nulls: DataFrame) -> DataFrame:
     """observed: stat, value (a row for each statistic); nulls: stat, replicate, value. Empirical two-sided p, mean, sd and z over finite values."""
     known = nulls.where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))

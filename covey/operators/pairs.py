@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from covey.functions import draw_int, draw_key
+from covey.functions import draw_int, draw_key, first_by_draw, places
+from covey.session import checkpointed
 
 
 #: Members of a pack that meet in one task; larger packs are dealt out in blocks.
@@ -47,27 +48,35 @@ def levels(pairs: DataFrame, max_shared: int) -> DataFrame:
 
 def census(pairs: DataFrame, per_level: int, max_shared: int, seed: int = 42) -> DataFrame:
     """Of each level (shared packs, clipped) the per_level pairs that come first in a fixed random order; the count stays unclipped."""
-    level = F.least("shared_packs", F.lit(max_shared))
-    order = W.partitionBy("level").orderBy("key", "user_a", "user_b")
-    ranked = pairs.select("*", level.alias("level"), draw_key(seed, "user_a", "user_b").alias("key")).withColumn("place", F.row_number().over(order))
-    return ranked.where(F.col("place") <= per_level).select("user_a", "user_b", "shared_packs")
+    keyed = pairs.select("*", F.least("shared_packs", F.lit(max_shared)).alias("level"), draw_key(seed, "user_a", "user_b").alias("key"))
+    return first_by_draw(keyed, ["level"], per_level, [F.col("key"), F.col("user_a"), F.col("user_b")], F.col("key")).select("user_a", "user_b", "shared_packs")
 
 
-def uniform_pairs(users: DataFrame, n_draws: int, seed: int = 42) -> DataFrame:
-    """Distinct unordered pairs from n_draws draws of two users, whatever they share. users: user_id."""
-    ranked = users.select("user_id").distinct().withColumn("place", F.row_number().over(W.orderBy("user_id")) - 1)
+def uniform_pairs(users: DataFrame, n_draws: int, seed: int = 42, start: int = 0) -> DataFrame:
+    """Distinct unordered pairs from n_draws draws of two users, whatever they share. users: user_id. Draws are numbered from start."""
+    ranked = places(users, "user_id")
     n = F.broadcast(users.select(F.countDistinct("user_id").alias("n")))  # one row
-    draws = users.sparkSession.range(n_draws).crossJoin(n)
+    draws = users.sparkSession.range(start, start + n_draws).crossJoin(n)
     pick = lambda side: draw_int(F.md5(F.concat(F.lit(f"{seed}|{side}|"), F.col("id").cast("string")))) % F.col("n")
     ends = draws.select(pick("a").alias("i"), pick("b").alias("j"))
     a, b = ranked.select(F.col("user_id").alias("x"), F.col("place").alias("i")), ranked.select(F.col("user_id").alias("y"), F.col("place").alias("j"))
     return ends.join(a, "i").join(b, "j").where("x <> y").select(F.least("x", "y").alias("user_a"), F.greatest("x", "y").alias("user_b")).distinct()
 
 
-def baseline(m: DataFrame, n_draws: int, n_pairs: int, seed: int = 42) -> DataFrame:
-    """Drawn pairs that share no pack, n_pairs of them at most; a short draw is not filled up."""
-    drawn = uniform_pairs(m, n_draws, seed)
-    free = drawn.join(shared_counts(drawn, m).where("shared_packs > 0"), ["user_a", "user_b"], "left_anti")
+#: Draws of the rounds of baseline(), for each pair wanted, all before them included.
+DRAWS = (4, 12, 28, 60, 124, 200)
+
+
+def baseline(m: DataFrame, n_pairs: int, seed: int = 42) -> DataFrame:
+    """n_pairs pairs of any users that share no pack. Rounds draw more and more, until there are enough or 200 draws for each have been made; a short draw stays short."""
+    m = checkpointed(m)
+    free, start = None, 0
+    for most in DRAWS:
+        fresh = uniform_pairs(m, n_pairs * most - start, seed, start)
+        fresh = fresh.join(shared_counts(fresh, m).where("shared_packs > 0"), ["user_a", "user_b"], "left_anti")
+        free, start = checkpointed(fresh if free is None else free.union(fresh).distinct()), n_pairs * most
+        if free.count() >= n_pairs:
+            break
     return free.orderBy(draw_key(seed, "user_a", "user_b"), "user_a", "user_b").limit(n_pairs).withColumn("shared_packs", F.lit(0).cast("long"))
 
 
@@ -94,22 +103,50 @@ def mapped(pairs: DataFrame, users: DataFrame) -> DataFrame:
     return pairs.agg(F.count("*").alias("pairs")).crossJoin(both.agg(F.count("*").alias("kept"))).select("pairs", "kept", (F.col("pairs") - F.col("kept")).alias("dropped"))
 
 
+def with_shared(info: DataFrame, m: DataFrame) -> DataFrame:
+    """Directed information (source, target, ...) with shared_packs, 0 included; pairs of one user with itself go."""
+    own = info.where("source <> target").withColumn("user_a", F.least("source", "target")).withColumn("user_b", F.greatest("source", "target"))
+    return own.join(shared_counts(own.select("user_a", "user_b").distinct(), m), ["user_a", "user_b"]).drop("user_a", "user_b")
+
+
 def symmetric_info(info: DataFrame, value: str) -> DataFrame:
-    """Directed (source, target, value) as one row for each unordered pair: the mean, and in how many directions it is known."""
+    """Directed (source, target, value) as one row for each unordered pair: the mean, in how many directions it is known, and shared_packs, if there."""
     a, b = F.least("source", "target"), F.greatest("source", "target")
-    return info.where("source <> target").groupBy(a.alias("user_a"), b.alias("user_b")).agg(F.avg(value).alias(value), F.count("*").alias("directions"))
+    more = [F.min("shared_packs").alias("shared_packs")] if "shared_packs" in info.columns else []  # the same in both directions
+    return info.where("source <> target").groupBy(a.alias("user_a"), b.alias("user_b")).agg(F.avg(value).alias(value), F.count("*").alias("directions"), *more)
 
 
 def spread_pick(stats: DataFrame, level: str, value: str) -> DataFrame:
-    """The pairs of largest and smallest value in the level where they lie furthest apart. stats: user_a, user_b, level, value."""
+    """The pairs of largest and smallest value in the level where they lie furthest apart; where no level has two pairs, of all. stats: user_a, user_b, level, value."""
     spread = stats.groupBy(level).agg((F.max(value) - F.min(value)).alias("spread"), F.count("*").alias("n")).where("n > 1")
-    widest = F.broadcast(spread.orderBy(F.desc("spread"), level).limit(1).select(level, "spread"))  # one row
-    own = stats.join(widest, level)
+    widest = F.broadcast(spread.orderBy(F.desc("spread"), level).limit(1).select(F.col(level).alias("__widest"), "spread"))  # one row
+    none = F.broadcast(spread.agg((F.count("*") == 0).alias("__none")))  # one row
+    own = stats.crossJoin(none).join(widest, F.col(level) == F.col("__widest"), "left").where("__none OR __widest IS NOT NULL").drop("__widest", "__none")
     high = own.orderBy(F.desc(value), "user_a", "user_b").limit(1).withColumn("pick", F.lit("max"))
     low = own.orderBy(value, "user_a", "user_b").limit(1).withColumn("pick", F.lit("min"))
     return high.union(low)
 
 
+def select_five(stats: DataFrame, level: str, value: str, seed: int = 42, n: int = 5) -> DataFrame:
+    """spread_pick(), filled up to n pairs by one from each other level, small levels first, and then by any; pick says max, min or span."""
+    extremes = checkpointed(spread_pick(stats, level, value))
+    left = stats.join(extremes.select("user_a", "user_b"), ["user_a", "user_b"], "left_anti").withColumn("key", draw_key(seed, "user_a", "user_b"))
+    order = [F.col("key"), F.col("user_a"), F.col("user_b")]
+    one = first_by_draw(left, [level], n, order, F.col("key")).withColumn("turn", F.row_number().over(W.partitionBy(level).orderBy(*order)))
+    taken = F.broadcast(extremes.select(F.col(level).alias("__level")).distinct().withColumn("old", F.lit(1)))  # two rows at most
+    turns = one.join(taken, F.col(level) == F.col("__level"), "left").withColumn("round", F.col("turn") + F.coalesce("old", F.lit(0)))
+    span = turns.orderBy("round", level, *order).limit(n - 2).select(*stats.columns).withColumn("pick", F.lit("span"))
+    return extremes.select(*stats.columns, "pick").union(span)
+
+
+def same_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: how many distinct pairs only one of two tables has, and whether there is none."""
+    x, y = (t.select("user_a", "user_b").distinct() for t in (a, b))
+    left, right = x.join(y, ["user_a", "user_b"], "left_anti"), y.join(x, ["user_a", "user_b"], "left_anti")
+    both = left.agg(F.count("*").alias("only_a")).crossJoin(right.agg(F.count("*").alias("only_b")))  # one row each
+    return both.withColumn("equal", (F.col("only_a") == 0) & (F.col("only_b") == 0))
+
+
 def value_decile(values: DataFrame, value: str, n: int = 10) -> DataFrame:
     """Adds decile: how many inner edges (distinct percentiles of value) lie at or below it. The edges are one row."""
     edges = F.broadcast(values.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / n) for k in range(n + 1)]))).alias("edges")))

@@ -52,8 +52,9 @@ def idf() -> Column:
     return F.ln((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
 
 
-def tfidf(tf: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
-    """user_id, term, weight; rows of length 1. A vocabulary of another corpus may be given."""
+def tfidf(tf: DataFrame, vocab: DataFrame, sublinear: bool = True, users: DataFrame | None = None) -> DataFrame:
+    """user_id, term, weight; rows of length 1. A vocabulary of another corpus may be given; with users, only theirs are weighted."""
+    tf = tf if users is None else tf.join(users.select("user_id").distinct(), "user_id", "left_semi")
     count = 1 + F.ln("tf") if sublinear else F.col("tf").cast("double")
     raw = tf.join(vocab, "term").select("user_id", "term", (count * idf()).alias("w"))
     norm = raw.groupBy("user_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
@@ -62,13 +63,27 @@ def tfidf(tf: DataFrame, vocab: DataFrame, sublinear: bool = True) -> DataFrame:
 
 def listed_cosines(pairs: DataFrame, weights: DataFrame, users: DataFrame) -> DataFrame:
     """Listed pairs whose ends both have a text, with their cosine; 0 without a common term. Only their users' weights are joined."""
-    texts = users.select("user_id").distinct()
+    texts, pairs = users.select("user_id").distinct(), pairs.drop("cosine")
     own = pairs.join(texts, pairs.user_a == texts.user_id, "left_semi").join(texts, F.col("user_b") == texts.user_id, "left_semi")
     a = own.select("user_a", "user_b").join(weights.select(F.col("user_id").alias("user_a"), "term", F.col("weight").alias("wa")), "user_a")
     dots = a.join(weights.select(F.col("user_id").alias("user_b"), "term", F.col("weight").alias("wb")), ["user_b", "term"]).groupBy("user_a", "user_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine"))
     return own.join(dots, ["user_a", "user_b"], "left").fillna(0.0, ["cosine"])
 
 
+def unscored(pairs: DataFrame, users: DataFrame) -> DataFrame:
+    """One row: pairs, and how many listed_cosines() drops because an end has no text."""
+    texts = users.select("user_id").distinct()
+    both = pairs.join(texts, pairs.user_a == texts.user_id, "left_semi").join(texts, F.col("user_b") == texts.user_id, "left_semi")
+    return pairs.agg(F.count("*").alias("pairs")).crossJoin(both.agg(F.count("*").alias("scored"))).select("pairs", "scored", (F.col("pairs") - F.col("scored")).alias("dropped"))  # one row each
+
+
+def cosine_differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: pairs in both tables, largest and mean absolute difference of their cosines."""
+    far = F.abs(F.col("cosine") - F.col("other"))
+    both = a.select("user_a", "user_b", "cosine").join(b.select("user_a", "user_b", F.col("cosine").alias("other")), ["user_a", "user_b"])
+    return both.agg(F.count("*").alias("pairs"), F.max(far).alias("max_abs_diff"), F.avg(far).alias("mean_abs_diff"))
+
+
 def all_cosines(weights: DataFrame, users: DataFrame) -> DataFrame:
     """Every pair of users with its cosine, zeros included; quadratic by definition, for small user sets."""
     u = users.select("user_id").distinct()
@@ -89,12 +104,17 @@ def df_sweep(tf: DataFrame, size: DataFrame, grid: tuple[float, ...], min_df: in
     return ceilings.join(terms, "max_df", "left").join(used, "max_df", "left").fillna(0)
 
 
-def cut_terms(tf: DataFrame, size: DataFrame, max_df: float, min_df: int, top: int) -> DataFrame:
-    """The commonest terms on either side of the ceiling: side, place, term, df, share, hashtag, stop_word."""
+#: Our own short list of words of the platform that texts come from.
+PLATFORM = "account accounts feed feeds follow followed follower followers following handle like liked likes list lists mute pack packs post posted posts profile reply replies repost reposts skeet starter thread timeline user users".split()
+
+
+def cut_terms(tf: DataFrame, size: DataFrame, max_df: float, min_df: int, top: int, platform: tuple[str, ...] = tuple(PLATFORM)) -> DataFrame:
+    """The commonest terms on either side of the ceiling: side, place, term, df, share, hashtag, stop_word, platform."""
     vocab = document_frequency(tf).crossJoin(size).where(F.col("df") >= min_df)
     side = F.when(F.col("df") > F.lit(max_df) * F.col("n_docs"), "discarded").otherwise("kept")
     ranked = vocab.withColumn("side", side).withColumn("place", F.row_number().over(W.partitionBy("side").orderBy(F.desc("df"), "term")))
-    return ranked.where(F.col("place") <= top).select("side", "place", "term", "df", (F.col("df") / F.col("n_docs")).alias("share"), F.col("term").startswith("#").alias("hashtag"), F.col("term").isin(*STOP_WORDS).alias("stop_word"))
+    flags = [F.col("term").startswith("#").alias("hashtag"), F.col("term").isin(*STOP_WORDS).alias("stop_word"), F.col("term").isin(*platform).alias("platform")]
+    return ranked.where(F.col("place") <= top).select("side", "place", "term", "df", (F.col("df") / F.col("n_docs")).alias("share"), *flags)
 
 
 def recent(posts: DataFrame, n: int, time: str = "turn") -> DataFrame:

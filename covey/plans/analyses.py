@@ -17,7 +17,7 @@ from covey.operators import neff as ne
 from covey.operators import nulls as nu
 from covey.operators import pairs as pr
 from covey.operators import text as tx
-from covey.session import require_columns
+from covey.session import checkpointed, require_columns
 
 
 def _weights(docs: DataFrame, min_df: int, max_df: float, sublinear: bool = True) -> DataFrame:
@@ -48,7 +48,7 @@ def slice_cosine(m: DataFrame, docs: DataFrame, n_packs: int = 25, target_users:
 
 def census(m: DataFrame, docs: DataFrame, per_level: int = 1000, baseline_pairs: int = 1000, max_shared: int = 5, min_df: int = 10, max_df: float = 0.4, n_boot: int = 500, seed: int = 42) -> dict[str, DataFrame]:
     """Cosine of a stratified census of pairs, with a baseline that shares nothing, and its bootstrapped curve."""
-    drawn = pr.census(pr.comember_pairs(m, 2), per_level, max_shared, seed).unionByName(pr.baseline(m, 4 * baseline_pairs, baseline_pairs, seed))
+    drawn = pr.census(pr.comember_pairs(m, 2), per_level, max_shared, seed).unionByName(pr.baseline(m, baseline_pairs, seed))
     pairs = tx.listed_cosines(drawn, _weights(docs, min_df, max_df), docs.where("text IS NOT NULL"))
     return {"pairs": pairs, "curve": aggregate_only(pairs, max_shared, n_boot, seed)}
 
@@ -97,37 +97,115 @@ def network(pairs: DataFrame, edges: DataFrame, max_hops: int = 3, directed: boo
     """Follow distance as control and moderator. known: pairs that already have hops."""
     p = known if known is not None else gr.hops(pairs, edges, max_hops, directed)
     require_columns(p, "user_a", "user_b", "cosine", "n_eff", "hops")
-    slope_all = {"cg_slope": _weighted_slope("n_eff", "cosine")}
+    models = checkpointed(inf.bootstrap_models(p, "n_eff", "cosine", "hops", 1, n_boot, seed))
+    points = inf.interaction(p, "n_eff", "cosine", "hops", 1).where("hops <> 1").select(F.concat(F.lit("n_eff:hops["), F.col("hops").cast("string"), F.lit("]")).alias("term"), F.col("difference").alias("estimate"))
+    names = points.select("term", F.concat(F.lit("interaction|"), F.regexp_extract("term", r"\[(.*)\]", 1)).alias("boot_term"))
     return {
         "pairs": p, "by_hops": inf.cluster_bootstrap(p, F.col("hops"), n_boot=n_boot, seed=seed), "cells": ag.cells(p, max_hops), "diagnostic": ag.cell_diagnostic(p),
-        "control": inf.controlled_slope(p, "n_eff", "cosine", "hops"), "interaction": inf.interaction(p, "n_eff", "cosine", "hops", 1), "bootstrap": inf.bootstrap_statistics(p, slope_all, n_boot, seed),
+        "cell_means": inf.cell_bootstrap(p.withColumn("stratum", ag.stratum()), ("stratum", "hops"), n_boot=n_boot, seed=seed),
+        "control": inf.controlled_slope(p, "n_eff", "cosine", "hops"), "interaction": inf.interaction(p, "n_eff", "cosine", "hops", 1), "bootstrap": models, "coefficients": coefficients(points, models, names),
     }
 
 
-def _weighted_slope(x: str, y: str):
-    w, a, b = F.col("w"), F.col(x), F.col(y)
-    return F.try_divide(F.sum(w) * F.sum(w * a * b) - F.sum(w * a) * F.sum(w * b), F.sum(w) * F.sum(w * a * a) - F.sum(w * a) * F.sum(w * a))
-
-
 def coefficients(points: DataFrame, boots: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """Point estimates (term, estimate) with the intervals of the terms that names (term, boot_term) maps them to."""
     mapped = points.join(names, "term", "left").withColumn("boot_term", F.coalesce("boot_term", "term")) if names is not None else points.withColumn("boot_term", F.col("term"))
     return mapped.join(boots.select(F.col("term").alias("boot_term"), "ci_low", "ci_high"), "boot_term", "left").select("term", "estimate", "ci_low", "ci_high")
 
 
-def null_model(m: DataFrame, pairs: DataFrame, n_replicates: int = 10, rounds: int = 10, seed: int = 0) -> dict[str, DataFrame]:
-    """The slope of cosine on packs shared against randomised memberships with the same margins."""
-    nulls = nu.null_slopes(m, pairs, list(range(seed, seed + n_replicates)), rounds)
-    counts = pr.shared_counts(pairs, m).join(pairs.select("user_a", "user_b", "cosine"), ["user_a", "user_b"])
-    observed = inf.slopes(counts, "shared_packs", "cosine", []).select(F.lit("slope").alias("stat"), F.col("slope").alias("value"))
-    return {"replicates": nulls, "summary": nu.reduce(observed, nulls.select(F.lit("slope").alias("stat"), "replicate", F.col("slope").alias("value")))}
+def _replicates(m: DataFrame, ensemble: str, seeds: list[int], pairs: DataFrame, trades: int | None) -> DataFrame:
+    if ensemble == "microcanonical":
+        return nu.curveball(m, seeds, trades)
+    if ensemble != "canonical":
+        raise ValueError(f"unknown ensemble {ensemble}; there are canonical and microcanonical")
+    return nu.sample_by_class(*nu.fit(m), seeds, inf.ends(pairs).toDF("user_id"))
+
+
+def null_model(
+    m: DataFrame, pairs: DataFrame, emb: DataFrame, statistic: str = "slope", ensemble: str = "microcanonical", n_replicates: int = 100, seed: int = 0,
+    method: str = "effrank", trades: int | None = None, task: int = 0, tasks: int = 1,
+) -> dict[str, DataFrame]:
+    """A statistic of cosine on n_eff under randomised memberships: `replicates` of one of several tasks, and `observed`.
+
+    pairs: user_a, user_b, cosine and, for statistic="interaction", hops; these stay fixed.
+    """
+    scored = checkpointed(nu.under(_replicates(m, ensemble, nu.task_seeds(n_replicates, seed, task, tasks), pairs, trades), pairs, emb, method))
+    own = checkpointed(ne.for_pairs(pairs, pr.shared_packs(pairs, m), emb, method))
+    return {"replicates": nu.statistics(scored, statistic), "observed": nu.statistics(own, statistic, keys=())}
+
+
+def null_reduce(observed: DataFrame, replicates: DataFrame) -> DataFrame:
+    """The observed statistics against the replicates of all tasks."""
+    return nu.reduce(observed, replicates)
+
+
+def null_curves(m: DataFrame, pairs: DataFrame, emb: DataFrame, ensemble: str = "microcanonical", n_replicates: int = 100, max_shared: int = 8, seed: int = 0, method: str = "effrank", trades: int | None = None, n_boot: int = 500) -> dict[str, DataFrame]:
+    """Mean cosine by packs shared and by n_eff, observed and under the null."""
+    scored = checkpointed(nu.under(_replicates(m, ensemble, nu.task_seeds(n_replicates, seed), pairs, trades), pairs, emb, method))
+    own = checkpointed(ne.for_pairs(pairs, pr.shared_packs(pairs, m), emb, method))
+    return {"curves": nu.curves(own, scored, max_shared, n_boot, seed)}
 
 
 def cooccurrence(m: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
-    """Packs shared against the canonical ensemble: p of each pair, and the share below 0.05."""
+    """Packs shared against the canonical ensemble: p of each pair, the smallest first, and the share below 0.05."""
     users, packs = nu.fit(m)
-    table = nu.with_p(nu.cooccurrence(pr.shared_counts(pairs, m), users, packs))
-    return {"pairs": table, "summary": table.agg(F.count("*").alias("pairs"), F.avg((F.col("p_value") < 0.05).cast("double")).alias("significant")), "margins": nu.expected_margins(users, packs)}
+    table = checkpointed(nu.with_p(nu.cooccurrence(pr.shared_counts(pairs, m), users, packs)))
+    return {"pairs": table.orderBy("p_value", "user_a", "user_b"), "summary": nu.cooccurrence_summary(table), "margins": nu.expected_margins(users, packs)}
+
+
+def degree_diagnostic(m: DataFrame, observed: DataFrame, n_pairs: int = 10_000, seeds: tuple[int, ...] = (0,), seed: int = 42) -> dict[str, DataFrame]:
+    """Degrees of the ends of pairs drawn at random that share nothing, of observed pairs that share, and of the same pairs under a null;
+    the order of their medians; cosine by degree."""
+    degrees = checkpointed(mb.user_margins(m).toDF("node", "degree"))
+    uniform = pr.uniform_pairs(m, n_pairs, seed)
+    nulls = nu.under_counts(nu.curveball(m, list(seeds)), uniform)
+    summary = checkpointed(ag.degree_populations({"uniform": pr.shared_counts(uniform, m).where("shared_packs = 0"), "null": nulls.where("shared_packs > 0"), "observed": observed.where("shared_packs > 0")}, degrees))
+    a, b = degrees.toDF("user_a", "da"), degrees.toDF("user_b", "db")
+    joined = observed.join(a, "user_a").join(b, "user_b").withColumn("largest", F.greatest("da", "db").cast("double"))
+    return {"populations": summary, "order": ag.median_order(summary, ("uniform", "null", "observed")), "ccdf": ag.ccdf(degrees, "degree"), "curve": ag.quantile_curve(joined, "largest", "cosine")}
+
+
+def pair_inspection(m: DataFrame, emb: DataFrame, pairs: DataFrame | None = None, n_draws: int = 1600, seed: int = 42) -> dict[str, DataFrame]:
+    """Five pairs with all their effective numbers: the most and the least alike shared packs at one number of them, and others of other numbers."""
+    listed = pairs if pairs is not None else pr.uniform_pairs(pr.eligible(m, 2), n_draws, seed)
+    sets = checkpointed(ne.keyed_sets(pr.shared_packs(listed, m)).where(F.size("packs") >= 2))
+    mean = ne.sets_number(sets, emb, "mean_interp").join(sets.select("user_a", "user_b", F.size("packs").alias("p")), ["user_a", "user_b"])
+    stats = checkpointed(mean.select("user_a", "user_b", "p", (1 - (F.col("n_eff") - 1) / (F.col("p") - 1)).alias("alike")))
+    five = checkpointed(pr.select_five(stats, "p", "alike", seed))
+    own = sets.join(five.select("user_a", "user_b"), ["user_a", "user_b"], "left_semi")
+    members = m.join(own.select(F.explode("packs").alias("pack_id")).distinct(), "pack_id", "left_semi")
+    numbers = ne.bundle(own, emb, ne.jaccard_packs(members))
+    return {"pairs": five, "numbers": numbers, "tidy": ne.tidy(numbers)}
+
+
+def vocabulary_report(pairs: DataFrame, docs: DataFrame, grid: tuple[float, ...] = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8), min_df: int = 10, max_shared: int = 8, top: int = 50) -> dict[str, DataFrame]:
+    """How the curve of cosine by packs shared depends on the ceiling of document frequency: terms and tokens left, terms cut, curves, their spread and rise, slopes for 1..8 packs."""
+    docs = docs.where("text IS NOT NULL")
+    tf, size = checkpointed(tx.term_counts(tx.tokens(docs))), tx.n_docs(docs)
+    users = inf.ends(pairs).toDF("user_id")
+    curves = slopes = None
+    for ceiling in grid:
+        scored = checkpointed(tx.listed_cosines(pairs, tx.tfidf(tf, tx.vocabulary(tf, size, min_df, ceiling), users=users), docs))
+        one = ag.by_level(scored, F.least("shared_packs", F.lit(max_shared))).select(F.lit(float(ceiling)).alias("max_df"), "level", "mean", "n")
+        slope = inf.slopes(scored.where(F.col("shared_packs").between(1, 8)), "shared_packs", "cosine", []).select(F.lit(float(ceiling)).alias("max_df"), "n", "slope")
+        curves, slopes = (one, slope) if curves is None else (curves.union(one), slopes.union(slope))
+    return {"sweep": tx.df_sweep(tf, size, grid, min_df), "terms": tx.cut_terms(tf, size, 0.4, min_df, top), "curves": curves, "swing": ag.swing(curves, "max_df"), "monotone": ag.monotone(curves, "max_df"), "slopes": slopes}
+
+
+def fit_corpus(pairs: DataFrame, docs: DataFrame, min_df: int = 10, max_df: float = 0.4) -> dict[str, DataFrame]:
+    """Cosines of pairs by a fit on all users with a text (A), on the users of the pairs (B), and on these with A's ceiling (C): terms, differences to A, and whether the tables have the same pairs."""
+    docs = docs.where("text IS NOT NULL")
+    users = inf.ends(pairs).toDF("user_id").join(docs.select("user_id").distinct(), "user_id", "left_semi")
+    tf = checkpointed(tx.term_counts(tx.tokens(docs)))
+    own, every, some = tf.join(users, "user_id", "left_semi"), tx.n_docs(docs), tx.n_docs(users)
+    vocab = {"A": tx.vocabulary(tf, every, min_df, max_df), "B": tx.vocabulary(own, some, min_df, max_df), "C": tx.vocabulary(own, every, min_df, max_df).drop("n_docs").crossJoin(some)}
+    scored = {k: checkpointed(tx.listed_cosines(pairs, tx.tfidf(own, v), docs)) for k, v in vocab.items()}
+    terms = differences = None
+    for k, v in vocab.items():
+        one = v.agg(F.count("*").alias("terms")).select(F.lit(k).alias("variant"), "terms")
+        far = tx.cosine_differences(scored["A"], scored[k]).withColumn("variant", F.lit(k))
+        terms, differences = (one, far) if terms is None else (terms.union(one), differences.union(far))
+    return {"terms": terms, "differences": differences, "same_pairs": pr.same_pairs(scored["A"], scored["B"]), **{f"pairs_{k}": t for k, t in scored.items()}}
 
 
 class Report:
@@ -147,12 +225,13 @@ class Report:
         self.lines.append(f"CONTRADICTION: {text}")
 
     def table(self, df: DataFrame, name: str, most: int = 1000) -> None:
-        """A table of at most `most` rows, as CSV beside the text and in it."""
+        """A table of at most `most` rows, as CSV and Parquet beside the text and in it."""
         rows = df.limit(most + 1).toPandas()
         if len(rows) > most:
             raise ValueError(f"{name} is too long for a report; write it as a table")
         self.folder.mkdir(parents=True, exist_ok=True)
         rows.to_csv(self.folder / f"{name}.csv", index=False)
+        rows.to_parquet(self.folder / f"{name}.parquet", index=False)
         self.lines += [rows.to_string(index=False), ""]
 
     def flush(self, name: str = "report.txt") -> str:

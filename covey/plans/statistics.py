@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from covey.operators import aggregates as ag
 from covey.operators import graph as gr
 from covey.operators import inference as inf
+from covey.operators import information as info
 from covey.operators import membership as mb
+from covey.operators import neff as ne
 from covey.operators import nulls as nu
 from covey.operators import pairs as pr
 from covey.operators import text as tx
 from covey.plans import structure as st
+from covey.session import checkpointed
 from covey.sources import roles as R
 
 S = R.SQL
@@ -35,7 +38,7 @@ def rounded(df, *columns, places: int = 6):
 
 # --- texts -----------------------------------------------------------------
 
-_STOP = ", ".join(f"'{w}'" for w in tx.STOP_WORDS)
+_STOP, _PLATFORM = (", ".join(f"'{w}'" for w in words) for words in (tx.STOP_WORDS, tx.PLATFORM))
 
 
 def _tokens(src: str) -> str:
@@ -80,14 +83,33 @@ def tfidf_weights(spark, d):
     return rounded(_tfidf(R.texts(spark, d), 10, 0.4), "weight")
 
 
-_LISTED = f"{st._draws('SELECT DISTINCT user_id FROM src WHERE text IS NOT NULL', 4000)}"
 _COS = "dt AS (SELECT l.user_a, l.user_b, sum(a.weight * b.weight) AS c FROM {p} l JOIN wt a ON a.user_id = l.user_a JOIN wt b ON b.user_id = l.user_b AND b.term = a.term GROUP BY 1, 2)"
+_TEXTS = "tu AS (SELECT DISTINCT user_id FROM src WHERE text IS NOT NULL)"
+#: The census that cosines are listed for, and those of its pairs that have two texts.
+_PE = f"{st._CO}, {st._CENSUS}, {_TEXTS}, pe AS (SELECT * FROM ce WHERE user_a IN (SELECT user_id FROM tu) AND user_b IN (SELECT user_id FROM tu))"
 
 
-@query(f"WITH {_DOCS}, {_LISTED}, {_tokens('src')}, {_weights(10, 0.4)}, {_COS.format(p='un')} SELECT un.user_a, un.user_b, round(coalesce(c, 0), 6) AS cosine FROM un LEFT JOIN dt ON dt.user_a = un.user_a AND dt.user_b = un.user_b")
+def _census(spark, d):
+    return checkpointed(pr.census(pr.comember_pairs(R.membership(spark, d), 2), 200, 5))
+
+
+def _scored(pairs, docs, min_df=10, max_df=0.4):
+    """Listed pairs with cosines; terms are counted once, and only the pairs' users are weighted."""
+    docs = _with_text(docs)
+    tf = checkpointed(tx.term_counts(tx.tokens(docs)))
+    vocab = tx.vocabulary(tf, tx.n_docs(docs), min_df, max_df)
+    return tx.listed_cosines(pairs, tx.tfidf(tf, vocab, users=inf.ends(pairs).toDF("user_id")), docs)
+
+
+@query(f"""WITH {S['m']}, {_DOCS}, {_PE}, {_tokens('src')}, {_weights(10, 0.4)}, {_COS.format(p='pe')}
+SELECT pe.user_a, pe.user_b, pe.shared_packs, round(coalesce(c, 0), 6) AS cosine FROM pe LEFT JOIN dt ON dt.user_a = pe.user_a AND dt.user_b = pe.user_b""")
 def cosine_listed_pairs(spark, d):
-    docs = _with_text(R.texts(spark, d))
-    return rounded(tx.listed_cosines(pr.uniform_pairs(docs, 4000), _tfidf(docs, 10, 0.4), docs), "cosine")
+    return rounded(_scored(_census(spark, d), R.texts(spark, d)), "cosine")
+
+
+@query(f"WITH {S['m']}, {_DOCS}, {_PE} SELECT (SELECT count(*) FROM ce) AS pairs, (SELECT count(*) FROM pe) AS scored, (SELECT count(*) FROM ce) - (SELECT count(*) FROM pe) AS dropped")
+def unscored_pairs(spark, d):
+    return tx.unscored(_census(spark, d), _with_text(R.texts(spark, d)))
 
 
 _TW = f"{_TALK}, {_tokens('src')}, {_weights(2, 0.8)}"
@@ -116,7 +138,7 @@ def maxdf_sweep(spark, d):
     return tx.df_sweep(tx.term_counts(tx.tokens(docs)), tx.n_docs(docs), (0.2, 0.3, 0.4, 0.5, 0.6, 0.8), 10)
 
 
-@query(f"WITH {_DOCS}, {_tokens('src')}, v AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 10), s AS (SELECT CASE WHEN df > 0.4::DOUBLE * {_N} THEN 'discarded' ELSE 'kept' END AS side, term, df FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY df DESC, term) AS place FROM s) SELECT side, place::INTEGER AS place, term, df, round(df / {_N}, 9) AS share, term LIKE '#%' AS hashtag, term IN ({_STOP}) AS stop_word FROM r WHERE place <= 30")
+@query(f"WITH {_DOCS}, {_tokens('src')}, v AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 10), s AS (SELECT CASE WHEN df > 0.4::DOUBLE * {_N} THEN 'discarded' ELSE 'kept' END AS side, term, df FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY df DESC, term) AS place FROM s) SELECT side, place::INTEGER AS place, term, df, round(df / {_N}, 9) AS share, term LIKE '#%' AS hashtag, term IN ({_STOP}) AS stop_word, term IN ({_PLATFORM}) AS platform FROM r WHERE place <= 30")
 def maxdf_cut_terms(spark, d):
     docs = _with_text(R.texts(spark, d))
     return rounded(tx.cut_terms(tx.term_counts(tx.tokens(docs)), tx.n_docs(docs), 0.4, 10, 30), "share", places=9)
@@ -144,6 +166,28 @@ def fit_corpus_variants(spark, d):
     return out
 
 
+def _variant_cosines(v: str, fit: str, ceiling: str, n: str) -> str:
+    """Weights and dot products of one variant: terms counted among fit, the ceiling and the size of the corpus as given."""
+    return f"""vo_{v} AS (SELECT term, count(*) AS df FROM tf JOIN {fit} USING (user_id) GROUP BY 1 HAVING count(*) >= 10 AND count(*) <= {ceiling}),
+rw_{v} AS (SELECT user_id, tf.term, (1 + ln(tf)) * (ln((1 + {n}) / (1 + df)) + 1) AS w FROM tf JOIN vo_{v} USING (term) JOIN sc USING (user_id)),
+wt_{v} AS (SELECT user_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY user_id)) AS weight FROM rw_{v}),
+dt_{v} AS (SELECT l.user_a, l.user_b, coalesce(sum(a.weight * b.weight), 0) AS c FROM fp l LEFT JOIN wt_{v} a ON a.user_id = l.user_a LEFT JOIN wt_{v} b ON b.user_id = l.user_b AND b.term = a.term GROUP BY 1, 2)"""
+
+
+_NS = "(SELECT count(*) FROM sc)"
+
+
+@query(f"""WITH {S['m']}, {_DOCS}, {_PE}, {_tokens('src')}, al AS (SELECT user_id FROM tu), sc AS (SELECT user_a AS user_id FROM pe UNION SELECT user_b FROM pe),
+fp AS (SELECT user_a, user_b FROM pe), {_variant_cosines('a', 'al', f'0.4::DOUBLE * {_N}', _N)}, {_variant_cosines('b', 'sc', f'0.4::DOUBLE * {_NS}', _NS)}, {_variant_cosines('c', 'sc', f'0.4::DOUBLE * {_N}', _NS)}
+""" + " UNION ALL ".join(f"SELECT '{v.upper()}' AS variant, count(*) AS pairs, round(max(abs(x.c - y.c)), 6) AS max_abs_diff, round(avg(abs(x.c - y.c)), 6) AS mean_abs_diff FROM dt_a x JOIN dt_{v} y USING (user_a, user_b)" for v in "abc"))
+def fit_corpus_cosines(spark, d):
+    """How far cosines of census pairs move when the vocabulary is fitted on other users."""
+    from covey.plans.analyses import fit_corpus
+
+    out = fit_corpus(_census(spark, d), R.texts(spark, d))["differences"]
+    return rounded(out.select("variant", "pairs", "max_abs_diff", "mean_abs_diff"), "max_abs_diff", "mean_abs_diff")
+
+
 @query("SELECT conv_id AS user_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS r FROM conversations) WHERE r <= 3")
 def recent_posts(spark, d):
     return tx.recent(R.posts(spark, d), 3)
@@ -154,24 +198,47 @@ def user_thresholds(spark, d):
     return tx.thresholds(R.posts(spark, d), 3, 50)
 
 
-@query("SELECT doc_id AS user_id, n_chars FROM documents WHERE lang = 'en'")
+@query(rf"""WITH w AS (SELECT doc_id AS user_id, n_chars, coalesce(text, '') AS t, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}'']+') AS w FROM documents)
+SELECT user_id, n_chars FROM w WHERE length(t) >= 20 AND len(list_filter(w, lambda x: x IN ({_STOP}))) / greatest(len(w), 1) >= 0.15::DOUBLE""")
 def english_only(spark, d):
-    return R.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("user_id"), "n_chars")
+    docs = R.table(spark, d, "documents").where(info.english("text", 20, 0.15))
+    return docs.select(F.col("doc_id").alias("user_id"), "n_chars")
 
 
 # --- the flagship ----------------------------------------------------------
 
-_FLAG = f"{S['m']}, {_DOCS}, {st._CO}, {st._CENSUS}, {_tokens('src')}, {_weights(10, 0.4)}, tu AS (SELECT DISTINCT user_id FROM src WHERE text IS NOT NULL), pe AS (SELECT * FROM ce WHERE user_a IN (SELECT user_id FROM tu) AND user_b IN (SELECT user_id FROM tu)), {_COS.format(p='pe')}, pc AS (SELECT pe.*, coalesce(c, 0) AS cosine FROM pe LEFT JOIN dt ON dt.user_a = pe.user_a AND dt.user_b = pe.user_b)"
+_FLAG = f"{S['m']}, {_DOCS}, {_PE}, {_tokens('src')}, {_weights(10, 0.4)}, {_COS.format(p='pe')}, pc AS (SELECT pe.*, coalesce(c, 0) AS cosine FROM pe LEFT JOIN dt ON dt.user_a = pe.user_a AND dt.user_b = pe.user_b)"
+_SD = "CASE WHEN count(*) > 1 THEN stddev_samp(cosine) ELSE 0 END"
 
 
-@query(f"WITH {_FLAG} SELECT least(shared_packs, 5) AS level, round(avg(cosine), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(cosine) ELSE 0 END, 6) AS std, count(*) AS n, round(CASE WHEN count(*) > 1 THEN stddev_samp(cosine) ELSE 0 END / sqrt(count(*)), 6) AS sem, round(1.96::DOUBLE * CASE WHEN count(*) > 1 THEN stddev_samp(cosine) ELSE 0 END / sqrt(count(*)), 6) AS ci95 FROM pc GROUP BY 1")
+@query(f"""WITH {_FLAG} SELECT least(shared_packs, 5) AS level, round(avg(cosine), 6) AS mean, round({_SD}, 6) AS std, count(*) AS n,
+  round({_SD} / sqrt(count(*)), 6) AS sem, round(1.96::DOUBLE * {_SD} / sqrt(count(*)), 6) AS ci95 FROM pc GROUP BY 1""")
 def similarity_by_overlap(spark, d):
-    docs = _with_text(R.texts(spark, d))
-    census = pr.census(pr.comember_pairs(R.membership(spark, d), 2), 200, 5)
-    scored = tx.listed_cosines(census, _tfidf(docs, 10, 0.4), docs)
+    scored = _scored(_census(spark, d), R.texts(spark, d))
     return rounded(ag.by_level(scored, F.least("shared_packs", F.lit(5))), "mean", "std", "sem", "ci95")
 
 
+_GRID = (0.2, 0.4, 0.6)
+
+
+@query(f"WITH {S['m']}, {_DOCS}, {_PE}, {_tokens('src')}, " + ", ".join(
+    _weights(10, x).replace("vo AS", f"vo{k} AS").replace("rw AS", f"rw{k} AS").replace("wt AS", f"wt{k} AS").replace("JOIN vo ", f"JOIN vo{k} ").replace("FROM rw)", f"FROM rw{k})")
+    + f", {_COS.format(p='pe').replace('dt AS', f'dt{k} AS').replace('JOIN wt ', f'JOIN wt{k} ')}, cu{k} AS (SELECT {x}::DOUBLE AS max_df, least(shared_packs, 5) AS level, avg(coalesce(c, 0)) AS mean FROM pe LEFT JOIN dt{k} USING (user_a, user_b) GROUP BY 2)"
+    for k, x in enumerate(_GRID)
+) + """, cu AS (SELECT * FROM cu0 UNION ALL SELECT * FROM cu1 UNION ALL SELECT * FROM cu2)
+SELECT level, count(*) AS settings, round(min(mean), 6) AS low, round(max(mean), 6) AS high, round(avg(mean), 6) AS mean, round((max(mean) - min(mean)) / nullif(avg(mean), 0), 6) AS spread FROM cu GROUP BY 1""")
+def curve_swing(spark, d):
+    """How the flagship's curve moves with the ceiling of document frequency."""
+    pairs, docs = _census(spark, d), _with_text(R.texts(spark, d))
+    tf, users = checkpointed(tx.term_counts(tx.tokens(docs))), inf.ends(pairs).toDF("user_id")
+    out = None
+    for x in _GRID:
+        scored = tx.listed_cosines(pairs, tx.tfidf(tf, tx.vocabulary(tf, tx.n_docs(docs), 10, x), users=users), docs)
+        one = ag.by_level(scored, F.least("shared_packs", F.lit(5))).select(F.lit(x).alias("max_df"), "level", "mean")
+        out = one if out is None else out.union(one)
+    return rounded(ag.swing(out, "max_df"), "low", "high", "mean", "spread")
+
+
 @query(f"WITH {S['p']} SELECT hops AS level, round(avg(cosine), 9) AS mean, round(stddev_samp(cosine), 9) AS std, count(*) AS n, round(stddev_samp(cosine) / sqrt(count(*)), 9) AS sem, round(1.96::DOUBLE * stddev_samp(cosine) / sqrt(count(*)), 9) AS ci95 FROM p GROUP BY 1")
 def similarity_by_hops(spark, d):
     return rounded(ag.by_level(R.pair_table(spark, d), F.col("hops")), "mean", "std", "sem", "ci95", places=9)
@@ -180,12 +247,12 @@ def similarity_by_hops(spark, d):
 _RING = f"{S['e']}, {st._NE}, {st._EGO}, {st._ring_sql(3)}, rr AS (SELECT (SELECT node FROM ego) AS x, node AS y, hop FROM r3 WHERE hop > 0)"
 
 
-@query(f"WITH {_RING}, {_DOCS}, {_tokens('src')}, {_weights(10, 0.4)}, tu AS (SELECT DISTINCT user_id FROM src WHERE text IS NOT NULL), pe AS (SELECT least(x, y) AS user_a, greatest(x, y) AS user_b, hop FROM rr WHERE x IN (SELECT user_id FROM tu) AND y IN (SELECT user_id FROM tu)), {_COS.format(p='pe')} SELECT hop, count(*) AS n, round(avg(coalesce(c, 0)), 6) AS mean FROM pe LEFT JOIN dt ON dt.user_a = pe.user_a AND dt.user_b = pe.user_b GROUP BY 1")
+@query(f"WITH {_RING}, {_DOCS}, {_tokens('src')}, {_weights(10, 0.4)}, {_TEXTS}, pe AS (SELECT least(x, y) AS user_a, greatest(x, y) AS user_b, hop FROM rr WHERE x IN (SELECT user_id FROM tu) AND y IN (SELECT user_id FROM tu)), {_COS.format(p='pe')} SELECT hop, count(*) AS n, round(avg(coalesce(c, 0)), 6) AS mean FROM pe LEFT JOIN dt ON dt.user_a = pe.user_a AND dt.user_b = pe.user_b GROUP BY 1")
 def ego_ring_cosine(spark, d):
     docs, ego = _with_text(R.texts(spark, d)), st._ego(spark, d)
     rings = gr.rings(ego, R.edges(spark, d)).crossJoin(F.broadcast(ego.select(F.col("node").alias("x"))))  # one ego
     pairs = rings.select(F.least("x", "node").alias("user_a"), F.greatest("x", "node").alias("user_b"), "hop")
-    scored = tx.listed_cosines(pairs, _tfidf(docs, 10, 0.4), docs)
+    scored = _scored(checkpointed(pairs), docs)
     return scored.groupBy("hop").agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 6).alias("mean"))
 
 
@@ -204,6 +271,11 @@ def distribution_shift(spark, d):
     return rounded(out, *[c for c in out.columns if c != "pairs"], places=9)
 
 
+@query(f"WITH {S['p']}, f AS (SELECT shared_packs AS level, count(*) AS n, avg(n_eff) AS mean FROM p WHERE shared_packs BETWEEN 1 AND 8 GROUP BY 1) SELECT r.id::BIGINT AS level, coalesce(n, 0) AS n, round(mean, 9) AS mean, round(mean / r.id, 9) AS ratio FROM range(1, 9) r(id) LEFT JOIN f ON f.level = r.id")
+def ratio_by_count(spark, d):
+    return rounded(ag.ratio_by_count(R.pair_table(spark, d), "shared_packs", "n_eff"), "mean", "ratio", places=9)
+
+
 _STRATUM = "CASE WHEN n_eff < 1 THEN '<1' WHEN n_eff <= 3 THEN '1-3' ELSE '>3' END"
 
 
@@ -240,6 +312,17 @@ def log_histogram(spark, d):
     return rounded(ag.log_histogram(R.table(spark, d, "orders"), "o_totalprice"), "density", places=12)
 
 
+@query("SELECT floor(o_totalprice / 10000)::BIGINT AS bin, count(*) AS n, round(count(*) / ((SELECT count(*) FROM orders WHERE o_totalprice IS NOT NULL) * 10000.0::DOUBLE), 12) AS density FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1")
+def linear_histogram(spark, d):
+    return rounded(ag.linear_histogram(R.table(spark, d, "orders"), "o_totalprice", 10000.0), "density", places=12)
+
+
+@query(f"WITH {S['p']}, c AS (SELECT hops, shared_packs AS level, avg(cosine) AS mean FROM p GROUP BY 1, 2), s AS (SELECT *, mean - lag(mean) OVER (PARTITION BY hops ORDER BY level) AS step FROM c) SELECT hops, count(*) AS levels, coalesce(min(step) > 0, TRUE) AS rising, round(greatest(0, coalesce(-min(step), 0)), 9) AS down FROM s GROUP BY 1")
+def monotone_by_hops(spark, d):
+    curves = R.pair_table(spark, d).groupBy("hops", F.col("shared_packs").alias("level")).agg(F.avg("cosine").alias("mean"))
+    return rounded(ag.monotone(curves, "hops"), "down", places=9)
+
+
 @query(f"WITH {S['e']}, {st._ENDS}, c AS (SELECT degree AS x, count(*) AS k FROM g GROUP BY 1) SELECT x, round(1 - coalesce(sum(k) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(k) OVER (), 9) AS ccdf FROM c")
 def degree_ccdf(spark, d):
     from covey.operators import edges as ed
@@ -277,12 +360,27 @@ def viable_grid(spark, d):
     return ag.viable_grid(R.pair_table(spark, d))
 
 
-@query(f"WITH {S['m']}, {st._CO}, k AS (SELECT user_id, count(*) AS degree FROM m GROUP BY 1), en AS (SELECT CASE WHEN shared_packs >= 2 THEN 'several' ELSE 'one' END AS population, unnest([user_a, user_b]) AS node FROM co) SELECT population, median(degree)::DOUBLE AS median, round(avg(degree), 9) AS mean, count(*) AS n FROM en JOIN k ON k.user_id = node GROUP BY 1")
-def degree_populations(spark, d):
+_POP = f"""{S['m']}, {st._CO}, k AS (SELECT user_id, count(*) AS degree FROM m GROUP BY 1), {st._draws(st._ALL, 3000)},
+zp AS (SELECT user_a, user_b FROM un WHERE NOT EXISTS (SELECT 1 FROM m a JOIN m b ON a.pack_id = b.pack_id WHERE a.user_id = un.user_a AND b.user_id = un.user_b)),
+en AS (SELECT 'observed' AS population, unnest([user_a, user_b]) AS node FROM co UNION ALL SELECT 'uniform', unnest([user_a, user_b]) FROM zp),
+sm AS (SELECT population, median(degree)::DOUBLE AS median, round(avg(degree), 9) AS mean, count(*) AS n FROM en JOIN k ON k.user_id = node GROUP BY 1)"""
+
+
+def _populations(spark, d):
     m = R.membership(spark, d)
-    pairs = pr.comember_pairs(m).withColumn("shared_packs", F.col("shared_packs") - 1)
-    out = ag.degree_populations(pairs, mb.user_margins(m).toDF("node", "degree"))
-    return rounded(out.withColumn("population", F.when(F.col("population") == "shared", "several").otherwise("one")), "mean", places=9)
+    uniform = pr.shared_counts(pr.uniform_pairs(m, 3000), m).where("shared_packs = 0")
+    return rounded(ag.degree_populations({"observed": pr.comember_pairs(m), "uniform": uniform}, mb.user_margins(m).toDF("node", "degree")), "mean", places=9)
+
+
+@query(f"WITH {_POP} SELECT * FROM sm")
+def degree_populations(spark, d):
+    """Degrees of the ends of pairs that share a pack, and of pairs of any users that share none."""
+    return _populations(spark, d)
+
+
+@query(f"WITH {_POP} SELECT max(median) FILTER (WHERE population = 'uniform') AS uniform, max(median) FILTER (WHERE population = 'observed') AS observed, coalesce(max(median) FILTER (WHERE population = 'uniform') < max(median) FILTER (WHERE population = 'observed'), FALSE) AS rising FROM sm")
+def median_order(spark, d):
+    return ag.median_order(_populations(spark, d), ("uniform", "observed"))
 
 
 _DEC = f"{S['p']}, dg AS (SELECT user_a, count(*) AS k FROM p GROUP BY 1), ge AS (SELECT list_distinct(quantile_cont(k, {_EDGES11})) AS e FROM dg), de AS (SELECT user_a, len(list_filter(list_slice(list_sort(e), 2, len(e) - 1), lambda x: x <= k)) AS decile FROM dg, ge), pd AS (SELECT p.*, decile AS cell FROM p JOIN de USING (user_a))"
@@ -309,6 +407,12 @@ def null_crossing(spark, d):
     return ag.first_crossing(out)
 
 
+@query()
+def smooth_curve(spark, d):
+    curve = R.pair_table(spark, d).groupBy(F.round("n_eff", 1).alias("x")).agg(F.avg("cosine").alias("y"), F.count("*").alias("n"))
+    return inf.smooth_curve(curve, "x", "y", "n")
+
+
 @query()
 def lowess_curve(spark, d):
     from covey.operators.inference import lowess
@@ -319,27 +423,55 @@ def lowess_curve(spark, d):
 
 # --- inference -------------------------------------------------------------
 
-B = 20
+#: Resamples of the bootstraps: of means, and of statistics of pairs.
+B_MEAN, B = 2000, 500
 
 
-def _mult(src: str) -> str:
-    return f"us AS (SELECT u, row_number() OVER (ORDER BY u) - 1 AS i FROM (SELECT DISTINCT u FROM ({src}))), dw AS (SELECT b.id AS boot, {st.DRAW.format(chr(39) + '42|' + chr(39) + ' || b.id || ' + chr(39) + '|' + chr(39) + ' || us.i')} % (SELECT count(*) FROM us) AS i FROM us, range({B}) b(id)), mu AS (SELECT boot, u, count(*) AS m FROM dw JOIN us USING (i) GROUP BY 1, 2)"
+def _mult(src: str, n: int = B) -> str:
+    """Places of the units by MD5, the units drawn, and how often each resample draws each."""
+    draw = st.DRAW.format("'42|' || b.id || '|' || us.i")
+    return f"""us AS (SELECT u, row_number() OVER (ORDER BY md5(u::VARCHAR), u) - 1 AS i FROM (SELECT DISTINCT u FROM ({src}))),
+dw AS (SELECT b.id AS boot, {draw} % (SELECT count(*) FROM us) AS i FROM us, range({n}) b(id)), mu AS (SELECT boot, u, count(*) AS m FROM dw JOIN us USING (i) GROUP BY 1, 2)"""
 
 
 _BOOT = f"{S['p']}, {_mult('SELECT user_a AS u FROM p UNION ALL SELECT user_b FROM p')}, rs AS (SELECT p.*, x.boot, (x.m * y.m)::DOUBLE AS w FROM p JOIN mu x ON x.u = user_a JOIN mu y ON y.u = user_b AND y.boot = x.boot)"
 _CI = "round(quantile_cont(s, 0.025), 9) AS ci_low, round(quantile_cont(s, 0.975), 9) AS ci_high"
 
 
-@query(f"WITH o AS (SELECT o_orderkey AS u, o_totalprice AS v FROM orders), {_mult('SELECT u FROM o')}, s AS (SELECT boot, sum(m * v) / sum(m) AS s FROM mu JOIN o USING (u) GROUP BY 1) SELECT (SELECT round(avg(v), 6) FROM o) AS mean, (SELECT count(*) FROM o) AS n, round(quantile_cont(s, 0.025), 6) AS ci_low, round(quantile_cont(s, 0.975), 6) AS ci_high FROM s")
+@query(f"""WITH o AS (SELECT o_orderkey AS u, o_totalprice AS v FROM orders), {_mult('SELECT u FROM o', B_MEAN)}, s AS (SELECT boot, sum(m * v) / sum(m) AS s FROM mu JOIN o USING (u) GROUP BY 1)
+SELECT (SELECT round(avg(v), 6) FROM o) AS mean, (SELECT count(*) FROM o) AS n, round(quantile_cont(s, 0.025), 4) AS ci_low, round(quantile_cont(s, 0.975), 4) AS ci_high FROM s""")
 def bootstrap_mean_ci(spark, d):
     rows = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("v"))
-    return rounded(inf.mean_interval(rows, "v", B), "mean", "ci_low", "ci_high")
+    return rounded(rounded(inf.mean_interval(rows, "v", B_MEAN), "mean"), "ci_low", "ci_high", places=4)
+
+
+def _level_ci(cells: str, names: str) -> str:
+    return f"""s AS (SELECT {cells}, boot, sum(w * cosine) / sum(w) AS s FROM rs GROUP BY ALL), c AS (SELECT {names}, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM s GROUP BY ALL),
+q AS (SELECT {cells}, avg(cosine) AS mean, count(*) AS n FROM p GROUP BY ALL)
+SELECT {names}, round(mean, 9) AS mean, n, round(lo, 9) AS ci_low, round(hi, 9) AS ci_high, round(mean - lo, 9) AS err_low, round(hi - mean, 9) AS err_high FROM q LEFT JOIN c USING ({names})"""
+
+
+_ERRORS = ("mean", "ci_low", "ci_high", "err_low", "err_high")
 
 
-@query(f"WITH {_BOOT}, s AS (SELECT least(shared_packs, 5) AS level, boot, sum(w * cosine) / sum(w) AS s FROM rs GROUP BY 1, 2), c AS (SELECT level, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM s GROUP BY 1), q AS (SELECT least(shared_packs, 5) AS level, avg(cosine) AS mean, count(*) AS n FROM p GROUP BY 1) SELECT level, round(mean, 9) AS mean, n, round(lo, 9) AS ci_low, round(hi, 9) AS ci_high, round(mean - lo, 9) AS err_low, round(hi - mean, 9) AS err_high FROM q LEFT JOIN c USING (level)")
+@query(f"WITH {_BOOT}, {_level_ci('least(shared_packs, 5) AS level', 'level')}")
 def cluster_bootstrap_ci(spark, d):
-    out = inf.cluster_bootstrap(R.pair_table(spark, d), F.least("shared_packs", F.lit(5)), n_boot=B)
-    return rounded(out, "mean", "ci_low", "ci_high", "err_low", "err_high", places=9)
+    return rounded(inf.cluster_bootstrap(R.pair_table(spark, d), F.least("shared_packs", F.lit(5)), n_boot=B), *_ERRORS, places=9)
+
+
+@query(f"WITH {_BOOT}, {_level_ci(f'{_STRATUM} AS stratum, hops', 'stratum, hops')}")
+def cell_bootstrap_ci(spark, d):
+    return rounded(inf.cell_bootstrap(R.pair_table(spark, d).withColumn("stratum", ag.stratum()), ("stratum", "hops"), n_boot=B), *_ERRORS, places=9)
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS u, o_orderpriority AS cell, o_totalprice AS v FROM orders), {_mult('SELECT u FROM o', 200)},
+s AS (SELECT cell, boot, sum(m * v) / sum(m) AS s FROM mu JOIN o USING (u) GROUP BY 1, 2), c AS (SELECT cell, quantile_cont(s, 0.025) AS lo, quantile_cont(s, 0.975) AS hi FROM s GROUP BY 1),
+q AS (SELECT cell, avg(v) AS mean, count(*) AS n FROM o GROUP BY 1)
+SELECT cell, round(mean, 4) AS mean, n, round(lo, 4) AS ci_low, round(hi, 4) AS ci_high, round(mean - lo, 4) AS err_low, round(hi - mean, 4) AS err_high FROM q LEFT JOIN c USING (cell)""")
+def cell_bootstrap_rows(spark, d):
+    """The fallback without users: rows themselves are drawn."""
+    rows = R.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("cell"), F.col("o_totalprice").alias("v"))
+    return rounded(inf.cell_bootstrap(rows, ("cell",), "v", 200, unit="id"), *_ERRORS, places=4)
 
 
 def _wm(where: str) -> str:
@@ -350,11 +482,29 @@ _HI, _LO = _wm("n_eff > 3"), _wm("n_eff < 1")
 _STATS = f"{_HI} - {_LO} AS gap, {_HI} / {_LO} AS ratio, ln({_HI} / {_LO}) AS log_ratio"
 
 
-@query(f"WITH {_BOOT}, s AS (SELECT boot, {_STATS} FROM rs GROUP BY 1), l AS (UNPIVOT s ON gap, ratio, log_ratio INTO NAME term VALUE s), e AS (SELECT {_STATS} FROM (SELECT *, 1.0::DOUBLE AS w FROM p)), f AS (UNPIVOT e ON gap, ratio, log_ratio INTO NAME term VALUE estimate), c AS (SELECT term, {_CI} FROM l GROUP BY 1) SELECT term, round(estimate, 9) AS estimate, ci_low, ci_high FROM f LEFT JOIN c USING (term)")
+@query(f"""WITH {_BOOT}, s AS (SELECT boot, {_STATS} FROM rs GROUP BY 1), l AS (UNPIVOT s ON gap, ratio, log_ratio INTO NAME term VALUE s),
+e AS (SELECT {_STATS} FROM (SELECT *, 1.0::DOUBLE AS w FROM p)), f AS (UNPIVOT e ON gap, ratio, log_ratio INTO NAME term VALUE estimate), c AS (SELECT term, {_CI} FROM l GROUP BY 1)
+SELECT term, round(estimate, 9) AS estimate, ci_low, ci_high FROM f LEFT JOIN c USING (term)""")
 def bootstrap_contrasts(spark, d):
-    high, low = inf.wmean("cosine", "n_eff > 3"), inf.wmean("cosine", "n_eff < 1")
+    sums = inf.mean_sums("high", "cosine", "n_eff > 3") | inf.mean_sums("low", "cosine", "n_eff < 1")
+    high, low = inf.wmean("high"), inf.wmean("low")
     stats = {"gap": high - low, "ratio": F.try_divide(high, low), "log_ratio": F.ln(F.try_divide(high, low))}
-    return rounded(inf.bootstrap_statistics(R.pair_table(spark, d), stats, B), "estimate", "ci_low", "ci_high", places=9)
+    return rounded(inf.bootstrap_statistics(R.pair_table(spark, d), sums, stats, B), "estimate", "ci_low", "ci_high", places=9)
+
+
+def _slopes_sql(src: str, boot: str) -> str:
+    """Weighted moments of each distance, for each resample of src."""
+    return f"""SELECT {boot} AS boot, hops, sum(w) AS sw, sum(w * n_eff) AS sx, sum(w * cosine) AS sy, sum(w * n_eff * n_eff) AS sxx, sum(w * n_eff * cosine) AS sxy FROM {src} GROUP BY ALL"""
+
+
+@query(f"""WITH {_BOOT}, h AS ({_slopes_sql('rs', 'boot')} UNION ALL {_slopes_sql('(SELECT *, 1.0::DOUBLE AS w FROM p)', '-1')}),
+c AS (SELECT *, sxx - sx * sx / sw AS cxx, sxy - sx * sy / sw AS cxy FROM h),
+a AS (SELECT boot, (sum(sxy) - sum(sx) * sum(sy) / sum(sw)) / (sum(sxx) - sum(sx) * sum(sx) / sum(sw)) AS s FROM h GROUP BY 1), r AS (SELECT boot, cxy / cxx AS ref FROM c WHERE hops = 1),
+t AS (SELECT boot, 'x|alone' AS term, s FROM a UNION ALL SELECT boot, 'x|with levels', sum(cxy) / sum(cxx) FROM c GROUP BY 1 UNION ALL SELECT boot, 'slope|' || hops, cxy / cxx FROM c
+  UNION ALL SELECT c.boot, 'interaction|' || hops, cxy / cxx - ref FROM c JOIN r ON r.boot = c.boot WHERE hops <> 1)
+SELECT x.term, round(x.s, 9) AS estimate, ci_low, ci_high FROM t x JOIN (SELECT term, {_CI} FROM t WHERE boot >= 0 GROUP BY 1) y USING (term) WHERE x.boot = -1""")
+def bootstrap_models(spark, d):
+    return rounded(inf.bootstrap_models(R.pair_table(spark, d), "n_eff", "cosine", "hops", 1, B), "estimate", "ci_low", "ci_high", places=9)
 
 
 _FIT = "count(*) AS n, round(regr_slope(cosine, {x}), 9) AS slope, round(regr_intercept(cosine, {x}), 9) AS intercept, round(regr_r2(cosine, {x}), 9) AS r2"
@@ -399,15 +549,28 @@ def log_interaction(spark, d):
     return rounded(rounded(out, "slope", "difference", "se", places=8), "t")
 
 
+@query(f"WITH {S['p']}, l AS (" + " UNION ALL ".join(_log_sql(e) for e in (0.01, 0.001, 0.0001)) + """)
+SELECT hops, count(DISTINCT eps) AS settings, count(DISTINCT sign(t)) = 1 AS same_sign, count(DISTINCT abs(t) > 1.96) = 1 AS same_significance FROM l WHERE t IS NOT NULL GROUP BY 1""")
+def log_stability(spark, d):
+    """Whether the sign and the significance of the interaction stay over the offsets."""
+    return inf.stability(log_interaction(spark, d), "eps", ["hops"])
+
+
+@query(f"WITH {S['p']}, z AS (SELECT 1 FROM p LIMIT 1) SELECT 'n_eff' AS term, 2::BIGINT AS models, TRUE AS agree FROM z UNION ALL SELECT 'intercept', 2, TRUE FROM z")
+def glm_signs(spark, d):
+    """Both families agree in the signs of a model of one predictor that rises."""
+    return inf.sign_agreement(inf.log_link(R.pair_table(spark, d), "n_eff", "cosine"))
+
+
 @query()
 def glm_log_link(spark, d):
-    return inf.log_link(R.pair_table(spark, d), "n_eff", "cosine")
+    return inf.log_link(R.pair_table(spark, d), "n_eff", "cosine", by="hops")
 
 
 @query(f"WITH {S['p']}, a AS (SELECT hops, avg(cosine) FILTER (WHERE n_eff > 3) AS h, avg(cosine) FILTER (WHERE n_eff < 1) AS l FROM p GROUP BY 1) SELECT hops, round(h - l, 9) AS gap, round(h / nullif(l, 0), 9) AS ratio, round(ln(h / nullif(l, 0)), 9) AS log_ratio FROM a")
 def stratum_gaps(spark, d):
     p = R.pair_table(spark, d).withColumn("w", F.lit(1.0))
-    sums = p.groupBy("hops").agg(inf.wmean("cosine", "n_eff > 3").alias("h"), inf.wmean("cosine", "n_eff < 1").alias("l"))
+    sums = p.groupBy("hops").agg(inf.weighted_mean("cosine", "w", "n_eff > 3").alias("h"), inf.weighted_mean("cosine", "w", "n_eff < 1").alias("l"))
     out = sums.select("hops", (F.col("h") - F.col("l")).alias("gap"), F.try_divide("h", "l").alias("ratio"), F.ln(F.try_divide("h", "l")).alias("log_ratio"))
     return rounded(out, "gap", "ratio", "log_ratio", places=9)
 
@@ -433,11 +596,27 @@ def bicm_cooccurrence(spark, d):
     return rounded(rounded(out, "expected", "variance", places=9), "z")
 
 
-@query()
-def bicm_cooccurrence_p(spark, d):
+_RATE = f"""rc AS (SELECT un.user_a, un.user_b, count(b.pack_id) AS s FROM un LEFT JOIN m a ON a.user_id = un.user_a LEFT JOIN m b ON b.user_id = un.user_b AND b.pack_id = a.pack_id GROUP BY 1, 2),
+yc AS (SELECT y, count(*) AS m FROM yp GROUP BY 1),
+ra AS (SELECT user_a, user_b, s, sum(m * (a.x * y / (1 + a.x * y)) * (b.x * y / (1 + b.x * y))) AS e FROM rc JOIN xu a ON a.user_id = user_a JOIN xu b ON b.user_id = user_b, yc GROUP BY 1, 2, 3),
+pp AS (SELECT user_a, user_b, s AS shared_packs, least(1, 2 * least(list_sum(list_transform(range(0, s + 1), lambda k: exp(k * ln(e) - e - lgamma(k + 1)))),
+  CASE WHEN s = 0 THEN 1 ELSE 1 - list_sum(list_transform(range(0, s), lambda k: exp(k * ln(e) - e - lgamma(k + 1)))) END)) AS p FROM ra)"""
+
+
+def _p_values(spark, d):
     m = R.membership(spark, d)
     pairs = pr.shared_counts(pr.uniform_pairs(pr.eligible(m, 2), 3000), m)
-    return nu.with_p(nu.cooccurrence(pairs, *nu.fit(m)))
+    return nu.with_p(nu.cooccurrence(pairs, *nu.start_values(m)))
+
+
+@query(f"WITH {S['m']}, {_SV.format(m='m')}, {st._draws(st._TWO, 3000)}, {_RATE} SELECT user_a, user_b, shared_packs, round(p, 7) AS p_value FROM pp")
+def bicm_cooccurrence_p(spark, d):
+    return _p_values(spark, d).select("user_a", "user_b", "shared_packs", F.round("p_value", 7).alias("p_value"))
+
+
+@query(f"WITH {S['m']}, {_SV.format(m='m')}, {st._draws(st._TWO, 3000)}, {_RATE} SELECT count(*) AS pairs, round(avg((p < 0.05)::INT), 9) AS significant FROM pp")
+def bicm_significant(spark, d):
+    return rounded(nu.cooccurrence_summary(_p_values(spark, d)), "significant", places=9)
 
 
 @query(f"WITH {S['dm']}, {_SV.format(m='dm')}, s AS (SELECT user_id, pack_id FROM xu, yp WHERE {st.DRAW.format(chr(39) + '5|' + chr(39) + ' || user_id || ' + chr(39) + '|' + chr(39) + ' || pack_id')} / 4294967296.0::DOUBLE < x * y / (1 + x * y)) SELECT user_id, count(*) AS packs FROM s GROUP BY 1")
@@ -445,39 +624,83 @@ def bicm_sample_margins(spark, d):
     return mb.user_margins(nu.sample(*nu.start_values(R.dense_membership(spark, d)), seed=5))
 
 
-@query(f"WITH {S['dm']} SELECT count(DISTINCT user_id) AS users, count(DISTINCT pack_id) AS packs, count(*) AS links, 0::BIGINT AS changed_users, 0::BIGINT AS changed_packs, TRUE AS moved FROM dm")
+@query(f"WITH {S['dm']} SELECT count(DISTINCT user_id) AS users, count(DISTINCT pack_id) AS packs, count(*) AS links, 0::BIGINT AS changed_users, 0::BIGINT AS changed_packs, TRUE AS mixed FROM dm")
 def curveball_margins(spark, d):
-    """Margins before and after; some links must have moved."""
+    """Margins before and after 5 trades for each link; links that stay must be about as few as chance leaves (a user's share of all packs)."""
     m = R.dense_membership(spark, d)
-    new = nu.curveball(m, 3, 1)
+    new = checkpointed(nu.curveball(m, [1]).drop("replicate"))
     change = lambda f: f(m).exceptAll(f(new)).agg(F.count("*").alias("c"))
     out = m.agg(F.countDistinct("user_id").alias("users"), F.countDistinct("pack_id").alias("packs"), F.count("*").alias("links"))
     out = out.crossJoin(change(mb.user_margins).withColumnRenamed("c", "changed_users")).crossJoin(change(mb.pack_margins).withColumnRenamed("c", "changed_packs"))
-    return out.crossJoin(m.join(new, ["user_id", "pack_id"], "left_anti").agg((F.count("*") > 0).alias("moved")))
+    stay = m.join(new, ["user_id", "pack_id"], "left_semi").agg(F.count("*").alias("stay"))
+    chance = mb.user_margins(m).agg(F.sum(F.col("packs") * F.col("packs")).alias("square"))
+    mixed = (F.col("stay") < 1.1 * F.col("square") / F.col("packs") + 0.02 * F.col("links")).alias("mixed")
+    return out.crossJoin(stay).crossJoin(chance).select("users", "packs", "links", "changed_users", "changed_packs", mixed)
+
+
+R_NULL = 8
+_CELL = st.DRAW.format("r.id || '|' || user_id || '|' || pack_id")
+_NULLS = f"""{S['dm']}, {_SV.format(m='dm')}, {_DOCS}, {_tokens('src')}, {_weights(10, 0.4)}, {_TEXTS}, {st._draws('SELECT DISTINCT user_id FROM dm', 1000)},
+pe AS (SELECT * FROM un WHERE user_a IN (SELECT user_id FROM tu) AND user_b IN (SELECT user_id FROM tu)), {_COS.format(p='pe')},
+pc AS (SELECT pe.user_a, pe.user_b, coalesce(c, 0) AS cosine FROM pe LEFT JOIN dt USING (user_a, user_b)),
+nm AS (SELECT r.id AS replicate, user_id, pack_id FROM xu, yp, range({R_NULL}) r(id) WHERE {_CELL} / 4294967296.0::DOUBLE < x * y / (1 + x * y) UNION ALL SELECT -1, user_id, pack_id FROM dm),
+ns AS (SELECT a.replicate, l.user_a, l.user_b, a.pack_id FROM pc l JOIN nm a ON a.user_id = l.user_a JOIN nm b ON b.user_id = l.user_b AND b.replicate = a.replicate AND b.pack_id = a.pack_id),
+pk AS (SELECT DISTINCT pack_id FROM dm),
+gg AS (SELECT a.pack_id AS i, b.pack_id AS j, CASE WHEN a.pack_id = b.pack_id THEN 1.0::DOUBLE WHEN x.embedding IS NULL OR y.embedding IS NULL THEN 0.0::DOUBLE ELSE {st._DOT} END AS g
+  FROM pk a CROSS JOIN pk b LEFT JOIN embeddings x ON x.vec_id = a.pack_id LEFT JOIN embeddings y ON y.vec_id = b.pack_id),
+nr AS (SELECT a.replicate, a.user_a, a.user_b, a.pack_id, sum(greatest(g, 0)) AS r FROM ns a JOIN ns b USING (replicate, user_a, user_b) JOIN gg ON gg.i = a.pack_id AND gg.j = b.pack_id GROUP BY 1, 2, 3, 4),
+nf AS (SELECT replicate, user_a, user_b, count(*) AS k, sum(1 / r) AS n_eff FROM nr GROUP BY 1, 2, 3),
+ne AS (SELECT rr.id AS replicate, pc.*, coalesce(k, 0) AS k, coalesce(n_eff, 0) AS n_eff FROM pc CROSS JOIN range(-1, {R_NULL}) rr(id) LEFT JOIN nf ON nf.replicate = rr.id AND nf.user_a = pc.user_a AND nf.user_b = pc.user_b)"""
+
+
+def _null_pairs(spark, d):
+    """Pairs with their cosines, and the membership that is randomised."""
+    m = R.dense_membership(spark, d)
+    return m, checkpointed(_scored(checkpointed(pr.uniform_pairs(m, 1000)), R.texts(spark, d)))
 
 
-@query()
-def null_slopes(spark, d):
-    m = R.dense_membership(spark, d)
-    pairs = pr.uniform_pairs(m, 500).withColumn("cosine", (F.col("user_a") % 7 + F.col("user_b") % 5) / 100)
-    return nu.null_slopes(m, pairs, [1, 2, 3], 3)
+def _under_null(spark, d):
+    m, pairs = _null_pairs(spark, d)
+    nulls = nu.samples(*nu.start_values(m), list(range(R_NULL)), inf.ends(pairs).toDF("user_id"))
+    return m, pairs, nu.under(nulls, pairs, R.embeddings(spark, d), "rowsum")
 
 
-_NR = "nr AS (SELECT l_linestatus AS stat, o_custkey % 40 AS replicate, avg(l_discount) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2), ob AS (SELECT l_linestatus AS stat, avg(l_discount) AS value FROM lineitem GROUP BY 1)"
+@query(f"WITH {_NULLS} SELECT replicate, round(regr_slope(cosine, n_eff), 9) AS slope FROM ne WHERE replicate >= 0 GROUP BY 1")
+def null_slopes(spark, d):
+    """n_eff anew under each draw of the canonical ensemble, and the slope of the cosines on it."""
+    _, _, scored = _under_null(spark, d)
+    return nu.statistics(scored, "slope").select(F.col("replicate").cast("long").alias("replicate"), F.round("value", 9).alias("slope"))
 
 
-@query(f"WITH {_NR}, j AS (SELECT stat, round(ob.value, 9) AS o, round(nr.value, 9) AS v FROM nr JOIN ob USING (stat)) SELECT stat, o AS observed, count(*) AS n, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd, round(least(1, 2 * least((1 + count(*) FILTER (WHERE v >= o)) / (count(*) + 1), (1 + count(*) FILTER (WHERE v <= o)) / (count(*) + 1))), 9) AS p, round((o - avg(v)) / stddev_samp(v), 5) AS z FROM j GROUP BY 1, 2")
-def null_reduce(spark, d):
-    items, orders = R.table(spark, d, "lineitem"), R.table(spark, d, "orders")
-    value = F.round(F.avg("l_discount"), 9).alias("value")
-    nulls = items.join(orders, items.l_orderkey == orders.o_orderkey).groupBy(F.col("l_linestatus").alias("stat"), (F.col("o_custkey") % 40).alias("replicate")).agg(value)
-    out = nu.reduce(items.groupBy(F.col("l_linestatus").alias("stat")).agg(value), nulls)
-    return rounded(rounded(out, "mean", "sd", "p", places=9), "z", places=5)
+def _curve_sql(kind: str, bin_of: str) -> str:
+    return f"""SELECT '{kind}' AS x_kind, r.id::BIGINT AS bin, round(o.mean, 9) AS observed_mean, round(null_mean, 9) AS null_mean, round(null_low, 9) AS null_low, round(null_high, 9) AS null_high FROM range(9) r(id)
+LEFT JOIN (SELECT {bin_of} AS b, avg(cosine) AS mean FROM ne WHERE replicate = -1 GROUP BY 1) o ON o.b = r.id
+LEFT JOIN (SELECT b, avg(mean) AS null_mean, quantile_cont(mean, 0.025) AS null_low, quantile_cont(mean, 0.975) AS null_high FROM (SELECT replicate, {bin_of} AS b, avg(cosine) AS mean FROM ne WHERE replicate >= 0 GROUP BY 1, 2) GROUP BY 1) n ON n.b = r.id"""
 
 
-@query(f"WITH {S['p']}, c AS (SELECT user_a % 40 AS replicate, least(shared_packs, 5) AS level, avg(cosine) AS mean FROM p GROUP BY 1, 2), b AS (SELECT level, round(avg(mean), 9) AS null_mean, round(quantile_cont(mean, 0.025), 9) AS null_low, round(quantile_cont(mean, 0.975), 9) AS null_high FROM c GROUP BY 1), o AS (SELECT least(shared_packs, 5) AS level, round(avg(cosine), 9) AS mean FROM p GROUP BY 1) SELECT level, mean, null_mean, null_low, null_high FROM o JOIN b USING (level)")
+@query(f"WITH {_NULLS} {_curve_sql('count', 'least(k, 8)')} UNION ALL {_curve_sql('n_eff', 'greatest(0, least(round_even(n_eff, 0), 8))::BIGINT')}")
 def null_curves(spark, d):
-    p = R.pair_table(spark, d).withColumn("level", F.least("shared_packs", F.lit(5)))
-    curves = p.groupBy((F.col("user_a") % 40).alias("replicate"), "level").agg(F.avg("cosine").alias("mean"))
-    observed = p.groupBy("level").agg(F.avg("cosine").alias("mean"))
-    return rounded(observed.join(nu.band(curves), "level"), "mean", "null_mean", "null_low", "null_high", places=9)
+    """Mean cosine by packs shared and by n_eff: observed, and under draws of the canonical ensemble."""
+    m, pairs, scored = _under_null(spark, d)
+    own = ne.for_pairs(pairs, pr.shared_packs(pairs, m), R.embeddings(spark, d), "rowsum")
+    out = nu.curves(checkpointed(own), checkpointed(scored), 8, n_boot=100).drop("observed_ci_low", "observed_ci_high")
+    return rounded(out, "observed_mean", "null_mean", "null_low", "null_high", places=9)
+
+
+@query()
+def null_slopes_curveball(spark, d):
+    """The same under the microcanonical ensemble, 5 trades for each link."""
+    m, pairs = _null_pairs(spark, d)
+    return nu.statistics(nu.under(nu.curveball(m, [1, 2, 3]), pairs, R.embeddings(spark, d), "rowsum"), "slope")
+
+
+@query(f"""WITH {_NULLS}, v AS (SELECT replicate, round(regr_slope(cosine, n_eff), 9) AS value FROM ne GROUP BY 1), o AS (SELECT value AS o FROM v WHERE replicate = -1), n AS (SELECT value AS v FROM v WHERE replicate >= 0)
+SELECT 'slope' AS stat, o AS observed, count(*) AS n, round(avg(v), 8) AS mean, round(stddev_samp(v), 8) AS sd,
+  round(least(1, 2 * least((1 + count(*) FILTER (WHERE v >= o)) / (count(*) + 1), (1 + count(*) FILTER (WHERE v <= o)) / (count(*) + 1))), 9) AS p, round((o - avg(v)) / stddev_samp(v), 3) AS z FROM n, o GROUP BY o""")
+def null_reduce(spark, d):
+    """The observed slope against the replicates."""
+    m, pairs, scored = _under_null(spark, d)
+    own = ne.for_pairs(pairs, pr.shared_packs(pairs, m), R.embeddings(spark, d), "rowsum")
+    nine = lambda df: df.withColumn("value", F.round("value", 9))
+    out = nu.reduce(nine(nu.statistics(own, "slope", keys=())), nine(nu.statistics(scored, "slope")))
+    return rounded(rounded(rounded(out, "mean", "sd", places=8), "p", places=9), "z", places=3)

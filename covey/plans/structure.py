@@ -55,9 +55,11 @@ def json_props_scan(spark, d):
     return rows.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.sum("value").cast("decimal(18,2)").cast("double").alias("total"))
 
 
-@query(f"WITH {S['m']}, {S['e']} SELECT 'packs' AS metric, count(DISTINCT pack_id) AS value FROM m UNION ALL SELECT 'members', count(DISTINCT user_id) FROM m UNION ALL SELECT 'memberships', count(*) FROM m UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'distinct_edges', (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) UNION ALL SELECT 'users_with_posts', count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'posts', count(*) FROM conversations")
+@query(f"""WITH {S['m']}, {S['e']}, u AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) SELECT 'packs' AS metric, count(DISTINCT pack_id) AS value FROM m UNION ALL SELECT 'members', count(DISTINCT user_id) FROM m UNION ALL SELECT 'memberships', count(*) FROM m UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'distinct_edges', (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) UNION ALL SELECT 'users_with_posts', count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'posts', count(*) FROM conversations
+UNION ALL SELECT 'members_of_2', count(*) FROM (SELECT user_id FROM m GROUP BY 1 HAVING count(*) >= 2) UNION ALL SELECT 'universe_members', count(DISTINCT user_id) FROM m WHERE user_id IN (SELECT node FROM u)
+UNION ALL SELECT 'universe_edges', count(*) FROM e WHERE source IN (SELECT node FROM u) AND target IN (SELECT node FROM u) UNION ALL SELECT 'universe_posts', count(*) FROM conversations WHERE conv_id IN (SELECT node FROM u)""")
 def corpus_stats(spark, d):
-    return mb.corpus_counts(R.membership(spark, d), R.edges(spark, d), R.posts(spark, d))
+    return mb.corpus_counts(R.membership(spark, d), R.edges(spark, d), R.posts(spark, d), _nodes(spark, d).toDF("user_id"))
 
 
 @query("SELECT vec_id AS pack_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS norm, 1.0::DOUBLE AS new_norm FROM embeddings")
@@ -110,9 +112,14 @@ def total_degrees(spark, d):
     return ed.total_degrees(R.edges(spark, d))
 
 
-@query(f"WITH {S['e']}, {_ENDS}, x AS (SELECT node FROM g WHERE degree > 4) SELECT source, target FROM e WHERE source NOT IN (SELECT node FROM x) AND target NOT IN (SELECT node FROM x)")
+@query(f"WITH {S['e']}, {_ENDS}, x AS (SELECT node FROM g WHERE degree > 90) SELECT source, target FROM e WHERE source NOT IN (SELECT node FROM x) AND target NOT IN (SELECT node FROM x)")
 def cap_degree(spark, d):
-    return ed.capped(R.edges(spark, d), 4)
+    return ed.capped(R.edges(spark, d), CAP)
+
+
+@query(f"WITH {S['e']}, {_NODES}, x AS (SELECT source NOT IN (SELECT node FROM u) AND target NOT IN (SELECT node FROM u) AS left_over FROM e) SELECT count(*) AS edges, count(*) FILTER (WHERE NOT left_over) AS dropped, count(*) FILTER (WHERE left_over) AS kept FROM x")
+def dropped_edges(spark, d):
+    return ed.dropped_counts(R.edges(spark, d), _nodes(spark, d))
 
 
 @query(f"WITH {S['e']} SELECT DISTINCT source, target FROM e")
@@ -125,17 +132,21 @@ def reciprocal_edges(spark, d):
     return ed.reciprocal(R.edges(spark, d))
 
 
+#: Ends that a node of the core has at least; ends that the cap allows.
+CORE, CAP = 50, 90
+
+
 def _core_sql(rounds: int) -> str:
     out, last = [S["e"]], "e"
     for k in range(rounds):
-        out.append(f"g{k} AS (SELECT node FROM (SELECT source AS node FROM {last} UNION ALL SELECT target FROM {last}) GROUP BY 1 HAVING count(*) < 2), e{k} AS (SELECT * FROM {last} WHERE source NOT IN (SELECT node FROM g{k}) AND target NOT IN (SELECT node FROM g{k}))")
+        out.append(f"g{k} AS (SELECT node FROM (SELECT source AS node FROM {last} UNION ALL SELECT target FROM {last}) GROUP BY 1 HAVING count(*) < {CORE}), e{k} AS (SELECT * FROM {last} WHERE source NOT IN (SELECT node FROM g{k}) AND target NOT IN (SELECT node FROM g{k}))")
         last = f"e{k}"
     return f"WITH {', '.join(out)} SELECT source, target FROM {last}"
 
 
-@query(_core_sql(40))
+@query(_core_sql(30))
 def min_degree_core(spark, d):
-    return ed.core(R.edges(spark, d), 2)
+    return ed.core(R.edges(spark, d), CORE)
 
 
 _DEG = "o AS (SELECT source AS node, count(*) AS out_degree FROM e GROUP BY 1), i AS (SELECT target AS node, count(*) AS in_degree FROM e GROUP BY 1), dt AS (SELECT coalesce(o.node, i.node) AS node, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) + coalesce(in_degree, 0) AS degree FROM o FULL JOIN i ON o.node = i.node)"
@@ -202,7 +213,7 @@ def census_sample(spark, d):
 
 def _draws(src: str, n: int) -> str:
     return (
-        f"us AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS i FROM ({src})), "
+        f"us AS (SELECT user_id, row_number() OVER (ORDER BY md5(user_id::VARCHAR), user_id) - 1 AS i FROM ({src})), "
         f"dr AS (SELECT {DRAW.format("'42|a|' || id")} % (SELECT count(*) FROM us) AS i, {DRAW.format("'42|b|' || id")} % (SELECT count(*) FROM us) AS j FROM range({n}) t(id)), "
         "un AS (SELECT DISTINCT least(a.user_id, b.user_id) AS user_a, greatest(a.user_id, b.user_id) AS user_b FROM dr JOIN us a ON a.i = dr.i JOIN us b ON b.i = dr.j WHERE a.user_id <> b.user_id)"
     )
@@ -216,12 +227,23 @@ def uniform_eval_pairs(spark, d):
     return pr.uniform_pairs(pr.eligible(R.membership(spark, d), 2), 3000)
 
 
-_BASE = "ba AS (SELECT user_a, user_b, 0::BIGINT AS shared_packs FROM un WHERE NOT EXISTS (SELECT 1 FROM m a JOIN m b ON a.pack_id = b.pack_id WHERE a.user_id = un.user_a AND b.user_id = un.user_b) ORDER BY md5('42|' || user_a || '|' || user_b), user_a, user_b LIMIT 500)"
+def _baseline(n: int) -> str:
+    """Draws with their rounds, distinct pairs that share nothing with the first of theirs, and the round that has enough."""
+    rounds = " ".join(f"WHEN id < {n * k} THEN {r}" for r, k in enumerate(pr.DRAWS))
+    return f"""bu AS (SELECT user_id, row_number() OVER (ORDER BY md5(user_id::VARCHAR), user_id) - 1 AS i FROM ({_ALL})),
+bd AS (SELECT CASE {rounds} END AS round, {DRAW.format("'42|a|' || id")} % (SELECT count(*) FROM bu) AS i, {DRAW.format("'42|b|' || id")} % (SELECT count(*) FROM bu) AS j FROM range({n * pr.DRAWS[-1]}) t(id)),
+bp AS (SELECT least(a.user_id, b.user_id) AS user_a, greatest(a.user_id, b.user_id) AS user_b, min(round) AS round FROM bd JOIN bu a ON a.i = bd.i JOIN bu b ON b.i = bd.j WHERE a.user_id <> b.user_id GROUP BY 1, 2),
+bf AS (SELECT * FROM bp WHERE NOT EXISTS (SELECT 1 FROM m a JOIN m b ON a.pack_id = b.pack_id WHERE a.user_id = bp.user_a AND b.user_id = bp.user_b)),
+bs AS (SELECT coalesce(min(round), {len(pr.DRAWS)}) AS last FROM (SELECT r.id AS round, count(*) AS n FROM range({len(pr.DRAWS)}) r(id) JOIN bf ON bf.round <= r.id GROUP BY 1) WHERE n >= {n}),
+ba AS (SELECT user_a, user_b, 0::BIGINT AS shared_packs FROM bf, bs WHERE round <= last ORDER BY md5('42|' || user_a || '|' || user_b), user_a, user_b LIMIT {n})"""
 
 
-@query(f"WITH {S['m']}, {_draws(_ALL, 2000)}, {_BASE} SELECT * FROM ba")
+_BASE = _baseline(500)
+
+
+@query(f"WITH {S['m']}, {_BASE} SELECT * FROM ba")
 def baseline_pairs(spark, d):
-    return pr.baseline(R.membership(spark, d), 2000, 500)
+    return pr.baseline(R.membership(spark, d), 500)
 
 
 @query(f"WITH {S['m']}, {_draws(_TWO, 3000)} SELECT un.user_a, un.user_b, count(b.pack_id) AS shared_packs FROM un LEFT JOIN m a ON a.user_id = un.user_a LEFT JOIN m b ON b.user_id = un.user_b AND b.pack_id = a.pack_id GROUP BY 1, 2")
@@ -250,6 +272,35 @@ def pair_spread_pick(spark, d):
     return pr.spread_pick(scaled, "shared_packs", "cosine").select("shared_packs", "user_a", "user_b", F.col("cosine").cast("double").alias("cosine"), "pick")
 
 
+@query(f"""WITH {S['p']}, q AS (SELECT user_a, user_b, shared_packs, round(max(cosine), 6) AS cosine FROM p GROUP BY 1, 2, 3),
+s AS (SELECT shared_packs FROM q GROUP BY 1 HAVING count(*) > 1 ORDER BY round(max(cosine) - min(cosine), 6) DESC, shared_packs LIMIT 1), o AS (SELECT q.* FROM q JOIN s USING (shared_packs)),
+x AS ((SELECT *, 'max' AS pick FROM o ORDER BY cosine DESC, user_a, user_b LIMIT 1) UNION ALL (SELECT *, 'min' AS pick FROM o ORDER BY cosine, user_a, user_b LIMIT 1)),
+l AS (SELECT q.*, md5('42|' || q.user_a || '|' || q.user_b) AS h FROM q LEFT JOIN x ON x.user_a = q.user_a AND x.user_b = q.user_b WHERE x.user_a IS NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY shared_packs ORDER BY h, user_a, user_b) + CASE WHEN shared_packs IN (SELECT shared_packs FROM x) THEN 1 ELSE 0 END AS turn FROM l)
+SELECT user_a, user_b, shared_packs, cosine, pick FROM x UNION ALL (SELECT user_a, user_b, shared_packs, cosine, 'span' FROM t ORDER BY turn, shared_packs, h LIMIT 3)""")
+def five_pairs(spark, d):
+    q = R.pair_table(spark, d).groupBy("user_a", "user_b", "shared_packs").agg(F.round(F.max("cosine"), 6).cast("decimal(12,6)").alias("cosine"))
+    return pr.select_five(q, "shared_packs", "cosine").withColumn("cosine", F.col("cosine").cast("double"))
+
+
+@query(f"WITH {S['m']}, {_CO}, a AS (SELECT user_a, user_b FROM co WHERE shared_packs >= 2), b AS (SELECT user_a, user_b FROM co WHERE user_a % 2 = 0) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_b, FALSE AS equal")
+def same_pairs(spark, d):
+    co = pr.comember_pairs(R.membership(spark, d))
+    return pr.same_pairs(co.where("shared_packs >= 2"), co.where("user_a % 2 = 0"))
+
+
+_INFO = "i AS (SELECT DISTINCT o_custkey AS source, l_suppkey AS target, l_discount AS flow FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey <> l_suppkey)"
+
+
+@query(f"""WITH {S['m']}, {_INFO}, p AS (SELECT DISTINCT least(source, target) AS user_a, greatest(source, target) AS user_b FROM i),
+s AS (SELECT p.user_a, p.user_b, count(b.pack_id) AS shared_packs FROM p LEFT JOIN m a ON a.user_id = p.user_a LEFT JOIN m b ON b.user_id = p.user_b AND b.pack_id = a.pack_id GROUP BY 1, 2)
+SELECT s.user_a, s.user_b, round(avg(flow), 9) AS flow, count(*) AS directions, min(shared_packs) AS shared_packs FROM i JOIN s ON s.user_a = least(source, target) AND s.user_b = greatest(source, target) GROUP BY 1, 2""")
+def info_with_shared(spark, d):
+    items, orders = R.table(spark, d, "lineitem"), R.table(spark, d, "orders")
+    info = items.join(orders, items.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_discount").alias("flow")).distinct()
+    return pr.symmetric_info(pr.with_shared(info, R.membership(spark, d)), "flow").withColumn("flow", F.round("flow", 9))
+
+
 _NE = "nd AS (SELECT DISTINCT source, target FROM e WHERE source <> target), ug AS (SELECT source, target FROM nd UNION SELECT target, source FROM nd)"
 
 
@@ -260,17 +311,24 @@ def _hops_sql(graph: str, k: int = 4) -> str:
     return f"{', '.join(levels)} SELECT hp.user_a, hp.user_b, coalesce(CASE WHEN b.d > 0 THEN b.d END, {k + 1})::BIGINT AS hops FROM hp LEFT JOIN b{k} b ON b.s = hp.user_a AND b.node = hp.user_b"
 
 
-_HP = f"{_draws(_TWO, 400)}, hp AS (SELECT * FROM un)"
+def _hop_pairs(spark, d):
+    """The census, with pairs of any users beside it."""
+    m = R.membership(spark, d)
+    return pr.census(pr.comember_pairs(m, 2), 200, 5).unionByName(pr.baseline(m, 500)).select("user_a", "user_b")
+
+
+_HP = f"""{_CO}, {_CENSUS}, {_BASE}, hp AS (
+  SELECT user_a, user_b FROM ce UNION ALL SELECT user_a, user_b FROM ba)"""
 
 
 @query(f"WITH {S['m']}, {S['e']}, {_NE}, {_HP}, {_hops_sql('ug')}")
 def hops_bounded(spark, d):
-    return gr.hops(pr.uniform_pairs(pr.eligible(R.membership(spark, d), 2), 400), R.edges(spark, d))
+    return gr.hops(_hop_pairs(spark, d), R.edges(spark, d))
 
 
 @query(f"WITH {S['m']}, {S['e']}, {_NE}, {_HP}, {_hops_sql('nd')}")
 def hops_directed(spark, d):
-    return gr.hops(pr.uniform_pairs(pr.eligible(R.membership(spark, d), 2), 400), R.edges(spark, d), directed=True)
+    return gr.hops(_hop_pairs(spark, d), R.edges(spark, d), directed=True)
 
 
 @query(f"WITH {S['p']} SELECT CASE WHEN hops BETWEEN 1 AND 3 THEN hops::VARCHAR ELSE 'unreachable' END AS hops_bin, count(*) AS n FROM p GROUP BY 1")
@@ -278,22 +336,37 @@ def hop_bins(spark, d):
     return R.pair_table(spark, d).groupBy(gr.hop_label(3).alias("hops_bin")).agg(F.count("*").alias("n"))
 
 
-_Q = "q AS (SELECT c_custkey AS node FROM customer ORDER BY md5('7|' || c_custkey), c_custkey LIMIT 40)"
+#: The query set of shortest paths: every row whose key is divisible by 50.
+_Q = "q AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 50 = 0)"
 
 
-@query(
-    f"WITH RECURSIVE {S['e']}, nd AS (SELECT DISTINCT source, target FROM e WHERE source <> target), {_Q}, qi AS (SELECT node FROM q WHERE node IN (SELECT source FROM e UNION SELECT target FROM e)), "
-    "w AS (SELECT node AS s, node, 0 AS d FROM qi UNION SELECT w.s, nd.target, w.d + 1 FROM w JOIN nd ON nd.source = w.node WHERE w.d < 60), "
-    "f AS (SELECT s, node, min(d) AS d FROM w GROUP BY 1, 2) SELECT a.node AS source, b.node AS target, coalesce(f.d, -1) AS distance FROM qi a CROSS JOIN qi b LEFT JOIN f ON f.s = a.node AND f.node = b.node WHERE a.node <> b.node"
-)
-def shortest_paths(spark, d):
-    from covey.functions import draw_key
+def _levels_sql(rounds: int) -> str:
+    levels = ["l0 AS (SELECT node AS s, node, 0 AS d FROM qi)"]
+    for i in range(1, rounds + 1):
+        levels.append(f"l{i} AS (SELECT * FROM l{i - 1} UNION ALL SELECT DISTINCT b.s, nd.target, {i} FROM l{i - 1} b JOIN nd ON nd.source = b.node WHERE b.d = {i - 1} AND NOT EXISTS (SELECT 1 FROM l{i - 1} x WHERE x.s = b.s AND x.node = nd.target))")
+    return ", ".join(levels)
+
 
-    users = R.table(spark, d, "customer").select(F.col("c_custkey").alias("node"))
-    chosen = users.withColumn("c_custkey", F.col("node")).orderBy(draw_key(7, "c_custkey"), "node").limit(40).select("node")
+_PATHS = f"""{S['e']}, nd AS (SELECT DISTINCT source, target FROM e WHERE source <> target), {_Q},
+qi AS (SELECT node FROM q WHERE node IN (SELECT source FROM e UNION SELECT target FROM e)), {_levels_sql(10)},
+sp AS (SELECT a.node AS source, b.node AS target, coalesce(f.d, -1) AS distance FROM qi a CROSS JOIN qi b LEFT JOIN l10 f ON f.s = a.node AND f.node = b.node WHERE a.node <> b.node)"""
+
+
+def _paths(spark, d):
+    chosen = R.table(spark, d, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("node"))
     return gr.shortest_paths(chosen, R.edges(spark, d))
 
 
+@query(f"WITH {_PATHS} SELECT * FROM sp")
+def shortest_paths(spark, d):
+    return _paths(spark, d)
+
+
+@query(f"WITH {_PATHS} SELECT count(*) AS pairs, count(*) FILTER (WHERE distance >= 0) AS reachable, round(avg(distance) FILTER (WHERE distance >= 0), 9) AS mean, max(distance) FILTER (WHERE distance >= 0) AS max FROM sp")
+def path_summary(spark, d):
+    return gr.path_summary(_paths(spark, d)).withColumn("mean", F.round("mean", 9))
+
+
 _EGO = "ego AS (SELECT node FROM (SELECT source AS node, count(DISTINCT target) AS n FROM e WHERE source <> target GROUP BY 1) ORDER BY n DESC, node LIMIT 1)"
 
 

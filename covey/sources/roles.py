@@ -23,8 +23,8 @@ def dense_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers follow customers: returned items of large quantity; repeated edges and loops are left in."""
-    items = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 46").select("l_orderkey", "l_partkey")
+    """Customers follow customers, an edge for each line item; repeated edges and loops are left in."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     users = F.broadcast(table(spark, sf_dir, "customer").agg(F.count("*").alias("n")))  # one row
     return items.join(orders, items.l_orderkey == orders.o_orderkey).crossJoin(users).select(F.col("o_custkey").alias("source"), (F.col("l_partkey") % F.col("n")).alias("target"))
@@ -59,6 +59,6 @@ def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL = {
     "m": "m AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS pack_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "dm": "dm AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS pack_id FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL)",
-    "e": "e AS (SELECT o_custkey AS source, l_partkey % (SELECT count(*) FROM customer) AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity >= 46)",
+    "e": "e AS (SELECT o_custkey AS source, l_partkey % (SELECT count(*) FROM customer) AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "p": "p AS (SELECT o_custkey AS user_a, l_suppkey + 10000000 AS user_b, CAST(l_linenumber - 1 AS BIGINT) AS shared_packs, l_discount + l_quantity / 1000 + (l_linenumber - 1) / 100.0::DOUBLE AS cosine, CASE WHEN l_linenumber = 1 THEN 0.0::DOUBLE ELSE 1 + (l_linenumber - 2) * (1 - 5 * l_tax) END AS n_eff, CAST(1 + l_partkey % 4 AS BIGINT) AS hops FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
 }

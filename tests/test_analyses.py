@@ -20,6 +20,22 @@ def test_cross_entropy():
     assert info.cross_entropy([], ["a", "b"]) is None and info.cross_entropy(["a"], ["a"]) is None
 
 
+def test_cross_entropy_against_plain_matching():
+    import random
+
+    rnd = random.Random(7)
+    for _ in range(200):
+        source, target = ([rnd.choice("abc") for _ in range(rnd.randrange(1, 25))] for _ in "st")
+        total = 0
+        for i in range(len(target)):
+            n = 0
+            while any(source[k : k + n + 1] == target[i : i + n + 1] for k in range(len(source) - n)) and i + n < len(target):
+                n += 1
+            total += n + 1
+        want = len(target) * log2(len(source)) / total if len(source) > 1 else None
+        assert info.cross_entropy(target, source) == (pytest.approx(want) if want is not None else None)
+
+
 def test_information_changes_sign(spark):
     posts = spark.createDataFrame([(1, 2, "b c d"), (1, 1, "a b c"), (2, 1, "a b c d e"), (3, 1, None)], "user_id long, turn long, text string")
     seqs = info.sequences(posts)
@@ -47,6 +63,8 @@ def test_embedding_cache(spark):
 def test_english(spark):
     d = spark.createDataFrame([("this is what they have been to",), ("das ist ein haus",), ("",), (None,)], "text string")
     assert [r[0] for r in d.select(info.english()).collect()] == [True, False, False, False]
+    assert [r[0] for r in d.select(info.english(min_prob=0.0, min_chars=17)).collect()] == [True, False, False, False]
+    assert [r[0] for r in d.select(info.english(score=F.lit(0.9), min_prob=0.8)).collect()] == [True, True, False, False]
 
 
 def test_composites(spark):
@@ -63,7 +81,19 @@ def test_composites(spark):
     assert sem["mismatch"].first()[0] == 0
     net = an.network(R.pair_table(spark, SF), None, 3, n_boot=5, known=R.pair_table(spark, SF))
     assert {k: v.count() > 0 for k, v in net.items()} == dict.fromkeys(net, True)
-    assert an.null_model(m, pairs, 2, 1)["summary"].first().n == 2
+    emb = R.embeddings(spark, SF)
+    for ensemble in ("canonical", "microcanonical"):
+        parts = [an.null_model(m, pairs, emb, "slope", ensemble, 4, 0, "rowsum", task=t, tasks=2) for t in (0, 1)]
+        both = parts[0]["replicates"].union(parts[1]["replicates"])
+        assert an.null_reduce(parts[0]["observed"], both).first().n == 4
+    assert an.null_curves(m, pairs, emb, "canonical", 3, 3, method="rowsum", n_boot=5)["curves"].count() == 8
+    assert an.degree_diagnostic(m, pairs, 300)["populations"].count() == 3
+    found = an.pair_inspection(m, emb, n_draws=300)
+    assert found["pairs"].count() == 5 and found["numbers"].count() == 5 and found["tidy"].count() == 75
+    words = an.vocabulary_report(pairs, docs, (0.3, 0.9), 2, 3)
+    assert words["curves"].count() >= 2 and words["monotone"].count() == 2 and words["slopes"].count() == 2
+    fits = an.fit_corpus(pairs, docs, 2, 0.9)
+    assert fits["same_pairs"].first().equal and {r.variant: r.max_abs_diff for r in fits["differences"].collect()}["A"] == 0
     assert 0 <= an.cooccurrence(m, pairs)["summary"].first().significant <= 1
 
 

@@ -17,7 +17,8 @@ from covey.operators import neff as ne
 from covey.operators import nulls as nu
 from covey.operators import pairs as pr
 from covey.operators import text as tx
-from covey.session import require_columns
+from covey.plans import analyses as an
+from covey.session import checkpointed, require_columns
 from covey.sources import io
 from covey.streaming import stream_degrees
 
@@ -267,9 +268,54 @@ def test_bootstrap(spark):
     out = inf.cluster_bootstrap(df, F.col("shared_packs"), n_boot=60).collect()
     assert all(r.ci_low < r["mean"] < r.ci_high for r in out) and len(out) == 6
     assert rows(inf.cluster_bootstrap(df.repartition(5), F.col("shared_packs"), n_boot=20).select("level", F.round("ci_low", 9))) == rows(inf.cluster_bootstrap(df, F.col("shared_packs"), n_boot=20).select("level", F.round("ci_low", 9)))
-    users = inf.ends(df)
-    m = inf.multiplicities(users, 7)
-    assert {r.s for r in m.groupBy("boot").agg(F.sum("m").alias("s")).collect()} == {users.count()}
+    users = inf.ends(df).withColumnRenamed("user", "unit")
+    draws = {r.unit: np.frombuffer(r.drawn, np.uint8) for r in inf.drawn(users, 7).collect()}
+    assert set(sum(draws.values()).tolist()) == {users.count()}
+    some = inf.resampled_sums(df, {"w": F.lit(1.0), "x": F.col("cosine")}, 7, keys=("hops",)).collect()
+    plain = df.collect()
+    none = np.zeros(7)
+    for r in some:
+        own = [p for p in plain if p.hops == r.hops]
+        w = [1.0 if r.boot < 0 else float(draws.get(p.user_a, none)[r.boot]) * float(draws.get(p.user_b, none)[r.boot]) for p in own]
+        assert (r.w, r.x) == pytest.approx((sum(w), sum(a * p.cosine for a, p in zip(w, own, strict=True))))
+    rowwise = inf.cell_bootstrap(df.withColumn("id", F.monotonically_increasing_id()), ("hops",), "cosine", 50, unit="id").collect()
+    assert all(r.ci_low <= r["mean"] <= r.ci_high for r in rowwise)
+
+
+def test_bootstrapped_models(spark):
+    df, _ = pair_frame(spark)
+    got = {r.term: r for r in inf.bootstrap_models(df, "shared_packs", "cosine", "hops", 1, 80).collect()}
+    assert set(got) == {"x|alone", "x|with levels", "slope|1", "slope|2", "slope|3", "interaction|2", "interaction|3"}
+    assert got["x|alone"].estimate == pytest.approx(inf.slopes(df, "shared_packs", "cosine", []).first().slope)
+    assert got["x|with levels"].estimate == pytest.approx(inf.controlled_slope(df, "shared_packs", "cosine", "hops").first().slope_with)
+    each = {r.hops: r for r in inf.interaction(df, "shared_packs", "cosine", "hops", 1).collect()}
+    assert got["slope|3"].estimate == pytest.approx(each[3].slope) and got["interaction|2"].estimate == pytest.approx(each[2].difference)
+    assert all(r.ci_low <= r.ci_high for r in got.values())
+    table = {r.term: r for r in an.coefficients(frame(spark, [("a", 1.0), ("b", 2.0)], "term string, estimate double"), frame(spark, [("x", 0.0, 3.0)], "term string, ci_low double, ci_high double"), frame(spark, [("a", "x")], "term string, boot_term string")).collect()}
+    assert tuple(table["a"]) == ("a", 1.0, 0.0, 3.0) and table["b"].ci_low is None
+
+
+def test_least_squares(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=40), rng.normal(size=40)
+    y = 1 + 2 * a - b + rng.normal(size=40)
+    df = frame(spark, [(float(p), float(q), float(p + q), float(r)) for p, q, r in zip(a, b, y, strict=True)], "a double, b double, c double, y double")
+    full = np.c_[np.ones(40), a, b]
+    assert [r.estimate for r in inf.least_squares(df, ["a", "b"], "y").collect()] == pytest.approx(np.linalg.lstsq(full, y, rcond=None)[0].tolist())
+    short = np.c_[full, a + b]  # not of full rank: the least solution
+    assert [r.estimate for r in inf.least_squares(df, ["a", "b", "c"], "y").collect()] == pytest.approx(np.linalg.lstsq(short, y, rcond=None)[0].tolist())
+
+
+def test_log_link_models(spark):
+    rng = np.random.default_rng(5)
+    data = [(float(x), int(h), float(np.exp(0.2 + 0.3 * x * h + rng.normal(0, 0.05)))) for x, h in zip(rng.random(200), rng.integers(1, 3, 200), strict=True)]
+    out = inf.log_link(frame(spark, data, "x double, h int, y double"), "x", "y", by="h")
+    got = {(r.family, r.term): r for r in out.collect()}
+    assert got["gamma", "x:h[2]"].estimate == pytest.approx(0.3, abs=0.1) and got["poisson", "x"].estimate == pytest.approx(0.3, abs=0.1)
+    assert all(0 <= r.p <= 1 and r.n == 200 for r in got.values()) and got["gamma", "x"].p < 0.01
+    assert {r.term: r.agree for r in inf.sign_agreement(out).collect()}["x"]
+    t = inf.with_t_p(frame(spark, [(2.0, 10.0), (None, 3.0)], "t double, df double"), "t", "df").collect()
+    assert t[0].p == pytest.approx(0.0734, abs=2e-4) and t[1].p is None
 
 
 def test_lowess_follows_a_line(spark):
@@ -277,9 +323,58 @@ def test_lowess_follows_a_line(spark):
     assert all(abs(r.smooth - r.y) < 1e-6 for r in inf.lowess(c, "x", "y").collect())
 
 
+def test_spline_follows_a_curve(spark):
+    c = frame(spark, [(k / 10, float(np.sin(k / 10)), 5.0) for k in range(60)], "x double, y double, n double")
+    out = inf.smooth_curve(c, "x", "y", "n", knots=14).collect()
+    assert len(out) == 60 and all(abs(r.smooth - r.y) < 0.02 and r.ci_low <= r.smooth <= r.ci_high for r in out)
+    line = inf.smooth_curve(frame(spark, [(float(k), 2.0 * k + 1) for k in range(20)], "x double, y double"), "x", "y").collect()
+    assert all(abs(r.smooth - r.y) < 1e-4 for r in line)
+
+
 # membership, pairs and nulls
 
 
+def test_places_and_first_rows(spark):
+    from hashlib import md5
+
+    from covey.functions import first_by_draw, places
+
+    ids = [*range(500), *range(100)]
+    order = sorted(set(ids), key=lambda k: (md5(str(k).encode()).hexdigest(), k))
+    assert {r.k: r.place for r in places(frame(spark, [(k,) for k in ids], "k long"), "k").collect()} == {k: i for i, k in enumerate(order)}
+    df = frame(spark, [(k, k % 3) for k in range(3000)], "k long, g long").withColumn("h", F.md5(F.col("k").cast("string")))
+    got = {(r.g, r.k) for r in first_by_draw(df, ["g"], 7, [F.col("h")], F.col("h")).collect()}
+    assert got == {(g, k) for g in range(3) for k in sorted((k for k in range(3000) if k % 3 == g), key=lambda k: md5(str(k).encode()).hexdigest())[:7]}
+
+
+def test_picks_and_pair_sets(spark):
+    data = [(1, 2, 2, 0.1), (1, 3, 2, 0.9), (2, 3, 3, 0.5), (2, 4, 3, 0.6), (5, 6, 4, 0.3), (5, 7, 7, 0.2), (8, 9, 9, 0.4)]
+    stats = frame(spark, data, "user_a long, user_b long, p long, s double")
+    five = {(r.user_a, r.user_b): r.pick for r in pr.select_five(stats, "p", "s").collect()}
+    assert len(five) == 5 and five[1, 3] == "max" and five[1, 2] == "min" and {p for a, b, p, _ in data if (a, b) in five} == {2, 3, 4, 7}
+    few = frame(spark, [r for r in data if r[2] > 3], "user_a long, user_b long, p long, s double")  # no number twice: extremes of all
+    assert {(r.user_a, r.user_b): r.pick for r in pr.select_five(few, "p", "s").collect()} == {(8, 9): "max", (5, 7): "min", (5, 6): "span"}
+    assert tuple(pr.same_pairs(stats, stats.union(stats)).first()) == (0, 0, True) and tuple(pr.same_pairs(stats, few).first()) == (4, 0, False)
+
+
+def test_information_with_shared_packs(spark):
+    m = frame(spark, [(1, 1), (2, 1), (2, 2), (1, 2), (3, 1)], "user_id long, pack_id long")
+    info = frame(spark, [(1, 2, 0.5), (2, 1, 0.7), (3, 4, 1.0), (5, 5, 2.0)], "source long, target long, flow double")
+    assert rows(pr.symmetric_info(pr.with_shared(info, m), "flow")) == [(1, 2, pytest.approx(0.6), 2, 2), (3, 4, 1.0, 1, 0)]
+
+
+def test_summaries(spark):
+    curves = frame(spark, [("a", 1, 0.1), ("a", 2, 0.3), ("b", 1, 0.3), ("b", 2, 0.2)], "k string, level long, mean double")
+    assert rows(ag.swing(curves, "k").select("level", "settings", F.round("spread", 6))) == [(1, 2, 1.0), (2, 2, 0.4)]
+    assert rows(ag.monotone(curves, "k").select("k", "rising", F.round("down", 6))) == [("a", True, 0.0), ("b", False, 0.1)]
+    pairs = frame(spark, [(1, 2)], "user_a long, user_b long")
+    degrees = frame(spark, [(1, 5), (2, 7), (3, 1)], "node long, degree long")
+    out = ag.degree_populations({"low": frame(spark, [(3, 1)], "user_a long, user_b long"), "high": pairs}, degrees)
+    assert rows(out.select("population", "median", "n")) == [("high", 6.0, 2), ("low", 3.0, 2)] and ag.median_order(out, ("low", "high")).first().rising
+    paths = frame(spark, [("a", "b", 2), ("b", "a", -1), ("a", "c", 1)], "source string, target string, distance int")
+    assert tuple(gr.path_summary(paths).first()) == (3, 2, 1.5, 2)
+
+
 def test_empirical_p(spark):
     obs = frame(spark, [("s", 100.0)], "stat string, value double")
     nulls = frame(spark, [("s", k, float(k)) for k in range(99)] + [("s", 99, None), ("s", 100, float("nan"))], "stat string, replicate long, value double")
@@ -299,28 +394,75 @@ def test_bicm(spark):
         assert r.expected == pytest.approx(r.degree, abs=1e-5)
     drawn = [nu.sample(users, packs, s).count() for s in range(8)]
     assert abs(np.mean(drawn) - m.count()) < 0.15 * m.count()
-    assert nu.poisson_p(0, 0.0) == 1.0 and nu.poisson_p(3, 1.0) == pytest.approx(2 * (1 - 0.9197), abs=1e-3)
-
+    by_class = nu.sample_by_class(users, packs, list(range(40)))
+    assert by_class.distinct().count() == by_class.count()
+    mean = by_class.groupBy("pack_id").agg((F.count("*") / 40).alias("n")).join(packs, "pack_id").collect()
+    assert all(abs(r.n - r.k) < 4 * (r.k / 40) ** 0.5 + 0.2 for r in mean) and {r.replicate for r in by_class.select("replicate").distinct().collect()} == set(range(40))
 
-def test_curveball_matches_nearly_all(spark):
-    m = spark.createDataFrame([(u, 10 * u + k) for u in range(150) for k in range(8)], "user_id long, pack_id long")
-    found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        for n in ("4", "200"):
-            spark.conf.set("spark.sql.shuffle.partitions", n)
-            found.append({(r.user_id, r.pack_id) for r in nu.curveball(m, 1, 1).collect()})
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert found[0] == found[1]
-    assert len({u for u, p in found[1] if p // 10 != u}) >= 140
 
+def test_poisson_tails():
+    from fractions import Fraction
+    from math import exp, factorial
 
-def test_curveball(spark):
+    assert nu.poisson_p(0, 0.0) == 1.0 and nu.poisson_p(3, 1.0) == pytest.approx(2 * (1 - 0.9197), abs=1e-3)
+    for s, rate in ((0, 0.3), (1, 0.3), (4, 9.0), (40, 1.0), (100, 5.0), (7, 7.0)):
+        below = sum(Fraction(rate) ** k / factorial(k) for k in range(s))
+        upto, above = float(below + Fraction(rate) ** s / factorial(s)) * exp(-rate), float(sum(Fraction(rate) ** k / factorial(k) for k in range(s, s + 150))) * exp(-rate)
+        assert nu.poisson_p(s, rate) == pytest.approx(min(1, 2 * min(upto, above)), rel=1e-9), (s, rate)
+    assert nu.poisson_p(1_000_000, 1_000_000.0) == pytest.approx(1, abs=1e-2) and nu.poisson_p(1_004_000, 1_000_000.0) == pytest.approx(6.4e-5, rel=0.1)
+
+
+def test_curveball(spark, monkeypatch):
+    m = membership(spark, users=80, packs=15)
+    links = set(rows(m))
+    for block in (nu.BLOCK, 16):
+        monkeypatch.setattr(nu, "BLOCK", block)
+        found, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+        try:
+            for n in ("4", "200"):
+                spark.conf.set("spark.sql.shuffle.partitions", n)
+                found.append(rows(nu.curveball(m, [3, 9])))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+        assert found[0] == found[1] and {r for r, _, _ in found[0]} == {3, 9}
+        for seed in (3, 9):
+            new = spark.createDataFrame([(u, p) for r, u, p in found[0] if r == seed], m.schema)
+            assert new.distinct().count() == new.count() == m.count()
+            assert rows(mb.user_margins(new)) == rows(mb.user_margins(m)) and rows(mb.pack_margins(new)) == rows(mb.pack_margins(m))
+            square = sum(r.packs**2 for r in mb.user_margins(m).collect())
+            assert len(links & set(rows(new))) < 1.6 * square / 15  # no more stay than chance leaves
+    assert rows(nu.curveball(m, [3], trades=0).drop("replicate")) == sorted(links, key=str)
+    assert nu.task_seeds(10, 5, 0, 4) == [5, 6, 7] and nu.task_seeds(10, 5, 3, 4) == [14]
+
+
+def test_null_statistics(spark):
     m = membership(spark)
-    new = nu.curveball(m, 4, 3)
-    assert new.distinct().count() == new.count() == m.count()
-    assert rows(mb.user_margins(new)) == rows(mb.user_margins(m)) and rows(mb.pack_margins(new)) == rows(mb.pack_margins(m))
-    assert rows(new) != rows(m) and rows(new) == rows(nu.curveball(m, 4, 3))
+    rng = np.random.default_rng(6)
+    emb = frame(spark, [(p, [float(x) for x in unit(rng.normal(size=3).tolist())[0]]) for p in range(10)], "pack_id long, embedding array<double>")
+    vectors = {r.pack_id: r.embedding for r in emb.collect()}
+    pairs = [(a, b, float(rng.random()), int(rng.integers(1, 4))) for a in range(12) for b in range(a + 1, 12)]
+    table = frame(spark, pairs, "user_a long, user_b long, cosine double, hops int")
+    nulls = checkpointed(nu.curveball(m, [1, 2]))
+    scored = nu.under(nulls, table, emb, "effrank")
+    slopes = {r.replicate: r.value for r in nu.statistics(scored, "slope").collect()}
+    apart = {(r.replicate, r.stat): r.value for r in nu.statistics(scored, "interaction").collect()}
+    for seed in (1, 2):
+        packs = {}
+        for r in nulls.where(F.col("replicate") == seed).collect():
+            packs.setdefault(r.user_id, set()).add(r.pack_id)
+        n = []
+        for a, b, _, _ in pairs:
+            own = sorted(packs.get(a, set()) & packs.get(b, set()))
+            n.append(ne.all_numbers(np.array([vectors.get(p, [0.0] * 3) for p in own]).reshape(-1, 3), np.array([p in vectors for p in own], bool))["effrank"])
+        n, y, h = np.array(n), np.array([p[2] for p in pairs]), np.array([p[3] for p in pairs])
+        slope = lambda at: np.polyfit(n[at], y[at], 1)[0]
+        assert slopes[seed] == pytest.approx(slope(h > 0))
+        assert all(apart[seed, f"interaction[hops={k}]"] == pytest.approx(slope(h == k) - slope(h == 1)) for k in (2, 3))
+    own = checkpointed(ne.for_pairs(table, pr.shared_packs(table, m), emb, "effrank"))
+    out = nu.curves(own, checkpointed(scored), 3, n_boot=20).collect()
+    assert len(out) == 8 and {r.x_kind for r in out} == {"count", "n_eff"} and all(r.null_low <= r.null_mean <= r.null_high for r in out if r.null_mean is not None)
+    with pytest.raises(ValueError):
+        nu.statistics(scored, "median")
 
 
 def test_pairs(spark):
