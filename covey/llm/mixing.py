@@ -14,21 +14,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from covey.llm.common import WORDS, documents, staged
+from covey.llm.common import WORDS, documents, numbered, own, place, staged
 
 #: Fixed by the contract: weights of the sources in order, the share of all sizes mixed, copies at most.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 SEED = "mix-1"
-_OWN = ("__key", "__size", "__hash", "__leaf", "__at")
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """docs with the columns that the prefix sums need."""
+    """doc_id, source and text of docs, its columns as numbered() has them, and what the prefix sums need."""
+    rows = numbered(docs)
+    rows = rows.select("*", *[F.col(f"c{place(docs, n)}").alias(n) for n in ("doc_id", "source", "text")])
     return (
-        docs.withColumn("__key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("~")))
+        rows.withColumn("__key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("~")))
         .withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
         .withColumn("__hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))))
         .withColumn("__leaf", F.substring("__hash", 1, 3))
+        .drop("text")
     )
 
 
@@ -57,9 +59,11 @@ def targets(leaves: DataFrame) -> DataFrame:
 def mix(rows: DataFrame) -> DataFrame:
     """rows of sized(), with source_size, target and copies added; all rows stay.
 
-    copies says how often the mix takes the row. A null source is a source of its own, ranked last. A null
-    or empty text has size 0. Repeated rows are rows of their own. A source of size 0 has target 0 and no
-    copies. An empty table gives an empty result.
+    copies says how often the mix takes the row, MOST times at most.
+    Nulls: a null source is a source of its own, ranked last; a null text has size 0; a null doc_id takes
+    its place by text. Empty texts: size 0, no copies. A source of size 0 has target 0. Very long texts:
+    counted whole. Ties in size: by MD5 of doc_id, then doc_id; repeated rows take neighbouring places and
+    may get different copies. Empty table: empty result.
     """
     leaves = rows.groupBy("__key", "__size", "__leaf").agg(F.count("*").alias("n"))
     leaves = staged(leaves, "leaves")
@@ -79,23 +83,18 @@ def mix(rows: DataFrame) -> DataFrame:
     rate = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     k = F.col("__start") + F.col("__at")
     copies = F.floor((k + 1) * rate + F.col("offset")) - F.floor(k * rate + F.col("offset"))
-    return joined.withColumn("copies", F.when(F.col("__size") == 0, F.lit(0)).otherwise(copies).cast("long"))
+    return joined.withColumn("copies", F.when(F.col("__size") == 0, F.lit(0)).otherwise(F.least(copies, F.lit(int(MOST)))).cast("long"))
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as it is taken, with the columns of docs."""
-    names = docs.columns
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], "doc_id", "source", "text") if {"source_size", "target", "copies", "offset", *_OWN} & set(names) else None
-    if plain is not None:  # names that this operator uses itself
-        out = mix(sized(plain)).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1)).cast("int")))).where("copies > 0")
-        return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    """The mix itself: each row of docs as often as it is taken, with the columns of docs, whatever their names."""
     out = mix(sized(docs)).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*names)
+    return out.select(*[f"c{k}" for k in range(len(docs.columns))]).toDF(*docs.columns)
 
 
 def op3_mixing(spark, sf_dir):
-    docs = documents(spark, sf_dir).select("doc_id", "source", "text")
-    rows = staged(sized(docs).drop("text"), "sized")
+    docs = own(documents(spark, sf_dir), "doc_id", "source", "text")
+    rows = staged(sized(docs).drop("c0", "c1", "c2"), "sized")
     return mix(rows).select("doc_id", F.col("__size").alias("size"), "source_size", "target", (F.col("copies") * F.col("__size")).alias("taken"))
 
 
