@@ -14,12 +14,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from covey.llm.common import documents, small_batches, text_of
+from covey.llm.common import documents, numbered, own, pieces, place, text_of
 
 #: Fixed by the contract: characters that count as symbols, words at least, share of repeated words at most, words of a window.
 SYMBOLS, LEAST_WORDS, REPEATED, WINDOW = b"#*$%&|<>", 10, 20, 5
-#: Line rules: symbols for each word, share of words that shout, separators of a menu, words of a line that may end as it likes, share of a document's words that may go.
-MARKUP, SHOUTING, SEPARATORS, FREE_END, LOST = 0.25, 0.5, 3, 10, 0.5
+#: Line rules: symbols for each word, share of words that shout, separators of a menu, words of a line that may end as it likes, words of a line that may name boilerplate, share of a document's words that may go.
+MARKUP, SHOUTING, SEPARATORS, FREE_END, PROSE, LOST = 0.25, 0.5, 3, 10, 25, 0.5
 BOILERPLATE = re.compile(rb"cookie|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|lorem ipsum|licensed under|released under|copyright|subscribe to|sign up|log ?in to", re.IGNORECASE)
 END = re.compile("[.!?…。！？:;][\"'”’»)\\]]*$")
 #: Words that separate the entries of a menu.
@@ -36,7 +36,7 @@ def failed_rule(line: bytes) -> str | None:
         return "punctuation"
     if between > max(SEPARATORS - 1, n // 4):
         return "navigation"
-    if BOILERPLATE.search(line):
+    if n < PROSE and BOILERPLATE.search(line):
         return "boilerplate"
     if n < FREE_END and n >= 2 and not END.search(line.rstrip().decode(errors="replace")):
         return "punctuation"
@@ -89,7 +89,7 @@ _KINDS = (pa.int64(),) * 5 + (pa.bool_(),) * 2 + (pa.int64(),)
 
 
 def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         found = [measures(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([x[i] for x in found], k) for i, k in enumerate(_KINDS))], [c.split()[0] for c in _SCHEMA.split(", ")])
 
@@ -97,27 +97,31 @@ def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row for each row of docs, with the measures and the verdict.
 
-    A null or empty text has no words and fails the base rules. Repeated rows are judged one by one. Other
-    columns are ignored; an empty table gives an empty result.
+    Nulls and empty texts: no words, and fail the base rules; a null doc_id stays. Very long texts: judged
+    whole; a worker holds one at a time. Repeated rows: judged one by one (there are no ties). Empty
+    table: empty result. Other columns are ignored, whatever their names.
     """
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(_rules, _SCHEMA)
+    return own(docs, "doc_id", "text").select("doc_id", text_of().alias("text")).mapInArrow(_rules, _SCHEMA)
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
+def _kept(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, name):
+        texts = batch.column(name).cast(pa.binary()).to_pylist()
         found = [measures(t) if t is not None else None for t in texts]
         kept = [m is not None and m[6] for m in found]
-        at, field = batch.schema.get_field_index("text"), batch.schema.field("text")
+        at, field = batch.schema.get_field_index(name), batch.schema.field(name)
         left = [_cleaned(t) if m[7] else t for t, m, k in zip(texts, found, kept, strict=True) if k]
         yield batch.filter(pa.array(kept, pa.bool_())).set_column(at, field, pa.array(left, pa.binary()).cast(field.type))
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns; the lines that fail are taken out of text."""
-    small_batches(docs.sparkSession)
-    return docs.mapInArrow(_kept, docs.schema)
+    """The rows of docs that the rules keep, with all their columns, whatever their names; the lines that fail are taken out of text.
+
+    Null and empty texts go. For the other cases see quality_rules().
+    """
+    name = f"c{place(docs, 'text')}"
+    rows = numbered(docs)
+    return rows.mapInArrow(lambda b: _kept(b, name), rows.schema).toDF(*docs.columns)
 
 
 def _cleaned(text: bytes) -> bytes:
@@ -140,7 +144,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d)),
 m AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup FROM l),
 k AS (SELECT *, len(lw) AS n, len(list_filter(lw, lambda x: x IN ({_BETWEEN}))) AS between_words, len(regexp_extract_all(line, '[#*$%&|<>]')) AS marks, len(list_filter(lw, lambda x: regexp_matches(x, '(!!|\?\?)\.*$'))) AS shouts FROM m WHERE len(lw) > 0),
-f AS (SELECT *, marks > {MARKUP} * n OR (n >= 3 AND shouts > {SHOUTING} * n) OR between_words > greatest({SEPARATORS} - 1, n // 4) OR regexp_matches(line, '{BOILERPLATE.pattern.decode()}', 'i')
+f AS (SELECT *, marks > {MARKUP} * n OR (n >= 3 AND shouts > {SHOUTING} * n) OR between_words > greatest({SEPARATORS} - 1, n // 4) OR (n < {PROSE} AND regexp_matches(line, '{BOILERPLATE.pattern.decode()}', 'i'))
   OR (n < {FREE_END} AND n >= 2 AND NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '{_END}')) AS failed FROM k),
 g AS (SELECT doc_id, count(*) FILTER (WHERE dup) AS dup, coalesce(sum(n) FILTER (WHERE failed), 0) AS lost FROM f GROUP BY 1),
 x AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WINDOW} + 2, 1))) AS i FROM d),
