@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covey.llm.common import documents, small_batches, staged, text_of
+from covey.llm.common import documents, own, pieces, staged, text_of
 
 #: Shares of the pooled covariance and of its diagonal in a class's covariance, and the least variance.
 POOLED, DIAGONAL, FLOOR = 0.10, 0.05, 1e-3
@@ -47,16 +47,15 @@ def statistics(text: bytes) -> list[float]:
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         rows = [[float(x) for x in statistics(t)] for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "held_out", "x"])
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:
     """doc_id, held_out and the statistics x of each row of docs."""
-    small_batches(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), text_of().alias("text")).mapInArrow(_statistics, "doc_id long, held_out boolean, x array<double>")
+    return own(docs, "doc_id", "text").select("doc_id", held.alias("held_out"), text_of().alias("text")).mapInArrow(_statistics, "doc_id long, held_out boolean, x array<double>")
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,13 +72,17 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Means and whitening factors of the two classes. Without rows of both classes every score is the share of class 1, or 0.5."""
+    """Means and whitening factors of the two classes. Without rows of both classes every score is the share of class 1, or 0.5.
+
+    The pooled covariance, its diagonal and the floor make every covariance positive definite, even that of a
+    class of one row.
+    """
 
     def __init__(self, sums: np.ndarray):
         d = len(NAMES)
         n = sums[:, 0]
         self.prior = float(np.clip(n[1] / n.sum(), 0, 1)) if n.sum() else 0.5
-        self.known = bool((n > d).all())
+        self.known = bool((n > 0).all())
         if not self.known:
             return
         self.mean = sums[:, 1 : 1 + d] / n[:, None]
@@ -100,7 +103,7 @@ class Model:
 
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
     """labels: doc_id and y (0 or 1). Rows held out are not used, nor those without a label."""
-    rows = stats.where("NOT held_out").join(labels.where("y IN (0, 1)").select("doc_id", F.col("y").cast("int").alias("y")), "doc_id").select("y", "x")
+    rows = stats.where("NOT held_out").join(own(labels, "doc_id", "y").where("y IN (0, 1)").select("doc_id", F.col("y").cast("int").alias("y")), "doc_id").select("y", "x")
     sums = np.zeros((2, 1 + len(NAMES) + len(NAMES) ** 2))
     for r in rows.mapInArrow(_moments, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).collect():
         sums[r["y"], r["i"]] = r["v"]
@@ -117,8 +120,11 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted.
 
-    A null text counts as empty; both have a score. Rows with a null doc_id are not held out and have no
-    label. A document labelled twice counts twice. An empty table gives an empty result.
+    Nulls and empty texts: a null text counts as empty, and has a score; rows with a null doc_id are not
+    held out and have no label. Very long texts: read whole; a worker holds one at a time. Ties and
+    repeated rows: equal texts have equal scores; a document labelled twice counts twice. Empty tables:
+    without documents an empty result, without labels of both classes one score for all. Other columns
+    are ignored, whatever their names.
     """
     stats = staged(with_statistics(docs), "statistics")
     model = fit(stats, labels)
