@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covey.llm.common import documents, first_of_each, small_batches, text_of
+from covey.llm.common import documents, first_of_each, own, pieces, text_of
 from covey.llm.letters import code_points, grams, lettered, per_word, word_runs
 
 #: Labelled documents of each class at most; lengths of n-grams; bits of a bucket; size of an embedding.
 SAMPLE, GRAMS, BITS, SIZE = 1500, (3, 4, 5), 17, 12
-#: Epochs of the two rounds, words of a batch, step, weight of words of toxic documents in the first round, words longer than this count by their beginning in training.
-EPOCHS, BATCH, STEP, FIRST_WEIGHT, LONGEST = (3, 8), 4096, 0.5, 0.3, 60
+#: Epochs of the two rounds, words of a batch, step, weight of words of toxic documents in the first round.
+EPOCHS, BATCH, STEP, FIRST_WEIGHT = (3, 8), 4096, 0.5, 0.3
+#: Code points whose n-grams are scored at once, cut between words.
+PIECE = 1 << 20
 #: Weight of a toxic word in the second round, how often an n-gram has to be seen before its own weight counts for half, and in how many toxic documents a word that no clean one has is a clear case.
 STANDS_OUT, SEEN, OFTEN = 5.0, 2.0, 8
 #: Rows of the folds; fixed by the contract.
@@ -43,13 +45,13 @@ def word_grams(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> list[t
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         rows = []
         for doc_id, y, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "y", "text")), strict=True):
             points = code_points(text)
             begin, end = _word_runs(points)
             low = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-            rows += [(doc_id, y, w) for w in {low[a : min(b, a + LONGEST)] for a, b in zip(begin.tolist(), end.tolist(), strict=True)}]
+            rows += [(doc_id, y, w) for w in {low[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)}]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.string()))], ["doc_id", "y", "word"])
 
 
@@ -68,7 +70,8 @@ class Model:
     def worst(self, text: str) -> float:
         points = code_points(text)
         begin, end = _word_runs(points)
-        return float(self.words(points, begin, end).max()) if len(begin) else -30.0
+        cuts = np.unique(np.r_[0, np.searchsorted(begin, np.arange(PIECE, len(points), PIECE)), len(begin)])
+        return max((float(self.words(points, begin[a:b], end[a:b]).max()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), default=-30.0)
 
     def score(self, text: str) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.scale * self.worst(text) + self.offset, -30, 30))))
@@ -180,9 +183,9 @@ def _calibrated(worst: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """labels: doc_id and y (0 or 1). Rows held out are not used, nor those without a label."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(True))
-    known = labels.where((F.col("y").isin(0, 1)) & ~held).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
+    known = own(labels, "doc_id", "y").where((F.col("y").isin(0, 1)) & ~held).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     ids = F.broadcast(first_of_each(known, "y", sample))  # at most 2 x `sample` rows
-    rows = docs.select("doc_id", text_of().alias("text")).join(ids, "doc_id")
+    rows = own(docs, "doc_id", "text").select("doc_id", text_of().alias("text")).join(ids, "doc_id")
     got = rows.select("doc_id", "y", "text").mapInArrow(_words, "doc_id long, y int, word string").toArrow()  # distinct words of the sample
     doc_ids = np.unique(got.column("doc_id").to_numpy(), return_inverse=True)[1].astype(np.int32)
     coded = got.column("word").combine_chunks().dictionary_encode() if got.num_rows else None
@@ -200,7 +203,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         s = np.array([model.score(t) for t in batch.column("text").to_pylist()], float)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -208,16 +211,16 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted.
 
-    Null and empty texts, and texts without a word, have the lowest score. Rows with a null doc_id are not
-    held out and have no label. Without labels of both classes all scores are low. An empty table gives
-    an empty result.
+    Nulls and empty texts: the lowest score, as texts without a word have; rows with a null doc_id are not
+    held out and have no label. Very long texts: read whole, a worker holds one at a time and scores PIECE
+    code points at once. Ties and repeated rows: equal texts have equal scores; of several labels of a
+    document the largest counts. Empty tables: without documents an empty result, without labels of both
+    classes low scores. Other columns are ignored, whatever their names.
     """
-    small_batches(docs.sparkSession)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
-    return docs.select("doc_id", held.alias("held_out"), text_of().alias("text")).mapInArrow(lambda b: _scores(b, model), "doc_id long, held_out boolean, score double, predicted int")
+    return own(docs, "doc_id", "text").select("doc_id", held.alias("held_out"), text_of().alias("text")).mapInArrow(lambda b: _scores(b, model), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op10_toxicity(spark, sf_dir):
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    small_batches(spark)
     return score_toxicity(docs, fit(docs, labels.select("doc_id", F.col("toxic").alias("y"))))
