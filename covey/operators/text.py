@@ -117,6 +117,11 @@ def cut_terms(tf: DataFrame, size: DataFrame, max_df: float, min_df: int, top: i
     return ranked.where(F.col("place") <= top).select("side", "place", "term", "df", (F.col("df") / F.col("n_docs")).alias("share"), *flags)
 
 
+def dated(posts: DataFrame, time: str = "created_at") -> DataFrame:
+    """Posts whose time could be read."""
+    return posts.where(F.col(time).isNotNull())
+
+
 def recent(posts: DataFrame, n: int, time: str = "turn") -> DataFrame:
     """Each user's n latest posts; of equal times the larger text first."""
     return posts.withColumn("__place", F.row_number().over(W.partitionBy("user_id").orderBy(F.desc(time), F.desc("text")))).where(F.col("__place") <= n).drop("__place")

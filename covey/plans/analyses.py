@@ -242,6 +242,63 @@ class Report:
         return text
 
 
+def numbers_report(pairs: DataFrame, folder: str, max_hops: int = 3, n_boot: int = 500, seed: int = 42, m: DataFrame | None = None, emb: DataFrame | None = None) -> str:
+    """The numbers of a pair table (shared_packs, n_eff, cosine, hops) as a report with its tables; contradictions come first.
+
+    With a membership and embeddings, the packs that the pairs of largest and of middling n_eff share most are listed too.
+    """
+    require_columns(pairs, "user_a", "user_b", "shared_packs", "n_eff", "cosine", "hops")
+    p, r = checkpointed(pairs), Report(folder)
+    r.heading("1 Invariants")
+    checks = ag.invariants(p, max_hops)
+    r.table(checks, "invariants")
+    broken = {k: v for k, v in checks.first().asDict().items() if k not in ("pairs", "sentinels") and v}
+    if broken:
+        r.contradict(f"the pair table breaks invariants: {broken}")
+    r.heading("2 Slopes of cosine on packs shared")
+    spans = [inf.slopes(p.where(F.col("shared_packs").between(low, 8)), "shared_packs", "cosine", []).select(F.lit(f"{low}-8").alias("span"), "n", "slope", "intercept", "r2") for low in (1, 0)]
+    r.table(spans[0].union(spans[1]), "slopes")
+    if any((x["slope"] or 0) <= 0 for x in spans[0].union(spans[1]).collect()):
+        r.contradict("cosine does not rise with packs shared")
+    r.heading("3 From counts to effective numbers")
+    r.table(ag.distribution(p, "shared_packs", "n_eff"), "distribution")
+    r.table(ag.ratio_by_count(p, "shared_packs", "n_eff"), "ratio_by_count")
+    r.table(inf.two_predictors(p.where("shared_packs > 0"), "shared_packs", "n_eff", "cosine"), "two_predictors")
+    r.heading("4 Cells of common ground and distance")
+    r.table(ag.cells(p, max_hops), "cells")
+    r.table(ag.cell_diagnostic(p), "cell_diagnostic")
+    r.heading("5 Interaction on a log scale, and models with log link")
+    offsets = [inf.interaction(p.withColumn("__y", F.ln(F.col("cosine") + eps)), "n_eff", "__y", "hops", 1).select(F.lit(eps).alias("eps"), "*") for eps in (1e-2, 1e-3, 1e-4)]
+    logs = checkpointed(inf.with_t_p(offsets[0].union(offsets[1]).union(offsets[2]), "t", "df"))
+    r.table(logs, "log_interaction")
+    r.table(inf.stability(logs, "eps", ["hops"]), "log_stability")
+    glm = inf.log_link(p, "n_eff", "cosine", by="hops")
+    r.table(glm, "log_link")
+    r.table(inf.sign_agreement(glm), "log_link_signs")
+    if glm.where("term LIKE '%:%'").groupBy("term").agg((F.countDistinct(F.signum("estimate")) > 1).alias("apart")).where("apart").count():
+        r.contradict("the two families disagree in the sign of an interaction")
+    r.heading("6 Contrasts of strata")
+    sums = inf.mean_sums("high", "cosine", "n_eff > 3") | inf.mean_sums("low", "cosine", "n_eff < 1")
+    high, low = inf.wmean("high"), inf.wmean("low")
+    r.table(inf.bootstrap_statistics(p, sums, {"gap": high - low, "ratio": F.try_divide(high, low), "log_ratio": F.ln(F.try_divide(high, low))}, n_boot, seed), "contrasts")
+    r.table(inf.bootstrap_models(p, "n_eff", "cosine", "hops", 1, n_boot, seed), "models")
+    r.heading("7 Degree-matched pairs")
+    degrees = p.select(F.explode(F.array("user_a", "user_b")).alias("user")).groupBy("user").agg(F.count("*").alias("k"))
+    deciles = checkpointed(pr.value_decile(degrees, "k").select("user", "decile"))
+    a, b = deciles.toDF("user_a", "da"), deciles.toDF("user_b", "db")
+    own = p.join(a, "user_a").join(b, "user_b").withColumn("cell", F.concat_ws("-", F.least("da", "db").cast("string"), F.greatest("da", "db").cast("string")))
+    matched = pr.degree_matched(own.where("shared_packs > 0").select("user_a", "user_b", "cell", "cosine", "shared_packs"), own.where("shared_packs = 0").select("user_a", "user_b", "cell", "cosine"), seed)
+    curve = checkpointed(matched.groupBy(F.col("shared_packs").alias("level")).agg(F.count("*").alias("n"), F.count("matched").alias("n_matched"), F.avg("cosine").alias("mean"), F.avg("matched").alias("matched")))
+    r.table(curve.orderBy("level"), "degree_matched")
+    r.table(ag.first_crossing(curve), "crossing")
+    if m is not None and emb is not None:
+        r.heading("8 Packs shared at large and middling effective numbers")
+        shared = p.where("shared_packs > 0")
+        for name, low_at, high_at in (("top_decile", 0.9, 1.0), ("median_band", 0.45, 0.55)):
+            r.table(ne.top_shared(pr.shared_packs(ne.in_band(shared, low_at, high_at), m), emb, 200), f"packs_{name}")
+    return r.flush()
+
+
 def scrubbed(text: str) -> str:
     """Dates and times of a printed summary as fixed words."""
     return re.sub(r"\d{1,2}:\d{2}:\d{2}", "<time>", re.sub(r"(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), \d{1,2} \w{3} \d{4}", "<date>", text))

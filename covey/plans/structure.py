@@ -37,16 +37,26 @@ def pack_members(spark, d):
     return mb.pack_members(R.dense_membership(spark, d)).withColumn("members", F.array_join("members", ","))
 
 
-@query("SELECT p_partkey AS pack_id, p_name AS name, CASE WHEN trim(p_name) = '' THEN p_type WHEN trim(p_type) = '' THEN p_name ELSE p_name || '. ' || p_type END AS text, md5(CASE WHEN trim(p_name) = '' THEN p_type WHEN trim(p_type) = '' THEN p_name ELSE p_name || '. ' || p_type END) AS text_hash FROM part")
+_TITLE, _ABOUT = "trim(p_name)", "trim(coalesce(CASE WHEN p_partkey % 5 > 0 THEN p_type END, CASE WHEN p_partkey % 7 = 0 THEN p_brand END, ''))"
+_PACK_TEXT = f"CASE WHEN {_TITLE} = '' THEN {_ABOUT} WHEN {_ABOUT} = '' THEN {_TITLE} ELSE {_TITLE} || '. ' || {_ABOUT} END"
+
+
+def _parts(spark, d):
+    """Parts as packs; some have no description."""
+    about = F.coalesce(F.expr("CASE WHEN p_partkey % 5 > 0 THEN p_type END"), F.expr("CASE WHEN p_partkey % 7 = 0 THEN p_brand END"), F.lit(""))
+    return R.table(spark, d, "part").select(F.col("p_partkey").alias("pack_id"), F.col("p_name").alias("name"), F.col("p_name").alias("title"), about.alias("description"))
+
+
+@query(f"SELECT p_partkey AS pack_id, {_PACK_TEXT} AS text, md5({_PACK_TEXT}) AS text_hash, {_ABOUT} AS untitled FROM part")
 def pack_text(spark, d):
-    text = F.concat_ws(". ", F.nullif(F.trim("p_name"), F.lit("")), F.nullif(F.trim("p_type"), F.lit("")))
-    return R.table(spark, d, "part").select(F.col("p_partkey").alias("pack_id"), F.col("p_name").alias("name"), text.alias("text"), F.md5(text).alias("text_hash"))
+    packs = _parts(spark, d)
+    return io.pack_texts(packs).join(io.pack_texts(packs, include_name=False).select("pack_id", F.col("text").alias("untitled")), "pack_id")
 
 
 @query("SELECT count(*) AS packs, count(*) AS texts, count(*) FILTER (WHERE (p_partkey - 1) % greatest(1, (SELECT count(*) FROM part) // 50) = 0) AS checked, 0::BIGINT AS wrong FROM part")
 def alignment_check(spark, d):
-    texts = pack_text(spark, d)
-    return mb.alignment(texts.select("pack_id", "name"), texts.select("pack_id", "text"))
+    packs = _parts(spark, d)
+    return mb.alignment(packs.select("pack_id", "name"), io.pack_texts(packs).select("pack_id", "text"))
 
 
 @query("SELECT event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n, sum(value)::DECIMAL(18, 2)::DOUBLE AS total FROM events WHERE contains(props, 'k') GROUP BY ALL")
@@ -75,9 +85,9 @@ def record_paths(spark, d):
     return R.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), io.record_path("c_name").alias("path"))
 
 
-@query("SELECT p_partkey AS pack_id, p_name AS name FROM part WHERE coalesce(p_type, '') <> ''")
+@query(f"SELECT p_partkey AS pack_id, p_name AS name FROM part WHERE {_ABOUT} <> ''")
 def described_packs(spark, d):
-    return io.described_packs(R.table(spark, d, "part").select(F.col("p_partkey").alias("pack_id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"))).select("pack_id", "name")
+    return io.described_packs(_parts(spark, d), "description").select("pack_id", "name")
 
 
 # --- edges -----------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from covey import __main__ as cli
 from covey.operators import information as info
 from covey.plans import analyses as an
+from covey.plans import figures
 from covey.sources import roles as R
 
 SF = "/root/testdata/sf0.001"
@@ -86,7 +87,8 @@ def test_composites(spark):
         parts = [an.null_model(m, pairs, emb, "slope", ensemble, 4, 0, "rowsum", task=t, tasks=2) for t in (0, 1)]
         both = parts[0]["replicates"].union(parts[1]["replicates"])
         assert an.null_reduce(parts[0]["observed"], both).first().n == 4
-    assert an.null_curves(m, pairs, emb, "canonical", 3, 3, method="rowsum", n_boot=5)["curves"].count() == 8
+    curves = an.null_curves(m, pairs, emb, "canonical", 3, 3, method="rowsum", n_boot=5)["curves"]
+    assert curves.count() == 8 and figures.null_overlay(curves).count() == 8
     assert an.degree_diagnostic(m, pairs, 300)["populations"].count() == 3
     found = an.pair_inspection(m, emb, n_draws=300)
     assert found["pairs"].count() == 5 and found["numbers"].count() == 5 and found["tidy"].count() == 75
@@ -97,6 +99,19 @@ def test_composites(spark):
     assert 0 <= an.cooccurrence(m, pairs)["summary"].first().significant <= 1
 
 
+def test_numbers_report(spark, tmp_path):
+    p, m, emb = R.pair_table(spark, SF), R.membership(spark, SF), R.embeddings(spark, SF)
+    text = an.numbers_report(p, str(tmp_path), 3, 10, 1, m, emb)
+    assert "## 7 Degree-matched pairs" in text and (tmp_path / "log_interaction.parquet").exists()
+    assert "CONTRADICTION" in an.numbers_report(p.withColumn("cosine", -F.col("shared_packs")).where("shared_packs >= 0").withColumn("cosine", F.lit(1.0) / (1 + F.col("shared_packs"))), str(tmp_path / "b"), 3, 5)
+    curve = figures.overlap_curve(p, 8, 10)
+    assert curve.columns == ["s_raw", "mean_cosine", "std", "count", "err_low", "err_high", "ci_low", "ci_high"]
+    assert figures.renormalised_curve(p, 8, 10).columns[0] == "shared_packs" and figures.null_points(p).columns == ["s_raw", "n_obs", "mean_cosine"]
+    assert figures.regime_cells(p, 10).columns == ["s_eff_regime", "network_distance", "n", "mean_cosine", "ci_low", "ci_high", "ci_width"]
+    figures.draw(curve, "curve", str(tmp_path), "s_raw", "mean_cosine", "ci_low", "ci_high")
+    assert (tmp_path / "curve.csv").read_text().startswith("s_raw,mean_cosine")
+
+
 def test_report(spark, tmp_path):
     r = an.Report(str(tmp_path))
     r.heading("h")
@@ -120,5 +135,21 @@ def test_command_line(spark, tmp_path):
     cli.main(["cap-degree", "--edges", p("f.parquet"), "--cap", "9", "--out", p("g.parquet")])
     cli.main(["paths", "--edges", p("g.parquet"), "--users", p("pairs.parquet"), "--out", p("d.parquet")])
     assert {"source", "target", "distance"} == set(spark.read.parquet(p("d.parquet")).columns)
+    cli.main(["paths", "--edges", p("e.csv"), "--users", p("pairs.parquet"), "--cache", p("graph"), "--out", p("d2.parquet")])
+    assert spark.read.parquet(p("graph")).columns == ["source", "target"]
+    scored = spark.read.parquet(p("pairs.parquet")).withColumn("cosine", F.rand(1)).withColumn("hops", (F.rand(2) * 2 + 1).cast("int"))
+    scored.write.parquet(p("scored.parquet"))
+    spark.createDataFrame([(k, [1.0, float(k)]) for k in range(8)], "pack_id long, embedding array<double>").write.parquet(p("emb.parquet"))
+    null = ["--packs", p("p.jsonl"), "--pairs", p("scored.parquet"), "--embeddings", p("emb.parquet"), "--replicates", "3", "--method", "rowsum", "--out", p("null")]
+    for task in "01":
+        cli.main(["null-model", *null, "--task", task, "--tasks", "2"])
+    cli.main(["null-model", *null, "--reduce"])
+    assert spark.read.parquet(p("null/summary")).first().n == 3
+    cli.main(["null-curves", *null[:-1], p("curves"), "--max-shared", "3", "--n-boot", "5"])
+    assert (tmp_path / "curves" / "curves.csv").exists()
+    (tmp_path / "nodes.txt").write_text("u1\nu2\n")
+    cli.main(["filter-edges", "--edges", p("e.csv"), "--nodes", p("nodes.txt"), "--either", "--out", p("n.parquet")])
+    cli.main(["inspect-pairs", "--packs", p("p.jsonl"), "--embeddings", p("emb.parquet"), "--out", p("five")])
+    assert spark.read.parquet(p("five/pairs")).count() <= 5
     cli.main(["cooccurrence", "--packs", p("p.jsonl"), "--pairs", p("pairs.parquet"), "--out", p("c")])
     assert spark.read.parquet(p("c/summary")).count() == 1

@@ -484,12 +484,46 @@ def test_packs(spark, tmp_path):
     lines = [
         {"members": [{"did": "u1"}, {"did": "u2"}, {"did": "u1"}], "name": "One", "description": "top"}, None,
         {"record": {"name": "Two", "description": "inner"}, "members": [{"did": "u2"}], "description": "outer"}, {"uri": "at://x", "members": None},
+        {"name": "", "record": {"name": "  Three ", "description": ""}, "description": " own "}, {"name": 7, "record": None, "description": 5, "members": []},
+        {"name": None, "record": {"description": None}, "uri": "", "description": ""}, {"name": "Six", "description": float("nan"), "record": {"description": "nan: NaN, stays"}},
     ]
-    (tmp_path / "p.jsonl").write_text("\n".join("" if x is None else json.dumps(x) for x in lines) + "\n")
+    (tmp_path / "p.jsonl").write_text("\n".join(" \t" if x is None else json.dumps(x) for x in lines) + "\n\n")
     packs = io.read_packs(spark, str(tmp_path / "p.jsonl"))
-    assert [(r.pack_id, r.name, r.description) for r in packs.orderBy("pack_id").collect()] == [(0, "One", "top"), (1, "Two", "inner"), (2, "at://x", None)]
+    got = [(r.pack_id, r.name, r.title, r.description) for r in packs.orderBy("pack_id").collect()]
+    assert got == [(0, "One", "One", "top"), (1, "Two", "Two", "inner"), (2, "at://x", "", ""), (3, "  Three ", "Three", "own"), (4, "7", "", ""), (5, "", "", ""), (6, "Six", "Six", "nan: null, stays")]
     assert rows(mb.build(packs)) == [("u1", 0), ("u2", 0), ("u2", 1)]
-    assert io.described_packs(packs).count() == 2
+    texts = {r.pack_id: r.text for r in io.pack_texts(packs).collect()}
+    assert texts[1] == "Two. inner" and texts[2] == "" and texts[3] == "Three. own" and texts[4] == ""
+    assert {r.pack_id: r.text for r in io.pack_texts(packs, include_name=False).collect()}[3] == "own"
+    assert {r.pack_id for r in io.described_packs(packs).collect()} == {0, 1, 2, 3, 4, 6}  # null is kept, an empty one is not
+    (tmp_path / "d.jsonl").write_text('{"description": "x"}\n{"description": ""}\n{"description": null}\n')
+    assert [json.loads(r.value)["description"] for r in io.described_lines(spark, str(tmp_path / "d.jsonl")).collect()] == ["x", None]
+    (tmp_path / "n.jsonl").write_text('{"name": "x"}\n')
+    with pytest.raises(Exception, match="without a description"):
+        io.described_lines(spark, str(tmp_path / "n.jsonl")).collect()
+
+
+def test_lines_are_numbered_in_order(spark, tmp_path):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "lines").mkdir()
+    for k in range(3):
+        (tmp_path / "lines" / f"{k}.txt").write_text("".join(f"{k}-{i}\n\n" for i in range(400)))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        got = {r.value: r.place for r in io.numbered_lines(spark, str(tmp_path / "lines")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"{k}-{i}": 400 * k + i for k in range(3) for i in range(400)}
+
+
+def test_a_failed_write_keeps_the_old_table(spark, tmp_path):
+    e = frame(spark, [("a", "b")], "source string, target string")
+    path = tmp_path / "t.parquet"
+    io.write_table(e, str(path))
+    broken = e.withColumn("source", F.raise_error(F.lit("stop")).cast("string"))
+    with pytest.raises(Exception, match="stop"):
+        io.write_table(broken, str(path))
+    assert io.read_edges(spark, str(path)).count() == 1
 
 
 def test_posts(spark, tmp_path):
@@ -497,7 +531,9 @@ def test_posts(spark, tmp_path):
     io.write_posts(str(tmp_path), "did1", [post(" a\nb "), post("  "), {"commit": {"collection": "other"}, "record": {"text": "no"}}, post("q", embed={"$type": io.QUOTES[0]}), post("t", "not a time")])
     out = io.read_posts(spark, str(tmp_path)).collect()
     assert sorted((r.user_id, r.text, r.is_quote, r.created_at is None) for r in out) == [("did1", "a b", False, False), ("did1", "q", True, False), ("did1", "t", False, True)]
-    assert io.read_posts(spark, str(tmp_path), quotes=False).count() == 2
+    assert io.read_posts(spark, str(tmp_path), quotes=False).count() == 2 and tx.dated(io.read_posts(spark, str(tmp_path))).count() == 2
+    io.write_posts(str(tmp_path / "more"), "did2", [post("this is what they have been to"), post("das ist ein haus")])
+    assert [r.text for r in io.read_posts(spark, str(tmp_path / "more"), english_only=True).collect()] == ["this is what they have been to"]
 
 
 def test_tables(spark, tmp_path):
@@ -507,6 +543,7 @@ def test_tables(spark, tmp_path):
     io.write_table(e, str(tmp_path / "e.parquet"))
     io.write_table(e.limit(1), str(tmp_path / "e.parquet"))
     assert io.read_edges(spark, str(tmp_path / "e.parquet")).count() == 1
+    assert io.row_count(spark, str(tmp_path / "e.parquet")) == 1 and not list(tmp_path.glob("e.parquet.*"))
     with pytest.raises(ValueError):
         io.write_table(e.limit(0), str(tmp_path / "x.parquet"))
     with pytest.raises(ValueError):
@@ -515,5 +552,13 @@ def test_tables(spark, tmp_path):
     assert io.read_manifest(str(tmp_path / "m.txt")) == {"seed": "16", "A": "1", "B": "two"}
     (tmp_path / "u.txt").write_text("x\n\ny\nx\n")
     assert io.read_users(spark, str(tmp_path / "u.txt")).count() == 2
+    assert [(r.user_id, r.place) for r in io.read_users(spark, str(tmp_path / "u.txt"), ordered=True).orderBy("place").collect()] == [("x", 0), ("y", 1)]
+    assert rows(io.read_nodes(spark, nodes=str(tmp_path / "u.txt"))) == [("x",), ("y",)]
+    frame(spark, [("b", "c"), ("a", "b")], "user_a string, user_b string").coalesce(1).write.parquet(str(tmp_path / "q.parquet"))
+    assert [r.user_id for r in io.read_users(spark, str(tmp_path / "q.parquet"), ordered=True).orderBy("place").collect()] == ["b", "a", "c"]
+    graph = lambda **k: rows(io.cached_graph(spark, str(tmp_path / "e.csv"), str(tmp_path / "graph"), **k))
+    assert graph() == [("a", "b"), ("b", "a")]
+    (tmp_path / "e.csv").write_text("a,b,2024\na,b,2024\nb,c,2024\n")
+    assert graph() == [("a", "b"), ("b", "a")] and graph(rebuild=True) == [("a", "b"), ("b", "c")]
     (tmp_path / "h.json").write_text(json.dumps({"incidences": [{"edge": "1", "node": "x"}, {"edge": "2", "node": "x"}, {"edge": "2", "node": "y"}]}))
     assert rows(io.interchange_degrees(spark, str(tmp_path / "h.json"))) == [("x", 2), ("y", 1)]
