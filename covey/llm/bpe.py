@@ -19,7 +19,7 @@ from itertools import pairwise
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from covey.llm.common import documents, small_batches, text_of
+from covey.llm.common import documents, own, pieces, text_of
 
 #: Words in the young half of a cache; the old half is as large.
 YOUNG = 120_000
@@ -117,7 +117,7 @@ class _Cache(dict):
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     codec = Codec(path)
-    for batch in batches:
+    for batch in pieces(batches):
         counts, ids, texts = [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             codes = codec.codes(text)
@@ -132,34 +132,36 @@ def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Record
 
 def _ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     codec = Codec(path)
-    for batch in batches:
+    for batch in pieces(batches):
         ids = [[int(i) for _, s, _ in codec.codes(t) for i in s.split(" ")] for t in batch.column("text").cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     codec = Codec(path)
-    for batch in batches:
+    for batch in pieces(batches, "ids"):
         texts = [None if x is None else codec.decode(x) for x in batch.column("ids").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (array of int) for each row of docs. A null text is empty and has no ids; repeated rows are encoded one by one."""
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(lambda b: _ids(b, path), "doc_id long, ids array<int>")
+    """doc_id and ids (array of int) for each row of docs.
+
+    Nulls: a null text is empty, a null doc_id stays. Empty texts, and texts of white space: no ids. Very
+    long texts: read whole; a worker holds one at a time. Repeated rows: encoded one by one (there are no
+    ties). Empty table: empty result. Other columns are ignored, whatever their names.
+    """
+    return own(docs, "doc_id", "text").select("doc_id", text_of().alias("text")).mapInArrow(lambda b: _ids(b, path), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and text for each row of encode()'s result."""
-    small_batches(encoded.sparkSession)
-    return encoded.select("doc_id", "ids").mapInArrow(lambda b: _decoded(b, path), "doc_id long, text string")
+    """doc_id and text for each row of encode()'s result; a null array gives a null text, an empty one an empty text."""
+    return own(encoded, "doc_id", "ids").mapInArrow(lambda b: _decoded(b, path), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """For each row of docs: doc_id, n_tokens, and SHA-256 of the ids and of the decoded text."""
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(lambda b: _encoded(b, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    """For each row of docs: doc_id, n_tokens, and SHA-256 of the ids and of the decoded text. Cases as encode() has them."""
+    return own(docs, "doc_id", "text").select("doc_id", text_of().alias("text")).mapInArrow(lambda b: _encoded(b, path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokenizer_path() -> str:
