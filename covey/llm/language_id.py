@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covey.llm.common import documents, first_of_each, small_batches, text_of
+from covey.llm.common import documents, first_of_each, own, pieces
 from covey.llm.letters import code_points, grams, per_word, script_table, word_runs
 
 #: Documents of a language that are learned from, at most; bits of a trigram's bucket; cost of a change; added count; share of a language's letters that a script must have.
@@ -38,7 +38,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[str, np.ndarray] = {}
     letters: dict[str, np.ndarray] = {}
     table, names = script_table()
-    for batch in batches:
+    for batch in pieces(batches):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             points = code_points(text)
             begin, end = word_runs(points, 2)
@@ -121,8 +121,8 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Learns from the rows of docs that are not held out and have a language."""
-    known = docs.where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
+    """Learns from the rows of docs that are not held out and have a language; equal rows count once in the sample's choice, each in its counts."""
+    known = own(docs, "doc_id", "lang", "text").where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     ids = first_of_each(known.select("doc_id", "lang"), "lang", sample)
     ids = F.broadcast(ids.distinct())  # at most `sample` rows of each language
     rows = known.join(ids, ["doc_id", "lang"])
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         found = [model.predict(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -139,15 +139,17 @@ def _predicted(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.R
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, lang_pred, score (the share of letters that the language covers).
 
-    Null texts and texts without a letter are `und` with score 0, and so is everything where nothing was
-    learned. Rows with a null doc_id are not held out. An empty table gives an empty result.
+    Nulls and empty texts: null texts and texts without a letter are `und` with score 0, and so is everything
+    where nothing was learned; rows with a null doc_id are not held out. Very long texts: read whole, a
+    worker holds one at a time and scores PIECE code points at once. Ties: the language that is first by
+    name. Repeated rows: one by one. Empty table: empty result. Other columns are ignored, whatever
+    their names.
     """
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", _held_out().alias("held_out"), "text").mapInArrow(lambda b: _predicted(b, model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return own(docs, "doc_id", "text").select("doc_id", _held_out().alias("held_out"), "text").mapInArrow(lambda b: _predicted(b, model), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def _spans(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         ids, begins, ends, langs = [], [], [], []
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if (found := model.label(text)) is not None:
@@ -163,11 +165,9 @@ def _spans(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
     """The spans of one language in each text: doc_id, begin, end, lang, in code points of the lower-cased text."""
-    small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(lambda b: _spans(b, model), "doc_id long, begin long, end long, lang string")
+    return own(docs, "doc_id", "text").mapInArrow(lambda b: _spans(b, model), "doc_id long, begin long, end long, lang string")
 
 
 def op9_language_id(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    small_batches(spark)
     return identify(docs, fit(docs))
