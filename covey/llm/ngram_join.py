@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join by T-occurrence search (DivideSkip), down to connected components.
 
 1. Every document becomes the set of its 5-word shingles, as hashes of 48 bits within a bucket. Sets are
-   dealt out by bucket; a bucket sees all holders of its shingles, leaves one holder of each set of equal
+   dealt out by bucket, several buckets to a partition, and a task streams its buckets in order, one in
+   memory at a time. A bucket sees all holders of its shingles, leaves one holder of each set of equal
    documents, and sends back only shingles that at least two different sets hold. A document of which
    fewer than T = ceil(0.8 n) shingles come back can link with nothing and needs no search.
 2. The shingles of the rest are ordered from rare to common. Two documents that link share one of the
@@ -30,13 +31,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covey.llm.common import cut, documents, parts, small_batches, staged, text_of
+from covey.llm.common import Filter, cut, documents, numbered, own, parts, pieces, place, staged, text_of
 from covey.llm.components import components
 
 #: Words of a shingle; fixed by the contract, as is the threshold of 0.8 (4 parts of 5) below.
 SIZE = 5
 #: Shingles that a chunk of a block may hold, shingles sorted at once in a bucket, words whose hashes are kept.
-CHUNK, AT_ONCE, WORDS_KEPT = 1_000_000, 1_500_000, 200_000
+CHUNK, AT_ONCE, WORDS_KEPT = 1_000_000, 1_000_000, 200_000
+#: Buckets of a partition; documents whose links a task remembers.
+FINE, KNOWN = 2, 1_000_000
 #: Leaders that a chunk is held against before the search, and the weight of a list's length in DivideSkip.
 LEADERS, MU = 4, 0.01
 _LOW = np.uint64((1 << 48) - 1)
@@ -98,8 +101,12 @@ _DEALT = "to int, batch binary, bucket int, docs binary, marks binary, counts bi
 _ROW = pa.schema([("to", pa.int32()), ("batch", pa.binary()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("docs", "marks", "counts", "codes"))])
 
 
+def _buckets(keys: list[int]) -> int:
+    return min(FINE * len(keys), (1 << 16) - 1)
+
+
 def _deal(sets: list[np.ndarray], marks: np.ndarray, batch: bytes, keys: list[int]) -> list[tuple]:
-    """A row for each bucket that has shingles of the batch."""
+    """A row for each bucket that has shingles of the batch; buckets take turns over the partitions."""
     lens = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate([*sets, np.empty(0, np.uint64)])
     doc = np.repeat(np.arange(len(sets), dtype=np.int64), lens)
@@ -111,7 +118,7 @@ def _deal(sets: list[np.ndarray], marks: np.ndarray, batch: bytes, keys: list[in
     for a, b in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
         own, counts = np.unique(doc[a:b], return_counts=True)
         k = int(bucket[a])
-        rows.append((keys[k], batch, k, own.astype("<u4").tobytes(), marks[own].tobytes(), counts.astype("<u4").tobytes(), _six(flat[a:b])))
+        rows.append((keys[k % len(keys)], batch, k, own.astype("<u4").tobytes(), marks[own].tobytes(), counts.astype("<u4").tobytes(), _six(flat[a:b])))
     return rows
 
 
@@ -121,9 +128,9 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _documents(batches: Iterator[pa.RecordBatch], keys: list[int], size: int) -> Iterator[pa.RecordBatch]:
     known, part = _Hashes(), TaskContext.get().partitionId()
-    for k, batch in enumerate(batches):
+    for k, batch in enumerate(pieces(batches)):
         ids = batch.column("doc_id")
-        sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), len(keys), known, size)
+        sets = shingle_sets(batch.column("text").cast(pa.binary()).to_pylist(), _buckets(keys), known, size)
         prints = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), "S16")
         # by place too, since batches of repeated rows are equal
         name = xxhash.xxh3_128_digest(b"%d|%d|" % (part, k) + b"".join(xxhash.xxh3_128_digest(repr(x).encode()) for x in ids.to_pylist()) + prints.tobytes())
@@ -134,8 +141,17 @@ def _documents(batches: Iterator[pa.RecordBatch], keys: list[int], size: int) ->
         yield _rows([*rows, own])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch]) -> list[dict]:
-    return [r for b in batches for r in b.to_pylist()]
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
+    """The rows of sorted batches, those of one key together."""
+    held: list[dict] = []
+    for batch in pieces(batches, "codes"):
+        for r in batch.to_pylist():
+            if held and held[0][key] != r[key]:
+                yield held
+                held = []
+            held.append(r)
+    if held:
+        yield held
 
 
 def _slices(rows: list[dict], at_once: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -158,11 +174,11 @@ def _slices(rows: list[dict], at_once: int) -> Iterator[tuple[np.ndarray, np.nda
 
 def _shared(batches: Iterator[pa.RecordBatch], keys: list[int], at_once: int) -> Iterator[pa.RecordBatch]:
     """For each row of a bucket: its shingles held by at least two different sets, with a class of how many (counts: one byte each)."""
-    rows = _gathered(batches)
-    yield _rows([(keys[r["batch"][0] % len(keys)], r["batch"], -1, r["docs"], r["marks"], r["counts"], r["codes"]) for r in rows if r["bucket"] < 0])
-    rows = sorted((r for r in rows if r["bucket"] >= 0), key=lambda r: (r["bucket"], r["batch"]))  # a batch is before another in all buckets alike
-    for bucket in dict.fromkeys(r["bucket"] for r in rows):
-        own = [r for r in rows if r["bucket"] == bucket]
+    for own in _runs(batches, "bucket"):  # sorted by batch too: a batch is before another in all buckets alike
+        bucket = own[0]["bucket"]
+        if bucket < 0:
+            yield _rows([(keys[r["batch"][0] % len(keys)], r["batch"], -1, r["docs"], r["marks"], r["counts"], r["codes"]) for r in own])
+            continue
         marks = [np.frombuffer(r["marks"], "<u8") for r in own]
         docs = [np.frombuffer(r["docs"], "<u4") for r in own]
         kept: list[list] = [[] for _ in own]
@@ -187,7 +203,9 @@ def _shared(batches: Iterator[pa.RecordBatch], keys: list[int], at_once: int) ->
             codes, row, place, grade = codes[several], row[several], place[several], np.minimum(255, 4 * np.log2(held[several])).astype(np.uint8)
             order = np.argsort(row, kind="stable")
             codes, row, place, grade = codes[order], row[order], place[order], grade[order]
-            for k, a, b in zip(*np.unique(row, return_index=True), np.append(np.unique(row, return_index=True)[1][1:], len(row)), strict=True):
+            begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, int)
+            for a, b in zip(begin, np.append(begin[1:], len(row)), strict=False):
+                k = int(row[a])
                 kept[k].append((docs[k][place[a:b]], codes[a:b], grade[a:b]))
         for r, found in zip(own, kept, strict=True):
             who, codes, grade = (np.concatenate([f[i] for f in found]) if found else np.empty(0, np.uint64) for i in range(3))
@@ -199,10 +217,7 @@ _MEMBER = "doc_id long, key long, print binary, n int, rank binary"
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    by: dict[bytes, list[dict]] = {}
-    for r in _gathered(batches):
-        by.setdefault(r["batch"], []).append(r)
-    for rows in by.values():
+    for rows in _runs(batches, "batch"):
         own = next(r for r in rows if r["bucket"] < 0)
         rest = [r for r in rows if r["bucket"] >= 0]
         if len(rest) != int.from_bytes(own["codes"], "little"):
@@ -260,10 +275,10 @@ def _links(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _chains(batches: Iterator[pa.RecordBatch], at_once: int) -> Iterator[pa.RecordBatch]:
     """A forest that connects the holders of each shingle whose sizes, put in order, are near enough."""
-    rows = sorted(_gathered(batches), key=lambda r: r["bucket"])
     up: dict[int, int] = {}
-    for bucket in dict.fromkeys(r["bucket"] for r in rows):
-        own = [r for r in rows if r["bucket"] == bucket]
+    for own in _runs(batches, "bucket"):
+        if len(up) > KNOWN:
+            up.clear()  # links known before may come again
         marks = np.concatenate([np.frombuffer(r["marks"], "<i8").reshape(-1, 2) for r in own])
         starts = np.cumsum([0, *(len(r["marks"]) // 16 for r in own)])
         for codes, holders in _slices(own, at_once):
@@ -444,34 +459,36 @@ def _keys(spark, n: int) -> list[int]:
 def near_groups(docs: DataFrame, size: int = SIZE, chunk: int = CHUNK, at_once: int = AT_ONCE) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id.
 
-    Null and empty texts, and texts without words, have no shingles and link with nothing. A text with
-    fewer words than a shingle is one shingle. Repeated rows have equal sets and so link. A null doc_id is never
-    a component_id unless the component has no other. Other columns are ignored; an empty table gives
-    an empty result. docs must give the same rows whenever it is read (a table, or a checkpoint).
+    Nulls and empty texts: null and empty texts, and texts without words, have no shingles and link with
+    nothing; a null doc_id is a component_id only where the component has no other. A text with fewer
+    words than a shingle is one shingle. Very long texts: read whole; a worker holds one at a time.
+    Ties and repeated rows: equal sets link, and rows of one doc_id are rows of their own. Empty table:
+    empty result. Other columns are ignored, whatever their names. docs must give the same rows whenever
+    it is read (a table, or a checkpoint).
     """
     grouped = _grouped(docs, size, chunk, at_once)
     least = cut(grouped.groupBy("group").agg(F.min("doc_id").alias("component_id")))  # with a shuffle of its own on either side, a large group can be split
     return grouped.join(least, "group").select("doc_id", "n_shingles", "component_id")
 
 
-def _key():
+def _key(name: str = "text"):
     """A hash of the text, which tells rows of one doc_id apart."""
-    return F.xxhash64(text_of())
+    return F.xxhash64(text_of(name))
 
 
 def _grouped(docs: DataFrame, size: int = SIZE, chunk: int = CHUNK, at_once: int = AT_ONCE) -> DataFrame:
     """One row for each row of docs: doc_id, key, n_shingles, group (its component)."""
     spark = docs.sparkSession
-    small_batches(spark)
-    n = min(parts(spark), 1 << 16)
+    n = min(parts(spark), 1 << 15)
     keys = _keys(spark, n)
-    dealt = docs.select("doc_id", text_of().alias("text"), _key().alias("key")).mapInArrow(lambda b: _documents(b, keys, size), _DEALT)
-    back = dealt.repartition(n, "to").mapInArrow(lambda b: _shared(b, keys, at_once), _DEALT)
-    members = back.repartition(n, "to").mapInArrow(_members, _MEMBER)
+    texts = own(docs, "doc_id", "text").select("doc_id", text_of().alias("text"), _key().alias("key"))
+    dealt = texts.mapInArrow(lambda b: _documents(b, keys, size), _DEALT)
+    back = dealt.repartition(n, "to").sortWithinPartitions("bucket", "batch").mapInArrow(lambda b: _shared(b, keys, at_once), _DEALT)
+    members = back.repartition(n, "to").sortWithinPartitions("batch", "bucket").mapInArrow(_members, _MEMBER)
     members = staged(members.withColumn("node", F.monotonically_increasing_id()), "members")
     alive = members.where("rank IS NOT NULL").select("node", "n", "rank")
 
-    chains = alive.mapInArrow(lambda b: _prefixes(b, keys), _DEALT).repartition(n, "to").mapInArrow(lambda b: _chains(b, at_once), _LINK)
+    chains = alive.mapInArrow(lambda b: _prefixes(b, keys), _DEALT).repartition(n, "to").sortWithinPartitions("bucket").mapInArrow(lambda b: _chains(b, at_once), _LINK)
     roots = components(chains)
     blocks = roots.union(roots.select("root", "root").distinct()).toDF("node", "block")
     sizes = alive.select("node", (F.length("rank") / 8).cast("long").alias("held"))
@@ -515,20 +532,23 @@ def first_of_groups(docs: DataFrame) -> DataFrame:
     """One row of docs for each component: of the smallest doc_id, and where that has several texts, of one of them.
 
     A row without a doc_id stands for its component only if no row of it has one. Rows without shingles are
-    components of their own and all stay.
+    components of their own and all stay. All columns stay, whatever their names. Only documents that may
+    have to go, by a filter of bounded size, are shuffled. For the other cases see near_groups().
     """
     grouped = _grouped(docs).where("n_shingles > 0")
     firsts = cut(grouped.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")))
     chosen = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
     kinds = grouped.join(firsts, "group").groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.max(chosen).alias("chosen"))
     kinds = cut(kinds.where("NOT chosen OR n > 1").select(F.col("doc_id").alias("__id"), F.col("key").alias("__hash"), "chosen"))  # rows to leave out, and repeats of a first
-    keyed = docs.withColumn("__key", _key())
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash"))
-    out = keyed.join(kinds.hint("shuffle_hash"), same, "left_anti")
+    doc_id, text = (f"c{place(docs, n)}" for n in ("doc_id", "text"))
+    asked = Filter(kinds.select(F.xxhash64("__id").alias("h"))).asked(numbered(docs), F.xxhash64(F.col(doc_id).cast("long")), "__maybe")
+    out, keyed = asked.where("NOT __maybe").drop("__maybe"), asked.where("__maybe").drop("__maybe").withColumn("__key", _key(text))
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__hash"))
+    out = out.unionByName(keyed.join(kinds.hint("shuffle_hash"), same, "left_anti").drop("__key"))
     repeats = kinds.where("chosen")
     if not repeats.isEmpty():
-        out = out.unionByName(keyed.join(repeats.hint("shuffle_hash"), same, "left_semi").dropDuplicates(["doc_id", "__key"]))
-    return out.drop("__key")
+        out = out.unionByName(keyed.join(repeats.hint("shuffle_hash"), same, "left_semi").dropDuplicates([doc_id, "__key"]).drop("__key"))
+    return out.toDF(*docs.columns)
 
 
 def op4_ngram_join(spark, sf_dir):
