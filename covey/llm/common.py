@@ -24,11 +24,25 @@ BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
 FILTER_BITS, BITS_A_KEY = 1 << 27, 16
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Have the session send at most BATCH_BYTES to Python at once, which bounds the buffers of the JVM as well.
+
+    For the queries and the pipeline's stages, which own their session; operators leave it alone and cut
+    what they get with pieces().
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of the queries; their session sends small batches from here on."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def staged(df: DataFrame, name: str, bloom: str | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read back: lineage ends there, and any executor can read it.
 
     The table goes when the driver's JVM ends, or with forget() once nothing reads it any more.
@@ -98,13 +112,6 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", rows: int =
             a = b
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, unless the session already asks for smaller ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) <= 0 or int(spark.conf.get(key)) > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def parts(spark: SparkSession) -> int:
     """Partitions of a shuffle; the cluster's operator sizes this setting by the data."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
