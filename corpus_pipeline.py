@@ -1,6 +1,9 @@
 """A corpus from documents to token ids: STAGES in order, each over all that the stage before it kept.
 
-Every stage but the last returns the columns of documents; n_chars follows the text.
+Every stage but the last returns the columns of documents, whatever else their names are; n_chars follows
+the text. Null and empty texts go with the quality rules, so later stages see none unless they are called
+by themselves; then each does with nulls, empty and very long texts, ties, repeated rows and empty tables
+what its operator's docstring says.
 """
 
 from __future__ import annotations
@@ -9,21 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covey.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
-from covey.llm.common import staged
+from covey.llm.common import forget, n_staged, numbered, place, small_batches, staged
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """docs with n_chars counted anew: code points of the text, null for a null text."""
+    n_chars, text = (f"c{place(docs, n)}" for n in ("n_chars", "text"))
+    rows = numbered(docs)
+    return rows.withColumn(n_chars, F.length(text).cast(rows.schema[n_chars].dataType)).toDF(*docs.columns)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go, and lines that fail go from the others."""
-    return quality_rules.good_documents(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    small_batches(spark)
+    return _measured(quality_rules.good_documents(docs))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in one of them."""
-    return line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Lines that many documents share stay in one of them; all documents stay."""
+    small_batches(spark)
+    return _measured(line_dedup.line_dedup(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies one document, that with the smallest id, stays."""
+    small_batches(spark)
     return ngram_join.first_of_groups(docs)
 
 
@@ -34,6 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts, and digests of the ids and of the text they decode to."""
+    small_batches(spark)
     return bpe.digests(docs, bpe.tokenizer_path())
 
 
@@ -44,8 +58,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = n_staged()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = staged(docs, name)
+            forget(spark, before, (docs,))  # what the stage read and staged itself
     return docs
