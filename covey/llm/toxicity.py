@@ -1,10 +1,12 @@
 """Toxicity: bags of subword embeddings, averaged into a linear softmax, trained jointly in numpy.
 
-Each word is the average of the embeddings of its character n-grams, and a linear softmax over that average
-gives its score; misspelt and unseen forms share most n-grams with forms that were seen. A document is as
-toxic as its worst word. Labels are of documents, so training runs in two rounds: first every word carries
-the labels of the documents it occurs in, then in toxic documents only the words that stand out do. Since
-averaging and the softmax are linear, scoring needs one number for each n-gram.
+Each word is the average of the embeddings of its character n-grams, so misspelt and unseen forms share
+most n-grams with forms that were seen. A document's bag is its worst words, one in SHARE and one more; the
+average over the bag goes into a linear softmax. (Averaged over all its words a document of which one word
+in sixty is toxic can't be told from one with a doubtful word: see the README for figures.) Labels are of
+documents, so training runs in two rounds: first every word carries the labels of the documents it occurs
+in, then in toxic documents only the words that stand out do. Since averaging and the softmax are linear,
+scoring needs one number for each n-gram.
 
 The model is fitted on a sample with a bound: SAMPLE labelled documents of each class at most, the first by
 hash of doc_id, whole texts. Only their counts of distinct words come to the driver.
@@ -12,6 +14,7 @@ hash of doc_id, whole texts. Only their counts of distinct words come to the dri
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,8 @@ from covey.llm.letters import code_points, grams, lettered, per_word, word_runs
 SAMPLE, GRAMS, BITS, SIZE = 1500, (3, 4, 5), 17, 12
 #: Epochs of the two rounds, words of a batch, step, weight of words of toxic documents in the first round.
 EPOCHS, BATCH, STEP, FIRST_WEIGHT = (3, 8), 4096, 0.5, 0.3
+#: Words of a document for each one of its bag; where in a gap between clean and toxic documents a half lies.
+SHARE, IN_GAP = 60, 0.2
 #: Code points whose n-grams are scored at once, cut between words.
 PIECE = 1 << 20
 #: Weight of a toxic word in the second round, how often an n-gram has to be seen before its own weight counts for half, and in how many toxic documents a word that no clean one has is a clear case.
@@ -51,12 +56,30 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             points = code_points(text)
             begin, end = _word_runs(points)
             low = points.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
-            rows += [(doc_id, y, w) for w in {low[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)}]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.string()))], ["doc_id", "y", "word"])
+            rows += [(doc_id, y, w, n) for w, n in Counter(low[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)).items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int32(), pa.string(), pa.int32()))], ["doc_id", "y", "word", "n"])
+
+
+def bag_size(n_words):
+    """Words of the bag of a document of so many words."""
+    return 1 + n_words // SHARE
+
+
+def bag_logits(doc: np.ndarray, logits: np.ndarray, counts: np.ndarray, n_docs: int) -> np.ndarray:
+    """The mean logit of each document's bag, from rows of document, word's logit and how often the document has it; -30 without words."""
+    order = np.lexsort((-logits, doc))
+    doc, logits, counts = doc[order], logits[order], counts[order].astype(np.int64)
+    total = np.bincount(doc, weights=counts, minlength=n_docs).astype(np.int64)
+    before = np.cumsum(counts) - counts
+    first = np.searchsorted(doc, np.arange(n_docs))
+    before -= before[first[doc]] if len(doc) else 0
+    taken = np.clip(bag_size(total)[doc] - before, 0, counts)
+    sums = np.bincount(doc, weights=taken * logits, minlength=n_docs)
+    return np.where(total > 0, sums / bag_size(total), -30.0)
 
 
 class Model:
-    """weights: a number for each n-gram; bias; scale and offset that turn the worst word's logit into a document's."""
+    """weights: a number for each n-gram; bias; scale and offset that turn the logit of a bag into a document's."""
 
     def __init__(self, weights: np.ndarray, bias: float, scale: float = 1.0, offset: float = 0.0):
         self.weights, self.bias, self.scale, self.offset = weights.astype(np.float32), bias, scale, offset
@@ -67,14 +90,19 @@ class Model:
             sums, counts = sums + per_word(self.weights[codes], n), counts + n
         return sums / np.maximum(1, counts) + self.bias
 
-    def worst(self, text: str) -> float:
+    def bag(self, text: str) -> float:
+        """The logit of the average over the document's bag."""
         points = code_points(text)
         begin, end = _word_runs(points)
+        if not len(begin):
+            return -30.0
         cuts = np.unique(np.r_[0, np.searchsorted(begin, np.arange(PIECE, len(points), PIECE)), len(begin)])
-        return max((float(self.words(points, begin[a:b], end[a:b]).max()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)), default=-30.0)
+        logits = np.concatenate([self.words(points, begin[a:b], end[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+        k = bag_size(len(logits))
+        return float(np.partition(logits, len(logits) - k)[len(logits) - k :].mean())
 
     def score(self, text: str) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.scale * self.worst(text) + self.offset, -30, 30))))
+        return float(1 / (1 + np.exp(-np.clip(self.scale * self.bag(text) + self.offset, -30, 30))))
 
 
 class _Bags:
@@ -98,6 +126,25 @@ class _Bags:
         return self.codes[np.repeat(self.starts[at], n) + total], n
 
 
+def gradients(emb: np.ndarray, out: np.ndarray, bias: np.ndarray, codes: np.ndarray, n: np.ndarray, share: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cross entropy of words (n[k] of the codes each, the share of label 1, a weight) under the softmax over averaged embeddings;
+    the embeddings concerned and their gradients, and the gradients of out and bias."""
+    of = np.repeat(np.arange(len(n)), n)
+    mean = per_word(emb[codes], n) / np.maximum(1, n)[:, None]
+    logits = mean @ out + bias
+    top = logits.max(axis=1, keepdims=True)
+    p = np.exp(logits - top)
+    total = p.sum(axis=1, keepdims=True)
+    p /= total
+    want = np.stack([1 - share, share], axis=1)
+    loss = float((weight * (np.log(total[:, 0]) + top[:, 0] - (want * logits).sum(axis=1))).sum())
+    grad = (p - want) * weight[:, None]
+    back = (grad @ out.T) / np.maximum(1, n)[:, None]
+    order = np.argsort(codes, kind="stable")
+    keys, first = np.unique(codes[order], return_index=True)
+    return loss, keys, np.add.reduceat(back[of[order]], first, axis=0), mean.T @ grad, grad.sum(axis=0)
+
+
 def _round(bags: _Bags, emb: np.ndarray, out: np.ndarray, bias: np.ndarray, at: np.ndarray, ones: np.ndarray, zeros: np.ndarray, epochs: int, rng: np.random.Generator) -> None:
     """Minimises the cross entropy of words `at`, seen `ones` and `zeros` times with either label; emb, out and bias change in place."""
     weight = np.log1p(ones + zeros) * np.where(ones > zeros, STANDS_OUT, 1.0)
@@ -106,24 +153,15 @@ def _round(bags: _Bags, emb: np.ndarray, out: np.ndarray, bias: np.ndarray, at:
     for _ in range(epochs):
         for part in np.array_split(rng.permutation(len(at)), max(1, len(at) // BATCH)):
             codes, n = bags.of(at[part])
-            of = np.repeat(np.arange(len(part)), n)
-            mean = per_word(emb[codes], n) / np.maximum(1, n)[:, None]
-            logits = mean @ out + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            grad = (p - np.stack([1 - share[part], share[part]], axis=1)) * weight[part][:, None]
-            back = (grad @ out.T) / np.maximum(1, n)[:, None]
-            out -= STEP * (mean.T @ grad) / len(part)
-            bias -= STEP * grad.mean(axis=0)
-            order = np.argsort(codes, kind="stable")
-            keys, first = np.unique(codes[order], return_index=True)
-            step = np.add.reduceat(back[of[order]], first, axis=0)
+            _, keys, step, by_out, by_bias = gradients(emb, out, bias, codes, n, share[part], weight[part])
+            out -= STEP * by_out / len(part)
+            bias -= STEP * by_bias / len(part)
             square[keys] += (step**2).mean(axis=1)
             emb[keys] -= STEP * step / np.sqrt(square[keys])[:, None]
 
 
-def train(words: list[str], toxic: np.ndarray, clean: np.ndarray, pairs: tuple[np.ndarray, np.ndarray], labels: np.ndarray) -> Model:
-    """words: distinct; toxic, clean: documents of either label that hold each; pairs: document and word of each occurrence; labels of the documents."""
+def train(words: list[str], toxic: np.ndarray, clean: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], labels: np.ndarray) -> Model:
+    """words: distinct; toxic, clean: documents of either label that hold each; pairs: document, word, and how often the one has the other; labels of the documents."""
     rng = np.random.default_rng(SEED)
     if not len(words) or labels.min(initial=1) == labels.max(initial=0):
         return Model(np.zeros(1 << BITS), -5.0)
@@ -139,7 +177,7 @@ def train(words: list[str], toxic: np.ndarray, clean: np.ndarray, pairs: tuple[n
         codes, n = bags.of(every)
         return per_word(v[codes], n) / np.maximum(1, n) + bias[1] - bias[0]
 
-    doc, word = pairs
+    doc, word, often = pairs
     z = logits()
     rank = np.lexsort((-z[word], doc))
     lead = np.r_[True, doc[rank][1:] != doc[rank][:-1]]
@@ -157,9 +195,7 @@ def train(words: list[str], toxic: np.ndarray, clean: np.ndarray, pairs: tuple[n
     weights = _settled(bags, emb @ (out[:, 1] - out[:, 0]))
     shift = float(bias[1] - bias[0])
     z = per_word(weights[bags.codes], bags.counts) / np.maximum(1, bags.counts) + shift
-    worst = np.full(len(labels), -30.0)
-    np.maximum.at(worst, doc, z[word])
-    return Model(weights, shift, *_calibrated(worst, labels))
+    return Model(weights, shift, *_calibrated(bag_logits(doc, z[word], often, len(labels)), labels))
 
 
 def _settled(bags: _Bags, weights: np.ndarray) -> np.ndarray:
@@ -170,14 +206,17 @@ def _settled(bags: _Bags, weights: np.ndarray) -> np.ndarray:
     return np.where(weights > usual, drawn, weights)
 
 
-def _calibrated(worst: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
-    """Scale and offset such that a half lies where shares of training documents on the wrong side are least, clean ones weighing thrice; in a gap, at its middle."""
-    cuts = np.unique(worst)
+def _calibrated(logits: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Scale and offset such that a half lies where shares of training documents on the wrong side are least, clean ones weighing thrice.
+
+    Where that is a gap, it lies nearer to its clean side, as forms that were not trained on score lower than those that were.
+    """
+    cuts = np.unique(logits)
     cuts = np.r_[cuts[0] - 1, (cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1]
-    toxic, clean = np.sort(worst[labels == 1]), np.sort(worst[labels == 0])
+    toxic, clean = np.sort(logits[labels == 1]), np.sort(logits[labels == 0])
     wrong = np.searchsorted(toxic, cuts) / len(toxic) + 3 * (1 - np.searchsorted(clean, cuts) / len(clean))
     near = cuts[wrong <= wrong.min() + 0.005]
-    return 1.0, -float((near.min() + near.max()) / 2)
+    return 1.0, -float(near.min() + IN_GAP * (near.max() - near.min()))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -186,11 +225,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = own(labels, "doc_id", "y").where((F.col("y").isin(0, 1)) & ~held).groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
     ids = F.broadcast(first_of_each(known, "y", sample))  # at most 2 x `sample` rows
     rows = own(docs, "doc_id", "text").select("doc_id", text_of().alias("text")).join(ids, "doc_id")
-    got = rows.select("doc_id", "y", "text").mapInArrow(_words, "doc_id long, y int, word string").toArrow()  # distinct words of the sample
+    got = rows.select("doc_id", "y", "text").mapInArrow(_words, "doc_id long, y int, word string, n int").toArrow()  # distinct words of the sample
     doc_ids = np.unique(got.column("doc_id").to_numpy(), return_inverse=True)[1].astype(np.int32)
     coded = got.column("word").combine_chunks().dictionary_encode() if got.num_rows else None
     if coded is None:
-        return train([], np.empty(0), np.empty(0), (np.empty(0), np.empty(0)), np.empty(0, int))
+        return train([], np.empty(0), np.empty(0), (np.empty(0),) * 3, np.empty(0, int))
     words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     order = np.argsort(words)
     words, index = [words[k] for k in order], np.argsort(order)[index]
@@ -199,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     labelled[doc_ids] = y
     by = np.lexsort((index, doc_ids))  # the same whatever order the rows come in
     toxic, clean = (np.bincount(index[y == k], minlength=len(words)) for k in (1, 0))
-    return train(words, toxic, clean, (doc_ids[by], index[by]), labelled)
+    return train(words, toxic, clean, (doc_ids[by], index[by], got.column("n").to_numpy()[by]), labelled)
 
 
 def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
