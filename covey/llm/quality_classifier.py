@@ -2,8 +2,9 @@
 
 Statistics of the whole text are transformed towards normal shape; each class has a mean and a covariance
 shrunk towards the pooled one and its diagonal; the score is the difference of the two log densities
-(from Mahalanobis distances by cached Cholesky factors) and log priors, as a probability. The moments
-are summed over all labelled training rows; only the sums come to the driver.
+(from Mahalanobis distances by cached Cholesky factors) and log priors, for each statistic, as a probability:
+the statistics are not independent, and the whole difference would make nearly every score 0 or 1. The
+moments are summed over all labelled training rows; only the sums come to the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from covey.llm.common import documents, own, pieces, staged, text_of
 
-#: Shares of the pooled covariance and of its diagonal in a class's covariance, and the least variance.
+#: Shares of the pooled covariance (at least) and of its diagonal in a class's covariance, and the least variance.
 POOLED, DIAGONAL, FLOOR = 0.10, 0.05, 1e-3
 #: Rows of the folds; fixed by the contract.
 FOLDS, HELD_OUT = 3, 1
@@ -74,8 +75,8 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Means and whitening factors of the two classes. Without rows of both classes every score is the share of class 1, or 0.5.
 
-    The pooled covariance, its diagonal and the floor make every covariance positive definite, even that of a
-    class of one row.
+    A class's own scatter weighs n / (n + d) of what the pooled covariance and its diagonal leave to it (d: the
+    number of statistics), so that a class of few rows, even of one, has a covariance near the pooled one.
     """
 
     def __init__(self, sums: np.ndarray):
@@ -89,7 +90,8 @@ class Model:
         scatter = sums[:, 1 + d :].reshape(2, d, d) - n[:, None, None] * self.mean[:, :, None] * self.mean[:, None, :]
         pooled = scatter.sum(axis=0) / n.sum()
         floor = np.eye(d) * FLOOR
-        cov = [(1 - POOLED - DIAGONAL) * s / k + POOLED * pooled + DIAGONAL * np.diag(np.diag(pooled)) + floor for s, k in zip(scatter, n, strict=True)]
+        trust = (1 - POOLED - DIAGONAL) * n / (n + d)
+        cov = [t * s / k + (1 - DIAGONAL - t) * pooled + DIAGONAL * np.diag(np.diag(pooled)) + floor for s, k, t in zip(scatter, n, trust, strict=True)]
         factors = [np.linalg.cholesky(c) for c in cov]
         self.white = np.stack([np.linalg.inv(f).T for f in factors])
         self.const = np.array([np.log(k / n.sum()) - np.log(np.diag(f)).sum() for f, k in zip(factors, n, strict=True)])
@@ -98,7 +100,7 @@ class Model:
         if not self.known:
             return np.full(len(x), self.prior)
         density = [self.const[k] - 0.5 * (((x - self.mean[k]) @ self.white[k]) ** 2).sum(axis=1) for k in (0, 1)]
-        return 1 / (1 + np.exp(np.clip(density[0] - density[1], -700, 700)))
+        return 1 / (1 + np.exp(np.clip((density[0] - density[1]) / x.shape[1], -700, 700)))
 
 
 def fit(stats: DataFrame, labels: DataFrame) -> Model:
