@@ -193,9 +193,11 @@ def vocabulary_report(pairs: DataFrame, docs: DataFrame, grid: tuple[float, ...]
 
 
 def fit_corpus(pairs: DataFrame, docs: DataFrame, min_df: int = 10, max_df: float = 0.4) -> dict[str, DataFrame]:
-    """Cosines of pairs by a fit on all users with a text (A), on the users of the pairs (B), and on these with A's ceiling (C): terms, differences to A, and whether the tables have the same pairs."""
+    """Cosines of pairs by a fit on all users with a text (A), on the users of pairs with two texts (B), and on these with A's ceiling (C): terms, differences to A, and whether the tables have the same pairs."""
     docs = docs.where("text IS NOT NULL")
-    users = inf.ends(pairs).toDF("user_id").join(docs.select("user_id").distinct(), "user_id", "left_semi")
+    known = docs.select("user_id").distinct()
+    pairs = pairs.join(known.toDF("user_a"), "user_a", "left_semi").join(known.toDF("user_b"), "user_b", "left_semi")
+    users = inf.ends(pairs).toDF("user_id")
     tf = checkpointed(tx.term_counts(tx.tokens(docs)))
     own, every, some = tf.join(users, "user_id", "left_semi"), tx.n_docs(docs), tx.n_docs(users)
     vocab = {"A": tx.vocabulary(tf, every, min_df, max_df), "B": tx.vocabulary(own, some, min_df, max_df), "C": tx.vocabulary(own, every, min_df, max_df).drop("n_docs").crossJoin(some)}

@@ -44,7 +44,8 @@ _STOP, _PLATFORM = (", ".join(f"'{w}'" for w in words) for words in (tx.STOP_WOR
 def _tokens(src: str) -> str:
     low = f"regexp_replace(regexp_replace(lower(text), '{tx.URL}', ' ', 'g'), '{tx.MENTION}', ' ', 'g')"
     pattern = tx.TOKEN.replace("'", "''")
-    return f"tk AS (SELECT user_id, term FROM (SELECT user_id, unnest(regexp_extract_all({low}, '{pattern}')) AS term FROM {src}) WHERE CASE WHEN term LIKE '#%' THEN length(term) > 1 ELSE length(term) >= 2 AND term NOT IN ({_STOP}) END), tf AS (SELECT user_id, term, count(*) AS tf FROM tk GROUP BY 1, 2)"
+    return f"""tk AS (SELECT user_id, term FROM (SELECT user_id, unnest(regexp_extract_all({low}, '{pattern}')) AS term FROM {src}) WHERE CASE WHEN term LIKE '#%' THEN length(term) > 1 ELSE length(term) >= 2 AND term NOT IN ({_STOP}) END),
+tf AS (SELECT user_id, term, count(*) AS tf FROM tk GROUP BY 1, 2)"""
 
 
 _DOCS = "src AS (SELECT doc_id AS user_id, text, lang FROM documents)"
@@ -53,7 +54,9 @@ _TALK = "src AS (SELECT conv_id AS user_id, turn, text FROM conversations)"
 
 def _weights(min_df: int, max_df: float, fit: str = "src") -> str:
     n = f"(SELECT count(DISTINCT user_id) FROM {fit} WHERE text IS NOT NULL)"
-    return f"vo AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= {min_df} AND count(*) <= {max_df}::DOUBLE * {n}), rw AS (SELECT user_id, tf.term, (1 + ln(tf)) * (ln((1 + {n}) / (1 + df)) + 1) AS w FROM tf JOIN vo USING (term)), wt AS (SELECT user_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY user_id)) AS weight FROM rw)"
+    return f"""vo AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= {min_df} AND count(*) <= {max_df}::DOUBLE * {n}),
+rw AS (SELECT user_id, tf.term, (1 + ln(tf)) * (ln((1 + {n}) / (1 + df)) + 1) AS w FROM tf JOIN vo USING (term)),
+wt AS (SELECT user_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY user_id)) AS weight FROM rw)"""
 
 
 def _with_text(df):
@@ -115,13 +118,22 @@ def unscored_pairs(spark, d):
 _TW = f"{_TALK}, {_tokens('src')}, {_weights(2, 0.8)}"
 
 
-@query(f"WITH {_TW}, us AS (SELECT DISTINCT user_id FROM src WHERE text IS NOT NULL), pa AS (SELECT a.user_id AS user_a, b.user_id AS user_b FROM us a JOIN us b ON a.user_id < b.user_id), {_COS.format(p='pa')} SELECT pa.user_a, pa.user_b, round(coalesce(c, 0), 6) AS cosine FROM pa LEFT JOIN dt ON dt.user_a = pa.user_a AND dt.user_b = pa.user_b")
+@query(f"""WITH {_TW},
+us AS (SELECT DISTINCT user_id FROM src WHERE text IS NOT NULL),
+pa AS (SELECT a.user_id AS user_a, b.user_id AS user_b FROM us a JOIN us b ON a.user_id < b.user_id), {_COS.format(p='pa')}
+SELECT pa.user_a, pa.user_b, round(coalesce(c, 0), 6) AS cosine FROM pa LEFT JOIN dt ON dt.user_a = pa.user_a AND dt.user_b = pa.user_b""")
 def cosine_all_pairs(spark, d):
     docs = _with_text(R.posts(spark, d))
     return rounded(tx.all_cosines(_tfidf(docs, 2, 0.8), docs), "cosine")
 
 
-@query(f"WITH {_DOCS}, {_tokens('src')}, {_weights(10, 0.4)}, t2 AS (SELECT * FROM tf), talk AS (SELECT conv_id AS user_id, text FROM conversations), {_tokens('talk').replace('tk AS', 'tk2 AS').replace('tf AS', 'tf2 AS').replace('FROM tk ', 'FROM tk2 ')}, r2 AS (SELECT user_id, tf2.term, (1 + ln(tf)) * (ln((1 + (SELECT count(DISTINCT user_id) FROM src WHERE text IS NOT NULL)) / (1 + df)) + 1) AS w FROM tf2 JOIN vo USING (term)) SELECT user_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY user_id)), 6) AS weight FROM r2")
+@query(f"""WITH {_DOCS},
+{_tokens('src')},
+{_weights(10, 0.4)},
+t2 AS (SELECT * FROM tf),
+talk AS (SELECT conv_id AS user_id, text FROM conversations), {_tokens('talk').replace('tk AS', 'tk2 AS').replace('tf AS', 'tf2 AS').replace('FROM tk ', 'FROM tk2 ')},
+r2 AS (SELECT user_id, tf2.term, (1 + ln(tf)) * (ln((1 + (SELECT count(DISTINCT user_id) FROM src WHERE text IS NOT NULL)) / (1 + df)) + 1) AS w FROM tf2 JOIN vo USING (term))
+SELECT user_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY user_id)), 6) AS weight FROM r2""")
 def frozen_idf_transform(spark, d):
     docs = _with_text(R.texts(spark, d))
     tf = tx.term_counts(tx.tokens(docs))
@@ -132,13 +144,24 @@ def frozen_idf_transform(spark, d):
 _N = "(SELECT count(DISTINCT user_id) FROM src WHERE text IS NOT NULL)"
 
 
-@query(f"WITH {_DOCS}, {_tokens('src')}, v AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 10), g(max_df) AS (VALUES (0.2::DOUBLE), (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)), k AS (SELECT term, max_df FROM v, g WHERE df <= max_df * {_N}), a AS (SELECT max_df, count(*) AS terms FROM k GROUP BY 1), b AS (SELECT max_df, sum(tf)::BIGINT AS tokens, count(DISTINCT user_id) AS users FROM tf JOIN k USING (term) GROUP BY 1) SELECT max_df, coalesce(terms, 0) AS terms, coalesce(tokens, 0) AS tokens, coalesce(users, 0) AS users FROM g LEFT JOIN a USING (max_df) LEFT JOIN b USING (max_df)")
+@query(f"""WITH {_DOCS},
+{_tokens('src')},
+v AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 10), g(max_df) AS (VALUES (0.2::DOUBLE), (0.3::DOUBLE), (0.4::DOUBLE), (0.5::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)),
+k AS (SELECT term, max_df FROM v, g WHERE df <= max_df * {_N}),
+a AS (SELECT max_df, count(*) AS terms FROM k GROUP BY 1),
+b AS (SELECT max_df, sum(tf)::BIGINT AS tokens, count(DISTINCT user_id) AS users FROM tf JOIN k USING (term) GROUP BY 1)
+SELECT max_df, coalesce(terms, 0) AS terms, coalesce(tokens, 0) AS tokens, coalesce(users, 0) AS users FROM g LEFT JOIN a USING (max_df) LEFT JOIN b USING (max_df)""")
 def maxdf_sweep(spark, d):
     docs = _with_text(R.texts(spark, d))
     return tx.df_sweep(tx.term_counts(tx.tokens(docs)), tx.n_docs(docs), (0.2, 0.3, 0.4, 0.5, 0.6, 0.8), 10)
 
 
-@query(f"WITH {_DOCS}, {_tokens('src')}, v AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 10), s AS (SELECT CASE WHEN df > 0.4::DOUBLE * {_N} THEN 'discarded' ELSE 'kept' END AS side, term, df FROM v), r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY df DESC, term) AS place FROM s) SELECT side, place::INTEGER AS place, term, df, round(df / {_N}, 9) AS share, term LIKE '#%' AS hashtag, term IN ({_STOP}) AS stop_word, term IN ({_PLATFORM}) AS platform FROM r WHERE place <= 30")
+@query(f"""WITH {_DOCS},
+{_tokens('src')},
+v AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 10),
+s AS (SELECT CASE WHEN df > 0.4::DOUBLE * {_N} THEN 'discarded' ELSE 'kept' END AS side, term, df FROM v),
+r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY df DESC, term) AS place FROM s)
+SELECT side, place::INTEGER AS place, term, df, round(df / {_N}, 9) AS share, term LIKE '#%' AS hashtag, term IN ({_STOP}) AS stop_word, term IN ({_PLATFORM}) AS platform FROM r WHERE place <= 30""")
 def maxdf_cut_terms(spark, d):
     docs = _with_text(R.texts(spark, d))
     return rounded(tx.cut_terms(tx.term_counts(tx.tokens(docs)), tx.n_docs(docs), 0.4, 10, 30), "share", places=9)
@@ -151,7 +174,10 @@ def _variant(fit: str, ceiling: str) -> str:
 _SCORED = "sc AS (SELECT DISTINCT user_id FROM src WHERE lang = 'en' AND text IS NOT NULL), al AS (SELECT DISTINCT user_id FROM src WHERE text IS NOT NULL)"
 
 
-@query(f"WITH {_DOCS}, {_tokens('src')}, {_SCORED} SELECT 'A' AS variant, * FROM ({_variant('al', f'0.4::DOUBLE * {_N}')}) UNION ALL SELECT 'B', * FROM ({_variant('sc', '0.4::DOUBLE * (SELECT count(*) FROM sc)')}) UNION ALL SELECT 'C', * FROM ({_variant('sc', f'0.4::DOUBLE * {_N}')})")
+@query(f"""WITH {_DOCS}, {_tokens('src')}, {_SCORED}
+SELECT 'A' AS variant, * FROM ({_variant('al', f'0.4::DOUBLE * {_N}')})
+UNION ALL SELECT 'B', * FROM ({_variant('sc', '0.4::DOUBLE * (SELECT count(*) FROM sc)')})
+UNION ALL SELECT 'C', * FROM ({_variant('sc', f'0.4::DOUBLE * {_N}')})""")
 def fit_corpus_variants(spark, d):
     """Vocabularies of a fit on all users (A), on the scored ones (B), and on these with the ceiling of all (C)."""
     docs = _with_text(R.texts(spark, d))
@@ -223,7 +249,8 @@ _GRID = (0.2, 0.4, 0.6)
 
 @query(f"WITH {S['m']}, {_DOCS}, {_PE}, {_tokens('src')}, " + ", ".join(
     _weights(10, x).replace("vo AS", f"vo{k} AS").replace("rw AS", f"rw{k} AS").replace("wt AS", f"wt{k} AS").replace("JOIN vo ", f"JOIN vo{k} ").replace("FROM rw)", f"FROM rw{k})")
-    + f", {_COS.format(p='pe').replace('dt AS', f'dt{k} AS').replace('JOIN wt ', f'JOIN wt{k} ')}, cu{k} AS (SELECT {x}::DOUBLE AS max_df, least(shared_packs, 5) AS level, avg(coalesce(c, 0)) AS mean FROM pe LEFT JOIN dt{k} USING (user_a, user_b) GROUP BY 2)"
+    + f""", {_COS.format(p='pe').replace('dt AS', f'dt{k} AS').replace('JOIN wt ', f'JOIN wt{k} ')}, cu{k} AS (SELECT {x}::DOUBLE AS max_df, least(shared_packs, 5) AS level, avg(coalesce(c, 0)) AS mean FROM pe LEFT
+  JOIN dt{k} USING (user_a, user_b) GROUP BY 2)"""
     for k, x in enumerate(_GRID)
 ) + """, cu AS (SELECT * FROM cu0 UNION ALL SELECT * FROM cu1 UNION ALL SELECT * FROM cu2)
 SELECT level, count(*) AS settings, round(min(mean), 6) AS low, round(max(mean), 6) AS high, round(avg(mean), 6) AS mean, round((max(mean) - min(mean)) / nullif(avg(mean), 0), 6) AS spread FROM cu GROUP BY 1""")
@@ -239,7 +266,9 @@ def curve_swing(spark, d):
     return rounded(ag.swing(out, "max_df"), "low", "high", "mean", "spread")
 
 
-@query(f"WITH {S['p']} SELECT hops AS level, round(avg(cosine), 9) AS mean, round(stddev_samp(cosine), 9) AS std, count(*) AS n, round(stddev_samp(cosine) / sqrt(count(*)), 9) AS sem, round(1.96::DOUBLE * stddev_samp(cosine) / sqrt(count(*)), 9) AS ci95 FROM p GROUP BY 1")
+@query(f"""WITH {S['p']}
+SELECT hops AS level, round(avg(cosine), 9) AS mean, round(stddev_samp(cosine), 9) AS std, count(*) AS n, round(stddev_samp(cosine) / sqrt(count(*)), 9) AS sem, round(1.96::DOUBLE * stddev_samp(cosine) / sqrt(count(*)),
+  9) AS ci95 FROM p GROUP BY 1""")
 def similarity_by_hops(spark, d):
     return rounded(ag.by_level(R.pair_table(spark, d), F.col("hops")), "mean", "std", "sem", "ci95", places=9)
 
@@ -247,7 +276,9 @@ def similarity_by_hops(spark, d):
 _RING = f"{S['e']}, {st._NE}, {st._EGO}, {st._ring_sql(3)}, rr AS (SELECT (SELECT node FROM ego) AS x, node AS y, hop FROM r3 WHERE hop > 0)"
 
 
-@query(f"WITH {_RING}, {_DOCS}, {_tokens('src')}, {_weights(10, 0.4)}, {_TEXTS}, pe AS (SELECT least(x, y) AS user_a, greatest(x, y) AS user_b, hop FROM rr WHERE x IN (SELECT user_id FROM tu) AND y IN (SELECT user_id FROM tu)), {_COS.format(p='pe')} SELECT hop, count(*) AS n, round(avg(coalesce(c, 0)), 6) AS mean FROM pe LEFT JOIN dt ON dt.user_a = pe.user_a AND dt.user_b = pe.user_b GROUP BY 1")
+@query(f"""WITH {_RING}, {_DOCS}, {_tokens('src')}, {_weights(10, 0.4)}, {_TEXTS},
+pe AS (SELECT least(x, y) AS user_a, greatest(x, y) AS user_b, hop FROM rr WHERE x IN (SELECT user_id FROM tu) AND y IN (SELECT user_id FROM tu)), {_COS.format(p='pe')}
+SELECT hop, count(*) AS n, round(avg(coalesce(c, 0)), 6) AS mean FROM pe LEFT JOIN dt ON dt.user_a = pe.user_a AND dt.user_b = pe.user_b GROUP BY 1""")
 def ego_ring_cosine(spark, d):
     docs, ego = _with_text(R.texts(spark, d)), st._ego(spark, d)
     rings = gr.rings(ego, R.edges(spark, d)).crossJoin(F.broadcast(ego.select(F.col("node").alias("x"))))  # one ego
@@ -262,7 +293,8 @@ _Q = "round(quantile_cont({c}, {q}), 9)"
 
 
 def _five(c: str) -> str:
-    return f"round(avg({c}), 9) AS {c}_mean, round(quantile_cont({c}, 0.5), 9) AS {c}_median, round(quantile_cont({c}, 0.25), 9) AS {c}_q1, round(quantile_cont({c}, 0.75), 9) AS {c}_q3, round(quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25), 9) AS {c}_iqr"
+    return f"""round(avg({c}), 9) AS {c}_mean, round(quantile_cont({c}, 0.5), 9) AS {c}_median, round(quantile_cont({c}, 0.25), 9) AS {c}_q1, round(quantile_cont({c}, 0.75), 9) AS {c}_q3, round(quantile_cont({c},
+  0.75) - quantile_cont({c}, 0.25), 9) AS {c}_iqr"""
 
 
 @query(f"WITH {S['p']} SELECT count(*) AS pairs, {_five('shared_packs')}, {_five('n_eff')}, round(avg((n_eff < shared_packs - 1e-9)::INT), 9) AS reduced, round(avg((abs(n_eff - 1) < 1e-9)::INT), 9) AS ones FROM p WHERE shared_packs >= 1")
@@ -271,7 +303,9 @@ def distribution_shift(spark, d):
     return rounded(out, *[c for c in out.columns if c != "pairs"], places=9)
 
 
-@query(f"WITH {S['p']}, f AS (SELECT shared_packs AS level, count(*) AS n, avg(n_eff) AS mean FROM p WHERE shared_packs BETWEEN 1 AND 8 GROUP BY 1) SELECT r.id::BIGINT AS level, coalesce(n, 0) AS n, round(mean, 9) AS mean, round(mean / r.id, 9) AS ratio FROM range(1, 9) r(id) LEFT JOIN f ON f.level = r.id")
+@query(f"""WITH {S['p']},
+f AS (SELECT shared_packs AS level, count(*) AS n, avg(n_eff) AS mean FROM p WHERE shared_packs BETWEEN 1 AND 8 GROUP BY 1)
+SELECT r.id::BIGINT AS level, coalesce(n, 0) AS n, round(mean, 9) AS mean, round(mean / r.id, 9) AS ratio FROM range(1, 9) r(id) LEFT JOIN f ON f.level = r.id""")
 def ratio_by_count(spark, d):
     return rounded(ag.ratio_by_count(R.pair_table(spark, d), "shared_packs", "n_eff"), "mean", "ratio", places=9)
 
@@ -279,12 +313,18 @@ def ratio_by_count(spark, d):
 _STRATUM = "CASE WHEN n_eff < 1 THEN '<1' WHEN n_eff <= 3 THEN '1-3' ELSE '>3' END"
 
 
-@query(f"WITH {S['p']}, sp AS (SELECT stratum, hops FROM (VALUES ('<1'), ('1-3'), ('>3')) a(stratum), (SELECT unnest([1, 2, 3, 4])::BIGINT AS hops)), f AS (SELECT {_STRATUM} AS stratum, hops, count(*) AS n, avg(cosine) AS mean FROM p GROUP BY 1, 2) SELECT sp.stratum, sp.hops, coalesce(n, 0) AS n, round(mean, 9) AS mean FROM sp LEFT JOIN f ON f.stratum = sp.stratum AND f.hops = sp.hops")
+@query(f"""WITH {S['p']},
+sp AS (SELECT stratum, hops FROM (VALUES ('<1'), ('1-3'), ('>3')) a(stratum), (SELECT unnest([1, 2, 3, 4])::BIGINT AS hops)),
+f AS (SELECT {_STRATUM} AS stratum, hops, count(*) AS n, avg(cosine) AS mean FROM p GROUP BY 1, 2)
+SELECT sp.stratum, sp.hops, coalesce(n, 0) AS n, round(mean, 9) AS mean FROM sp LEFT JOIN f ON f.stratum = sp.stratum AND f.hops = sp.hops""")
 def cell_counts(spark, d):
     return rounded(ag.cells(R.pair_table(spark, d), 3), "mean", places=9)
 
 
-@query(f"WITH {S['p']}, en AS (SELECT {_STRATUM} AS stratum, hops, unnest([user_a, user_b]) AS u FROM p), k AS (SELECT stratum, hops, u, count(*) AS k FROM en GROUP BY 1, 2, 3) SELECT stratum, hops, (sum(k) // 2)::BIGINT AS n, count(*) AS users, max(k) AS most, round(max(k) / (sum(k) / 2), 9) AS share FROM k GROUP BY 1, 2")
+@query(f"""WITH {S['p']},
+en AS (SELECT {_STRATUM} AS stratum, hops, unnest([user_a, user_b]) AS u FROM p),
+k AS (SELECT stratum, hops, u, count(*) AS k FROM en GROUP BY 1, 2, 3)
+SELECT stratum, hops, (sum(k) // 2)::BIGINT AS n, count(*) AS users, max(k) AS most, round(max(k) / (sum(k) / 2), 9) AS share FROM k GROUP BY 1, 2""")
 def cell_diagnostic(spark, d):
     return rounded(ag.cell_diagnostic(R.pair_table(spark, d)), "share", places=9)
 
@@ -292,7 +332,10 @@ def cell_diagnostic(spark, d):
 _EDGES11 = "[" + ", ".join(f"{k / 10}" for k in range(11)) + "]"
 
 
-@query(f"WITH {S['p']}, g AS (SELECT list_distinct(quantile_cont(n_eff, {_EDGES11})) AS e FROM p), b AS (SELECT greatest(0, least(len(list_filter(e, lambda x: x <= n_eff)) - 1, len(e) - 2))::BIGINT AS bin, n_eff, cosine FROM p, g) SELECT bin, round(median(n_eff), 9) AS x, round(avg(cosine), 9) AS y, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 30")
+@query(f"""WITH {S['p']},
+g AS (SELECT list_distinct(quantile_cont(n_eff, {_EDGES11})) AS e FROM p),
+b AS (SELECT greatest(0, least(len(list_filter(e, lambda x: x <= n_eff)) - 1, len(e) - 2))::BIGINT AS bin, n_eff, cosine FROM p, g)
+SELECT bin, round(median(n_eff), 9) AS x, round(avg(cosine), 9) AS y, count(*) AS n FROM b GROUP BY 1 HAVING count(*) >= 30""")
 def quantile_curve(spark, d):
     return rounded(ag.quantile_curve(R.pair_table(spark, d), "n_eff", "cosine"), "x", "y", places=9)
 
@@ -302,22 +345,28 @@ def log_bin_curve(spark, d):
     return rounded(ag.log_curve(R.table(spark, d, "orders"), "o_totalprice", "o_custkey"), "mean")
 
 
-@query("SELECT ceil(log10(l_extendedprice) * 2 - 1e-9)::BIGINT AS bin_x, ceil(log10(l_quantity) * 2 - 1e-9)::BIGINT AS bin_y, round(avg(l_discount), 9) AS mean, count(*) AS n FROM lineitem WHERE l_extendedprice > 0 AND l_quantity > 0 GROUP BY 1, 2")
+@query("""SELECT ceil(log10(l_extendedprice) * 2 - 1e-9)::BIGINT AS bin_x, ceil(log10(l_quantity) * 2 - 1e-9)::BIGINT AS bin_y, round(avg(l_discount), 9) AS mean, count(*) AS n
+  FROM lineitem WHERE l_extendedprice > 0 AND l_quantity > 0 GROUP BY 1, 2""")
 def heatmap_2d(spark, d):
     return rounded(ag.heatmap(R.table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", "l_discount"), "mean", places=9)
 
 
-@query("WITH b AS (SELECT ceil(log10(o_totalprice) * 4 - 1e-9)::BIGINT AS bin, count(*) AS n FROM orders WHERE o_totalprice > 0 GROUP BY 1) SELECT bin, n, round(n / ((SELECT sum(n) FROM b) * (pow(10.0::DOUBLE, bin / 4) - pow(10.0::DOUBLE, (bin - 1) / 4))), 12) AS density FROM b")
+@query("""WITH b AS (SELECT ceil(log10(o_totalprice) * 4 - 1e-9)::BIGINT AS bin, count(*) AS n FROM orders WHERE o_totalprice > 0 GROUP BY 1)
+SELECT bin, n, round(n / ((SELECT sum(n) FROM b) * (pow(10.0::DOUBLE, bin / 4) - pow(10.0::DOUBLE, (bin - 1) / 4))), 12) AS density FROM b""")
 def log_histogram(spark, d):
     return rounded(ag.log_histogram(R.table(spark, d, "orders"), "o_totalprice"), "density", places=12)
 
 
-@query("SELECT floor(o_totalprice / 10000)::BIGINT AS bin, count(*) AS n, round(count(*) / ((SELECT count(*) FROM orders WHERE o_totalprice IS NOT NULL) * 10000.0::DOUBLE), 12) AS density FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1")
+@query("""SELECT floor(o_totalprice / 10000)::BIGINT AS bin, count(*) AS n, round(count(*) / ((SELECT count(*) FROM orders WHERE o_totalprice IS NOT NULL) * 10000.0::DOUBLE), 12) AS density
+  FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1""")
 def linear_histogram(spark, d):
     return rounded(ag.linear_histogram(R.table(spark, d, "orders"), "o_totalprice", 10000.0), "density", places=12)
 
 
-@query(f"WITH {S['p']}, c AS (SELECT hops, shared_packs AS level, avg(cosine) AS mean FROM p GROUP BY 1, 2), s AS (SELECT *, mean - lag(mean) OVER (PARTITION BY hops ORDER BY level) AS step FROM c) SELECT hops, count(*) AS levels, coalesce(min(step) > 0, TRUE) AS rising, round(greatest(0, coalesce(-min(step), 0)), 9) AS down FROM s GROUP BY 1")
+@query(f"""WITH {S['p']},
+c AS (SELECT hops, shared_packs AS level, avg(cosine) AS mean FROM p GROUP BY 1, 2),
+s AS (SELECT *, mean - lag(mean) OVER (PARTITION BY hops ORDER BY level) AS step FROM c)
+SELECT hops, count(*) AS levels, coalesce(min(step) > 0, TRUE) AS rising, round(greatest(0, coalesce(-min(step), 0)), 9) AS down FROM s GROUP BY 1""")
 def monotone_by_hops(spark, d):
     curves = R.pair_table(spark, d).groupBy("hops", F.col("shared_packs").alias("level")).agg(F.avg("cosine").alias("mean"))
     return rounded(ag.monotone(curves, "hops"), "down", places=9)
@@ -343,19 +392,28 @@ def neff_rint_bins(spark, d):
     return rounded(ag.fixed_bins(R.pair_table(spark, d), ag.rint_bin("n_eff", 5), 5), "mean", places=9)
 
 
-@query(f"WITH {S['p']}, a AS (SELECT shared_packs AS level, avg(cosine) AS mean FROM p GROUP BY 1), b AS (SELECT shared_packs AS level, avg(cosine) AS matched FROM p WHERE hops = 4 GROUP BY 1) SELECT level, round(mean, 9) AS mean, round(matched, 9) AS matched, round(mean - matched, 9) AS delta, round(mean / nullif(matched, 0), 9) AS ratio, coalesce(mean > lag(mean) OVER (ORDER BY level), FALSE) AS rising FROM a JOIN b USING (level)")
+@query(f"""WITH {S['p']},
+a AS (SELECT shared_packs AS level, avg(cosine) AS mean FROM p GROUP BY 1),
+b AS (SELECT shared_packs AS level, avg(cosine) AS matched FROM p WHERE hops = 4 GROUP BY 1)
+SELECT level, round(mean, 9) AS mean, round(matched, 9) AS matched, round(mean - matched, 9) AS delta, round(mean / nullif(matched, 0), 9) AS ratio, coalesce(mean > lag(mean) OVER (ORDER BY level), FALSE) AS rising
+  FROM a JOIN b USING (level)""")
 def delta_ratio(spark, d):
     p = R.pair_table(spark, d)
     out = ag.delta_ratio(ag.by_level(p, F.col("shared_packs")), ag.by_level(p.where("hops = 4"), F.col("shared_packs")))
     return rounded(out, "mean", "matched", "delta", "ratio", places=9)
 
 
-@query(f"WITH {S['p']} SELECT count(*) AS pairs, count(*) FILTER (WHERE n_eff > shared_packs + 1e-9) AS above_count, count(*) FILTER (WHERE shared_packs >= 1 AND n_eff < 1 - 1e-9) AS below_one, count(*) FILTER (WHERE (shared_packs = 0) <> (n_eff = 0)) AS zero_mismatch, count(*) FILTER (WHERE hops < 1 OR hops > 4) AS bad_hops, count(*) FILTER (WHERE cosine IS NULL) AS no_cosine, count(*) FILTER (WHERE user_a >= user_b) AS unordered, count(*) FILTER (WHERE hops = 4) AS sentinels FROM p")
+@query(f"""WITH {S['p']}
+SELECT count(*) AS pairs, count(*) FILTER (WHERE n_eff > shared_packs + 1e-9) AS above_count, count(*) FILTER (WHERE shared_packs >= 1 AND n_eff < 1 - 1e-9) AS below_one,
+  count(*) FILTER (WHERE (shared_packs = 0) <> (n_eff = 0)) AS zero_mismatch, count(*) FILTER (WHERE hops < 1 OR hops > 4) AS bad_hops, count(*) FILTER (WHERE cosine IS NULL) AS no_cosine,
+  count(*) FILTER (WHERE user_a >= user_b) AS unordered, count(*) FILTER (WHERE hops = 4) AS sentinels FROM p""")
 def invariants(spark, d):
     return ag.invariants(R.pair_table(spark, d), 3)
 
 
-@query(f"WITH {S['p']}, f AS (SELECT shared_packs, hops, count(*) AS n FROM p GROUP BY 1, 2) SELECT count(*) AS cells, count(*) FILTER (WHERE n >= 100) AS viable, CASE WHEN count(*) FILTER (WHERE n >= 100) < 0.6 * count(*) THEN 'coarse' ELSE 'fine' END AS grid FROM f")
+@query(f"""WITH {S['p']},
+f AS (SELECT shared_packs, hops, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT count(*) AS cells, count(*) FILTER (WHERE n >= 100) AS viable, CASE WHEN count(*) FILTER (WHERE n >= 100) < 0.6 * count(*) THEN 'coarse' ELSE 'fine' END AS grid FROM f""")
 def viable_grid(spark, d):
     return ag.viable_grid(R.pair_table(spark, d))
 
@@ -378,14 +436,24 @@ def degree_populations(spark, d):
     return _populations(spark, d)
 
 
-@query(f"WITH {_POP} SELECT max(median) FILTER (WHERE population = 'uniform') AS uniform, max(median) FILTER (WHERE population = 'observed') AS observed, coalesce(max(median) FILTER (WHERE population = 'uniform') < max(median) FILTER (WHERE population = 'observed'), FALSE) AS rising FROM sm")
+@query(f"""WITH {_POP}
+SELECT max(median) FILTER (WHERE population = 'uniform') AS uniform, max(median) FILTER (WHERE population = 'observed') AS observed,
+  coalesce(max(median) FILTER (WHERE population = 'uniform') < max(median) FILTER (WHERE population = 'observed'), FALSE) AS rising FROM sm""")
 def median_order(spark, d):
     return ag.median_order(_populations(spark, d), ("uniform", "observed"))
 
 
-_DEC = f"{S['p']}, dg AS (SELECT user_a, count(*) AS k FROM p GROUP BY 1), ge AS (SELECT list_distinct(quantile_cont(k, {_EDGES11})) AS e FROM dg), de AS (SELECT user_a, len(list_filter(list_slice(list_sort(e), 2, len(e) - 1), lambda x: x <= k)) AS decile FROM dg, ge), pd AS (SELECT p.*, decile AS cell FROM p JOIN de USING (user_a))"
+_DEC = f"""{S['p']},
+dg AS (SELECT user_a, count(*) AS k FROM p GROUP BY 1),
+ge AS (SELECT list_distinct(quantile_cont(k, {_EDGES11})) AS e FROM dg),
+de AS (SELECT user_a, len(list_filter(list_slice(list_sort(e), 2, len(e) - 1), lambda x: x <= k)) AS decile FROM dg, ge),
+pd AS (SELECT p.*, decile AS cell FROM p JOIN de USING (user_a))"""
 _DEC += ", pf AS (SELECT user_a, user_b, cell, min(round(cosine, 6)) AS cosine, min(shared_packs) AS shared_packs FROM pd GROUP BY 1, 2, 3)"
-_MATCH = _DEC + f", ob AS (SELECT * FROM pf WHERE shared_packs > 0), po AS (SELECT cell, cosine AS matched, row_number() OVER (PARTITION BY cell ORDER BY md5('42|' || user_a || '|' || user_b), user_a, user_b, cosine) - 1 AS rank, count(*) OVER (PARTITION BY cell) AS size FROM pf WHERE shared_packs = 0), oz AS (SELECT ob.*, {st.DRAW.format(chr(39) + '43|' + chr(39) + ' || user_a || ' + chr(39) + '|' + chr(39) + ' || user_b')} % s.size AS rank FROM ob LEFT JOIN (SELECT DISTINCT cell, size FROM po) s USING (cell)), mt AS (SELECT oz.*, po.matched FROM oz LEFT JOIN po ON po.cell = oz.cell AND po.rank = oz.rank)"
+_MATCH = _DEC + f""", ob AS (SELECT * FROM pf WHERE shared_packs > 0),
+po AS (SELECT cell, cosine AS matched, row_number() OVER (PARTITION BY cell ORDER BY md5('42|' || user_a || '|' || user_b), user_a, user_b, cosine) - 1 AS rank, count(*) OVER (PARTITION BY cell) AS size
+  FROM pf WHERE shared_packs = 0),
+oz AS (SELECT ob.*, {st.DRAW.format(chr(39) + '43|' + chr(39) + ' || user_a || ' + chr(39) + '|' + chr(39) + ' || user_b')} % s.size AS rank FROM ob LEFT JOIN (SELECT DISTINCT cell, size FROM po) s USING (cell)),
+mt AS (SELECT oz.*, po.matched FROM oz LEFT JOIN po ON po.cell = oz.cell AND po.rank = oz.rank)"""
 
 
 def _matched(spark, d):
@@ -525,19 +593,28 @@ def slope_by_hops(spark, d):
     return rounded(inf.slopes(R.pair_table(spark, d), "n_eff", "cosine", ["hops"]), "slope", "intercept", "r2", places=9)
 
 
-@query(f"WITH {S['p']}, h AS (SELECT regr_sxy(cosine, n_eff) AS xy, regr_sxx(cosine, n_eff) AS xx FROM p GROUP BY hops) SELECT (SELECT count(*) FROM p) AS n, (SELECT round(regr_slope(cosine, n_eff), 9) FROM p) AS slope_without, round(sum(xy) / sum(xx), 9) AS slope_with FROM h")
+@query(f"""WITH {S['p']},
+h AS (SELECT regr_sxy(cosine, n_eff) AS xy, regr_sxx(cosine, n_eff) AS xx FROM p GROUP BY hops)
+SELECT (SELECT count(*) FROM p) AS n, (SELECT round(regr_slope(cosine, n_eff), 9) FROM p) AS slope_without, round(sum(xy) / sum(xx), 9) AS slope_with FROM h""")
 def cg_with_without_hops(spark, d):
     return rounded(inf.controlled_slope(R.pair_table(spark, d), "n_eff", "cosine", "hops"), "slope_without", "slope_with", places=9)
 
 
-@query(f"WITH {S['p']}, c AS (SELECT count(*) AS n, var_pop(shared_packs) AS a, covar_pop(shared_packs, n_eff) AS b, var_pop(n_eff) AS c, covar_pop(shared_packs, cosine) AS d, covar_pop(n_eff, cosine) AS e, var_pop(cosine) AS f FROM p WHERE shared_packs > 0), k AS (SELECT *, (c * d - b * e) / (a * c - b * b) AS b1, (a * e - b * d) / (a * c - b * b) AS b2 FROM c) SELECT n, round(b1, 8) AS b1, round(b2, 8) AS b2, round((b1 * d + b2 * e) / f, 8) AS r2, round(d * d / (a * f), 8) AS r2_one, round((b1 * d + b2 * e) / f - d * d / (a * f), 8) AS gain FROM k")
+@query(f"""WITH {S['p']},
+c AS (SELECT count(*) AS n, var_pop(shared_packs) AS a, covar_pop(shared_packs, n_eff) AS b, var_pop(n_eff) AS c, covar_pop(shared_packs, cosine) AS d, covar_pop(n_eff, cosine) AS e, var_pop(cosine) AS f
+  FROM p WHERE shared_packs > 0),
+k AS (SELECT *, (c * d - b * e) / (a * c - b * b) AS b1, (a * e - b * d) / (a * c - b * b) AS b2 FROM c)
+SELECT n, round(b1, 8) AS b1, round(b2, 8) AS b2, round((b1 * d + b2 * e) / f, 8) AS r2, round(d * d / (a * f), 8) AS r2_one, round((b1 * d + b2 * e) / f - d * d / (a * f), 8) AS gain FROM k""")
 def ols_two_predictors(spark, d):
     out = inf.two_predictors(R.pair_table(spark, d).where("shared_packs > 0"), "shared_packs", "n_eff", "cosine")
     return rounded(out, "b1", "b2", "r2", "r2_one", "gain", places=8)
 
 
 def _log_sql(eps: float) -> str:
-    return f"SELECT {eps}::DOUBLE AS eps, hops, n, round(b, 8) AS slope, round(b - rb, 8) AS difference, round(CASE WHEN hops <> 1 THEN sqrt(s2 * (1 / xx + 1 / rx)) END, 8) AS se, round(CASE WHEN hops <> 1 THEN (b - rb) / sqrt(s2 * (1 / xx + 1 / rx)) END, 6) AS t FROM (WITH l AS (SELECT hops, n_eff AS x, ln(cosine + {eps}) AS y FROM p), h AS (SELECT hops, count(*) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS xx, regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x) AS rss FROM l GROUP BY 1) SELECT *, (SELECT b FROM h WHERE hops = 1) AS rb, (SELECT xx FROM h WHERE hops = 1) AS rx, sum(rss) OVER () / (sum(n) OVER () - 2 * count(*) OVER ()) AS s2 FROM h)"
+    return f"""SELECT {eps}::DOUBLE AS eps, hops, n, round(b, 8) AS slope, round(b - rb, 8) AS difference, round(CASE WHEN hops <> 1 THEN sqrt(s2 * (1 / xx + 1 / rx)) END, 8) AS se,
+  round(CASE WHEN hops <> 1 THEN (b - rb) / sqrt(s2 * (1 / xx + 1 / rx)) END, 6) AS t FROM (WITH l AS (SELECT hops, n_eff AS x, ln(cosine + {eps}) AS y FROM p),
+h AS (SELECT hops, count(*) AS n, regr_slope(y, x) AS b, regr_sxx(y, x) AS xx, regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x) AS rss FROM l GROUP BY 1)
+SELECT *, (SELECT b FROM h WHERE hops = 1) AS rb, (SELECT xx FROM h WHERE hops = 1) AS rx, sum(rss) OVER () / (sum(n) OVER () - 2 * count(*) OVER ()) AS s2 FROM h)"""
 
 
 @query(f"WITH {S['p']} " + " UNION ALL ".join(_log_sql(e) for e in (0.01, 0.001, 0.0001)))
@@ -567,7 +644,9 @@ def glm_log_link(spark, d):
     return inf.log_link(R.pair_table(spark, d), "n_eff", "cosine", by="hops")
 
 
-@query(f"WITH {S['p']}, a AS (SELECT hops, avg(cosine) FILTER (WHERE n_eff > 3) AS h, avg(cosine) FILTER (WHERE n_eff < 1) AS l FROM p GROUP BY 1) SELECT hops, round(h - l, 9) AS gap, round(h / nullif(l, 0), 9) AS ratio, round(ln(h / nullif(l, 0)), 9) AS log_ratio FROM a")
+@query(f"""WITH {S['p']},
+a AS (SELECT hops, avg(cosine) FILTER (WHERE n_eff > 3) AS h, avg(cosine) FILTER (WHERE n_eff < 1) AS l FROM p GROUP BY 1)
+SELECT hops, round(h - l, 9) AS gap, round(h / nullif(l, 0), 9) AS ratio, round(ln(h / nullif(l, 0)), 9) AS log_ratio FROM a""")
 def stratum_gaps(spark, d):
     p = R.pair_table(spark, d).withColumn("w", F.lit(1.0))
     sums = p.groupBy("hops").agg(inf.weighted_mean("cosine", "w", "n_eff > 3").alias("h"), inf.weighted_mean("cosine", "w", "n_eff < 1").alias("l"))
@@ -578,7 +657,11 @@ def stratum_gaps(spark, d):
 # --- null models -----------------------------------------------------------
 
 
-@query(f"WITH {S['m']}, u AS (SELECT user_id, count(*) AS d FROM m GROUP BY 1), k AS (SELECT pack_id, count(*) AS k FROM m GROUP BY 1) SELECT 'user' AS side, d AS degree, count(*) AS n, d::DOUBLE AS expected FROM u GROUP BY 2 UNION ALL SELECT 'pack', k, count(*), k::DOUBLE FROM k GROUP BY 2")
+@query(f"""WITH {S['m']},
+u AS (SELECT user_id, count(*) AS d FROM m GROUP BY 1),
+k AS (SELECT pack_id, count(*) AS k FROM m GROUP BY 1)
+SELECT 'user' AS side, d AS degree, count(*) AS n, d::DOUBLE AS expected FROM u GROUP BY 2
+UNION ALL SELECT 'pack', k, count(*), k::DOUBLE FROM k GROUP BY 2""")
 def bicm_expected_margins(spark, d):
     """The fitted margins, to four places, are the observed ones."""
     users, packs = nu.fit(R.membership(spark, d))
@@ -588,7 +671,13 @@ def bicm_expected_margins(spark, d):
 _SV = "rt AS (SELECT sqrt(count(*)) AS r FROM {m}), xu AS (SELECT user_id, count(*) / any_value(r) AS x FROM {m}, rt GROUP BY 1), yp AS (SELECT pack_id, count(*) / any_value(r) AS y FROM {m}, rt GROUP BY 1)"
 
 
-@query(f"WITH {S['m']}, {_SV.format(m='m')}, {st._draws(st._TWO, 3000)}, sc AS (SELECT un.user_a, un.user_b, count(b.pack_id) AS s FROM un LEFT JOIN m a ON a.user_id = un.user_a LEFT JOIN m b ON b.user_id = un.user_b AND b.pack_id = a.pack_id GROUP BY 1, 2), yc AS (SELECT y, count(*) AS m FROM yp GROUP BY 1), q AS (SELECT user_a, user_b, s, m, (a.x * y / (1 + a.x * y)) * (b.x * y / (1 + b.x * y)) AS q FROM sc JOIN xu a ON a.user_id = user_a JOIN xu b ON b.user_id = user_b, yc) SELECT user_a, user_b, s AS shared_packs, round(sum(m * q), 9) AS expected, round(sum(m * q * (1 - q)), 9) AS variance, round((s - sum(m * q)) / sqrt(sum(m * q * (1 - q))), 6) AS z FROM q GROUP BY 1, 2, 3")
+@query(f"""WITH {S['m']},
+{_SV.format(m='m')},
+{st._draws(st._TWO, 3000)},
+sc AS (SELECT un.user_a, un.user_b, count(b.pack_id) AS s FROM un LEFT JOIN m a ON a.user_id = un.user_a LEFT JOIN m b ON b.user_id = un.user_b AND b.pack_id = a.pack_id GROUP BY 1, 2),
+yc AS (SELECT y, count(*) AS m FROM yp GROUP BY 1),
+q AS (SELECT user_a, user_b, s, m, (a.x * y / (1 + a.x * y)) * (b.x * y / (1 + b.x * y)) AS q FROM sc JOIN xu a ON a.user_id = user_a JOIN xu b ON b.user_id = user_b, yc)
+SELECT user_a, user_b, s AS shared_packs, round(sum(m * q), 9) AS expected, round(sum(m * q * (1 - q)), 9) AS variance, round((s - sum(m * q)) / sqrt(sum(m * q * (1 - q))), 6) AS z FROM q GROUP BY 1, 2, 3""")
 def bicm_cooccurrence(spark, d):
     m = R.membership(spark, d)
     pairs = pr.shared_counts(pr.uniform_pairs(pr.eligible(m, 2), 3000), m)
@@ -619,7 +708,9 @@ def bicm_significant(spark, d):
     return rounded(nu.cooccurrence_summary(_p_values(spark, d)), "significant", places=9)
 
 
-@query(f"WITH {S['dm']}, {_SV.format(m='dm')}, s AS (SELECT user_id, pack_id FROM xu, yp WHERE {st.DRAW.format(chr(39) + '5|' + chr(39) + ' || user_id || ' + chr(39) + '|' + chr(39) + ' || pack_id')} / 4294967296.0::DOUBLE < x * y / (1 + x * y)) SELECT user_id, count(*) AS packs FROM s GROUP BY 1")
+@query(f"""WITH {S['dm']}, {_SV.format(m='dm')},
+s AS (SELECT user_id, pack_id FROM xu, yp WHERE {st.DRAW.format(chr(39) + '5|' + chr(39) + ' || user_id || ' + chr(39) + '|' + chr(39) + ' || pack_id')} / 4294967296.0::DOUBLE < x * y / (1 + x * y))
+SELECT user_id, count(*) AS packs FROM s GROUP BY 1""")
 def bicm_sample_margins(spark, d):
     return mb.user_margins(nu.sample(*nu.start_values(R.dense_membership(spark, d)), seed=5))
 

@@ -65,7 +65,8 @@ def json_props_scan(spark, d):
     return rows.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.sum("value").cast("decimal(18,2)").cast("double").alias("total"))
 
 
-@query(f"""WITH {S['m']}, {S['e']}, u AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) SELECT 'packs' AS metric, count(DISTINCT pack_id) AS value FROM m UNION ALL SELECT 'members', count(DISTINCT user_id) FROM m UNION ALL SELECT 'memberships', count(*) FROM m UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'distinct_edges', (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) UNION ALL SELECT 'users_with_posts', count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'posts', count(*) FROM conversations
+@query(f"""WITH {S['m']}, {S['e']}, u AS (SELECT c_custkey AS node FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
+SELECT 'packs' AS metric, count(DISTINCT pack_id) AS value FROM m UNION ALL SELECT 'members', count(DISTINCT user_id) FROM m UNION ALL SELECT 'memberships', count(*) FROM m UNION ALL SELECT 'edges', count(*) FROM e UNION ALL SELECT 'distinct_edges', (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) UNION ALL SELECT 'users_with_posts', count(DISTINCT conv_id) FROM conversations UNION ALL SELECT 'posts', count(*) FROM conversations
 UNION ALL SELECT 'members_of_2', count(*) FROM (SELECT user_id FROM m GROUP BY 1 HAVING count(*) >= 2) UNION ALL SELECT 'universe_members', count(DISTINCT user_id) FROM m WHERE user_id IN (SELECT node FROM u)
 UNION ALL SELECT 'universe_edges', count(*) FROM e WHERE source IN (SELECT node FROM u) AND target IN (SELECT node FROM u) UNION ALL SELECT 'universe_posts', count(*) FROM conversations WHERE conv_id IN (SELECT node FROM u)""")
 def corpus_stats(spark, d):
@@ -127,7 +128,9 @@ def cap_degree(spark, d):
     return ed.capped(R.edges(spark, d), CAP)
 
 
-@query(f"WITH {S['e']}, {_NODES}, x AS (SELECT source NOT IN (SELECT node FROM u) AND target NOT IN (SELECT node FROM u) AS left_over FROM e) SELECT count(*) AS edges, count(*) FILTER (WHERE NOT left_over) AS dropped, count(*) FILTER (WHERE left_over) AS kept FROM x")
+@query(f"""WITH {S['e']}, {_NODES},
+x AS (SELECT source NOT IN (SELECT node FROM u) AND target NOT IN (SELECT node FROM u) AS left_over FROM e)
+SELECT count(*) AS edges, count(*) FILTER (WHERE NOT left_over) AS dropped, count(*) FILTER (WHERE left_over) AS kept FROM x""")
 def dropped_edges(spark, d):
     return ed.dropped_counts(R.edges(spark, d), _nodes(spark, d))
 
@@ -149,7 +152,8 @@ CORE, CAP = 50, 90
 def _core_sql(rounds: int) -> str:
     out, last = [S["e"]], "e"
     for k in range(rounds):
-        out.append(f"g{k} AS (SELECT node FROM (SELECT source AS node FROM {last} UNION ALL SELECT target FROM {last}) GROUP BY 1 HAVING count(*) < {CORE}), e{k} AS (SELECT * FROM {last} WHERE source NOT IN (SELECT node FROM g{k}) AND target NOT IN (SELECT node FROM g{k}))")
+        out.append(f"""g{k} AS (SELECT node FROM (SELECT source AS node FROM {last}
+UNION ALL SELECT target FROM {last}) GROUP BY 1 HAVING count(*) < {CORE}), e{k} AS (SELECT * FROM {last} WHERE source NOT IN (SELECT node FROM g{k}) AND target NOT IN (SELECT node FROM g{k}))""")
         last = f"e{k}"
     return f"WITH {', '.join(out)} SELECT source, target FROM {last}"
 
@@ -159,15 +163,22 @@ def min_degree_core(spark, d):
     return ed.core(R.edges(spark, d), CORE)
 
 
-_DEG = "o AS (SELECT source AS node, count(*) AS out_degree FROM e GROUP BY 1), i AS (SELECT target AS node, count(*) AS in_degree FROM e GROUP BY 1), dt AS (SELECT coalesce(o.node, i.node) AS node, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) + coalesce(in_degree, 0) AS degree FROM o FULL JOIN i ON o.node = i.node)"
+_DEG = """o AS (SELECT source AS node, count(*) AS out_degree FROM e GROUP BY 1),
+i AS (SELECT target AS node, count(*) AS in_degree FROM e GROUP BY 1),
+dt AS (SELECT coalesce(o.node, i.node) AS node, coalesce(out_degree, 0) AS out_degree, coalesce(in_degree, 0) AS in_degree, coalesce(out_degree, 0) + coalesce(in_degree, 0) AS degree FROM o FULL JOIN i ON o.node = i.node)"""
 
 
-@query(f"WITH {S['e']}, {_DEG}, t AS (SELECT * FROM dt ORDER BY degree DESC, node LIMIT 20) SELECT node, out_degree, in_degree, degree, round(sum(degree) OVER (ORDER BY degree DESC, node ROWS UNBOUNDED PRECEDING) / (SELECT sum(degree) FROM dt), 9) AS concentration FROM t")
+@query(f"""WITH {S['e']}, {_DEG},
+t AS (SELECT * FROM dt ORDER BY degree DESC, node LIMIT 20)
+SELECT node, out_degree, in_degree, degree, round(sum(degree) OVER (ORDER BY degree DESC, node ROWS UNBOUNDED PRECEDING) / (SELECT sum(degree) FROM dt), 9) AS concentration FROM t""")
 def degree_report(spark, d):
     return ed.degree_report(R.edges(spark, d)).withColumn("concentration", F.round("concentration", 9))
 
 
-@query(f"WITH {S['e']}, {_DEG} SELECT count(*) AS nodes, quantile_cont(degree, 0.5)::DOUBLE AS q0_5, quantile_cont(degree, 0.9)::DOUBLE AS q0_9, round(quantile_cont(degree, 0.99)::DOUBLE, 6) AS q0_99, round(quantile_cont(degree, 0.999)::DOUBLE, 6) AS q0_999, max(degree)::DOUBLE AS q1, count(*) FILTER (WHERE degree > 10) AS over_10, count(*) FILTER (WHERE degree > 100) AS over_100, count(*) FILTER (WHERE degree > 1000) AS over_1000 FROM dt")
+@query(f"""WITH {S['e']},
+{_DEG}
+SELECT count(*) AS nodes, quantile_cont(degree, 0.5)::DOUBLE AS q0_5, quantile_cont(degree, 0.9)::DOUBLE AS q0_9, round(quantile_cont(degree, 0.99)::DOUBLE, 6) AS q0_99, round(quantile_cont(degree, 0.999)::DOUBLE,
+  6) AS q0_999, max(degree)::DOUBLE AS q1, count(*) FILTER (WHERE degree > 10) AS over_10, count(*) FILTER (WHERE degree > 100) AS over_100, count(*) FILTER (WHERE degree > 1000) AS over_1000 FROM dt""")
 def degree_quantiles(spark, d):
     return ed.degree_quantiles(R.edges(spark, d)).withColumns({c: F.round(c, 6) for c in ("q0_99", "q0_999")})
 
@@ -195,7 +206,10 @@ def pack_specificity(spark, d):
     return mb.specificity(R.membership(spark, d)).withColumn("specificity", F.round("specificity", 9))
 
 
-@query(f"WITH {S['m']}, k AS (SELECT pack_id FROM m GROUP BY 1 HAVING count(*) >= 2 ORDER BY md5('42|' || pack_id), pack_id LIMIT 25), u AS (SELECT DISTINCT user_id FROM m WHERE pack_id IN (SELECT pack_id FROM k)) SELECT user_id FROM u ORDER BY md5('42|' || user_id), user_id LIMIT 150")
+@query(f"""WITH {S['m']},
+k AS (SELECT pack_id FROM m GROUP BY 1 HAVING count(*) >= 2 ORDER BY md5('42|' || pack_id), pack_id LIMIT 25),
+u AS (SELECT DISTINCT user_id FROM m WHERE pack_id IN (SELECT pack_id FROM k))
+SELECT user_id FROM u ORDER BY md5('42|' || user_id), user_id LIMIT 150""")
 def pack_slice(spark, d):
     return mb.pack_slice(R.membership(spark, d))
 
@@ -262,20 +276,27 @@ def shared_sets(spark, d):
     return pr.shared_counts(pr.uniform_pairs(pr.eligible(m, 2), 3000), m)
 
 
-@query(f"WITH {S['m']}, {_draws(_TWO, 3000)}, k AS (SELECT c_custkey AS user_id FROM customer WHERE c_acctbal > 0) SELECT count(*) AS pairs, count(*) FILTER (WHERE user_a IN (SELECT user_id FROM k) AND user_b IN (SELECT user_id FROM k)) AS kept, count(*) FILTER (WHERE NOT (user_a IN (SELECT user_id FROM k) AND user_b IN (SELECT user_id FROM k))) AS dropped FROM un")
+@query(f"""WITH {S['m']}, {_draws(_TWO, 3000)},
+k AS (SELECT c_custkey AS user_id FROM customer WHERE c_acctbal > 0)
+SELECT count(*) AS pairs, count(*) FILTER (WHERE user_a IN (SELECT user_id FROM k) AND user_b IN (SELECT user_id FROM k)) AS kept, count(*) FILTER (WHERE NOT (user_a IN (SELECT user_id
+  FROM k) AND user_b IN (SELECT user_id FROM k))) AS dropped FROM un""")
 def mapped_pairs(spark, d):
     users = R.table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("user_id"))
     return pr.mapped(pr.uniform_pairs(pr.eligible(R.membership(spark, d), 2), 3000), users)
 
 
-@query("WITH i AS (SELECT o_custkey AS source, l_suppkey AS target, l_discount AS flow FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT least(source, target) AS user_a, greatest(source, target) AS user_b, round(avg(flow), 9) AS flow, count(*) AS directions FROM i WHERE source <> target GROUP BY 1, 2")
+@query("""WITH i AS (SELECT o_custkey AS source, l_suppkey AS target, l_discount AS flow FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT least(source, target) AS user_a, greatest(source, target) AS user_b, round(avg(flow), 9) AS flow, count(*) AS directions FROM i WHERE source <> target GROUP BY 1, 2""")
 def symmetric_info(spark, d):
     items, orders = R.table(spark, d, "lineitem"), R.table(spark, d, "orders")
     info = items.join(orders, items.l_orderkey == orders.o_orderkey).select(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_discount").alias("flow"))
     return pr.symmetric_info(info, "flow").withColumn("flow", F.round("flow", 9))
 
 
-@query(f"WITH {S['p']}, q AS (SELECT user_a, user_b, shared_packs, round(max(cosine), 6) AS cosine FROM p GROUP BY 1, 2, 3), s AS (SELECT shared_packs, max(cosine) - min(cosine) AS spread FROM q GROUP BY 1 HAVING count(*) > 1 ORDER BY round(max(cosine) - min(cosine), 6) DESC, shared_packs LIMIT 1), o AS (SELECT q.* FROM q JOIN s USING (shared_packs)) (SELECT *, 'max' AS pick FROM o ORDER BY cosine DESC, user_a, user_b LIMIT 1) UNION ALL (SELECT *, 'min' AS pick FROM o ORDER BY cosine, user_a, user_b LIMIT 1)")
+@query(f"""WITH {S['p']},
+q AS (SELECT user_a, user_b, shared_packs, round(max(cosine), 6) AS cosine FROM p GROUP BY 1, 2, 3),
+s AS (SELECT shared_packs, max(cosine) - min(cosine) AS spread FROM q GROUP BY 1 HAVING count(*) > 1 ORDER BY round(max(cosine) - min(cosine), 6) DESC, shared_packs LIMIT 1),
+o AS (SELECT q.* FROM q JOIN s USING (shared_packs)) (SELECT *, 'max' AS pick FROM o ORDER BY cosine DESC, user_a, user_b LIMIT 1) UNION ALL (SELECT *, 'min' AS pick FROM o ORDER BY cosine, user_a, user_b LIMIT 1)""")
 def pair_spread_pick(spark, d):
     q = R.pair_table(spark, d).groupBy("user_a", "user_b", "shared_packs").agg(F.round(F.max("cosine"), 6).alias("cosine"))
     scaled = q.withColumn("cosine", F.col("cosine").cast("decimal(12,6)"))
@@ -293,7 +314,10 @@ def five_pairs(spark, d):
     return pr.select_five(q, "shared_packs", "cosine").withColumn("cosine", F.col("cosine").cast("double"))
 
 
-@query(f"WITH {S['m']}, {_CO}, a AS (SELECT user_a, user_b FROM co WHERE shared_packs >= 2), b AS (SELECT user_a, user_b FROM co WHERE user_a % 2 = 0) SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_b, FALSE AS equal")
+@query(f"""WITH {S['m']}, {_CO},
+a AS (SELECT user_a, user_b FROM co WHERE shared_packs >= 2),
+b AS (SELECT user_a, user_b FROM co WHERE user_a % 2 = 0)
+SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)) AS only_a, (SELECT count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)) AS only_b, FALSE AS equal""")
 def same_pairs(spark, d):
     co = pr.comember_pairs(R.membership(spark, d))
     return pr.same_pairs(co.where("shared_packs >= 2"), co.where("user_a % 2 = 0"))
@@ -317,7 +341,8 @@ _NE = "nd AS (SELECT DISTINCT source, target FROM e WHERE source <> target), ug
 def _hops_sql(graph: str, k: int = 4) -> str:
     levels = [f"b0 AS (SELECT DISTINCT user_a AS s, user_a AS node, 0 AS d FROM hp)"]
     for i in range(1, k + 1):
-        levels.append(f"b{i} AS (SELECT * FROM b{i - 1} UNION ALL SELECT DISTINCT b.s, g.target, {i} FROM b{i - 1} b JOIN {graph} g ON g.source = b.node WHERE b.d = {i - 1} AND NOT EXISTS (SELECT 1 FROM b{i - 1} x WHERE x.s = b.s AND x.node = g.target))")
+        levels.append(f"""b{i} AS (SELECT * FROM b{i - 1}
+UNION ALL SELECT DISTINCT b.s, g.target, {i} FROM b{i - 1} b JOIN {graph} g ON g.source = b.node WHERE b.d = {i - 1} AND NOT EXISTS (SELECT 1 FROM b{i - 1} x WHERE x.s = b.s AND x.node = g.target))""")
     return f"{', '.join(levels)} SELECT hp.user_a, hp.user_b, coalesce(CASE WHEN b.d > 0 THEN b.d END, {k + 1})::BIGINT AS hops FROM hp LEFT JOIN b{k} b ON b.s = hp.user_a AND b.node = hp.user_b"
 
 
@@ -353,7 +378,8 @@ _Q = "q AS (SELECT c_custkey AS node FROM customer WHERE c_custkey % 50 = 0)"
 def _levels_sql(rounds: int) -> str:
     levels = ["l0 AS (SELECT node AS s, node, 0 AS d FROM qi)"]
     for i in range(1, rounds + 1):
-        levels.append(f"l{i} AS (SELECT * FROM l{i - 1} UNION ALL SELECT DISTINCT b.s, nd.target, {i} FROM l{i - 1} b JOIN nd ON nd.source = b.node WHERE b.d = {i - 1} AND NOT EXISTS (SELECT 1 FROM l{i - 1} x WHERE x.s = b.s AND x.node = nd.target))")
+        levels.append(f"""l{i} AS (SELECT * FROM l{i - 1}
+UNION ALL SELECT DISTINCT b.s, nd.target, {i} FROM l{i - 1} b JOIN nd ON nd.source = b.node WHERE b.d = {i - 1} AND NOT EXISTS (SELECT 1 FROM l{i - 1} x WHERE x.s = b.s AND x.node = nd.target))""")
     return ", ".join(levels)
 
 
