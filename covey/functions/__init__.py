@@ -26,18 +26,24 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def places(rows: DataFrame, key: str) -> DataFrame:
-    """The distinct values of key, and place: 0, 1, ... in order of their MD5.
+def ranked_by_draw(rows: DataFrame, keys: list[str], draw: Column, order: list[str], name: str) -> DataFrame:
+    """rows with their place, 0, 1, ..., among those of equal keys, by the MD5 `draw` and then by order.
 
-    Values are counted by the first digits of the MD5 (4,096 rows at most), the counts are summed up, and
-    values are ranked only among those of equal first digits: no task sees all of them.
+    Rows are counted by keys and the first digits of the draw (4,096 counts for a value at most), the counts
+    are summed up, and rows are ranked only among those of equal first digits: no task sees all of a value.
     """
-    hashed = rows.select(key).distinct().withColumn("__hash", F.md5(F.col(key).cast("string"))).withColumn("__first", F.substring("__hash", 1, 3))
-    counts = hashed.groupBy("__first").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy("__first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(counts.select("__first", before.alias("__start")))
-    rank = F.row_number().over(W.partitionBy("__first").orderBy("__hash", key)) - 1
-    return hashed.withColumn("__rank", rank).join(starts, "__first").select(key, (F.col("__start") + F.col("__rank")).alias("place"))
+    own = rows.withColumn("__draw", draw).withColumn("__first", F.substring("__draw", 1, 3))
+    counts = own.groupBy(*keys, "__first").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.partitionBy(*keys).orderBy("__first").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*keys, "__first", before.alias("__start"))
+    rank = F.row_number().over(W.partitionBy(*keys, "__first").orderBy("__draw", *order)) - 1
+    return own.withColumn("__rank", rank).join(starts, [*keys, "__first"]).withColumn(name, F.col("__start") + F.col("__rank")).drop("__draw", "__first", "__start", "__rank")
+
+
+def places(rows: DataFrame, key: str) -> DataFrame:
+    """The distinct values of key, and place: 0, 1, ... in order of their MD5, by ranked_by_draw()."""
+    one = rows.select(key).distinct().withColumn("__all", F.lit(0))
+    return ranked_by_draw(one, ["__all"], F.md5(F.col(key).cast("string")), [key], "place").drop("__all")
 
 
 def first_by_draw(rows: DataFrame, keys: list[str], most: int, order: list[Column], draw: Column) -> DataFrame:

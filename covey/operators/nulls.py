@@ -10,12 +10,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from covey.functions import draw_int
+from covey.functions import draw_int, ranked_by_draw
 from covey.operators import aggregates as ag
 from covey.operators import inference as inf
 from covey.operators import neff as ne
@@ -109,7 +108,7 @@ def sample_by_class(users: DataFrame, packs: DataFrame, seeds: list[int], rows:
     All packs of one size have the same chance with a user, so the user draws how many of each size it
     gets, and then which; sizes (a row each) are broadcast, and packs are found by size and place.
     """
-    ranked = packs.withColumn("place", F.row_number().over(W.partitionBy("k").orderBy(F.md5(F.col("pack_id").cast("string")), "pack_id")) - 1)
+    ranked = ranked_by_draw(packs, ["k"], F.md5(F.col("pack_id").cast("string")), ["pack_id"], "place")
     table = [(r["k"], r["y"], r["n"]) for r in packs.groupBy("k", "y").agg(F.count("*").alias("n")).orderBy("k").collect()]  # a row for each distinct size
     u = users if rows is None else users.join(rows.select("user_id").distinct(), "user_id", "left_semi")
 

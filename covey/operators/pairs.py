@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from covey.functions import draw_int, draw_key, first_by_draw, places
+from covey.functions import draw_int, draw_key, first_by_draw, places, ranked_by_draw
 from covey.session import checkpointed
 
 
@@ -160,6 +160,7 @@ def degree_matched(observed: DataFrame, pool: DataFrame, seed: int = 42) -> Data
     Both have user_a, user_b, cell and cosine. A pair finds its match by an equi-join on the cell and a rank.
     """
     sizes = pool.groupBy("cell").agg(F.count("*").alias("size"))
-    ranked = pool.select("cell", F.col("cosine").alias("matched"), (F.row_number().over(W.partitionBy("cell").orderBy(draw_key(seed, "user_a", "user_b"), "user_a", "user_b", "cosine")) - 1).alias("rank"))
+    own = pool.select("cell", "user_a", "user_b", F.col("cosine").alias("matched"))
+    ranked = ranked_by_draw(own, ["cell"], draw_key(seed, "user_a", "user_b"), ["user_a", "user_b", "matched"], "rank").select("cell", "matched", "rank")
     draw = draw_int(draw_key(seed + 1, "user_a", "user_b"))
     return observed.join(sizes, "cell", "left").withColumn("rank", draw % F.col("size")).join(ranked, ["cell", "rank"], "left").drop("size", "rank")
