@@ -11,6 +11,7 @@ from covey.operators import edges as ed
 from covey.operators import graph as gr
 from covey.operators import membership as mb
 from covey.operators import pairs as pr
+from covey.operators import text as tx
 from covey.plans import analyses as an
 from covey.plans import figures
 from covey.session import session
@@ -22,8 +23,7 @@ def _membership(spark: SparkSession, a) -> DataFrame:
 
 
 def _docs(spark: SparkSession, a) -> DataFrame:
-    posts = io.read_posts(spark, a.records)
-    return posts.groupBy("user_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+    return tx.user_documents(tx.dated(io.read_posts(spark, a.records)), "created_at")
 
 
 def _write(tables: dict[str, DataFrame], out: str) -> None:

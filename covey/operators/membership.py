@@ -40,11 +40,15 @@ def pack_slice(m: DataFrame, n_packs: int = 25, target_users: int = 150, min_pac
 
 
 def alignment(packs: DataFrame, texts: DataFrame, n_check: int = 50) -> DataFrame:
-    """One row: packs and texts, and of the packs checked how many names are not in the text. packs: pack_id, name; texts: pack_id, text."""
+    """One row: packs and texts, and of about n_check packs checked how many names are not in the text. packs: pack_id (from 0), name; texts: pack_id, text.
+
+    Packs without a name or without a text can't be wrong.
+    """
     n = F.broadcast(packs.agg(F.count("*").alias("n")))  # one row
     step = F.greatest(F.lit(1), F.floor(F.col("n") / n_check))
-    checked = packs.crossJoin(n).where((F.col("pack_id") - 1) % step == 0).join(texts, "pack_id", "left")
-    wrong = checked.agg(F.count("*").alias("checked"), F.count_if(~F.coalesce(F.col("text").contains(F.col("name")), F.lit(False))).alias("wrong"))
+    checked = packs.crossJoin(n).where(F.col("pack_id") % step == 0).join(texts, "pack_id", "left")
+    amiss = (F.col("name") != "") & (F.col("text") != "") & ~F.col("text").contains(F.col("name"))
+    wrong = checked.agg(F.count("*").alias("checked"), F.count_if(F.coalesce(amiss, F.lit(False))).alias("wrong"))
     return n.crossJoin(F.broadcast(texts.agg(F.count("*").alias("texts")))).crossJoin(F.broadcast(wrong)).select(F.col("n").alias("packs"), "texts", "checked", "wrong")
 
 

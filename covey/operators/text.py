@@ -117,6 +117,17 @@ def cut_terms(tf: DataFrame, size: DataFrame, max_df: float, min_df: int, top: i
     return ranked.where(F.col("place") <= top).select("side", "place", "term", "df", (F.col("df") / F.col("n_docs")).alias("share"), *flags)
 
 
+def parsed_times(posts: DataFrame, source: str, time: str = "created_at") -> DataFrame:
+    """posts with `time` from text: null where it can't be read; without an offset it is in the session's zone, which is UTC."""
+    return posts.withColumn(time, F.try_to_timestamp(F.col(source)))
+
+
+def user_documents(posts: DataFrame, time: str = "turn") -> DataFrame:
+    """user_id and text: each user's posts joined by spaces in order of time (of equal times, of text)."""
+    held = posts.where("text IS NOT NULL").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct(time, "text"))).alias("p"))
+    return held.select("user_id", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
+
+
 def dated(posts: DataFrame, time: str = "created_at") -> DataFrame:
     """Posts whose time could be read."""
     return posts.where(F.col(time).isNotNull())

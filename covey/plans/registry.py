@@ -1,6 +1,6 @@
 """All queries of the library, without those of its subpackages."""
 
-from covey.plans import statistics, structure
+from covey.plans import files, statistics, structure
 
-QUERIES = {**structure.QUERIES, **statistics.QUERIES}
-SQL = {**structure.SQL, **statistics.SQL}
+QUERIES = {**structure.QUERIES, **statistics.QUERIES, **files.QUERIES}
+SQL = {**structure.SQL, **statistics.SQL, **files.SQL}

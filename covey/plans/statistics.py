@@ -565,16 +565,29 @@ def _slopes_sql(src: str, boot: str) -> str:
     return f"""SELECT {boot} AS boot, hops, sum(w) AS sw, sum(w * n_eff) AS sx, sum(w * cosine) AS sy, sum(w * n_eff * n_eff) AS sxx, sum(w * n_eff * cosine) AS sxy FROM {src} GROUP BY ALL"""
 
 
-@query(f"""WITH {_BOOT}, h AS ({_slopes_sql('rs', 'boot')} UNION ALL {_slopes_sql('(SELECT *, 1.0::DOUBLE AS w FROM p)', '-1')}),
+_MODELS = f"""WITH {_BOOT}, h AS ({_slopes_sql('rs', 'boot')} UNION ALL {_slopes_sql('(SELECT *, 1.0::DOUBLE AS w FROM p)', '-1')}),
 c AS (SELECT *, sxx - sx * sx / sw AS cxx, sxy - sx * sy / sw AS cxy FROM h),
 a AS (SELECT boot, (sum(sxy) - sum(sx) * sum(sy) / sum(sw)) / (sum(sxx) - sum(sx) * sum(sx) / sum(sw)) AS s FROM h GROUP BY 1), r AS (SELECT boot, cxy / cxx AS ref FROM c WHERE hops = 1),
 t AS (SELECT boot, 'x|alone' AS term, s FROM a UNION ALL SELECT boot, 'x|with levels', sum(cxy) / sum(cxx) FROM c GROUP BY 1 UNION ALL SELECT boot, 'slope|' || hops, cxy / cxx FROM c
-  UNION ALL SELECT c.boot, 'interaction|' || hops, cxy / cxx - ref FROM c JOIN r ON r.boot = c.boot WHERE hops <> 1)
+  UNION ALL SELECT c.boot, 'interaction|' || hops, cxy / cxx - ref FROM c JOIN r ON r.boot = c.boot WHERE hops <> 1)"""
+
+
+@query(f"""{_MODELS}
 SELECT x.term, round(x.s, 9) AS estimate, ci_low, ci_high FROM t x JOIN (SELECT term, {_CI} FROM t WHERE boot >= 0 GROUP BY 1) y USING (term) WHERE x.boot = -1""")
 def bootstrap_models(spark, d):
     return rounded(inf.bootstrap_models(R.pair_table(spark, d), "n_eff", "cosine", "hops", 1, B), "estimate", "ci_low", "ci_high", places=9)
 
 
+@query(f"""{_MODELS}
+SELECT 'n_eff:hops[' || split_part(x.term, '|', 2) || ']' AS term, round(x.s, 9) AS estimate, ci_low, ci_high FROM t x JOIN (SELECT term, {_CI} FROM t WHERE boot >= 0 GROUP BY 1) y USING (term) WHERE x.boot = -1 AND x.term LIKE 'interaction%'""")
+def coefficient_table(spark, d):
+    """Point estimates of the moderator model with the intervals of the bootstrap's terms."""
+    from covey.plans.analyses import network
+
+    p = R.pair_table(spark, d)
+    return rounded(network(p, None, n_boot=B, known=p)["coefficients"], "estimate", "ci_low", "ci_high", places=9)
+
+
 _FIT = "count(*) AS n, round(regr_slope(cosine, {x}), 9) AS slope, round(regr_intercept(cosine, {x}), 9) AS intercept, round(regr_r2(cosine, {x}), 9) AS r2"
 
 

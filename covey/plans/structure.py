@@ -53,7 +53,7 @@ def pack_text(spark, d):
     return io.pack_texts(packs).join(io.pack_texts(packs, include_name=False).select("pack_id", F.col("text").alias("untitled")), "pack_id")
 
 
-@query("SELECT count(*) AS packs, count(*) AS texts, count(*) FILTER (WHERE (p_partkey - 1) % greatest(1, (SELECT count(*) FROM part) // 50) = 0) AS checked, 0::BIGINT AS wrong FROM part")
+@query("SELECT count(*) AS packs, count(*) AS texts, count(*) FILTER (WHERE p_partkey % greatest(1, (SELECT count(*) FROM part) // 50) = 0) AS checked, 0::BIGINT AS wrong FROM part")
 def alignment_check(spark, d):
     packs = _parts(spark, d)
     return mb.alignment(packs.select("pack_id", "name"), io.pack_texts(packs).select("pack_id", "text"))
@@ -545,19 +545,36 @@ def neff_jaccard_pairs(spark, d):
     return out.select("user_a", "user_b", *[F.round(c, 6).alias(c) for c in ("effrank__jac", "cluster_average__jac")], "nonpsd__jac")
 
 
-@query(f"""{_NEFF}, r AS (SELECT user_a, user_b, i, sum(greatest(g, 0)) AS r FROM gm GROUP BY 1, 2, 3), e AS (SELECT user_a, user_b, round(sum(1 / r), 6) AS n_eff_rowsum FROM r GROUP BY 1, 2),
+@query(f"""{_NEFF}, {_BASE}, r AS (SELECT user_a, user_b, i, sum(greatest(g, 0)) AS r FROM gm GROUP BY 1, 2, 3), e AS (SELECT user_a, user_b, round(sum(1 / r), 6) AS n_eff_rowsum FROM r GROUP BY 1, 2),
 p AS (SELECT user_a, user_b, count(DISTINCT i) AS k, round({_PART}, 6) AS n_eff_participation FROM gm GROUP BY 1, 2)
 SELECT co.user_a, co.user_b, shared_packs, coalesce(k, 1) AS k_shared, coalesce(n_eff_rowsum, 1) AS n_eff_rowsum, coalesce(n_eff_participation, 1) AS n_eff_participation, coalesce(n_eff_rowsum, 1) AS n_eff
-FROM co LEFT JOIN e USING (user_a, user_b) LEFT JOIN p USING (user_a, user_b)""")
+FROM co LEFT JOIN e USING (user_a, user_b) LEFT JOIN p USING (user_a, user_b) UNION ALL SELECT user_a, user_b, 0, 0, 0, 0, 0 FROM ba""")
 def neff_for_pairs(spark, d):
-    """The facade over all co-member pairs: one shared pack counts 1."""
+    """The facade over all co-member pairs and pairs that share nothing: no shared packs count 0, one counts 1."""
     m = R.membership(spark, d)
-    pairs = pr.comember_pairs(m)
+    pairs = pr.comember_pairs(m).unionByName(pr.baseline(m, 500))
     out = ne.for_pairs(pairs, pr.shared_packs(pairs, m), R.embeddings(spark, d), method="rowsum")
     names = ("n_eff_rowsum", "n_eff_participation", "n_eff")
     return out.select("user_a", "user_b", "shared_packs", "k_shared", *[F.round(c, 6).alias(c) for c in names])
 
 
+@query(f"""{_NEFF}, kn AS (SELECT vec_id FROM embeddings), kp AS (SELECT user_a, user_b, count(vec_id) AS known FROM sh LEFT JOIN kn ON vec_id = pack_id GROUP BY 1, 2),
+gk AS (SELECT gm.* FROM gm JOIN kn x ON x.vec_id = i JOIN kn y ON y.vec_id = j), e AS (SELECT user_a, user_b, {_PART} AS n FROM gk GROUP BY 1, 2)
+SELECT user_a, user_b, round(CASE WHEN known < 2 THEN known ELSE n END, 6) AS n_eff FROM kp LEFT JOIN e USING (user_a, user_b)""")
+def neff_dropped(spark, d):
+    """Packs without an embedding are left out of the eigenvalue family."""
+    return _number(spark, d, "participation", missing="drop")
+
+
+@query(f"WITH {S['m']}, {_CO}, {_SH}, {_GR} SELECT i AS pack_i, j AS pack_j, round(least(greatest(g, 0), 1), 6) AS similarity FROM ps WHERE i < j")
+def pack_similarities(spark, d):
+    """Similarity, clipped to 0..1, of the packs that some pair of users shares."""
+    shared = _sets(spark, d).select("user_a", "user_b", F.explode("packs").alias("pack_id"))
+    a, b = shared.withColumnRenamed("pack_id", "pack_i"), shared.withColumnRenamed("pack_id", "pack_j")
+    found = a.join(b, ["user_a", "user_b"]).where("pack_i < pack_j").select("pack_i", "pack_j").distinct()
+    return ne.pack_dots(found, R.embeddings(spark, d)).select("pack_i", "pack_j", F.round(F.least(F.greatest("g", F.lit(0.0)), F.lit(1.0)), 6).alias("similarity"))
+
+
 @query(f"""WITH {S['m']}, {_CO}, {_SH}, kn AS (SELECT sh.* FROM sh JOIN embeddings ON vec_id = pack_id),
 kc AS (SELECT *, count(*) OVER (PARTITION BY user_a, user_b) AS k FROM kn), ks AS (SELECT user_a, user_b, pack_id, 1 / (k - 1) AS share FROM kc WHERE k > 1),
 pq AS (SELECT a.pack_id AS i, b.pack_id AS j, sum(a.share) AS share FROM ks a JOIN ks b USING (user_a, user_b) WHERE a.pack_id < b.pack_id GROUP BY 1, 2),

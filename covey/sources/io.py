@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from covey.operators.information import english
+from covey.operators.text import parsed_times
 
 EVENT = "commit struct<collection:string>, record struct<text:string,createdAt:string,embed:struct<`$type`:string>>"
 #: Collection of the records that are posts, and the embeds that make one a quotation; fixed values of the record format.
@@ -103,8 +104,8 @@ def read_posts(spark: SparkSession, paths: str | list[str], quotes: bool = True,
     raw = spark.read.option("recursiveFileLookup", "true").text(paths).where(F.col("value").contains(POST))
     rows = raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl(?:\.gz)?$", 1).alias("user_id"), F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"))
     text = F.regexp_replace(F.regexp_replace("e.record.text", r"(?U)^\s+|\s+$", ""), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", " ")
-    posts = rows.where(F.col("e.commit.collection") == POST).select("user_id", F.expr("try_to_timestamp(e.record.createdAt)").alias("created_at"), text.alias("text"), F.coalesce(F.col("e.record.embed.`$type`").isin(*QUOTES), F.lit(False)).alias("is_quote"))
-    posts = posts.where(F.col("text") != "")
+    posts = rows.where(F.col("e.commit.collection") == POST).select("user_id", F.col("e.record.createdAt").alias("created"), text.alias("text"), F.coalesce(F.col("e.record.embed.`$type`").isin(*QUOTES), F.lit(False)).alias("is_quote"))
+    posts = parsed_times(posts.where(F.col("text") != ""), "created").select("user_id", "created_at", "text", "is_quote")
     if english_only:
         posts = posts.where(english())
     return posts if quotes else posts.where(~F.col("is_quote"))
