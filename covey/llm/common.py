@@ -19,7 +19,7 @@ from covey.session import checkpointed, delete, delete_at_end, shared_folder
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Rows, and bytes of text, that a Python worker handles at once.
-BATCH_ROWS, BATCH_BYTES = 512, 4 << 20
+BATCH_ROWS, BATCH_BYTES = 512, 1 << 20
 #: Bits of a filter that is broadcast, at most (16 MB), and bits for each key below that.
 FILTER_BITS, BITS_A_KEY = 1 << 27, 16
 
