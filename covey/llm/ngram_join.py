@@ -8,12 +8,13 @@
 2. The shingles of the rest are ordered from rare to common. Two documents that link share one of the
    first n - T + 1, so chaining the holders of each such shingle in order of size, where neighbours are
    near enough in size, puts every link inside one block.
-3. Within a block (cut into chunks of bounded size) inverted lists are built. A document searches for
+3. Within a block (cut into chunks of bounded size, by size of the sets) inverted lists are built. A document searches for
    those that share at least T shingles with it: the longest lists are set aside, the others are merged
    with a heap that skips ahead, and what is found often enough is looked up in the long lists by binary
    search. Documents of one component need not be compared, and any link between two components
    has an end outside the largest one, so only documents outside it search.
-4. Where a block has several chunks, its documents outside its largest component search the other chunks.
+4. Where a block has several chunks, its documents outside its largest component search the others whose
+   sets are of sizes near enough.
 
 All links between different texts count; none is left out, and no group is expanded into its pairs.
 """
@@ -38,6 +39,8 @@ from covey.llm.components import components
 SIZE = 5
 #: Shingles that a chunk of a block may hold, shingles sorted at once in a bucket, words whose hashes are kept.
 CHUNK, AT_ONCE, WORDS_KEPT = 1_000_000, 1_000_000, 200_000
+#: Logarithm of the sizes in a class: partners, of 0.8 to 1.25 times a size, are at most two classes away. Parts of a class at most.
+CLASS, PARTS = 0.1133, 1 << 40
 #: Buckets of a partition; documents whose links a task remembers.
 FINE, KNOWN = 2, 1_000_000
 #: Leaders that a chunk is held against before the search, and the weight of a list's length in DivideSkip.
@@ -491,30 +494,46 @@ def _grouped(docs: DataFrame, size: int = SIZE, chunk: int = CHUNK, at_once: int
     chains = alive.mapInArrow(lambda b: _prefixes(b, keys), _DEALT).repartition(n, "to").sortWithinPartitions("bucket").mapInArrow(lambda b: _chains(b, at_once), _LINK)
     roots = components(chains)
     blocks = roots.union(roots.select("root", "root").distinct()).toDF("node", "block")
-    sizes = alive.select("node", (F.length("rank") / 8).cast("long").alias("held"))
-    placed = blocks.join(sizes, "node")
-    chunks = placed.groupBy("block").agg(F.ceil(F.sum("held") / F.lit(chunk)).alias("chunks"))
-    placed = cut(placed.join(chunks, "block").select("node", "block", "chunks", F.pmod(F.xxhash64("node"), "chunks").alias("chunk")))
+    sizes = alive.select("node", (F.length("rank") / 8).cast("long").alias("held"), F.floor(F.ln("n") / F.lit(CLASS)).cast("long").alias("class"))
+    placed = _placed(blocks.join(sizes, "node"), chunk)
     rows = placed.join(alive, "node").withColumn("role", F.lit(1))
     several = placed.where("chunks > 1")
     wide = not several.isEmpty()
     if wide:  # the block's first document goes to all its chunks
-        each = F.explode(F.expr("sequence(0L, chunks - 1)"))
-        pivots = several.where("node = block").select("node", "block", "chunks", F.col("chunk").alias("home"), each.alias("chunk")).where("chunk <> home").drop("home")
-        rows = rows.unionByName(pivots.join(alive, "node").withColumn("role", F.lit(0)))
+        pivots = several.where("node = block").select("node", "block", F.col("chunk").alias("home"))
+        pivots = pivots.join(_chunks_of(several).select("block", "chunk"), "block").where("chunk <> home").select("node", "block", "chunk")
+        rows = rows.select("node", "block", "chunk", "n", "rank", "role").unionByName(pivots.join(alive, "node").withColumn("role", F.lit(0)))
     links = cut(_search(rows, n))
     if wide:
         links = cut(links.union(_between(several, alive, links, n)))
     return _answer(members, components(links))
 
 
+def _placed(blocks: DataFrame, chunk: int) -> DataFrame:
+    """node, block, chunks, class and chunk. blocks: node, block, held, class.
+
+    A block of more than `chunk` shingles is cut by classes of size, and a class of more by hash: chunk is the
+    class and the part of it.
+    """
+    parts = blocks.groupBy("block", "class").agg(F.sum("held").alias("held"))
+    chunks = parts.groupBy("block").agg(F.ceil(F.sum("held") / F.lit(chunk)).alias("chunks"))
+    cuts = parts.join(chunks, "block").select("block", "class", "chunks", F.when(F.col("chunks") > 1, F.ceil(F.col("held") / F.lit(chunk))).otherwise(F.lit(1)).alias("cuts"))
+    part = F.when(F.col("chunks") > 1, F.col("class") * PARTS + F.pmod(F.xxhash64("node"), "cuts")).otherwise(F.lit(0))
+    return cut(blocks.join(cuts, ["block", "class"]).select("node", "block", "chunks", "class", part.cast("long").alias("chunk")))
+
+
+def _chunks_of(several: DataFrame) -> DataFrame:
+    return several.select("block", "class", "chunk").distinct()
+
+
 def _between(several: DataFrame, alive: DataFrame, links: DataFrame, n: int) -> DataFrame:
-    """Links between chunks: a block's documents outside its largest component search all its other chunks."""
+    """Links between chunks: a block's documents outside its largest component search its other chunks of sizes near enough."""
     found = several.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     counts = found.groupBy("block", "root").agg(F.count("*").alias("members"))
     largest = counts.groupBy("block").agg(F.max(F.struct("members", "root")).alias("top")).select("block", F.col("top.root").alias("top"))
     outside = found.join(largest, "block").where("root <> top")
-    asking = outside.select("node", "block", F.col("chunk").alias("home"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk")).where("chunk <> home").drop("home")
+    near = F.explode(F.sequence(F.col("class") - 2, F.col("class") + 2)).alias("class")
+    asking = outside.select("node", "block", F.col("chunk").alias("home"), near).join(_chunks_of(several), ["block", "class"]).where("chunk <> home").select("node", "block", "chunk")
     rows = several.select("node", "block", "chunk").withColumn("role", F.lit(1)).unionByName(asking.withColumn("role", F.lit(2)))
     return _search(rows.join(alive, "node"), n)
 
