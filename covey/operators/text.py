@@ -21,13 +21,13 @@ def normalised(text: str = "text") -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\r\n|\n|\r", " ")
 
 
-def tokens(docs: DataFrame, extra: tuple[str, ...] = (), keep_mentions: bool = False, min_len: int = 2) -> DataFrame:
-    """user_id and term for each token of text: hashtags whole, other words if long enough and no stop-words."""
+def tokens(docs: DataFrame, extra: tuple[str, ...] = (), keep_mentions: bool = False, min_len: int = 2, stop_words: tuple[str, ...] = tuple(STOP_WORDS)) -> DataFrame:
+    """user_id and term for each token of text: hashtags whole, other words if long enough and no stop-words (a list of one's own, and extra ones)."""
     low = F.regexp_replace(F.lower("text"), URL, " ")
     low = low if keep_mentions else F.regexp_replace(low, MENTION, " ")
     words = docs.select("user_id", F.explode(F.regexp_extract_all(low, F.lit(TOKEN), F.lit(0))).alias("term"))
     tag = F.col("term").startswith("#")
-    return words.where((tag & (F.length("term") > 1)) | (~tag & (F.length("term") >= min_len) & ~F.col("term").isin(*STOP_WORDS, *extra)))
+    return words.where((tag & (F.length("term") > 1)) | (~tag & (F.length("term") >= min_len) & ~F.col("term").isin(*stop_words, *extra)))
 
 
 def term_counts(toks: DataFrame) -> DataFrame:

@@ -206,6 +206,7 @@ def test_streaming_degrees(spark, tmp_path):
 def test_tokenizer(spark):
     d = frame(spark, [(1, "Café #Ünï don't x #été see https://a.b/c @you.there www.x.y The THE"), (2, None)], "user_id long, text string")
     assert [r.term for r in tx.tokens(d).collect()] == ["caf", "#ünï", "don't", "#été", "see"]
+    assert [r.term for r in tx.tokens(d, stop_words=("see", "don't")).collect()] == ["caf", "#ünï", "#été", "the", "the"]
     assert "you" not in {r.term for r in tx.tokens(d).collect()} and "there" not in {r.term for r in tx.tokens(d, keep_mentions=True).collect()}
 
 
