@@ -38,9 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def delete_at_end(spark: SparkSession, path: str) -> None:
-    """Have the folder go when the driver's JVM ends."""
+    """Have the folder, which is made if it is not there, go when the driver's JVM ends."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
