@@ -51,9 +51,11 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut, in the shared folder."""
+    """df with its lineage cut, in the session's own part of the shared folder, which goes when the driver's JVM ends."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    delete_at_end(df.sparkSession, df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get())
+    return out
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
