@@ -86,6 +86,12 @@ def test_line_rules():
     assert quality_rules.cleaned_text("Good line here.\nHome | About | Us | Me\nMore.") == "Good line here.\nMore."
 
 
+def test_prose_may_name_boilerplate():
+    line = " ".join(f"word{k}" for k in range(250)) + " a cookie and the copyright of it " + " ".join(f"term{k}" for k in range(250)) + "."
+    assert quality_rules.failed_rule(line.encode()) is None and quality_rules.measures(line.encode())[6]
+    assert quality_rules.failed_rule(b"We use a cookie to remember what you like and all rights reserved.") == "boilerplate"
+
+
 def water(sizes):
     """sizes: source -> size. Targets by going up in small steps of rounds, as the contract says it."""
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
