@@ -50,6 +50,7 @@ class Codec:
         inner = [m for m in merges if not m[1].endswith(self.end)]
         self.inner = BPE(vocab=model["vocab"], merges=inner)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.marked = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         self.token = {i: t for t, i in [*model["vocab"].items(), *self.special.items()]}
         self.joined = {pair for t in model["vocab"] for pair in pairwise(t.removesuffix(self.end))}
         self.bytes = {c: self.pieces(chr(c))[0][0] for c in range(0xC0, 0x100)}  # as the pre-tokenizer writes their bytes
@@ -62,29 +63,30 @@ class Codec:
         at = [0, *(k + 1 for k, pair in enumerate(pairwise(piece)) if pair not in self.joined), len(piece)]
         return [piece[a:b] for a, b in pairwise(at)]
 
-    def _coded(self, piece: str) -> list[int]:
+    def _coded(self, piece: str) -> tuple[int, str, str]:
         cuts = self.fragments(piece)
-        return [t.id for k, f in enumerate(cuts) for t in (self.last if k == len(cuts) - 1 else self.inner).tokenize(f)]
+        ids = [t.id for k, f in enumerate(cuts) for t in (self.last if k == len(cuts) - 1 else self.inner).tokenize(f)]
+        return len(ids), " ".join(map(str, ids)), " ".join([self.token[i] for i in ids])
 
-    def _plain(self, text: str) -> list[int]:
+    def _plain(self, text: str) -> list[tuple[int, str, str]]:
         if PLAIN.fullmatch(text):
             pieces = [p if p.isascii() else p.translate(self.bytes) for p in PIECES.findall(text.lower())]
         else:
             pieces = [p for p, _ in self.pieces(self.normalise(text))]
-        return [i for p in pieces for i in self.known[p]]
+        return [self.known[p] for p in pieces]
 
     def _word(self, word: bytes) -> tuple[int, str, str]:
         """Length, ids and tokens of a text without white space, as strings."""
-        text, ids = word.decode(), []
-        if not any(s in text for s in self.special):
-            ids, text = self._plain(text), ""
-        while text:  # special tokens are cut out before all else
-            at, name = min(((p, s) for s in self.special if (p := text.find(s)) >= 0), default=(len(text), ""))
-            ids += self._plain(text[:at])
-            if name:
-                ids.append(self.special[name])
-            text = text[at + len(name) :]
-        return len(ids), " ".join(map(str, ids)), " ".join(self.token[i] for i in ids)
+        text, found, at = word.decode(), [], 0
+        for special in self.marked.finditer(text):  # special tokens are cut out before all else
+            found += self._plain(text[at : special.start()])
+            found.append((1, str(self.special[special[0]]), special[0]))
+            at = special.end()
+        found += self._plain(text[at:] if at else text)
+        if len(found) == 1:
+            return found[0]
+        found = [c for c in found if c[0]]
+        return sum([c[0] for c in found]), " ".join([c[1] for c in found]), " ".join([c[2] for c in found])
 
     def codes(self, text: bytes) -> list[tuple[int, str, str]]:
         """The codes of the words of a text that have any."""
