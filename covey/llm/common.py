@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -42,37 +44,44 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: lineage ends there, and any executor can read it.
+class Staged(list):
+    """Paths of the tables that one call has staged. Only who holds it deletes them, and no others."""
 
-    The table goes when the driver's JVM ends, or with forget() once nothing reads it any more.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/covey-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    delete_at_end(spark, os.path.dirname(path))
-    _staged.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    def delete(self, spark: SparkSession) -> None:
+        """What was computed from the tables and is not written yet is lost."""
+        while self:
+            delete(spark, os.path.dirname(self.pop()))
 
 
-#: Paths of the staged tables that are still there, oldest first.
-_staged: list[str] = []
+#: Who owns the tables staged in this thread's current block; other threads have blocks of their own.
+_owner: ContextVar[Staged | None] = ContextVar("covey_staged", default=None)
 
 
-def forget(spark: SparkSession, since: int = 0, but: tuple[DataFrame, ...] = ()) -> None:
-    """Delete the tables that were staged after the first `since` of them, except those that `but` reads.
+@contextmanager
+def staging() -> Iterator[Staged]:
+    """Tables that are staged inside the block, in this thread, belong to what it yields."""
+    own = Staged()
+    before = _owner.set(own)
+    try:
+        yield own
+    finally:
+        _owner.reset(before)
 
-    What was computed from them and is not written yet is lost.
-    """
-    used = {os.path.dirname(f) for df in but for f in df.inputFiles()}
-    for path in _staged[since:]:
-        if not any(f.endswith(path.split("://")[-1]) for f in used):
-            delete(spark, os.path.dirname(path))
-            _staged.remove(path)
 
+def staged(df: DataFrame, name: str, owner: Staged | None = None) -> DataFrame:
+    """df written as Parquet in the shared folder and read back: lineage ends there, and any executor can read it.
 
-def n_staged() -> int:
-    return len(_staged)
+    The table goes when the driver's JVM ends, or when its owner deletes it: the one named, or else that of
+    the block of staging().
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/covey-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    delete_at_end(spark, os.path.dirname(path))
+    owner = _owner.get() if owner is None else owner
+    if owner is not None:
+        owner.append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 cut = checkpointed

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from covey.llm.common import Filter, cut, documents, forget, n_staged, numbered, own, parts, pieces, place, staged, text_of
+from covey.llm.common import Filter, Staged, cut, documents, numbered, own, parts, pieces, place, staged, text_of
 
 #: Fixed by the contract: white space, code points of a key at least, documents that hold it at least.
 BLANKS, LONG, SHARED = b" \t\n\x0b\x0c\r", 40, 5
@@ -144,12 +144,12 @@ def keep_bitmaps(docs: DataFrame, least: int = LONG, shared: int = SHARED) -> Da
     of one doc_id with different texts apart; such rows count as one document, and equal ones share a
     bitmap. A null doc_id counts as one document that is smaller than all others.
     """
-    spark, before = docs.sparkSession, n_staged()
+    spark, held = docs.sparkSession, Staged()
     rows = own(docs, "doc_id", "text").select("doc_id", text_of().alias("text")).withColumn("row_hash", F.xxhash64("text"))
-    lines = staged(rows.mapInArrow(lambda b: _lines(b, least), _LINE), "lines")  # read twice: for the bounds of the ranges, and to deal the rows out
+    lines = staged(rows.mapInArrow(lambda b: _lines(b, least), _LINE), "lines", held)  # read twice: for the bounds of the ranges, and to deal the rows out
     key = ("hash", "id_null", F.desc("doc_id"))
     order = cut(lines.repartitionByRange(parts(spark), *key).sortWithinPartitions(*key, "row_hash", "pos"))
-    forget(spark, before)
+    held.delete(spark)
     found: dict[bytes, list] = defaultdict(list)
     for e in order.mapInArrow(_edges, _EDGE).collect():  # two rows for each partition
         found[bytes(e["hash"])].append((e["docs"], e["id_null"], e["top"]))

@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,15 +90,28 @@ def test_filter_keeps_every_key(spark):
     assert none.where("maybe").count() == 0 and none.columns == ["id", "maybe"]
 
 
-def test_staged_tables_go(spark):
-    before = common.n_staged()
-    a, b = common.staged(spark.range(5).toDF("x"), "a"), common.staged(spark.range(6).toDF("x"), "b")
-    common.forget(spark, before, (b,))
-    assert common.n_staged() == before + 1 and b.count() == 6
+def test_staged_tables_go_with_their_owner(spark):
+    with common.staging() as own:
+        a = common.staged(spark.range(5).toDF("x"), "a")
+        other = common.Staged()
+        b = common.staged(spark.range(6).toDF("x"), "b", other)
+    c = common.staged(spark.range(7).toDF("x"), "c")
+    assert (len(own), len(other)) == (1, 1)
+    own.delete(spark)
+    assert not own and b.count() == 6 and c.count() == 7
     with pytest.raises(Exception, match="(?i)path|exist|file"):
         spark.read.parquet(a.inputFiles()[0]).count()
 
 
+def test_operators_at_once(spark, docs):
+    """Two operators in two threads of one driver, again and again: neither takes the other's tables away."""
+    run = {"lines": lambda: line_dedup.digests(docs).collect(), "copies": lambda: exact_dedup.exact_dedup(docs).collect()}
+    want = {k: Counter(map(tuple, f())) for k, f in run.items()}
+    with ThreadPoolExecutor(2) as pool:
+        found = [(k, pool.submit(f)) for _ in range(3) for k, f in run.items()]
+        assert all(Counter(map(tuple, f.result())) == want[k] for k, f in found)
+
+
 def test_url_names(spark):
     entries = spark.createDataFrame([("block", "bad.org", "2024-01-02", True, 1)], "list string, domain string, at string, listed boolean, Host int").withColumn("at", F.to_timestamp("at"))
     rows = spark.createDataFrame([(1, "http://www.bad.org/x", "2024-01-03", "h", 5, "s")], "page_id long, url string, t string, Host string, n_block int, since string").selectExpr("page_id", "url", "to_timestamp(t) AS fetched_at", "Host", "n_block", "since")
