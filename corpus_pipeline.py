@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covey.llm import bpe, line_dedup, mixing, ngram_join, quality_rules
-from covey.llm.common import forget, n_staged, numbered, place, small_batches, staged
+from covey.llm.common import Staged, numbered, place, small_batches, staged, staging
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -58,10 +58,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    before = n_staged()
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = staged(docs, name)
-            forget(spark, before, (docs,))  # what the stage read and staged itself
-    return docs
+    last = Staged()  # the table that the next stage reads
+    for name, stage in STAGES[:-1]:
+        done, last = last, Staged()
+        with staging() as held:  # what the stage stages itself
+            docs = staged(stage(spark, docs, sf_dir), name, last)
+        held.delete(spark)
+        done.delete(spark)
+    return STAGES[-1][1](spark, docs, sf_dir)
