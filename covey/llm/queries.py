@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from covey.llm import bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, toxicity, url_filters, vector_codes, warc
+from covey.llm import alignment, bpe, exact_dedup, language_id, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, toxicity, url_filters, vector_codes, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_quality_classifier": quality_classifier.op8_quality_classifier,
     "op9_language_id": language_id.op9_language_id,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_alignment": alignment.op11_alignment,
     "op12_warc": warc.op12_warc,
     "op13_vector_codes": vector_codes.op13_vector_codes,
 }
