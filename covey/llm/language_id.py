@@ -123,8 +123,8 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Learns from the rows of docs that are not held out and have a language; equal rows count once in the sample's choice, each in its counts."""
     known = own(docs, "doc_id", "lang", "text").where(~_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    ids = first_of_each(known.select("doc_id", "lang"), "lang", sample)
-    ids = F.broadcast(ids.distinct())  # at most `sample` rows of each language
+    ids = first_of_each(known.select("doc_id", "lang").distinct(), "lang", sample)  # a document that is there often takes one place
+    ids = F.broadcast(ids)  # at most `sample` rows of each language
     rows = known.join(ids, ["doc_id", "lang"])
     sums = rows.select("lang", "text").mapInArrow(_counts, "lang string, key int, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
     return Model([tuple(r) for r in sums.collect()])  # at most 2 ** BITS rows of each language
@@ -164,7 +164,12 @@ def _spans(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
-    """The spans of one language in each text: doc_id, begin, end, lang, in code points of the lower-cased text."""
+    """The spans of one language in each text: doc_id, begin, end, lang, in code points of the lower-cased text.
+
+    Nulls and empty texts, texts without a letter and an empty table have no spans, a null doc_id stays. Very
+    long texts: as identify() has them. Ties: the language that is first by name. Repeated rows: one by
+    one. Other columns are ignored, whatever their names.
+    """
     return own(docs, "doc_id", "text").mapInArrow(lambda b: _spans(b, model), "doc_id long, begin long, end long, lang string")
 
 

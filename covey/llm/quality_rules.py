@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 
 from covey.llm.common import documents, numbered, own, pieces, place, text_of
@@ -20,8 +21,17 @@ from covey.llm.common import documents, numbered, own, pieces, place, text_of
 SYMBOLS, LEAST_WORDS, REPEATED, WINDOW = b"#*$%&|<>", 10, 20, 5
 #: Line rules: symbols for each word, share of words that shout, separators of a menu, words of a line that may end as it likes, words of a line that may name boilerplate, share of a document's words that may go.
 MARKUP, SHOUTING, SEPARATORS, FREE_END, PROSE, LOST = 0.25, 0.5, 3, 10, 25, 0.5
-BOILERPLATE = re.compile(rb"cookie|privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|lorem ipsum|licensed under|released under|copyright|subscribe to|sign up|log ?in to", re.IGNORECASE)
-END = re.compile("[.!?…。！？:;][\"'”’»)\\]]*$")
+#: What speaks of cookies is boilerplate only beside words of consent or of a site.
+CONSENT = r"accept|consent|polic(?:y|ies)|settings|preferences|browser|web ?site|(?:our|this) site|we use"
+PHRASES = r"privacy policy|terms of (?:use|service)|all rights reserved|enable javascript|lorem ipsum|licensed under|released under|copyright|subscribe to|sign up|log ?in to"
+BOILERPLATE = re.compile(rf"\b(?:{PHRASES}|cookies?\b.*\b(?:{CONSENT})|(?:{CONSENT})\b.*\bcookies?)\b".encode(), re.IGNORECASE)
+#: Ends of sentences in all scripts (Unicode's Sentence_Terminal), and what else may end a line; quotes and brackets may close behind them.
+STOPS = "".join(regex.findall(r"\p{Sentence_Terminal}", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))) + "…:;؛"
+CLOSED = r"[\"'\p{Pe}\p{Pf}]*$"
+END = regex.compile(f"[{regex.escape(STOPS)}]{CLOSED}")
+#: Scripts that write no stops (Thai, Lao): their lines may end as they like.
+STOPLESS = "[\u0e01-\u0edf]"
+_STOPLESS = re.compile(STOPLESS)
 #: Words that separate the entries of a menu.
 BETWEEN = frozenset(x.encode() for x in ("|", ">", "/", "-", "·", "»", "›"))
 
@@ -38,8 +48,10 @@ def failed_rule(line: bytes) -> str | None:
         return "navigation"
     if n < PROSE and BOILERPLATE.search(line):
         return "boilerplate"
-    if n < FREE_END and n >= 2 and not END.search(line.rstrip().decode(errors="replace")):
-        return "punctuation"
+    if n < FREE_END and n >= 2:
+        text = line.rstrip().decode(errors="replace")
+        if not END.search(text) and not _STOPLESS.search(text):
+            return "punctuation"
     return None
 
 
@@ -138,14 +150,14 @@ def op6_quality_rules(spark, sf_dir):
 
 
 _BETWEEN = ", ".join(f"'{x.decode()}'" for x in sorted(BETWEEN))
-_END = END.pattern.replace("'", "''")
+_END = (f"[{STOPS}]".replace("?", "\\?").replace(".", "\\.") + CLOSED).replace("'", "''")
 OP6_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT doc_id, string_split(t, chr(10)) AS ls FROM d)),
 m AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS lw, row_number() OVER (PARTITION BY doc_id, line ORDER BY pos) > 1 AS dup FROM l),
 k AS (SELECT *, len(lw) AS n, len(list_filter(lw, lambda x: x IN ({_BETWEEN}))) AS between_words, len(regexp_extract_all(line, '[#*$%&|<>]')) AS marks, len(list_filter(lw, lambda x: regexp_matches(x, '(!!|\?\?)\.*$'))) AS shouts FROM m WHERE len(lw) > 0),
 f AS (SELECT *, marks > {MARKUP} * n OR (n >= 3 AND shouts > {SHOUTING} * n) OR between_words > greatest({SEPARATORS} - 1, n // 4) OR (n < {PROSE} AND regexp_matches(line, '{BOILERPLATE.pattern.decode()}', 'i'))
-  OR (n < {FREE_END} AND n >= 2 AND NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '{_END}')) AS failed FROM k),
+  OR (n < {FREE_END} AND n >= 2 AND NOT regexp_matches(regexp_replace(line, '[\x20\x09-\x0D]+$', ''), '{_END}') AND NOT regexp_matches(line, '{STOPLESS}')) AS failed FROM k),
 g AS (SELECT doc_id, count(*) FILTER (WHERE dup) AS dup, coalesce(sum(n) FILTER (WHERE failed), 0) AS lost FROM f GROUP BY 1),
 x AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {WINDOW} + 2, 1))) AS i FROM d),
 y AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i:i + {WINDOW} - 1]) > 1 AS again FROM x),

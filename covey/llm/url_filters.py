@@ -45,11 +45,13 @@ def host_steps(hosts: DataFrame, valid: DataFrame) -> DataFrame:
     host, since, until (exclusive; null: open), n_block, n_allow.
 
     Intervals of a host and the domains above it become steps that do not overlap, so a capture meets one
-    step at most. A host has no more steps than its domains have entries.
+    step at most. A host has no more steps than its domains have entries. Of its suffixes only those with as
+    many labels as some listed domain are made, so a host of very many labels costs no more than its length.
     """
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    under = hosts.select("host", F.explode(suffixes).alias("domain")).join(valid, "domain")
+    labels = lambda name: F.size(F.split(name, r"\."))
+    lengths = F.broadcast(valid.agg(F.collect_set(labels("domain")).alias("lengths")))  # one row: how many labels a listed domain may have
+    known = hosts.select("host", labels("host").alias("n")).crossJoin(lengths).select("host", F.explode(F.expr("filter(lengths, k -> k <= n)")).alias("k"))
+    under = known.select("host", F.expr("substring_index(host, '.', -k)").alias("domain")).join(valid, "domain")
     ends = F.explode(F.array(F.struct(F.col("begin").alias("since"), F.lit(1).alias("d")), F.struct(F.col("end").alias("since"), F.lit(-1).alias("d")))).alias("e")
     changes = under.select("host", "list", ends).select("host", "list", "e.since", "e.d").where("since IS NOT NULL")
     count = lambda name: F.sum(F.when(F.col("list") == name, F.col("d")).otherwise(0))
@@ -63,7 +65,7 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
     A capture is blocked if an entry of the list `block` for its host or a domain above it is active when it
     is fetched, and no entry of `allow` is.
-    Nulls and empty URLs: without a host or a fetch time nothing is active. Very long URLs: read whole.
+    Nulls and empty URLs: without a host or a fetch time nothing is active. Very long URLs and hosts: read whole.
     Ties: of entries of one list, domain and time, listed wins; an interval holds its begin and not its
     end. Repeated captures: judged one by one; repeated entries count once. Empty tables, of captures or
     entries, are no special case. Other columns are ignored, whatever their names.

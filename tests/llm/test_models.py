@@ -119,6 +119,13 @@ def test_language_ignores_held_out_rows(spark):
     assert a.langs == b.langs and np.array_equal(a.logs, b.logs) and np.array_equal(a.written, b.written)
 
 
+def test_repeated_rows_take_one_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(k, "en", f"word{k} and more words") for k in range(60)], "doc_id long, lang string, text string")
+    often = docs.union(docs.where("doc_id < 30").crossJoin(spark.range(40)).drop("id"))
+    one, many = language_id.fit(docs, 20), language_id.fit(often, 20)
+    assert ((one.logs > one.logs.min()) == (many.logs > many.logs.min())).all()  # the same documents' trigrams are known
+
+
 def test_language_counts_against_plain_code(spark):
     from collections import Counter
 

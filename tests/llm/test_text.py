@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -86,6 +87,17 @@ def test_line_rules():
     assert quality_rules.cleaned_text("Good line here.\nHome | About | Us | Me\nMore.") == "Good line here.\nMore."
 
 
+def test_lines_of_other_scripts_and_recipes():
+    rule = lambda x: quality_rules.failed_rule(x.encode())
+    for line in ("كيف حالك يا صديقي؟", "मैं घर जा रहा हूँ।", "这是 一句话。", "これは 文です。", "สวัสดี ครับ ผม", "«Где ты?»", "He said “go.”", "Grandma's cookie recipe.", "Two cookies for you."):
+        assert rule(line) is None, line
+    for line in ("We use cookies to improve this site.", "Accept all cookies", "Cookie settings.", "Read our privacy policy."):
+        assert rule(line) == "boilerplate", line
+    assert rule("कोई अंत नहीं है") == "punctuation"
+    recipe = "\n".join(["Grandma's cookie recipe.", "Mix two cups of flour and sugar.", "Let the cookie dough rest.", "Bake each cookie for ten minutes.", "Eat every cookie warm."])
+    assert quality_rules.measures(recipe.encode())[6:] == (True, 0)
+
+
 def test_prose_may_name_boilerplate():
     line = " ".join(f"word{k}" for k in range(250)) + " a cookie and the copyright of it " + " ".join(f"term{k}" for k in range(250)) + "."
     assert quality_rules.failed_rule(line.encode()) is None and quality_rules.measures(line.encode())[6]
@@ -133,6 +145,16 @@ def test_mixing(spark, docs, rows, none):
     assert mixing.mixed_documents(none).count() == 0
 
 
+def test_hosts_of_very_many_labels(spark):
+    entries = spark.createDataFrame([("block", "bad.org", "2024-01-01", True), ("block", "x." * 30 + "bad.org", "2024-01-01", True), ("allow", "a.very.good.bad.org", "2024-01-01", True)], "list string, domain string, at string, listed boolean").selectExpr("list", "domain", "to_timestamp(at) AS at", "listed")
+    urls = ["http://" + "x." * 60_000 + "bad.org/", "http://" + "x." * 60_000 + "good.org/", "http://q.a.very.good.bad.org", "http://very.good.bad.org"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "timestamp'2024-02-01' AS fetched_at")
+    url_filters.filter_urls(pages.limit(0), entries).collect()
+    start = time.time()
+    assert [(r.n_block, r.n_allow) for r in url_filters.filter_urls(pages, entries).orderBy("page_id").collect()] == [(2, 0), (0, 0), (1, 1), (1, 0)]
+    assert time.time() - start < 20
+
+
 def test_urls(spark):
     entries = spark.createDataFrame([("block", "bad.org", "2024-01-02", True), ("block", "bad.org", "2024-01-04", False), ("allow", "ok.bad.org", "2024-01-03", True), ("block", None, "2024-01-01", True), ("block", "bad.org", "2024-01-02", False)], "list string, domain string, at string, listed boolean").selectExpr("list", "domain", "to_timestamp(at) AS at", "listed")
     urls = ["http://bad.org/x", "HTTPS://u:p@A.Bad.org.:80/", "http://ok.bad.org", "http://notbad.org", "no url", None]
