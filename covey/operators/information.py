@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 from math import log2
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covey.functions import dot
+from covey.session import checkpointed
 
 
 def sequences(posts: DataFrame, time: str = "turn") -> DataFrame:
@@ -64,32 +66,63 @@ class _Automaton:
         return out
 
 
+def _entropy(target: list[str], model: _Automaton, size: int) -> float | None:
+    """target against the automaton of a reversed source of `size` tokens: the longest match that begins at a place is one that ends there in the reversed sequences."""
+    if not target or size < 2:
+        return None
+    return len(target) * log2(size) / (sum(model.longest(target[::-1])) + len(target))
+
+
 def cross_entropy(target: list[str], source: list[str]) -> float | None:
-    """Match-length estimate, in bits per token, of the cross entropy of target given source: n log2(m) / sum of shortest unseen lengths.
+    """Match-length estimate, in bits per token, of the cross entropy of target given source: n log2(m) / sum of shortest unseen lengths. Time is linear in the tokens."""
+    return _entropy(target, _Automaton(source[::-1]), len(source))
 
-    The longest match that begins at a place is one that ends there in the reversed sequences, so time is
-    linear in the tokens.
-    """
-    if not target or len(source) < 2:
-        return None
-    total = sum(_Automaton(source[::-1]).longest(target[::-1])) + len(target)
-    return len(target) * log2(len(source)) / total
 
+#: Targets, about, that are held against one automaton of a source.
+TARGETS = 1000
 
-def pairwise_information(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
-    """source, target, flow, entropy_st, entropy_ts for listed pairs (source, target); flow is the first entropy less the second, so it changes sign with the direction."""
 
-    def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            st = [cross_entropy(list(b), list(a)) for a, b in zip(pdf.a, pdf.b, strict=True)]
-            ts = [cross_entropy(list(a), list(b)) for a, b in zip(pdf.a, pdf.b, strict=True)]
-            out = pdf[["source", "target"]].assign(entropy_st=pd.Series(st, pdf.index, float), entropy_ts=pd.Series(ts, pdf.index, float))
-            out["flow"] = out.entropy_st - out.entropy_ts
-            yield out[["source", "target", "flow", "entropy_st", "entropy_ts"]]
-
-    a, b = seqs.toDF("source", "a"), seqs.toDF("target", "b")
-    kind = dict(pairs.dtypes)
-    return pairs.join(a, "source").join(b, "target").select("source", "target", "a", "b").mapInPandas(kernel, f"source {kind['source']}, target {kind['target']}, flow double, entropy_st double, entropy_ts double")
+def directed_entropies(wanted: DataFrame, seqs: DataFrame, targets: int = TARGETS) -> DataFrame:
+    """model, user_id, entropy: the cross entropy of user_id's tokens given model's, for distinct wanted (model, user_id) whose sequences are both there.
+
+    One automaton is built for each source, or for every `targets` of its targets if it has more: its row
+    comes first in a sorted run, and the targets stream past it, so that a worker holds one automaton and a batch.
+    """
+    wanted = wanted.select("model", "user_id").distinct()
+    blocks = wanted.groupBy("model").agg(F.ceil(F.count("*") / F.lit(float(targets))).cast("int").alias("blocks"))
+    runs = seqs.select(F.col("user_id").alias("model"), "tokens").join(blocks, "model").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    runs = runs.select("model", "block", F.lit(None).cast(dict(seqs.dtypes)["user_id"]).alias("user_id"), "tokens")
+    texts = wanted.join(seqs, "user_id").join(blocks, "model").withColumn("block", F.pmod(F.xxhash64("user_id"), F.col("blocks")).cast("int")).select("model", "block", "user_id", "tokens")
+    rows = runs.union(texts).repartition("model", "block").sortWithinPartitions("model", "block", F.asc_nulls_first("user_id"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, model, size = None, None, 0
+        for batch in batches:
+            found: list[float | None] = []
+            keep = []
+            for row, (name, block, user, tokens) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)):
+                if user is None:
+                    at, model, size = (name, block), _Automaton(tokens[::-1]), len(tokens)
+                elif at == (name, block):  # else the source has no tokens
+                    keep.append(row)
+                    found.append(_entropy(tokens, model, size))
+            own = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(2), pa.array(found, pa.float64())], ["model", "user_id", "entropy"])
+
+    kinds = dict(wanted.dtypes)
+    return rows.mapInArrow(kernel, f"model {kinds['model']}, user_id {kinds['user_id']}, entropy double")
+
+
+def pairwise_information(pairs: DataFrame, seqs: DataFrame, targets: int = TARGETS) -> DataFrame:
+    """source, target, flow, entropy_st, entropy_ts for listed pairs (source, target) with two sequences; flow is the first entropy less the second, so it changes sign with the direction."""
+    there = seqs.select("user_id")
+    known = pairs.join(there.toDF("source"), "source", "left_semi").join(there.toDF("target"), "target", "left_semi")
+    ways = known.select(F.col("source").alias("model"), F.col("target").alias("user_id")).union(known.select("target", "source"))
+    found = checkpointed(directed_entropies(ways, seqs, targets))  # each way is computed once, and used by both directions
+    st = found.select(F.col("model").alias("source"), F.col("user_id").alias("target"), F.col("entropy").alias("entropy_st"))
+    ts = found.select(F.col("user_id").alias("source"), F.col("model").alias("target"), F.col("entropy").alias("entropy_ts"))
+    out = known.select("source", "target").join(st, ["source", "target"]).join(ts, ["source", "target"])
+    return out.select("source", "target", (F.col("entropy_st") - F.col("entropy_ts")).alias("flow"), "entropy_st", "entropy_ts")
 
 
 def embed_texts(texts: DataFrame, encoder: Callable[[list[str]], list[list[float]]], model: str, cache: DataFrame | None = None) -> DataFrame:

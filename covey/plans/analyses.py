@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from covey.functions import draw_key, first_by_draw
 from covey.operators import aggregates as ag
 from covey.operators import graph as gr
 from covey.operators import inference as inf
@@ -76,12 +77,10 @@ def ego_information(ego: DataFrame, edges: DataFrame, posts: DataFrame, n_hops:
 
 
 def _alters(ego: DataFrame, edges: DataFrame, n_hops: int, max_frontier: int | None, max_alters: int, seed: int) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    from covey.functions import draw_key
-
-    rings = gr.rings(ego, edges, n_hops, max_frontier, seed).withColumn("place", F.row_number().over(W.partitionBy("hop").orderBy(draw_key(seed, "node"), "node")))
-    return rings.where(F.col("place") <= max_alters).select(F.col("node").alias("alter"), "hop").crossJoin(F.broadcast(ego.select("node")))  # one ego
+    """node (the ego), alter and hop: of each ring the first max_alters by draw."""
+    rings = checkpointed(gr.rings(ego, edges, n_hops, max_frontier, seed).withColumn("key", draw_key(seed, "node")))
+    first = first_by_draw(rings, ["hop"], max_alters, [F.col("key"), F.col("node")], F.col("key"))
+    return first.select(F.col("node").alias("alter"), "hop").crossJoin(F.broadcast(ego.select("node")))  # one ego
 
 
 def semantic_overlap(pairs: DataFrame, m: DataFrame, emb: DataFrame, max_shared: int = 8, n_boot: int = 500, seed: int = 42) -> dict[str, DataFrame]:

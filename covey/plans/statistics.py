@@ -287,6 +287,56 @@ def ego_ring_cosine(spark, d):
     return scored.groupBy("hop").agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 6).alias("mean"))
 
 
+# --- directed information --------------------------------------------------
+
+
+def _entropies(ways: str) -> str:
+    """Cross entropy of u's tokens given m's, for ways (m, u): match lengths by all pairs of equal tokens, a match being an unbroken diagonal of them."""
+    return f"""sq AS (SELECT conv_id AS u, flatten(list(w ORDER BY turn, w)) AS t FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda x: x <> '') AS w FROM conversations) GROUP BY 1),
+tn AS (SELECT u, generate_subscripts(t, 1) AS i, unnest(t) AS w FROM sq), {ways},
+ma AS (SELECT wy.m, wy.u, x.i, y.i AS j FROM wy JOIN tn x ON x.u = wy.u JOIN tn y ON y.u = wy.m AND y.w = x.w),
+mi AS (SELECT *, i - row_number() OVER (PARTITION BY m, u, i - j ORDER BY i) AS island FROM ma),
+ml AS (SELECT m, u, i, max(len) AS len FROM (SELECT m, u, i, max(i) OVER (PARTITION BY m, u, i - j, island) - i + 1 AS len FROM mi) GROUP BY 1, 2, 3),
+ms AS (SELECT m, u, sum(len) AS total FROM ml GROUP BY 1, 2),
+en AS (SELECT wy.m, wy.u, CASE WHEN len(b.t) > 0 AND len(a.t) >= 2 THEN len(b.t) * log2(len(a.t)) / (len(b.t) + coalesce(total, 0)) END AS h FROM wy JOIN sq a ON a.u = wy.m JOIN sq b ON b.u = wy.u LEFT JOIN ms ON ms.m = wy.m AND ms.u = wy.u)"""
+
+
+_WAYS = "wy AS (SELECT source AS m, target AS u FROM pr UNION SELECT target, source FROM pr)"
+
+
+@query(f"""WITH {_entropies(f"pr AS (SELECT a.u AS source, b.u AS target FROM sq a JOIN sq b ON b.u - a.u IN (1, 2, -7)), {_WAYS}")}
+SELECT source, target, round(x.h - y.h, 9) AS flow, round(x.h, 9) AS entropy_st, round(y.h, 9) AS entropy_ts FROM pr JOIN en x ON x.m = source AND x.u = target JOIN en y ON y.m = target AND y.u = source""")
+def directed_information(spark, d):
+    """Information between each conversation and three others."""
+    seqs = checkpointed(info.sequences(R.posts(spark, d)))
+    ids = seqs.select(F.col("user_id").alias("target"))
+    pairs = seqs.select(F.col("user_id").alias("source"), F.explode(F.array(*[F.col("user_id") + k for k in (1, 2, -7)])).alias("target")).join(ids, "target", "left_semi")
+    return rounded(info.pairwise_information(pairs, seqs), "flow", "entropy_st", "entropy_ts", places=9)
+
+
+#: Alters of a ring, at most, and posts of an alter, at least.
+ALTERS, POSTS = 600, 2
+_SPEAKER = "ego AS (SELECT node FROM (SELECT source AS node, count(DISTINCT target) AS n FROM e WHERE source <> target GROUP BY 1) JOIN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) >= 2) ON conv_id = node ORDER BY n DESC, node LIMIT 1)"
+
+
+@query(f"""WITH {S['e']}, {st._NE}, {_SPEAKER}, {st._ring_sql(3)},
+al AS (SELECT node, hop FROM (SELECT *, row_number() OVER (PARTITION BY hop ORDER BY md5('42|' || node), node) AS place FROM r3 WHERE hop > 0) WHERE place <= {ALTERS}),
+ok AS (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) >= {POSTS}),
+{_entropies(f"pr AS (SELECT (SELECT node FROM ego) AS source, node AS target, hop FROM al JOIN ok ON conv_id = node), {_WAYS}")},
+fl AS (SELECT hop, x.h - y.h AS flow FROM pr JOIN en x ON x.m = source AND x.u = target JOIN en y ON y.m = target AND y.u = source)
+SELECT hop AS level, round(avg(flow), 9) AS mean, round(coalesce(stddev_samp(flow), 0), 9) AS std, count(*) AS n FROM fl GROUP BY 1""")
+def ego_information(spark, d):
+    """Information between one user and those at each distance, by ring."""
+    from covey.plans.analyses import ego_information as analysis
+
+    posts, edges = R.posts(spark, d), R.edges(spark, d)
+    speakers = tx.thresholds(posts, POSTS, 0).select(F.col("user_id").alias("node"))
+    out = edges.where("source <> target").groupBy(F.col("source").alias("node")).agg(F.countDistinct("target").alias("n")).join(speakers, "node", "left_semi")
+    ego = checkpointed(out.orderBy(F.desc("n"), "node").limit(1).select("node"))
+    curve = analysis(ego, edges, posts, max_frontier=None, max_alters=ALTERS, min_posts=POSTS)["curve"]
+    return rounded(curve.select("level", "mean", "std", "n"), "mean", "std", places=9)
+
+
 # --- curves ----------------------------------------------------------------
 
 _Q = "round(quantile_cont({c}, {q}), 9)"
