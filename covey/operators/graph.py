@@ -1,13 +1,23 @@
-"""Distances in the follow graph by level-synchronous joins."""
+"""Distances in the follow graph by level-synchronous joins.
+
+Searches run side by side in the bits of a long: 64 of them share a batch, and a row (node, batch, mask) says
+which have reached the node. A level is one join with the edges and a bit_or, summed before its shuffle.
+Edges of hubs are dealt out over salts, and what a level expands at once is bounded.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covey.functions import draw_key
 from covey.session import checkpointed
 
+#: Edges of a node that have one key; edges that a level follows at once, and beyond which it goes in slices.
+HUB, EXPAND = 10_000, 2_000_000_000
+#: Searches of a batch: the bits of a long.
+BITS = 64
+
 
 def load(edges: DataFrame, directed: bool = False) -> DataFrame:
     """Distinct edges without loops, in both directions unless directed."""
@@ -15,35 +25,77 @@ def load(edges: DataFrame, directed: bool = False) -> DataFrame:
     return (e if directed else e.union(e.select("target", "source"))).distinct()
 
 
-def ball(starts: DataFrame, graph: DataFrame, depth: int, reverse: bool = False) -> DataFrame:
-    """start, node, d for all nodes within depth of each start (column node), itself at 0."""
-    step = graph.select(F.col("target").alias("node"), F.col("source").alias("next")) if reverse else graph.select(F.col("source").alias("node"), F.col("target").alias("next"))
-    seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("d")).distinct()
-    front = seen
-    for k in range(1, depth + 1):
-        reached = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
-        front = reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("d", F.lit(k))
-        seen = seen.union(front.select("start", "node", "d"))
-    return seen
+def _dealt(graph: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
+    """Edges to follow as node, salt, next, each with the degree of next (0 at a dead end), and the degrees (node, degree)."""
+    degrees = checkpointed(graph.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("degree")))
+    hubs = degrees.where(F.col("degree") > hub).withColumnRenamed("degree", "of_hub")
+    ahead = degrees.select(F.col("node").alias("next"), F.col("degree").alias("next_degree"))
+    own = graph.select(F.col("source").alias("node"), F.col("target").alias("next")).join(hubs, "node", "left")
+    salt = F.when(F.col("of_hub").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("next"), _salts(F.col("of_hub"), hub))).cast("int")
+    return checkpointed(own.select("node", salt.alias("salt"), "next").join(ahead, "next", "left").select("node", "salt", "next", F.coalesce("next_degree", F.lit(0)).alias("next_degree"))), degrees
+
+
+def _salts(degree: Column, hub: int) -> Column:
+    return F.ceil(degree / F.lit(float(hub))).cast("int")
+
+
+def _start(searches: DataFrame, end: str, degrees: DataFrame) -> DataFrame:
+    """searches: batch, mask and their first nodes in the column `end`. The front before the first level: node, batch, mask, degree."""
+    front = searches.groupBy(F.col(end).alias("node"), "batch").agg(F.bit_or("mask").alias("mask"))
+    return front.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def hops(pairs: DataFrame, edges: DataFrame, max_hops: int = 4, directed: bool = False) -> DataFrame:
+def _level(front: DataFrame, edges: DataFrame, hub: int = HUB, most: int = EXPAND) -> DataFrame:
+    """The nodes one step from a front (checkpointed), in the front's form; at most about `most` edges are followed at once."""
+    slices = -(-(front.agg(F.sum("degree")).first()[0] or 0) // most) or 1
+    out = None
+    for k in range(slices):
+        own = front.where("degree > 0") if slices == 1 else front.where((F.col("degree") > 0) & (F.pmod(F.xxhash64("batch"), F.lit(slices)) == k))
+        salted = own.select("node", "batch", "mask", F.explode(F.sequence(F.lit(0), _salts(F.col("degree"), hub) - 1)).alias("salt"))
+        one = checkpointed(salted.join(edges, ["node", "salt"]).groupBy(F.col("next").alias("node"), "batch").agg(F.bit_or("mask").alias("mask"), F.first("next_degree").alias("degree")))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def _numbered(rows: DataFrame, order: str) -> DataFrame:
+    """rows with batch and mask (one bit): every row a search of its own, rows alike in `order` side by side."""
+    ids = checkpointed(rows.repartition(order).sortWithinPartitions(order).withColumn("id", F.monotonically_increasing_id()))
+    return ids.withColumn("batch", F.expr(f"id div {BITS}")).withColumn("mask", F.expr(f"shiftleft(1L, cast(id % {BITS} as int))"))
+
+
+def hops(pairs: DataFrame, edges: DataFrame, max_hops: int = 4, directed: bool = False, hub: int = HUB, most: int = EXPAND) -> DataFrame:
     """Adds hops to pairs: the distance if it is 1..max_hops, else max_hops + 1. Repeated pairs are all filled.
 
-    Distances are tried one after another, and balls of half the distance meet in the middle; only ends of
-    pairs that are still open have their balls grown, so that large balls are made for few.
+    Every distinct pair is a search. One front leaves its first end, one its second (against the edges), in
+    turn a step at a time, and a pair is met when both have its bit at one node: the first time at the
+    number of steps made, since walks of fewer have been tried. Bits of pairs that are met are dropped.
     """
     graph = checkpointed(load(edges, directed))
-    left = checkpointed(pairs.select("user_a", "user_b").distinct().where("user_a <> user_b"))
-    found = None
+    ahead, degrees = _dealt(graph, hub)
+    back, back_degrees = (ahead, degrees) if not directed else _dealt(graph.select(F.col("target").alias("source"), F.col("source").alias("target")), hub)
+    left = _numbered(pairs.select("user_a", "user_b").distinct().where("user_a <> user_b"), "user_a")
+    a, b = _start(left, "user_a", degrees), _start(left, "user_b", back_degrees)
+    open_, found = None, None
+
+    def still(front: DataFrame) -> DataFrame:
+        """The front of the pairs that are not met."""
+        if open_ is None:
+            return front
+        return front.join(open_, "batch").withColumn("mask", F.col("mask").bitwiseAND(F.col("open"))).drop("open").where("mask <> 0")
+
     for k in range(1, max_hops + 1):
-        a = ball(left.select(F.col("user_a").alias("node")), graph, -(-k // 2)).select(F.col("start").alias("user_a"), "node")
-        b = ball(left.select(F.col("user_b").alias("node")), graph, k // 2, reverse=True).select(F.col("start").alias("user_b"), "node")
-        met = checkpointed(left.join(a, "user_a").join(b, ["user_b", "node"]).select("user_a", "user_b").distinct().withColumn("hops", F.lit(k)))
+        if k % 2:
+            a = _level(checkpointed(still(a)), ahead, hub, most)
+        else:
+            b = _level(checkpointed(still(b)), back, hub, most)
+        both = still(a).select("node", "batch", "mask").join(b.select("node", "batch", F.col("mask").alias("other")), ["node", "batch"])
+        hit = checkpointed(both.groupBy("batch").agg(F.bit_or(F.col("mask").bitwiseAND(F.col("other"))).alias("hit")).where("hit <> 0"))
+        met = left.join(hit, "batch").where("(mask & hit) <> 0").select("user_a", "user_b", F.lit(k).alias("hops"))
         found = met if found is None else found.union(met)
         if k < max_hops:
-            left = checkpointed(left.join(met, ["user_a", "user_b"], "left_anti"))
-            if left.isEmpty():
+            before = left.groupBy("batch").agg(F.bit_or("mask").alias("open")) if open_ is None else open_
+            open_ = checkpointed(before.join(hit, "batch", "left").select("batch", F.expr("open & ~coalesce(hit, 0L)").alias("open")).where("open <> 0"))
+            if open_.isEmpty():
                 break
     return pairs.join(found, ["user_a", "user_b"], "left").withColumn("hops", F.coalesce("hops", F.lit(max_hops + 1)).cast("long"))
 
@@ -52,20 +104,24 @@ def hop_label(max_hops: int, column: str = "hops"):
     return F.when(F.col(column).between(1, max_hops), F.col(column).cast("string")).otherwise("unreachable")
 
 
-def shortest_paths(users: DataFrame, edges: DataFrame, directed: bool = True, drop_self: bool = True, drop_unreachable: bool = False) -> DataFrame:
-    """source, target, distance between all users (column node) that are in the graph; -1 out of reach. Levels are joined until no front is left."""
+def shortest_paths(users: DataFrame, edges: DataFrame, directed: bool = True, drop_self: bool = True, drop_unreachable: bool = False, hub: int = HUB, most: int = EXPAND) -> DataFrame:
+    """source, target, distance between all users (column node) that are in the graph; -1 out of reach. Levels go on until no search reaches a new node."""
     graph = checkpointed(load(edges, directed))
     nodes = graph.select(F.explode(F.array("source", "target")).alias("node")).union(edges.where("source = target").select(F.col("source").alias("node"))).distinct()
-    q = users.select("node").distinct().join(nodes, "node", "left_semi")
-    seen = q.select(F.col("node").alias("start"), "node", F.lit(0).alias("d"))
-    front, k = seen, 0
+    q = _numbered(users.select("node").distinct().join(nodes, "node", "left_semi"), "node")
+    ahead, degrees = _dealt(graph, hub)
+    front = checkpointed(_start(q, "node", degrees))
+    seen, k, found = front.select("node", "batch", F.col("mask").alias("seen")), 0, q.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit(0).alias("distance"))
+    bits = F.explode(F.expr(f"filter(sequence(0, {BITS - 1}), i -> (mask & shiftleft(1L, i)) <> 0)")).alias("bit")
+    names = q.select("id", F.col("node").alias("source"))
     while not front.isEmpty():
         k += 1
-        step = graph.select(F.col("source").alias("node"), F.col("target").alias("next"))
-        reached = front.join(step, "node").select("start", F.col("next").alias("node")).distinct()
-        front = checkpointed(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("d", F.lit(k)))
-        seen = checkpointed(seen.union(front.select("start", "node", "d")))
-    found = seen.join(q, "node", "left_semi").select(F.col("start").alias("source"), F.col("node").alias("target"), F.col("d").alias("distance"))
+        reached = _level(front, ahead, hub, most)
+        both = reached.join(seen, ["node", "batch"], "full")
+        state = checkpointed(both.select("node", "batch", F.expr("coalesce(mask, 0L) & ~coalesce(seen, 0L)").alias("mask"), F.expr("coalesce(mask, 0L) | coalesce(seen, 0L)").alias("seen"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        front, seen = state.where("mask <> 0").drop("seen"), state.select("node", "batch", "seen")
+        at = front.join(q.select("node"), "node", "left_semi").select(F.col("node").alias("target"), "batch", bits).withColumn("id", F.col("batch") * BITS + F.col("bit"))
+        found = found.union(at.join(names, "id").select("source", "target", F.lit(k).alias("distance")))
     if drop_unreachable:
         return found.where("distance > 0" if drop_self else "true")
     every = q.select(F.col("node").alias("source")).crossJoin(q.select(F.col("node").alias("target")))  # the result has all pairs

@@ -12,6 +12,7 @@ from covey.operators import aggregates as ag
 from covey.operators import edges as ed
 from covey.operators import graph as gr
 from covey.operators import inference as inf
+from covey.operators import information as info
 from covey.operators import membership as mb
 from covey.operators import neff as ne
 from covey.operators import nulls as nu
@@ -563,3 +564,48 @@ def test_tables(spark, tmp_path):
     assert graph() == [("a", "b"), ("b", "a")] and graph(rebuild=True) == [("a", "b"), ("b", "c")]
     (tmp_path / "h.json").write_text(json.dumps({"incidences": [{"edge": "1", "node": "x"}, {"edge": "2", "node": "x"}, {"edge": "2", "node": "y"}]}))
     assert rows(io.interchange_degrees(spark, str(tmp_path / "h.json"))) == [("x", 2), ("y", 1)]
+
+
+@pytest.mark.parametrize(("directed", "hub", "most"), [(False, 3, 40), (True, 2, 25), (True, 10_000, 10**9)])
+def test_distances_with_salted_hubs_and_sliced_levels(spark, directed, hub, most):
+    """Bit-parallel searches against plain breadth-first ones: a hub, a path out of reach, repeated and reversed pairs, more than 64 searches."""
+    import random
+
+    rnd = random.Random(6)
+    edges = [(0, k) for k in range(1, 40)] + [(rnd.randrange(90), rnd.randrange(90)) for _ in range(110)] + [(200, 201), (201, 202), (7, 7)]
+    ahead: dict[int, set[int]] = {}
+    for x, y in edges:
+        if x != y:
+            ahead.setdefault(x, set()).add(y)
+            if not directed:
+                ahead.setdefault(y, set()).add(x)
+
+    def distances(start):
+        found, front, d = {start: 0}, {start}, 0
+        while front:
+            d += 1
+            front = {n for x in front for n in ahead.get(x, ())} - set(found)
+            found |= dict.fromkeys(front, d)
+        return found
+
+    table = spark.createDataFrame(edges, "source long, target long")
+    pairs = [(rnd.randrange(95), rnd.randrange(95)) for _ in range(150)] + [(200, 202), (202, 200), (5, 5), (0, 1), (0, 1), (999, 1)]
+    got = sorted((r.user_a, r.user_b, r.hops) for r in gr.hops(spark.createDataFrame(pairs, "user_a long, user_b long"), table, 3, directed, hub, most).collect())
+    assert got == sorted((a, b, d if (d := distances(a).get(b, 4)) in (1, 2, 3) else 4) for a, b in pairs)
+    users = sorted({x for e in edges for x in e})[::1]
+    paths = gr.shortest_paths(spark.createDataFrame([(u,) for u in [*users, 999]], "node long"), table, directed, hub=hub, most=most)
+    assert {(r.source, r.target): r.distance for r in paths.collect()} == {(a, b): distances(a).get(b, -1) for a in users for b in users if a != b}
+
+
+def test_one_automaton_serves_all_targets_of_a_source(spark):
+    """Sources with more targets than a block, without tokens, and of one token; every way against the plain estimate."""
+    import random
+
+    rnd = random.Random(9)
+    words = {k: [rnd.choice("abcd") for _ in range(rnd.choice([0, 1, 5, 30]))] for k in range(25)}
+    seqs = spark.createDataFrame(list(words.items()), "user_id long, tokens array<string>")
+    pairs = [(0, k) for k in range(1, 25)] + [(k, 0) for k in range(1, 25)] + [(3, 4), (3, 4), (2, 99)]
+    out = info.pairwise_information(spark.createDataFrame(pairs, "source long, target long"), seqs, targets=4).collect()
+    assert len(out) == len(pairs) - 1
+    for r in out:
+        assert r.entropy_st == info.cross_entropy(words[r.target], words[r.source]) and r.entropy_ts == info.cross_entropy(words[r.source], words[r.target])
