@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from math import lgamma, sqrt
 
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from covey.functions import draw_int, ranked_by_draw
+from covey.functions import ranked_by_draw
 from covey.operators import aggregates as ag
 from covey.operators import inference as inf
 from covey.operators import neff as ne
@@ -73,17 +72,119 @@ def expected_margins(users: DataFrame, packs: DataFrame) -> DataFrame:
     return pu.select(F.lit("user").alias("side"), "degree", "n", "expected").union(pp.select(F.lit("pack"), "degree", "n", "expected"))
 
 
+#: Odd constants of the mixing of 32-bit words, fixed so that SQL can do the same (the last two are MurmurHash3's).
+STEP, STRIDE, MIX = 0x9E3779B9, 0x85157AF5, (0x85EBCA6B, 0xC2B2AE35)
+_WORD = np.uint64(0xFFFFFFFF)
+#: The most that places of a class times -log(1 - chance) may come to, so that the chance of drawing none is a number.
+_DEEP = 500.0
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit word, well mixed (in 64 bits)."""
+    x = ((x ^ (x >> np.uint64(16))) * np.uint64(MIX[0])) & _WORD
+    x = ((x ^ (x >> np.uint64(13))) * np.uint64(MIX[1])) & _WORD
+    return x ^ (x >> np.uint64(16))
+
+
+def _word(a: np.ndarray, code: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The word number `code` of the stream (a, b)."""
+    return _mixed(_mixed((a + code * np.uint64(STEP)) & _WORD) ^ b)
+
+
+def _how_many(u: np.ndarray, n: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Binomial counts by inversion: how many of the first n values of the distribution function are at or below u."""
+    out = np.zeros(len(u), np.int64)
+    at = np.arange(len(u))
+    mass = np.exp(n * np.log1p(-q))
+    total, odds, i = mass.copy(), q / (1 - q), 0
+    while len(at):
+        more = (u >= total) & (i < n)
+        at, u, n, mass, total, odds = at[more], u[more], n[more], mass[more], total[more], odds[more]
+        i += 1
+        out[at] = i
+        mass = mass * odds * (n - i + 1) / i
+        total = total + mass
+    return out
+
+
+def _places(n: np.ndarray, m: np.ndarray, a: np.ndarray, code: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry m of n places, the first different ones of a stream of draws: entries and places. m is n / 2 at most."""
+    found, tries = [], 2 * m + 4
+    at = np.flatnonzero(m > 0)
+    start = _mixed((a + code * np.uint64(STEP)) & _WORD)
+    while len(at):
+        t = tries[at]
+        of = np.repeat(at, t)
+        j = (np.arange(len(of)) - np.repeat(np.cumsum(t) - t, t)).astype(np.uint64)
+        place = ((_mixed(start[of] ^ ((b[of] + j * np.uint64(STRIDE)) & _WORD)) * n[of].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        first = np.sort(np.unique(of * (int(n.max()) + 1) + place, return_index=True)[1])  # each place of an entry where it comes first
+        own = of[first]
+        lead = np.r_[True, own[1:] != own[:-1]]
+        rank = np.arange(len(own)) - np.flatnonzero(lead)[np.cumsum(lead) - 1]
+        enough = np.bincount(own, minlength=len(n)) >= m
+        keep = (rank < m[own]) & enough[own]
+        found.append((own[keep], place[first][keep]))
+        at = at[~enough[at]]
+        tries[at] *= 2
+    return tuple(np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in (0, 1))
+
+
+def draw_classes(x: np.ndarray, keys: list[str], y: np.ndarray, n: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, class and place of every link that rows of fitness x draw, in classes of n packs of fitness y each. keys: the MD5 of each row.
+
+    A row draws how many packs of a class it has, and then which: as every cell on its own would, at the cost of
+    the links and of a number for each row and class.
+    """
+    words = np.array([[int(k[i : i + 8], 16) for i in (0, 8, 16, 24)] for k in keys], np.uint64).reshape(-1, 4)
+    row, of = (v.ravel() for v in np.meshgrid(np.arange(len(x)), np.arange(len(y)), indexing="ij"))
+    size, number = n[of], code[of].astype(np.uint64)
+    q = x[row] * y[of] / (1 + x[row] * y[of])
+    u = _word(words[row, 0], number, words[row, 1]) / 2.0**32
+    c = _how_many(u, size, q)
+    few = np.minimum(c, size - c)  # where most are taken, those left out are drawn
+    entry, place = _places(size, few, words[row, 2], number, words[row, 3])
+    most = 2 * c > size
+    plain = ~most[entry]
+    rest = np.flatnonzero(most)
+    every = np.repeat(rest, size[rest])
+    where = np.arange(len(every)) - np.repeat(np.cumsum(size[rest]) - size[rest], size[rest])
+    out = np.isin(every * (int(n.max(initial=0)) + 1) + where, entry[~plain] * (int(n.max(initial=0)) + 1) + place[~plain])
+    entry, place = np.concatenate([entry[plain], every[~out]]), np.concatenate([place[plain], where[~out]])
+    return row[entry], of[entry], place
+
+
 def samples(users: DataFrame, packs: DataFrame, seeds: list[int], rows: DataFrame | None = None) -> DataFrame:
-    """replicate, user_id, pack_id: draws of the canonical ensemble, every cell on its own by a hash. rows restricts the users.
+    """replicate, user_id, pack_id: draws of the canonical ensemble. rows restricts the users.
 
-    The cost is that of all cells of these users; sample_by_class() costs no more than the links.
+    All packs of one size have the same chance with a user, so a user draws how many of each size it has, and
+    then which places among them. Sizes (a row each) go to every task; a class in which drawing none
+    would be too unlikely for a number is cut. A draw depends on seed and user alone, not on partitions.
     """
+    ranked = ranked_by_draw(packs.select("pack_id", "k"), ["k"], F.md5(F.col("pack_id").cast("string")), ["pack_id"], "place")
     u = users if rows is None else users.join(rows.select("user_id").distinct(), "user_id", "left_semi")
+    table = packs.groupBy("k", "y").agg(F.count("*").alias("n")).orderBy("k").collect()  # a row for each distinct size
+    top = users.agg(F.max("x")).first()[0] or 0.0
+    parts = []  # k, first place, places, y, code
+    for k, y, n in table:
+        cut = max(1, int(_DEEP / max(np.log1p(top * y), 1e-300))) if top * y > 0 else n
+        parts += [(k, a, min(cut, n - a), y, (k + (i << 24)) & 0xFFFFFFFF) for i, a in enumerate(range(0, n, cut))]
+    k, first, n, y, code = (np.array([p[i] for p in parts]) for i in range(5))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_once = max(1, (1 << 20) // max(1, len(parts)))
+        for whole in batches:
+            for start in range(0, whole.num_rows, at_once):
+                batch = whole.slice(start, at_once)
+                row, of, place = draw_classes(batch.column("x").to_numpy(zero_copy_only=False), batch.column("key").to_pylist(), y.astype(float), n.astype(np.int64), code.astype(np.int64))
+                own = batch.select(["replicate", "user_id"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(k[of], pa.int64()), pa.array(first[of] + place, pa.int64())], ["replicate", "user_id", "k", "place"])
+
     each = F.broadcast(users.sparkSession.createDataFrame([(int(x),) for x in seeds], "replicate int"))  # a row for each seed
-    cells = u.crossJoin(packs).crossJoin(each)  # the ensemble is defined on all cells
-    uniform = draw_int(F.md5(F.concat_ws("|", "replicate", "user_id", "pack_id"))) / F.lit(float(1 << 32))
-    q = F.col("x") * F.col("y") / (1 + F.col("x") * F.col("y"))
-    return cells.where(uniform < q).select("replicate", "user_id", "pack_id")
+    keyed = u.select("user_id", "x").crossJoin(each).withColumn("key", F.md5(F.concat_ws("|", "replicate", "user_id")))
+    if not parts:
+        return keyed.join(packs.select("pack_id"), F.lit(False)).select("replicate", "user_id", "pack_id")
+    drawn = keyed.mapInArrow(kernel, f"replicate int, user_id {dict(users.dtypes)['user_id']}, k long, place long")
+    return drawn.join(ranked.select("k", F.col("place").cast("long").alias("place"), "pack_id"), ["k", "place"]).select("replicate", "user_id", "pack_id")
 
 
 def sample(users: DataFrame, packs: DataFrame, seed: int, rows: DataFrame | None = None) -> DataFrame:
@@ -102,32 +203,6 @@ def cooccurrence(pairs: DataFrame, users: DataFrame, packs: DataFrame) -> DataFr
     return out.withColumn("z", F.when(F.col("variance") > 0, (F.col("shared_packs") - F.col("expected")) / F.sqrt("variance")))
 
 
-def sample_by_class(users: DataFrame, packs: DataFrame, seeds: list[int], rows: DataFrame | None = None) -> DataFrame:
-    """replicate, user_id, pack_id: the same ensemble at a cost of its links instead of all cells.
-
-    All packs of one size have the same chance with a user, so the user draws how many of each size it
-    gets, and then which; sizes (a row each) are broadcast, and packs are found by size and place.
-    """
-    ranked = ranked_by_draw(packs, ["k"], F.md5(F.col("pack_id").cast("string")), ["pack_id"], "place")
-    table = [(r["k"], r["y"], r["n"]) for r in packs.groupBy("k", "y").agg(F.count("*").alias("n")).orderBy("k").collect()]  # a row for each distinct size
-    u = users if rows is None else users.join(rows.select("user_id").distinct(), "user_id", "left_semi")
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size, y, n = np.array([t[0] for t in table]), np.array([t[1] for t in table]), np.array([t[2] for t in table])
-        for batch in batches:
-            for row, (user, x) in enumerate(zip(batch.column("user_id").to_pylist(), batch.column("x").to_pylist(), strict=True)):
-                q = x * y / (1 + x * y)
-                for seed in seeds:
-                    rng = np.random.default_rng([zlib.crc32(str(user).encode()), seed & 0x7FFFFFFF])
-                    counts = rng.binomial(n, q)
-                    at = np.concatenate([np.empty(0, np.int64), *(rng.choice(n[i], counts[i], replace=False) for i in np.flatnonzero(counts))])
-                    if len(at):
-                        yield pa.RecordBatch.from_arrays([pa.array([seed] * len(at), pa.int32()), batch.column("user_id").slice(row, 1).take(pa.array([0] * len(at))), pa.array(np.repeat(size, counts), pa.int64()), pa.array(at, pa.int64())], ["replicate", "user_id", "k", "place"])
-
-    drawn = u.select("user_id", "x").mapInArrow(kernel, f"replicate int, user_id {dict(users.dtypes)['user_id']}, k long, place long")
-    return drawn.join(ranked.select("k", F.col("place").cast("long").alias("place"), "pack_id"), ["k", "place"]).select("replicate", "user_id", "pack_id")
-
-
 def gamma_tails(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper regularised incomplete gamma function of a > 0 and x > 0; of each pair the smaller is computed itself, so that it keeps its digits."""
     front = np.exp(a * np.log(x) - x - np.array([lgamma(v) for v in a]))
@@ -276,11 +351,14 @@ def statistics(scored: DataFrame, statistic: str, keys: tuple[str, ...] = ("repl
 
 def curves(observed: DataFrame, scored: DataFrame, max_shared: int, n_boot: int = 500, seed: int = 42) -> DataFrame:
     """x_kind, bin, observed_mean, observed_ci_low, observed_ci_high, null_mean, null_low, null_high for the bins 0..max_shared of the
-    packs shared (count) and of the rounded n_eff. observed: pairs with k_shared, n_eff and cosine; scored: under()'s rows."""
+    packs shared (count) and of the rounded n_eff. observed: pairs with k_shared, n_eff and cosine; scored: under()'s rows. n_boot=0: no observed interval."""
     spark, out = observed.sparkSession, None
     for kind, bin_of in (("count", F.greatest(F.lit(0), F.least("k_shared", F.lit(max_shared))).cast("long")), ("n_eff", ag.rint_bin("n_eff", max_shared))):
         null = band(scored.groupBy("replicate", bin_of.alias("level")).agg(F.avg("cosine").alias("mean")))
-        own = inf.cluster_bootstrap(observed, bin_of, n_boot=n_boot, seed=seed)
+        if n_boot:
+            own = inf.cluster_bootstrap(observed, bin_of, n_boot=n_boot, seed=seed)
+        else:
+            own = observed.groupBy(bin_of.alias("level")).agg(F.avg("cosine").alias("mean")).withColumns({c: F.lit(None).cast("double") for c in ("ci_low", "ci_high")})
         own = own.select("level", F.col("mean").alias("observed_mean"), F.col("ci_low").alias("observed_ci_low"), F.col("ci_high").alias("observed_ci_high"))
         spine = spark.range(max_shared + 1).select(F.lit(kind).alias("x_kind"), F.col("id").alias("level"))
         one = spine.join(own, "level", "left").join(null, "level", "left").select("x_kind", F.col("level").alias("bin"), "observed_mean", "observed_ci_low", "observed_ci_high", "null_mean", "null_low", "null_high")

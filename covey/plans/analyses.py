@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covey.functions import draw_key, first_by_draw
@@ -18,7 +18,7 @@ from covey.operators import neff as ne
 from covey.operators import nulls as nu
 from covey.operators import pairs as pr
 from covey.operators import text as tx
-from covey.session import checkpointed, require_columns
+from covey.session import checkpointed, require_columns, written
 
 
 def _weights(docs: DataFrame, min_df: int, max_df: float, sublinear: bool = True) -> DataFrame:
@@ -112,25 +112,46 @@ def coefficients(points: DataFrame, boots: DataFrame, names: DataFrame | None =
     return mapped.join(boots.select(F.col("term").alias("boot_term"), "ci_low", "ci_high"), "boot_term", "left").select("term", "estimate", "ci_low", "ci_high")
 
 
-def _replicates(m: DataFrame, ensemble: str, seeds: list[int], pairs: DataFrame, trades: int | None) -> DataFrame:
+def _replicates(m: DataFrame, ensemble: str, seeds: list[int], pairs: DataFrame, trades: int | None, fitted: bool = True) -> DataFrame:
     if ensemble == "microcanonical":
         return nu.curveball(m, seeds, trades)
     if ensemble != "canonical":
         raise ValueError(f"unknown ensemble {ensemble}; there are canonical and microcanonical")
-    return nu.sample_by_class(*nu.fit(m), seeds, inf.ends(pairs).toDF("user_id"))
+    return nu.samples(*(nu.fit(m) if fitted else nu.start_values(m)), seeds, inf.ends(pairs).toDF("user_id"))
 
 
 def null_model(
     m: DataFrame, pairs: DataFrame, emb: DataFrame, statistic: str = "slope", ensemble: str = "microcanonical", n_replicates: int = 100, seed: int = 0,
-    method: str = "effrank", trades: int | None = None, task: int = 0, tasks: int = 1,
+    method: str = "effrank", trades: int | None = None, task: int = 0, tasks: int = 1, fitted: bool = True, reference: int | None = None,
 ) -> dict[str, DataFrame]:
     """A statistic of cosine on n_eff under randomised memberships: `replicates` of one of several tasks, and `observed`.
 
-    pairs: user_a, user_b, cosine and, for statistic="interaction", hops; these stay fixed.
+    pairs: user_a, user_b, cosine and, for statistic="interaction", hops; these stay fixed. fitted=False takes the
+    sparse limit of the canonical ensemble's fitnesses instead of fitting them.
     """
-    scored = checkpointed(nu.under(_replicates(m, ensemble, nu.task_seeds(n_replicates, seed, task, tasks), pairs, trades), pairs, emb, method))
+    scored = checkpointed(nu.under(_replicates(m, ensemble, nu.task_seeds(n_replicates, seed, task, tasks), pairs, trades, fitted), pairs, emb, method))
     own = checkpointed(ne.for_pairs(pairs, pr.shared_packs(pairs, m), emb, method))
-    return {"replicates": nu.statistics(scored, statistic), "observed": nu.statistics(own, statistic, keys=())}
+    return {"replicates": nu.statistics(scored, statistic, reference=reference), "observed": nu.statistics(own, statistic, keys=(), reference=reference)}
+
+
+def null_task(folder: str, m: DataFrame, pairs: DataFrame, emb: DataFrame, task: int = 0, tasks: int = 1, **more) -> bool:
+    """null_model() of one of several tasks, its replicates and the observed statistics as tables of their own under `folder`.
+
+    A task whose replicates are there, whole, is not run again; returns whether it ran.
+    """
+    spark, path = m.sparkSession, f"{folder}/replicates/task={task}"
+    if written(spark, path):
+        return False
+    out = null_model(m, pairs, emb, task=task, tasks=tasks, **more)
+    if not written(spark, f"{folder}/observed"):
+        out["observed"].write.mode("overwrite").parquet(f"{folder}/observed")
+    out["replicates"].write.mode("overwrite").parquet(path)
+    return True
+
+
+def null_reduce_tasks(spark: SparkSession, folder: str) -> DataFrame:
+    """The observed statistics against the replicates of whatever tasks are there."""
+    return nu.reduce(spark.read.parquet(f"{folder}/observed"), spark.read.parquet(f"{folder}/replicates").drop("task"))
 
 
 def null_reduce(observed: DataFrame, replicates: DataFrame) -> DataFrame:

@@ -29,10 +29,15 @@ def query(sql: str | None = None):
     return add
 
 
-def _new(spark: SparkSession, name: str) -> str:
+def new_folder(spark: SparkSession) -> str:
+    """A folder in the shared folder, which goes when the driver's JVM ends."""
     folder = f"{shared_folder(spark)}/covey-files-{uuid.uuid4().hex}"
     delete_at_end(spark, folder)
-    return f"{folder}/{name}"
+    return folder
+
+
+def _new(spark: SparkSession, name: str) -> str:
+    return f"{new_folder(spark)}/{name}"
 
 
 _NAME = "CASE WHEN p_partkey % 4 > 0 THEN p_name ELSE '' END"

@@ -771,9 +771,32 @@ def bicm_significant(spark, d):
     return rounded(nu.cooccurrence_summary(_p_values(spark, d)), "significant", places=9)
 
 
-@query(f"""WITH {S['dm']}, {_SV.format(m='dm')},
-s AS (SELECT user_id, pack_id FROM xu, yp WHERE {st.DRAW.format(chr(39) + '5|' + chr(39) + ' || user_id || ' + chr(39) + '|' + chr(39) + ' || pack_id')} / 4294967296.0::DOUBLE < x * y / (1 + x * y))
-SELECT user_id, count(*) AS packs FROM s GROUP BY 1""")
+def _mixed(x: str) -> str:
+    first, second = (f"{c}::UBIGINT" for c in nu.MIX)
+    low = "4294967295::UBIGINT"
+    return f"list_transform(list_transform(list_transform([{x}], lambda v: (xor(v, v >> 16) * {first}) & {low}), lambda v: (xor(v, v >> 13) * {second}) & {low}), lambda v: xor(v, v >> 16))[1]"
+
+
+def _word(a: str, code: str, b: str, step: int = nu.STEP) -> str:
+    return _mixed(f"xor({_mixed(f'({a} + {code}::UBIGINT * {step}::UBIGINT) & 4294967295::UBIGINT')}, {b})")
+
+
+def _drawn(m: str, replicates: str) -> str:
+    """Draws (replicate, user_id, pack_id) of the canonical ensemble with the fitnesses of _SV: counts for each size by inversion, and places by a stream of draws."""
+    place = f"(({_mixed(f'xor({_mixed(f'(c + k::UBIGINT * {nu.STEP}::UBIGINT) & 4294967295::UBIGINT')}, (d + j::UBIGINT * {nu.STRIDE}::UBIGINT) & 4294967295::UBIGINT)')} * n::UBIGINT) >> 32)::BIGINT"
+    words = ", ".join(f"('0x' || substr(h, {1 + 8 * i}, 8))::UBIGINT AS {name}" for i, name in enumerate("abcd"))
+    return f"""hw AS (SELECT replicate, user_id, x, {words} FROM (SELECT r.id AS replicate, user_id, x, md5(r.id || '|' || user_id) AS h FROM xu, {replicates} r(id))),
+pn AS (SELECT pack_id, count(*) AS k FROM {m} GROUP BY 1), pl AS (SELECT pack_id, k, row_number() OVER (PARTITION BY k ORDER BY md5(pack_id::VARCHAR), pack_id) - 1 AS place FROM pn),
+kc AS (SELECT k, any_value(y) AS y, count(*) AS n FROM pn JOIN yp USING (pack_id) GROUP BY 1),
+bc AS (SELECT replicate, user_id, k, n, c, d, x * y / (1 + x * y) AS q, {_word('a', 'k', 'b')} / 4294967296.0::DOUBLE AS u FROM hw, kc),
+cd AS (SELECT *, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(q) + (n - i) * ln(1 - q))) OVER (PARTITION BY replicate, user_id, k ORDER BY i) AS cdf FROM (SELECT *, unnest(range(0, n)) AS i FROM bc)),
+tr AS (SELECT *, least(t, n - t) AS m, 2 * t > n AS most FROM (SELECT replicate, user_id, k, n, c, d, count(*) FILTER (WHERE cdf <= u) AS t FROM cd GROUP BY ALL) WHERE t > 0),
+dj AS (SELECT replicate, user_id, k, m, place, min(j) AS j FROM (SELECT *, {place} AS place FROM (SELECT *, unnest(range(0, 4 * m + 64)) AS j FROM tr WHERE m > 0)) GROUP BY ALL),
+dk AS (SELECT * FROM dj QUALIFY row_number() OVER (PARTITION BY replicate, user_id, k ORDER BY j) <= m),
+nz AS (SELECT tr.replicate, tr.user_id, pl.pack_id FROM tr JOIN pl USING (k) LEFT JOIN dk ON dk.replicate = tr.replicate AND dk.user_id = tr.user_id AND dk.k = tr.k AND dk.place = pl.place WHERE most = (dk.place IS NULL))"""
+
+
+@query(f"WITH {S['dm']}, {_SV.format(m='dm')}, {_drawn('dm', '(VALUES (5))')} SELECT user_id, count(*) AS packs FROM nz GROUP BY 1")
 def bicm_sample_margins(spark, d):
     return mb.user_margins(nu.sample(*nu.start_values(R.dense_membership(spark, d)), seed=5))
 
@@ -793,11 +816,10 @@ def curveball_margins(spark, d):
 
 
 R_NULL = 8
-_CELL = st.DRAW.format("r.id || '|' || user_id || '|' || pack_id")
 _NULLS = f"""{S['dm']}, {_SV.format(m='dm')}, {_DOCS}, {_tokens('src')}, {_weights(10, 0.4)}, {_TEXTS}, {st._draws('SELECT DISTINCT user_id FROM dm', 1000)},
 pe AS (SELECT * FROM un WHERE user_a IN (SELECT user_id FROM tu) AND user_b IN (SELECT user_id FROM tu)), {_COS.format(p='pe')},
 pc AS (SELECT pe.user_a, pe.user_b, coalesce(c, 0) AS cosine FROM pe LEFT JOIN dt USING (user_a, user_b)),
-nm AS (SELECT r.id AS replicate, user_id, pack_id FROM xu, yp, range({R_NULL}) r(id) WHERE {_CELL} / 4294967296.0::DOUBLE < x * y / (1 + x * y) UNION ALL SELECT -1, user_id, pack_id FROM dm),
+{_drawn('dm', f'range({R_NULL})')}, nm AS (SELECT * FROM nz UNION ALL SELECT -1, user_id, pack_id FROM dm),
 ns AS (SELECT a.replicate, l.user_a, l.user_b, a.pack_id FROM pc l JOIN nm a ON a.user_id = l.user_a JOIN nm b ON b.user_id = l.user_b AND b.replicate = a.replicate AND b.pack_id = a.pack_id),
 pk AS (SELECT DISTINCT pack_id FROM dm),
 gg AS (SELECT a.pack_id AS i, b.pack_id AS j, CASE WHEN a.pack_id = b.pack_id THEN 1.0::DOUBLE WHEN x.embedding IS NULL OR y.embedding IS NULL THEN 0.0::DOUBLE ELSE {st._DOT} END AS g
@@ -837,7 +859,7 @@ def null_curves(spark, d):
     """Mean cosine by packs shared and by n_eff: observed, and under draws of the canonical ensemble."""
     m, pairs, scored = _under_null(spark, d)
     own = ne.for_pairs(pairs, pr.shared_packs(pairs, m), R.embeddings(spark, d), "rowsum")
-    out = nu.curves(checkpointed(own), checkpointed(scored), 8, n_boot=100).drop("observed_ci_low", "observed_ci_high")
+    out = nu.curves(checkpointed(own), checkpointed(scored), 8, n_boot=0).drop("observed_ci_low", "observed_ci_high")
     return rounded(out, "observed_mean", "null_mean", "null_low", "null_high", places=9)
 
 
@@ -848,13 +870,53 @@ def null_slopes_curveball(spark, d):
     return nu.statistics(nu.under(nu.curveball(m, [1, 2, 3]), pairs, R.embeddings(spark, d), "rowsum"), "slope")
 
 
-@query(f"""WITH {_NULLS}, v AS (SELECT replicate, round(regr_slope(cosine, n_eff), 9) AS value FROM ne GROUP BY 1), o AS (SELECT value AS o FROM v WHERE replicate = -1), n AS (SELECT value AS v FROM v WHERE replicate >= 0)
-SELECT 'slope' AS stat, o AS observed, count(*) AS n, round(avg(v), 8) AS mean, round(stddev_samp(v), 8) AS sd,
-  round(least(1, 2 * least((1 + count(*) FILTER (WHERE v >= o)) / (count(*) + 1), (1 + count(*) FILTER (WHERE v <= o)) / (count(*) + 1))), 9) AS p, round((o - avg(v)) / stddev_samp(v), 3) AS z FROM n, o GROUP BY o""")
+def _reduce_sql(value: str) -> str:
+    """Replicates of v (stat, replicate, value; -1 is the observed one) as nu.reduce() does it."""
+    return f"""v AS ({value}), o AS (SELECT stat, value AS o FROM v WHERE replicate = -1), n AS (SELECT stat, value AS v FROM v WHERE replicate >= 0 AND value IS NOT NULL)
+SELECT stat, o AS observed, count(*) AS n, round(avg(v), 8) AS mean, round(stddev_samp(v), 8) AS sd,
+  round(least(1, 2 * least((1 + count(*) FILTER (WHERE v >= o)) / (count(*) + 1), (1 + count(*) FILTER (WHERE v <= o)) / (count(*) + 1))), 9) AS p, round((o - avg(v)) / stddev_samp(v), 3) AS z FROM n JOIN o USING (stat) GROUP BY stat, o"""
+
+
+_SLOPES = _reduce_sql("SELECT 'slope' AS stat, replicate, round(regr_slope(cosine, n_eff), 9) AS value FROM ne GROUP BY 2")
+
+
+def _reduced(out):
+    return rounded(rounded(rounded(out, "mean", "sd", places=8), "p", places=9), "z", places=3)
+
+
+def _nine(df):
+    return df.withColumn("value", F.round("value", 9))
+
+
+@query(f"WITH {_NULLS}, {_SLOPES}")
 def null_reduce(spark, d):
     """The observed slope against the replicates."""
     m, pairs, scored = _under_null(spark, d)
     own = ne.for_pairs(pairs, pr.shared_packs(pairs, m), R.embeddings(spark, d), "rowsum")
-    nine = lambda df: df.withColumn("value", F.round("value", 9))
-    out = nu.reduce(nine(nu.statistics(own, "slope", keys=())), nine(nu.statistics(scored, "slope")))
-    return rounded(rounded(rounded(out, "mean", "sd", places=8), "p", places=9), "z", places=3)
+    return _reduced(nu.reduce(_nine(nu.statistics(own, "slope", keys=())), _nine(nu.statistics(scored, "slope"))))
+
+
+@query(f"""WITH {S['e']}, {st._NE}, {_NULLS}, hp AS (SELECT user_a, user_b FROM pc), ho AS (WITH {st._hops_sql('ug', 2)}),
+sl AS (SELECT replicate, hops, CASE WHEN count(*) >= 2 AND regr_sxx(cosine, n_eff) > 1e-12 THEN regr_slope(cosine, n_eff) END AS s FROM ne JOIN ho USING (user_a, user_b) GROUP BY 1, 2),
+{_reduce_sql("SELECT 'interaction[hops=' || a.hops || ']' AS stat, a.replicate, round(a.s - b.s, 9) AS value FROM sl a JOIN sl b ON b.replicate = a.replicate AND b.hops = 1 WHERE a.hops <> 1")}""")
+def null_interaction(spark, d):
+    """How the slope at each distance differs from that of neighbours, observed and under draws of the canonical ensemble."""
+    m, pairs = _null_pairs(spark, d)
+    near = checkpointed(gr.hops(pairs, R.edges(spark, d), 2))
+    nulls = nu.samples(*nu.start_values(m), list(range(R_NULL)), inf.ends(near).toDF("user_id"))
+    scored = checkpointed(nu.under(nulls, near, R.embeddings(spark, d), "rowsum"))
+    own = ne.for_pairs(near, pr.shared_packs(near, m), R.embeddings(spark, d), "rowsum")
+    return _reduced(nu.reduce(_nine(nu.statistics(own, "interaction", (), 1)), _nine(nu.statistics(scored, "interaction", reference=1))))
+
+
+@query(f"WITH {_NULLS}, {_SLOPES}")
+def null_tasks(spark, d):
+    """The same slope from four tasks that share the replicates, each with files of its own; one is called twice and not run again."""
+    from covey.plans.analyses import null_task
+    from covey.plans.files import new_folder
+
+    m, pairs = _null_pairs(spark, d)
+    folder, emb = new_folder(spark), R.embeddings(spark, d)
+    for task in (2, 0, 3, 1, 0):
+        null_task(folder, m, pairs, emb, task, 4, ensemble="canonical", n_replicates=R_NULL, method="rowsum", fitted=False)
+    return _reduced(nu.reduce(_nine(spark.read.parquet(f"{folder}/observed")), _nine(spark.read.parquet(f"{folder}/replicates"))))

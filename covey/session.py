@@ -50,6 +50,12 @@ def delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def written(spark: SparkSession, path: str) -> bool:
+    """Whether a table is there, whole: its writer has left its mark."""
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return done.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(done)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df with its lineage cut, in the session's own part of the shared folder, which goes when the driver's JVM ends."""
     shared_folder(df.sparkSession)

@@ -396,12 +396,48 @@ def test_bicm(spark):
         assert r.expected == pytest.approx(r.degree, abs=1e-5)
     drawn = [nu.sample(users, packs, s).count() for s in range(8)]
     assert abs(np.mean(drawn) - m.count()) < 0.15 * m.count()
-    by_class = nu.sample_by_class(users, packs, list(range(40)))
+    by_class = nu.samples(users, packs, list(range(40)))
     assert by_class.distinct().count() == by_class.count()
     mean = by_class.groupBy("pack_id").agg((F.count("*") / 40).alias("n")).join(packs, "pack_id").collect()
     assert all(abs(r.n - r.k) < 4 * (r.k / 40) ** 0.5 + 0.2 for r in mean) and {r.replicate for r in by_class.select("replicate").distinct().collect()} == set(range(40))
 
 
+@pytest.mark.parametrize("deep", [500.0, 0.4])
+def test_draws_of_classes_are_those_of_cells(spark, monkeypatch, deep):
+    """Every cell comes up as often as its chance says, and two cells of a class together as often as their product; also where classes are cut."""
+    monkeypatch.setattr(nu, "_DEEP", deep)
+    users = spark.createDataFrame([(1, 0.2), (2, 3.0), (3, 40.0)], "user_id long, x double")
+    packs = spark.createDataFrame([(10 + k, 5, 0.9) for k in range(6)] + [(20, 7, 2.0)], "pack_id long, k long, y double")
+    n = 3000
+    got = nu.samples(users, packs, list(range(n)))
+    assert got.distinct().count() == got.count()
+    x, y = {1: 0.2, 2: 3.0, 3: 40.0}, {**{10 + k: 0.9 for k in range(6)}, 20: 2.0}
+    chance = {(u, p): x[u] * y[p] / (1 + x[u] * y[p]) for u in x for p in y}
+    counts = {(r.user_id, r.pack_id): r["count"] for r in got.groupBy("user_id", "pack_id").count().collect()}
+    for cell, q in chance.items():
+        assert abs(counts.get(cell, 0) / n - q) < 5 * (q * (1 - q) / n) ** 0.5 + 1e-9, cell
+    pair = got.where("pack_id IN (11, 14)").groupBy("replicate", "user_id").count().where("count = 2").groupBy("user_id").count()
+    for r in pair.collect():
+        q = chance[r.user_id, 11] ** 2
+        assert abs(r["count"] / n - q) < 5 * (q * (1 - q) / n) ** 0.5
+    again = nu.samples(users.repartition(3), packs.repartition(2), [5, 7])
+    assert rows(again) == rows(got.where("replicate IN (5, 7)"))
+    assert nu.samples(users, packs.limit(0), [1]).count() == 0 and nu.samples(users.limit(0), packs, [1]).count() == 0
+
+
+def test_null_tasks_share_replicates(spark, tmp_path):
+    """One task and four give the same reduction; a task that is there is not run again, and the reduction takes what is there."""
+    m = membership(spark)
+    pairs = frame(spark, [(a, b, ((a * 7 + b) % 10) / 10, 1 + (a + b) % 2) for a in range(12) for b in range(a + 1, 12)], "user_a long, user_b long, cosine double, hops long")
+    emb = frame(spark, [(k, [float(k % 3), 1.0]) for k in range(40)], "pack_id long, embedding array<double>")
+    more = {"ensemble": "canonical", "n_replicates": 5, "method": "rowsum", "statistic": "interaction", "reference": 1}
+    assert [an.null_task(str(tmp_path / "four"), m, pairs, emb, t, 4, **more) for t in (3, 0, 1, 1)] == [True, True, True, False]
+    part = an.null_reduce_tasks(spark, str(tmp_path / "four")).first()
+    assert an.null_task(str(tmp_path / "four"), m, pairs, emb, 2, 4, **more) and an.null_task(str(tmp_path / "one"), m, pairs, emb, **more)
+    one, four = (an.null_reduce_tasks(spark, str(tmp_path / x)).first() for x in ("one", "four"))
+    assert (one.stat, one.observed, one.n, one.p) == (four.stat, four.observed, four.n, four.p) and one.mean == pytest.approx(four.mean) and one.n == 5 and part.n == 4
+
+
 def test_poisson_tails():
     from fractions import Fraction
     from math import exp, factorial
