@@ -261,6 +261,29 @@ def log_link(pairs: DataFrame, x: str, y: str, by: str | None = None, reference:
     return pairs.sparkSession.createDataFrame(rows, "family string, term string, estimate double, p double, n long, dispersion double")
 
 
+def log_link_scores(pairs: DataFrame, models: DataFrame, x: str, y: str, by: str | None = None) -> DataFrame:
+    """family, term, score, n: the score equations of log_link()'s models at their estimates, per row; at a maximum every score is 0.
+
+    A predictor's score is the mean of (y - mu) times it over the rows, in the Gamma family of (y - mu) / mu times it.
+    """
+    out = None
+    for family in sorted(r["family"] for r in models.select("family").distinct().collect()):  # two
+        fit = {r["term"]: r["estimate"] for r in models.where(F.col("family") == family).collect()}  # terms
+        values = {"intercept": F.lit(1.0), x: F.col(x).cast("double")}
+        for term in fit:
+            if term not in values:
+                level = (F.col(by).cast("string") == term.split("[")[1][:-1]).cast("double")
+                values[term] = level * F.col(x) if ":" in term else level
+        mu = F.exp(sum((F.lit(fit[t]) * v for t, v in values.items()), F.lit(0.0)))
+        left = F.col(y) - mu if family != "gamma" else (F.col(y) - mu) / mu
+        rows = pairs.dropna(subset=[x, y, *([by] if by else [])]).where(F.col(y) > 0 if family == "gamma" else F.lit(True))
+        sums = rows.agg(F.count("*").alias("n"), *[F.avg(left * v).alias(f"s{i}") for i, v in enumerate(values.values())])
+        stack = ", ".join(f"'{t}', s{i}" for i, t in enumerate(values))
+        one = sums.selectExpr(f"'{family}' AS family", f"stack({len(values)}, {stack}) AS (term, score)", "n")
+        out = one if out is None else out.union(one)
+    return out
+
+
 def sign_agreement(models: DataFrame, key: str = "family", estimate: str = "estimate") -> DataFrame:
     """For each term: how many models there are, and whether all their estimates have one sign."""
     return models.groupBy("term").agg(F.count(key).alias("models"), (F.countDistinct(F.signum(estimate)) == 1).alias("agree"))

@@ -287,6 +287,26 @@ def ego_ring_cosine(spark, d):
     return scored.groupBy("hop").agg(F.count("*").alias("n"), F.round(F.avg("cosine"), 6).alias("mean"))
 
 
+@query(f"""{st._NEFF}, r AS (SELECT user_a, user_b, i, sum(greatest(g, 0)) AS r FROM gm GROUP BY 1, 2, 3), ef AS (SELECT user_a, user_b, sum(1 / r) AS n_eff FROM r GROUP BY 1, 2), q AS (SELECT quantile_cont(n_eff, [0.45, 0.55, 0.9, 1.0]) AS e FROM ef),
+bd AS (SELECT 'median_band' AS band, user_a, user_b FROM ef, q WHERE n_eff >= e[1] AND n_eff <= e[2] UNION ALL SELECT 'top_decile', user_a, user_b FROM ef, q WHERE n_eff >= e[3] AND n_eff <= e[4]),
+c AS (SELECT band, pack_id, count(*) AS pairs FROM bd JOIN sh USING (user_a, user_b) GROUP BY 1, 2), kn AS (SELECT bd.band, sh.* FROM bd JOIN sh USING (user_a, user_b) JOIN embeddings ON vec_id = pack_id),
+ks AS (SELECT band, user_a, user_b, pack_id, 1 / (k - 1) AS share FROM (SELECT *, count(*) OVER (PARTITION BY band, user_a, user_b) AS k FROM kn) WHERE k > 1),
+bp AS (SELECT a.band, a.pack_id AS i, b.pack_id AS j, sum(a.share) AS share FROM ks a JOIN ks b USING (band, user_a, user_b) WHERE a.pack_id < b.pack_id GROUP BY 1, 2, 3),
+bs AS (SELECT band, i, j, share * (1 - {st._DOT}) AS far FROM bp JOIN embeddings x ON x.vec_id = i JOIN embeddings y ON y.vec_id = j),
+f AS (SELECT band, pack_id, sum(far) AS far FROM (SELECT band, i AS pack_id, far FROM bs UNION ALL SELECT band, j, far FROM bs) GROUP BY 1, 2), n AS (SELECT band, pack_id, count(*) AS n FROM ks GROUP BY 1, 2)
+SELECT band, pack_id, pairs, round(far / n, 6) AS mean_distance FROM c LEFT JOIN f USING (band, pack_id) LEFT JOIN n USING (band, pack_id) QUALIFY row_number() OVER (PARTITION BY band ORDER BY pairs DESC, pack_id) <= 200""")
+def neff_bands(spark, d):
+    """The packs that pairs of large and of middling n_eff share most, and how far they are from the others these share."""
+    sets, emb = checkpointed(st._sets(spark, d)), R.embeddings(spark, d)
+    pairs = checkpointed(ne.sets_number(sets, emb, "rowsum"))
+    shared, out = sets.select("user_a", "user_b", F.explode("packs").alias("pack_id")), None
+    for name, low, high in (("median_band", 0.45, 0.55), ("top_decile", 0.9, 1.0)):
+        own = shared.join(ne.in_band(pairs, low, high).select("user_a", "user_b"), ["user_a", "user_b"], "left_semi")
+        one = ne.top_shared(own, emb, 200).select(F.lit(name).alias("band"), "pack_id", "pairs", "mean_distance")
+        out = one if out is None else out.union(one)
+    return rounded(out, "mean_distance")
+
+
 # --- directed information --------------------------------------------------
 
 
@@ -337,6 +357,36 @@ def ego_information(spark, d):
     return rounded(curve.select("level", "mean", "std", "n"), "mean", "std", places=9)
 
 
+# --- draws of the null in SQL -----------------------------------------------
+
+_SV = "rt AS (SELECT sqrt(count(*)) AS r FROM {m}), xu AS (SELECT user_id, count(*) / any_value(r) AS x FROM {m}, rt GROUP BY 1), yp AS (SELECT pack_id, count(*) / any_value(r) AS y FROM {m}, rt GROUP BY 1)"
+
+
+def _mixed(x: str) -> str:
+    first, second = (f"{c}::UBIGINT" for c in nu.MIX)
+    low = "4294967295::UBIGINT"
+    return f"list_transform(list_transform(list_transform([{x}], lambda v: (xor(v, v >> 16) * {first}) & {low}), lambda v: (xor(v, v >> 13) * {second}) & {low}), lambda v: xor(v, v >> 16))[1]"
+
+
+def _word(a: str, code: str, b: str, step: int = nu.STEP) -> str:
+    return _mixed(f"xor({_mixed(f'({a} + {code}::UBIGINT * {step}::UBIGINT) & 4294967295::UBIGINT')}, {b})")
+
+
+def _drawn(m: str, replicates: str) -> str:
+    """Draws (replicate, user_id, pack_id) of the canonical ensemble with the fitnesses of _SV: counts for each size by inversion, and places by a stream of draws."""
+    place = f"(({_mixed(f'xor({_mixed(f'(c + k::UBIGINT * {nu.STEP}::UBIGINT) & 4294967295::UBIGINT')}, (d + j::UBIGINT * {nu.STRIDE}::UBIGINT) & 4294967295::UBIGINT)')} * n::UBIGINT) >> 32)::BIGINT"
+    words = ", ".join(f"('0x' || substr(h, {1 + 8 * i}, 8))::UBIGINT AS {name}" for i, name in enumerate("abcd"))
+    return f"""hw AS (SELECT replicate, user_id, x, {words} FROM (SELECT r.id AS replicate, user_id, x, md5(r.id || '|' || user_id) AS h FROM xu, {replicates} r(id))),
+pn AS (SELECT pack_id, count(*) AS k FROM {m} GROUP BY 1), pl AS (SELECT pack_id, k, row_number() OVER (PARTITION BY k ORDER BY md5(pack_id::VARCHAR), pack_id) - 1 AS place FROM pn),
+kc AS (SELECT k, any_value(y) AS y, count(*) AS n FROM pn JOIN yp USING (pack_id) GROUP BY 1),
+bc AS (SELECT replicate, user_id, k, n, c, d, x * y / (1 + x * y) AS q, {_word('a', 'k', 'b')} / 4294967296.0::DOUBLE AS u FROM hw, kc),
+cd AS (SELECT *, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(q) + (n - i) * ln(1 - q))) OVER (PARTITION BY replicate, user_id, k ORDER BY i) AS cdf FROM (SELECT *, unnest(range(0, n)) AS i FROM bc)),
+tr AS (SELECT *, least(t, n - t) AS m, 2 * t > n AS most FROM (SELECT replicate, user_id, k, n, c, d, count(*) FILTER (WHERE cdf <= u) AS t FROM cd GROUP BY ALL) WHERE t > 0),
+dj AS (SELECT replicate, user_id, k, m, place, min(j) AS j FROM (SELECT *, {place} AS place FROM (SELECT *, unnest(range(0, 4 * m + 64)) AS j FROM tr WHERE m > 0)) GROUP BY ALL),
+dk AS (SELECT * FROM dj QUALIFY row_number() OVER (PARTITION BY replicate, user_id, k ORDER BY j) <= m),
+nz AS (SELECT tr.replicate, tr.user_id, pl.pack_id FROM tr JOIN pl USING (k) LEFT JOIN dk ON dk.replicate = tr.replicate AND dk.user_id = tr.user_id AND dk.k = tr.k AND dk.place = pl.place WHERE most = (dk.place IS NULL))"""
+
+
 # --- curves ----------------------------------------------------------------
 
 _Q = "round(quantile_cont({c}, {q}), 9)"
@@ -468,29 +518,32 @@ def viable_grid(spark, d):
     return ag.viable_grid(R.pair_table(spark, d))
 
 
-_POP = f"""{S['m']}, {st._CO}, k AS (SELECT user_id, count(*) AS degree FROM m GROUP BY 1), {st._draws(st._ALL, 3000)},
-zp AS (SELECT user_a, user_b FROM un WHERE NOT EXISTS (SELECT 1 FROM m a JOIN m b ON a.pack_id = b.pack_id WHERE a.user_id = un.user_a AND b.user_id = un.user_b)),
-en AS (SELECT 'observed' AS population, unnest([user_a, user_b]) AS node FROM co UNION ALL SELECT 'uniform', unnest([user_a, user_b]) FROM zp),
+_POP = f"""{S['dm']}, co AS (SELECT DISTINCT a.user_id AS user_a, b.user_id AS user_b FROM dm a JOIN dm b ON a.pack_id = b.pack_id AND a.user_id < b.user_id), k AS (SELECT user_id, count(*) AS degree FROM dm GROUP BY 1), {st._draws('SELECT DISTINCT user_id FROM dm', 3000)},
+zp AS (SELECT user_a, user_b FROM un WHERE NOT EXISTS (SELECT 1 FROM co WHERE co.user_a = un.user_a AND co.user_b = un.user_b)), {_SV.format(m='dm')}, {_drawn('dm', '(VALUES (11))')},
+np AS (SELECT DISTINCT un.user_a, un.user_b FROM un JOIN nz a ON a.user_id = un.user_a JOIN nz b ON b.user_id = un.user_b AND b.pack_id = a.pack_id),
+en AS (SELECT 'observed' AS population, unnest([user_a, user_b]) AS node FROM co UNION ALL SELECT 'uniform', unnest([user_a, user_b]) FROM zp UNION ALL SELECT 'null', unnest([user_a, user_b]) FROM np),
 sm AS (SELECT population, median(degree)::DOUBLE AS median, round(avg(degree), 9) AS mean, count(*) AS n FROM en JOIN k ON k.user_id = node GROUP BY 1)"""
 
 
 def _populations(spark, d):
-    m = R.membership(spark, d)
-    uniform = pr.shared_counts(pr.uniform_pairs(m, 3000), m).where("shared_packs = 0")
-    return rounded(ag.degree_populations({"observed": pr.comember_pairs(m), "uniform": uniform}, mb.user_margins(m).toDF("node", "degree")), "mean", places=9)
+    m = R.dense_membership(spark, d)
+    drawn = checkpointed(pr.uniform_pairs(m, 3000))
+    nulls = nu.under_counts(nu.samples(*nu.start_values(m), [11], inf.ends(drawn).toDF("user_id")), drawn)
+    uniform = pr.shared_counts(drawn, m).where("shared_packs = 0")
+    return rounded(ag.degree_populations({"observed": pr.comember_pairs(m), "uniform": uniform, "null": nulls}, mb.user_margins(m).toDF("node", "degree")), "mean", places=9)
 
 
 @query(f"WITH {_POP} SELECT * FROM sm")
 def degree_populations(spark, d):
-    """Degrees of the ends of pairs that share a pack, and of pairs of any users that share none."""
+    """Degrees of the ends of pairs that share a pack, of pairs of any users that share none, and of pairs that share one under a draw of the null."""
     return _populations(spark, d)
 
 
 @query(f"""WITH {_POP}
-SELECT max(median) FILTER (WHERE population = 'uniform') AS uniform, max(median) FILTER (WHERE population = 'observed') AS observed,
-  coalesce(max(median) FILTER (WHERE population = 'uniform') < max(median) FILTER (WHERE population = 'observed'), FALSE) AS rising FROM sm""")
+SELECT max(median) FILTER (WHERE population = 'uniform') AS uniform, max(median) FILTER (WHERE population = 'null') AS "null", max(median) FILTER (WHERE population = 'observed') AS observed,
+  coalesce(max(median) FILTER (WHERE population = 'uniform') < max(median) FILTER (WHERE population = 'null') AND max(median) FILTER (WHERE population = 'null') < max(median) FILTER (WHERE population = 'observed'), FALSE) AS rising FROM sm""")
 def median_order(spark, d):
-    return ag.median_order(_populations(spark, d), ("uniform", "observed"))
+    return ag.median_order(_populations(spark, d), ("uniform", "null", "observed"))
 
 
 _DEC = f"""{S['p']},
@@ -696,9 +749,21 @@ def log_stability(spark, d):
     return inf.stability(log_interaction(spark, d), "eps", ["hops"])
 
 
-@query(f"WITH {S['p']}, z AS (SELECT 1 FROM p LIMIT 1) SELECT 'n_eff' AS term, 2::BIGINT AS models, TRUE AS agree FROM z UNION ALL SELECT 'intercept', 2, TRUE FROM z")
+@query(f"""WITH {S['p']}, x AS (SELECT n_eff, hops, cosine FROM p WHERE cosine IS NOT NULL), y AS (SELECT 'poisson' AS family, * FROM x UNION ALL SELECT 'gamma', * FROM x WHERE cosine > 0)
+SELECT family, count(*) AS n, 0.0::DOUBLE AS intercept, 0.0::DOUBLE AS n_eff, 0.0::DOUBLE AS interaction, TRUE AS hops_too FROM y GROUP BY 1""")
+def glm_scores(spark, d):
+    """The fits of both families with the moderator solve their score equations: of each predictor x, sums of (y - mu) x (Poisson) and of (y - mu) / mu x (Gamma), for each row, are 0 to six places."""
+    p = R.pair_table(spark, d)
+    scores = inf.log_link_scores(p, inf.log_link(p, "n_eff", "cosine", by="hops"), "n_eff", "cosine", by="hops")
+    near = lambda c: F.abs(F.round(F.max(F.when(c, F.abs("score"))), 6)).alias
+    kind, plain = F.col("term"), F.col("term").isin("intercept", "n_eff")
+    return scores.groupBy("family").agg(F.max("n").alias("n"), near(kind == "intercept")("intercept"), near(kind == "n_eff")("n_eff"), near(kind.contains(":"))("interaction"), (F.max(F.when(~plain & ~kind.contains(":"), F.abs("score"))) < 1e-6).alias("hops_too"))
+
+
+@query(f"""WITH {S['p']}, m AS (SELECT avg(cosine) FILTER (WHERE n_eff > 3) > avg(cosine) FILTER (WHERE n_eff < 1) AS up, covar_pop(n_eff, cosine) > 0 AS rises, count(*) AS n FROM p HAVING count(*) > 0)
+SELECT 'n_eff' AS term, 2::BIGINT AS models, up AND rises AS agree FROM m UNION ALL SELECT 'intercept', 2, up AND rises FROM m""")
 def glm_signs(spark, d):
-    """Both families agree in the signs of a model of one predictor that rises."""
+    """Both families agree in the signs of a model of one predictor that rises, as strata and covariance say it does."""
     return inf.sign_agreement(inf.log_link(R.pair_table(spark, d), "n_eff", "cosine"))
 
 
@@ -731,9 +796,6 @@ def bicm_expected_margins(spark, d):
     return rounded(nu.expected_margins(users, packs), "expected", places=4)
 
 
-_SV = "rt AS (SELECT sqrt(count(*)) AS r FROM {m}), xu AS (SELECT user_id, count(*) / any_value(r) AS x FROM {m}, rt GROUP BY 1), yp AS (SELECT pack_id, count(*) / any_value(r) AS y FROM {m}, rt GROUP BY 1)"
-
-
 @query(f"""WITH {S['m']},
 {_SV.format(m='m')},
 {st._draws(st._TWO, 3000)},
@@ -771,31 +833,6 @@ def bicm_significant(spark, d):
     return rounded(nu.cooccurrence_summary(_p_values(spark, d)), "significant", places=9)
 
 
-def _mixed(x: str) -> str:
-    first, second = (f"{c}::UBIGINT" for c in nu.MIX)
-    low = "4294967295::UBIGINT"
-    return f"list_transform(list_transform(list_transform([{x}], lambda v: (xor(v, v >> 16) * {first}) & {low}), lambda v: (xor(v, v >> 13) * {second}) & {low}), lambda v: xor(v, v >> 16))[1]"
-
-
-def _word(a: str, code: str, b: str, step: int = nu.STEP) -> str:
-    return _mixed(f"xor({_mixed(f'({a} + {code}::UBIGINT * {step}::UBIGINT) & 4294967295::UBIGINT')}, {b})")
-
-
-def _drawn(m: str, replicates: str) -> str:
-    """Draws (replicate, user_id, pack_id) of the canonical ensemble with the fitnesses of _SV: counts for each size by inversion, and places by a stream of draws."""
-    place = f"(({_mixed(f'xor({_mixed(f'(c + k::UBIGINT * {nu.STEP}::UBIGINT) & 4294967295::UBIGINT')}, (d + j::UBIGINT * {nu.STRIDE}::UBIGINT) & 4294967295::UBIGINT)')} * n::UBIGINT) >> 32)::BIGINT"
-    words = ", ".join(f"('0x' || substr(h, {1 + 8 * i}, 8))::UBIGINT AS {name}" for i, name in enumerate("abcd"))
-    return f"""hw AS (SELECT replicate, user_id, x, {words} FROM (SELECT r.id AS replicate, user_id, x, md5(r.id || '|' || user_id) AS h FROM xu, {replicates} r(id))),
-pn AS (SELECT pack_id, count(*) AS k FROM {m} GROUP BY 1), pl AS (SELECT pack_id, k, row_number() OVER (PARTITION BY k ORDER BY md5(pack_id::VARCHAR), pack_id) - 1 AS place FROM pn),
-kc AS (SELECT k, any_value(y) AS y, count(*) AS n FROM pn JOIN yp USING (pack_id) GROUP BY 1),
-bc AS (SELECT replicate, user_id, k, n, c, d, x * y / (1 + x * y) AS q, {_word('a', 'k', 'b')} / 4294967296.0::DOUBLE AS u FROM hw, kc),
-cd AS (SELECT *, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(q) + (n - i) * ln(1 - q))) OVER (PARTITION BY replicate, user_id, k ORDER BY i) AS cdf FROM (SELECT *, unnest(range(0, n)) AS i FROM bc)),
-tr AS (SELECT *, least(t, n - t) AS m, 2 * t > n AS most FROM (SELECT replicate, user_id, k, n, c, d, count(*) FILTER (WHERE cdf <= u) AS t FROM cd GROUP BY ALL) WHERE t > 0),
-dj AS (SELECT replicate, user_id, k, m, place, min(j) AS j FROM (SELECT *, {place} AS place FROM (SELECT *, unnest(range(0, 4 * m + 64)) AS j FROM tr WHERE m > 0)) GROUP BY ALL),
-dk AS (SELECT * FROM dj QUALIFY row_number() OVER (PARTITION BY replicate, user_id, k ORDER BY j) <= m),
-nz AS (SELECT tr.replicate, tr.user_id, pl.pack_id FROM tr JOIN pl USING (k) LEFT JOIN dk ON dk.replicate = tr.replicate AND dk.user_id = tr.user_id AND dk.k = tr.k AND dk.place = pl.place WHERE most = (dk.place IS NULL))"""
-
-
 @query(f"WITH {S['dm']}, {_SV.format(m='dm')}, {_drawn('dm', '(VALUES (5))')} SELECT user_id, count(*) AS packs FROM nz GROUP BY 1")
 def bicm_sample_margins(spark, d):
     return mb.user_margins(nu.sample(*nu.start_values(R.dense_membership(spark, d)), seed=5))

@@ -45,13 +45,15 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fact table of pairs, one for each line item: user_a, user_b, shared_packs, cosine, n_eff, hops (4: out of reach)."""
+    """A fact table of pairs of customers, one for each line item that is no loop: user_a < user_b, shared_packs, cosine, n_eff, hops (4: out of reach). A customer is on either side of its pairs."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    s = (F.col("l_linenumber") - 1).cast("long")
-    return items.join(orders, items.l_orderkey == orders.o_orderkey).select(
-        F.col("o_custkey").alias("user_a"), (F.col("l_suppkey") + 10_000_000).alias("user_b"), s.alias("shared_packs"),
-        (F.col("l_discount") + F.col("l_quantity") / 1000 + s / 100).alias("cosine"), F.when(s == 0, F.lit(0.0)).otherwise(1 + (s - 1) * (1 - 5 * F.col("l_tax"))).alias("n_eff"), (1 + F.col("l_partkey") % 4).cast("long").alias("hops"),
+    users = F.broadcast(table(spark, sf_dir, "customer").agg(F.count("*").alias("n")))  # one row
+    s, other = (F.col("l_linenumber") - 1).cast("long"), F.col("l_partkey") % F.col("n")
+    joined = items.join(orders, items.l_orderkey == orders.o_orderkey).crossJoin(users).where(F.col("o_custkey") != other)
+    return joined.select(
+        F.least("o_custkey", other).alias("user_a"), F.greatest("o_custkey", other).alias("user_b"), s.alias("shared_packs"),
+        (F.col("l_discount") + F.col("l_quantity") / 1000 + s / 100).alias("cosine"), F.when(s == 0, F.lit(0.0)).otherwise(1 + (s - 1) * (1 - 5 * F.col("l_tax"))).alias("n_eff"), (1 + F.col("l_suppkey") % 4).cast("long").alias("hops"),
     )
 
 
@@ -60,5 +62,5 @@ SQL = {
     "m": "m AS (SELECT DISTINCT o_custkey AS user_id, l_partkey AS pack_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
     "dm": "dm AS (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS pack_id FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL)",
     "e": "e AS (SELECT o_custkey AS source, l_partkey % (SELECT count(*) FROM customer) AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
-    "p": "p AS (SELECT o_custkey AS user_a, l_suppkey + 10000000 AS user_b, CAST(l_linenumber - 1 AS BIGINT) AS shared_packs, l_discount + l_quantity / 1000 + (l_linenumber - 1) / 100.0::DOUBLE AS cosine, CASE WHEN l_linenumber = 1 THEN 0.0::DOUBLE ELSE 1 + (l_linenumber - 2) * (1 - 5 * l_tax) END AS n_eff, CAST(1 + l_partkey % 4 AS BIGINT) AS hops FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "p": "p AS (SELECT least(o_custkey, other) AS user_a, greatest(o_custkey, other) AS user_b, CAST(l_linenumber - 1 AS BIGINT) AS shared_packs, l_discount + l_quantity / 1000 + (l_linenumber - 1) / 100.0::DOUBLE AS cosine, CASE WHEN l_linenumber = 1 THEN 0.0::DOUBLE ELSE 1 + (l_linenumber - 2) * (1 - 5 * l_tax) END AS n_eff, CAST(1 + l_suppkey % 4 AS BIGINT) AS hops FROM (SELECT *, l_partkey % (SELECT count(*) FROM customer) AS other FROM lineitem JOIN orders ON l_orderkey = o_orderkey) WHERE o_custkey <> other)",
 }
