@@ -220,18 +220,34 @@ def two_predictors(pairs: DataFrame, x1: str, x2: str, y: str) -> DataFrame:
     return out.withColumn("gain", F.col("r2") - F.col("r2_one"))
 
 
+def _triangles(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The R of a QR decomposition of a task's rows, batch by batch; at most as many rows as columns."""
+    r = np.empty((0, len(names)))
+    for whole in batches:
+        for start in range(0, whole.num_rows, 4096):
+            batch = whole.slice(start, 4096)
+            rows = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names], axis=1)
+            r = np.linalg.qr(np.concatenate([r, rows]), mode="r")
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in r.T], names)
+
+
 def least_squares(rows: DataFrame, xs: list[str], y: str, weight: str | None = None) -> DataFrame:
     """term and estimate of y ~ 1 + xs; of all best solutions, if there are several, that of least length.
 
-    Only the moments, a row, come to the driver.
+    Tall rows are reduced by a tree of QR decompositions: each task's triangle, then triangles of some tasks,
+    of which the last come to the driver, a row for each column and task of the second level. Rows are scaled by the root of their weight.
     """
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    columns = [F.lit(1.0), *(F.col(x).cast("double") for x in xs)]
-    k = len(columns)
-    known = rows.dropna(subset=[*xs, y])
-    sums = known.agg(*[F.sum(w * columns[i] * columns[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(k)], *[F.sum(w * columns[i] * F.col(y)).alias(f"t{i}") for i in range(k)]).first()
-    a = np.array([[sums[f"s{i}_{j}"] or 0.0 for j in range(k)] for i in range(k)])
-    beta = np.linalg.pinv(a, rcond=1e-12, hermitian=True) @ np.array([sums[f"t{i}"] or 0.0 for i in range(k)])
+    root = F.lit(1.0) if weight is None else F.sqrt(F.col(weight).cast("double"))
+    columns = [F.lit(1.0), *(F.col(x).cast("double") for x in xs), F.col(y).cast("double")]
+    names = [f"c{k}" for k in range(len(columns))]
+    known = rows.dropna(subset=[*xs, y, *([weight] if weight else [])])
+    schema = ", ".join(f"{c} double" for c in names)
+    first = known.select(*[(root * c).alias(n) for c, n in zip(columns, names, strict=True)]).mapInArrow(lambda b: _triangles(b, names), schema)
+    groups = max(1, int(np.sqrt(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    last = first.repartition(groups).mapInArrow(lambda b: _triangles(b, names), schema).collect()
+    r = np.linalg.qr(np.array(last, float).reshape(-1, len(names)), mode="r")
+    k = len(names) - 1
+    beta = np.linalg.lstsq(r[:, :k], r[:, k], rcond=1e-13)[0] if len(r) else np.zeros(k)
     return rows.sparkSession.createDataFrame(list(zip(["intercept", *xs], map(float, beta), strict=True)), "term string, estimate double")
 
 

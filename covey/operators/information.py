@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covey.functions import dot
-from covey.session import checkpointed
+from covey.session import checkpointed, written
 
 
 def sequences(posts: DataFrame, time: str = "turn") -> DataFrame:
@@ -146,6 +146,44 @@ def embed_texts(texts: DataFrame, encoder: Callable[[list[str]], list[list[float
     return cache.where(F.col("model") == model).join(own.select("pack_id", "text_hash"), ["pack_id", "text_hash"], "left_semi").select(*new.columns).union(new)
 
 
+_loaded: dict[str, Callable[[list[str]], list[list[float]]]] = {}
+
+
+def loaded_once(model: str, load: Callable[[], Callable[[list[str]], list[list[float]]]]) -> Callable[[list[str]], list[list[float]]]:
+    """An encoder that a worker process loads when it first needs it, and keeps."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        if model not in _loaded:
+            _loaded[model] = load()
+        return _loaded[model](texts)
+
+    return encode
+
+
+def update_embeddings(texts: DataFrame, path: str, load: Callable[[], Callable[[list[str]], list[list[float]]]], model: str) -> tuple[DataFrame, int]:
+    """Embeddings of texts (pack_id, text) from the cache at `path`, and how many had to be encoded.
+
+    The cache grows by versions, each a table of its own (pack_id, embedding, model, text_hash): what no
+    version has for the pack, model and text is encoded and written as the next one. A version that was not
+    written whole does not count, and its number is not used again.
+    """
+    spark = texts.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []  # a name for each version
+    whole = [f"{path}/{n}" for n in names if written(spark, f"{path}/{n}")]
+    cache = spark.read.parquet(*whole) if whole else None
+    kind = dict(texts.dtypes)["pack_id"]
+    schema = f"pack_id {kind}, embedding array<double>, model string, text_hash string"
+    own = texts.select("pack_id", "text", F.md5("text").alias("text_hash")).where("text <> ''")
+    todo = own if cache is None else own.join(cache.where(F.col("model") == model).select("pack_id", "text_hash"), ["pack_id", "text_hash"], "left_anti")
+    version = f"{path}/v{int(names[-1][1:]) + 1 if names else 0:08d}"
+    embed_texts(todo.select("pack_id", "text"), loaded_once(model, load), model).write.parquet(version)
+    new = spark.read.schema(schema).parquet(version)
+    every = new if cache is None else cache.where(F.col("model") == model).select(*new.columns).union(new)
+    return every.join(own.select("pack_id", "text_hash"), ["pack_id", "text_hash"], "left_semi").select(*new.columns), new.count()
+
+
 def hashing_encoder(size: int = 64) -> Callable[[list[str]], list[list[float]]]:
     """A stand-in for a sentence encoder: signed counts of hashed words. A real one takes its place as any function of texts."""
 

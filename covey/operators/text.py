@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 #: Patterns of the tokenizer (Unicode letters and digits spelt out, so that any engine reads them alike).
 URL, MENTION, TOKEN = r"https?://\S+|www\.\S+", r"@[\p{L}\p{N}_.]+", r"#[\p{L}\p{N}_]+|[a-z][a-z']+"
+#: All white space, and all line breaks, of Unicode; spelt out so that any engine reads them alike.
+SPACE, LINE_BREAKS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 #: Our own short list of English function words.
 STOP_WORDS = (
     "about after all also am an and any are as at be because been before being between both but by can could did do does doing down each few for from further had has have having he her "
@@ -18,7 +20,7 @@ STOP_WORDS = (
 
 def normalised(text: str = "text") -> Column:
     """Outer white space away, line breaks to spaces."""
-    return F.regexp_replace(F.regexp_replace(text, r"^\s+|\s+$", ""), r"\r\n|\n|\r", " ")
+    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", ""), LINE_BREAKS, " ")
 
 
 def tokens(docs: DataFrame, extra: tuple[str, ...] = (), keep_mentions: bool = False, min_len: int = 2, stop_words: tuple[str, ...] = tuple(STOP_WORDS)) -> DataFrame:
@@ -104,6 +106,8 @@ def df_sweep(tf: DataFrame, size: DataFrame, grid: tuple[float, ...], min_df: in
     return ceilings.join(terms, "max_df", "left").join(used, "max_df", "left").fillna(0)
 
 
+#: All white space, and all line breaks, of Unicode; spelt out so that any engine reads them alike.
+SPACE, LINE_BREAKS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 #: Our own short list of words of the platform that texts come from.
 PLATFORM = "account accounts feed feeds follow followed follower followers following handle like liked likes list lists mute pack packs post posted posts profile reply replies repost reposts skeet starter thread timeline user users".split()
 

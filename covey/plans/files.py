@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from covey.operators import edges as ed
+from covey.operators import information as info
 from covey.operators import text as tx
 from covey.plans import structure as st
 from covey.session import delete_at_end, shared_folder
@@ -125,9 +126,60 @@ def dated_posts(spark, d):
     return tx.dated(tx.parsed_times(posts, "created")).select("user_id", "created_at")
 
 
-@query(r"SELECT conv_id AS user_id, turn, regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\r\n|\n|\r', ' ', 'g') AS text FROM conversations")
+def _normal(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '^{tx.SPACE}+|{tx.SPACE}+$', '', 'g'), '{tx.LINE_BREAKS}', ' ', 'g')"
+
+
+def _broken(char) -> str:
+    """Texts of every third turn with outer white space and line breaks of all kinds put in."""
+    return f"CASE WHEN turn % 3 = 1 THEN {char(8195)} || {char(11)} || replace(text, ', ', CASE turn % 2 WHEN 0 THEN {char(8232)} ELSE {char(13)} || {char(10)} END) || {char(133)} || {char(28)} ELSE text END"
+
+
+_BROKEN = _broken(lambda c: f"chr({c})")
+
+
+@query(f"SELECT conv_id AS user_id, turn, {_normal(_BROKEN)} AS text FROM conversations")
 def normalised_posts(spark, d):
-    return R.posts(spark, d).select("user_id", "turn", tx.normalised().alias("text"))
+    return R.posts(spark, d).withColumn("text", F.expr(_broken(lambda c: f"'{chr(c)}'"))).select("user_id", "turn", tx.normalised().alias("text"))
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, {_normal(_BROKEN)} AS t, turn % 4 = 2 AS q FROM conversations WHERE turn % 5 <> 3),
+po AS (SELECT conv_id, count(*) AS posts, count(*) FILTER (WHERE q) AS quotes, md5(string_agg(t, ' ' ORDER BY turn, t)) AS text_hash FROM w WHERE t <> '' GROUP BY 1),
+li AS (SELECT conv_id, count(*) + CASE WHEN conv_id % 3 < 2 THEN 1 ELSE 0 END AS lines, CASE WHEN conv_id % 3 < 2 THEN 1 ELSE 0 END AS malformed FROM conversations GROUP BY 1)
+SELECT c_custkey::VARCHAR AS user_id, coalesce(lines, 0) AS lines, coalesce(malformed, 0)::BIGINT AS malformed, coalesce(posts, 0) AS posts, coalesce(quotes, 0) AS quotes, text_hash
+FROM customer LEFT JOIN li ON li.conv_id = c_custkey LEFT JOIN po ON po.conv_id = c_custkey""")
+def read_posts(spark, d):
+    """Conversations as gzipped record files, one for each user, with other collections, broken and blank lines; users without a file have nothing."""
+    path = f"{new_folder(spark)}/records"
+    rows = R.posts(spark, d).withColumn("text", F.expr(_broken(lambda c: f"'{chr(c)}'")))
+    embed = F.struct(F.expr(f"CASE WHEN turn % 4 = 2 THEN '{io.QUOTES[0]}' END").alias("$type"))
+    record = F.struct("text", F.concat(F.lit("2024-01-01T00:"), F.lpad(F.col("turn").cast("string"), 2, "0"), F.lit(":00Z")).alias("createdAt"), embed.alias("embed"))
+    line = F.to_json(F.struct(F.struct(F.expr(f"CASE WHEN turn % 5 = 3 THEN 'app.bsky.feed.like' ELSE '{io.POST}' END").alias("collection")).alias("commit"), record.alias("record")))
+    broken = F.when(F.col("user_id") % 3 == 0, F.lit('{"commit": {"collection": "app.bsky.feed.post"}, "record": ')).when(F.col("user_id") % 3 == 1, F.lit("no event")).otherwise(F.lit(" "))
+    lines = rows.select("user_id", line.alias("value")).union(rows.select("user_id").distinct().select("user_id", broken))
+    lines.withColumnRenamed("user_id", "user").repartition("user").write.partitionBy("user").option("compression", "gzip").text(path)
+    records = io.read_records(spark, path, user=r"/user=([^/]+)/")
+    users = R.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("user_id"))
+    texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("created_at", "text"))), lambda p: p["text"]), " ")
+    posts = io.posts_of(records).groupBy("user_id").agg(F.count_if("is_quote").alias("quotes"), F.md5(texts).alias("text_hash"))
+    return io.record_counts(records, users).join(posts, "user_id", "left").fillna(0, ["quotes"])
+
+
+_SOME = "CASE WHEN p_partkey % 10 = 4 THEN 'new ' || p_name ELSE p_name END"
+
+
+@query("""SELECT 1 AS step, count(*) FILTER (WHERE p_partkey % 2 = 0) AS encoded, count(*) FILTER (WHERE p_partkey % 2 = 0) AS held FROM part UNION ALL SELECT 2, count(*) FILTER (WHERE p_partkey % 2 = 1), count(*) FROM part
+UNION ALL SELECT 3, count(*) FILTER (WHERE p_partkey % 10 = 4), count(*) FROM part UNION ALL SELECT 4, count(*), count(*) FROM part UNION ALL SELECT 5, 0, count(*) FROM part""")
+def embedding_cache(spark, d):
+    """Half of the packs are encoded, then all, then some with another text, then all by another model, and then none: each time only what the cache lacks."""
+    path = f"{new_folder(spark)}/cache"
+    parts = R.table(spark, d, "part").select(F.col("p_partkey").alias("pack_id"), F.col("p_name").alias("text"), F.expr(_SOME).alias("other"))
+    renamed = parts.select("pack_id", F.col("other").alias("text"))
+    rows = []
+    for step, (texts, model) in enumerate(((parts.where("pack_id % 2 = 0"), "a"), (parts, "a"), (renamed, "a"), (renamed, "b"), (parts, "a")), 1):
+        found, encoded = info.update_embeddings(texts.select("pack_id", "text"), path, info.hashing_encoder, model)
+        rows.append((step, encoded, found.select("pack_id").distinct().count()))
+    return spark.createDataFrame(rows, "step int, encoded long, held long")
 
 
 @query("SELECT conv_id AS user_id, md5(string_agg(text, ' ' ORDER BY turn, text)) AS text_hash FROM conversations WHERE text IS NOT NULL GROUP BY 1")

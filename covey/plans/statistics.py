@@ -726,6 +726,20 @@ def ols_two_predictors(spark, d):
     return rounded(out, "b1", "b2", "r2", "r2_one", "gain", places=8)
 
 
+#: How far the second of two nearly collinear predictors is from the first, in units of the packs shared.
+NEAR = 1e-4
+
+
+@query(f"""WITH {S['p']}, c AS (SELECT var_pop(shared_packs) AS a, covar_pop(shared_packs, n_eff) AS b, var_pop(n_eff) AS c, covar_pop(shared_packs, cosine) AS d, covar_pop(n_eff, cosine) AS e, avg(n_eff) AS x, avg(shared_packs) AS z, avg(cosine) AS y FROM p),
+k AS (SELECT *, (c * d - b * e) / (a * c - b * b) AS bz, (a * e - b * d) / (a * c - b * b) AS bx FROM c)
+SELECT 'intercept' AS term, round(y - bx * x - bz * z, 5) AS estimate FROM k UNION ALL SELECT 'n_eff', round(bx - bz / {NEAR}, 4) FROM k UNION ALL SELECT 'near', round(bz / {NEAR}, 4) FROM k""")
+def collinear_least_squares(spark, d):
+    """Least squares on a predictor and its near copy; SQL has the well-conditioned pair that they come from."""
+    p = R.pair_table(spark, d).withColumn("near", F.col("n_eff") + NEAR * F.col("shared_packs"))
+    out = inf.least_squares(p, ["n_eff", "near"], "cosine")
+    return out.withColumn("estimate", F.when(F.col("term") == "intercept", F.round("estimate", 5)).otherwise(F.round("estimate", 4)))
+
+
 def _log_sql(eps: float) -> str:
     return f"""SELECT {eps}::DOUBLE AS eps, hops, n, round(b, 8) AS slope, round(b - rb, 8) AS difference, round(CASE WHEN hops <> 1 THEN sqrt(s2 * (1 / xx + 1 / rx)) END, 8) AS se,
   round(CASE WHEN hops <> 1 THEN (b - rb) / sqrt(s2 * (1 / xx + 1 / rx)) END, 6) AS t FROM (WITH l AS (SELECT hops, n_eff AS x, ln(cosine + {eps}) AS y FROM p),

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from covey.operators.information import english
-from covey.operators.text import parsed_times
+from covey.operators.text import normalised, parsed_times
 
 EVENT = "commit struct<collection:string>, record struct<text:string,createdAt:string,embed:struct<`$type`:string>>"
 #: Collection of the records that are posts, and the embeds that make one a quotation; fixed values of the record format.
@@ -99,18 +99,47 @@ def record_path(did: str = "did"):
     return F.concat_ws("/", F.substring(did, 1, 1), F.substring(did, 1, 2), F.substring(did, 1, 3), F.concat(F.col(did), F.lit(".jsonl.gz")))
 
 
-def read_posts(spark: SparkSession, paths: str | list[str], quotes: bool = True, english_only: bool = False) -> DataFrame:
-    """user_id (from the file's name), created_at (null if it can't be read), text (one line), is_quote of the posts; malformed lines and blank texts are skipped."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(paths).where(F.col("value").contains(POST))
-    rows = raw.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.jsonl(?:\.gz)?$", 1).alias("user_id"), F.from_json("value", EVENT, {"mode": "PERMISSIVE"}).alias("e"))
-    text = F.regexp_replace(F.regexp_replace("e.record.text", r"(?U)^\s+|\s+$", ""), r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]", " ")
-    posts = rows.where(F.col("e.commit.collection") == POST).select("user_id", F.col("e.record.createdAt").alias("created"), text.alias("text"), F.coalesce(F.col("e.record.embed.`$type`").isin(*QUOTES), F.lit(False)).alias("is_quote"))
+#: Where a record file's path names its user: the file itself.
+USER = r"([^/]+)\.jsonl(?:\.gz)?$"
+
+
+def read_records(spark: SparkSession, paths: str | list[str], user: str = USER, holding: str | None = None) -> DataFrame:
+    """user_id, e (the event) and malformed, for each line of record files that is not blank.
+
+    Many small files share a task (Spark packs them by size). A line that is no JSON, or whose fields have other
+    types, is malformed and has no event. user: pattern of the path, with the user in its first group. Of
+    the lines only those that contain `holding`, if given, are parsed.
+    """
+    raw = spark.read.option("recursiveFileLookup", "true").text(paths)
+    raw = raw.where(F.col("value").contains(holding) if holding else F.col("value").rlike(r"(?U)\S"))
+    event = F.from_json("value", f"{EVENT}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = raw.select(F.regexp_extract(F.input_file_name(), user, 1).alias("user_id"), event.alias("e"))
+    bad = F.col("e").isNull() | F.col("e._bad").isNotNull()
+    return rows.select("user_id", F.when(~bad, F.struct("e.commit", "e.record")).alias("e"), bad.alias("malformed"))
+
+
+def posts_of(records: DataFrame, quotes: bool = True, english_only: bool = False) -> DataFrame:
+    """user_id, created_at (null if it can't be read), text (one line), is_quote of the posts among read_records()'s rows; blank texts are left out."""
+    text = normalised("e.record.text")
+    posts = records.where(F.col("e.commit.collection") == POST).select("user_id", F.col("e.record.createdAt").alias("created"), text.alias("text"), F.coalesce(F.col("e.record.embed.`$type`").isin(*QUOTES), F.lit(False)).alias("is_quote"))
     posts = parsed_times(posts.where(F.col("text") != ""), "created").select("user_id", "created_at", "text", "is_quote")
     if english_only:
         posts = posts.where(english())
     return posts if quotes else posts.where(~F.col("is_quote"))
 
 
+def read_posts(spark: SparkSession, paths: str | list[str], quotes: bool = True, english_only: bool = False, user: str = USER) -> DataFrame:
+    """posts_of() the record files."""
+    return posts_of(read_records(spark, paths, user, holding=POST), quotes, english_only)
+
+
+def record_counts(records: DataFrame, users: DataFrame) -> DataFrame:
+    """user_id, lines, malformed and posts of each of users (user_id); a user without a file has none."""
+    counts = records.groupBy("user_id").agg(F.count("*").alias("lines"), F.count_if("malformed").alias("malformed"))
+    counts = counts.join(posts_of(records).groupBy("user_id").agg(F.count("*").alias("posts")), "user_id", "left")
+    return users.select("user_id").distinct().join(counts, "user_id", "left").fillna(0, ["lines", "malformed", "posts"])
+
+
 def read_edges(spark: SparkSession, path: str, columns: tuple[str, ...] = ("source", "target", "created_at"), header: bool = False, source: str = "source", target: str = "target") -> DataFrame:
     """Edges from Parquet, or from CSV with the columns in this order; only the two ends are read."""
     if path.rstrip("/").endswith(".parquet"):
