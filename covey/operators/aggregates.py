@@ -2,10 +2,63 @@
 
 from __future__ import annotations
 
+from math import ceil, floor
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from covey.session import checkpointed
+
+
+#: Buckets that a range of values is cut into in one round of a search for a rank.
+BUCKETS = 4096
+
+
+def quantiles(rows: DataFrame, value: str, at: list[float], key: str | None = None) -> dict:
+    """For each value of `key` (few; None without one) the exact quantiles `at` of a numeric column, linear between ranks; nulls and NaN are left out.
+
+    A search by counting: a pass counts the values of a range by bucket, and the bucket that holds the rank is
+    the next range, until all its values are one or the rank is at an end of it. Of a pass a row for
+    each bucket in use comes to the driver; no task holds the values of a group.
+    """
+    number = F.col(value).cast("double")
+    known = checkpointed(rows.select(F.col(key).alias("k") if key else F.lit(0).alias("k"), number.alias("v")).where("v IS NOT NULL AND NOT isnan(v)"))
+    spread = {r["k"]: (r["n"], r["low"], r["high"]) for r in known.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).collect()}  # few keys
+    ranks = {(k, r) for k, (n, _, _) in spread.items() for q in at for r in (floor(q * (n - 1)), ceil(q * (n - 1)))}
+    found, left = {}, {}
+    for k, r in ranks:
+        left[k, r] = (*spread[k], r)
+    while left:
+        for name, (n, low, high, rank) in list(left.items()):
+            if low == high or rank in (0, n - 1):
+                found[name] = low if rank == 0 or low == high else high
+                del left[name]
+        if not left:
+            break
+        ranges = sorted({(k, low, high) for (k, _), (_, low, high, _) in left.items()}, key=str)
+        table = F.broadcast(rows.sparkSession.createDataFrame(ranges, f"rk {known.schema['k'].dataType.simpleString()}, low double, high double"))  # a row for each rank sought
+        met = known.join(table, (F.col("k") == F.col("rk")) & F.col("v").between(F.col("low"), F.col("high")))
+        place = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        counts: dict[tuple, list] = {}
+        for r in met.groupBy("k", "low", "high", F.least(F.floor(place * BUCKETS), F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).collect():
+            counts.setdefault((r["k"], r["low"], r["high"]), []).append((r["bucket"], r["n"], r["a"], r["b"]))
+        for (k, r), (_, low, high, rank) in left.items():
+            for _, n, a, b in sorted(counts[k, low, high]):
+                if rank < n:
+                    left[k, r] = (n, a, b, rank)
+                    break
+                rank -= n
+    out = {}
+    for k, (n, _, _) in spread.items():
+        places = [q * (n - 1) for q in at]
+        out[k] = [found[k, floor(p)] + (found[k, ceil(p)] - found[k, floor(p)]) * (p - floor(p)) for p in places]
+    return out
+
+
+def _literals(values: list[float] | None, n: int) -> list[Column]:
+    return [F.lit(v).cast("double") for v in (values or [None] * n)]
+
 
 def by_level(pairs: DataFrame, level: Column, value: str = "cosine") -> DataFrame:
     """level, mean, std (0 for one row), n (rows without a value count), sem, ci95."""
@@ -27,9 +80,10 @@ def rint_bin(column: str, most: int) -> Column:
 
 def distribution(pairs: DataFrame, raw: str, eff: str) -> DataFrame:
     """One row over the pairs that share a pack: spread of both counts, share reduced, share exactly 1."""
-    p = pairs.where(F.col(raw) >= 1)
-    q = lambda c, x: F.percentile(c, F.lit(x))
-    cols = [f(c).alias(f"{c}_{n}") for c in (raw, eff) for n, f in (("mean", F.avg), ("median", lambda c: q(c, 0.5)), ("q1", lambda c: q(c, 0.25)), ("q3", lambda c: q(c, 0.75)), ("iqr", lambda c: q(c, 0.75) - q(c, 0.25)))]
+    p, cols = pairs.where(F.col(raw) >= 1), []
+    for c in (raw, eff):
+        q1, median, q3 = _literals(quantiles(p, c, [0.25, 0.5, 0.75]).get(0), 3)
+        cols += [F.avg(c).alias(f"{c}_mean"), median.alias(f"{c}_median"), q1.alias(f"{c}_q1"), q3.alias(f"{c}_q3"), (q3 - q1).alias(f"{c}_iqr")]
     return p.agg(F.count("*").alias("pairs"), *cols, F.avg((F.col(eff) < F.col(raw) - 1e-9).cast("double")).alias("reduced"), F.avg((F.abs(F.col(eff) - 1) < 1e-9).cast("double")).alias("ones"))
 
 
@@ -62,10 +116,12 @@ def cell_diagnostic(pairs: DataFrame) -> DataFrame:
 
 def quantile_curve(pairs: DataFrame, x: str, y: str, n_edges: int = 11, least: int = 30) -> DataFrame:
     """Median x and mean y in bins between distinct quantiles of x, where a bin has rows enough."""
-    edges = F.broadcast(pairs.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(k / (n_edges - 1)) for k in range(n_edges)]))).alias("edges")))
-    at = F.size(F.filter("edges", lambda e: e <= F.col(x))) - 1
-    bin_of = F.greatest(F.lit(0), F.least(at, F.size("edges") - 2)).cast("long")
-    return pairs.crossJoin(edges).groupBy(bin_of.alias("bin")).agg(F.percentile(x, F.lit(0.5)).alias("x"), F.avg(y).alias("y"), F.count("*").alias("n")).where(F.col("n") >= least)
+    edges = list(dict.fromkeys(quantiles(pairs, x, [k / (n_edges - 1) for k in range(n_edges)]).get(0, [])))
+    at = F.lit(-1) + sum(((F.col(x) >= e).cast("int") for e in edges), F.lit(0))
+    binned = pairs.withColumn("bin", F.greatest(F.lit(0), F.least(at, F.lit(len(edges) - 2))).cast("long"))
+    medians = [(int(k), q[0]) for k, q in quantiles(binned, x, [0.5], "bin").items()]
+    table = F.broadcast(pairs.sparkSession.createDataFrame(medians, "bin long, x double"))  # a row for each bin
+    return binned.groupBy("bin").agg(F.avg(y).alias("y"), F.count("*").alias("n")).where(F.col("n") >= least).join(table, "bin").select("bin", "x", "y", "n")
 
 
 def log_bin(x: Column, per_decade: int) -> Column:
@@ -117,7 +173,10 @@ def degree_populations(populations: dict[str, DataFrame], degrees: DataFrame) ->
     for name, pairs in populations.items():
         one = pairs.select(F.lit(name).alias("population"), F.explode(F.array("user_a", "user_b")).alias("node"))
         out = one if out is None else out.union(one)
-    return out.join(degrees, "node").groupBy("population").agg(F.percentile("degree", F.lit(0.5)).alias("median"), F.avg("degree").alias("mean"), F.count("*").alias("n"))
+    ends = out.join(degrees, "node")
+    medians = quantiles(ends, "degree", [0.5], "population")
+    table = F.broadcast(ends.sparkSession.createDataFrame([(k, q[0]) for k, q in medians.items()], "population string, median double"))  # a row for each population
+    return ends.groupBy("population").agg(F.avg("degree").alias("mean"), F.count("*").alias("n")).join(table, "population").select("population", "median", "mean", "n")
 
 
 def median_order(summary: DataFrame, order: tuple[str, ...]) -> DataFrame:

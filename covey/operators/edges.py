@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from covey.operators.aggregates import quantiles
 from covey.session import checkpointed
 
 
@@ -87,5 +88,7 @@ def degree_report(edges: DataFrame, top: int = 20) -> DataFrame:
 
 def degree_quantiles(edges: DataFrame, at: tuple[float, ...] = (0.5, 0.9, 0.99, 0.999, 1.0), over: tuple[int, ...] = (10, 100, 1000)) -> DataFrame:
     """One row: quantiles of the degree, and how many nodes have more than each of `over`."""
-    names: list[Column] = [F.percentile("degree", F.lit(q)).alias(f"q{q:g}".replace(".", "_")) for q in at]
-    return degree_table(edges).agg(F.count("*").alias("nodes"), *names, *[F.count_if(F.col("degree") > k).alias(f"over_{k}") for k in over])
+    degrees = checkpointed(degree_table(edges))
+    found = quantiles(degrees, "degree", list(at)).get(0, [None] * len(at))
+    names: list[Column] = [F.lit(v).cast("double").alias(f"q{q:g}".replace(".", "_")) for q, v in zip(at, found, strict=True)]
+    return degrees.agg(F.count("*").alias("nodes"), *names, *[F.count_if(F.col("degree") > k).alias(f"over_{k}") for k in over])

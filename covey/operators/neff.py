@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from covey.functions import dot
+from covey.operators.aggregates import quantiles
 
 EIGEN, LINKS = ("effrank", "rowsum", "participation"), ("single", "complete", "average")
 #: The estimators of a set under one signal.
@@ -129,6 +130,98 @@ def _clusters(s: np.ndarray, wanted: tuple[str, ...]) -> dict[str, np.ndarray]:
     return out
 
 
+#: Packs of a set beyond which no matrix of all pairs of them is made, and rows of one that are made at once.
+LARGE, ROWS = 600, 256
+
+
+def _alike(v: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Rows of the similarity matrix: dot products, 1 on the diagonal. A pack that is not known has a zero vector."""
+    g = v[rows] @ v.T
+    g[np.arange(len(rows)), rows] = 1.0
+    return g
+
+
+def large_linkage(v: np.ndarray, method: str) -> float:
+    """linkage() of a set of which only the vectors are held: distances are computed when they are asked for."""
+    n = len(v)
+    far = lambda rows: 1 - np.clip(_alike(v, rows), 0, 1)
+    if method == "single":  # a spanning tree, a pack at a time
+        near, left, total, at = np.full(n, np.inf), np.ones(n, bool), 0.0, 0
+        for _ in range(n - 1):
+            left[at] = False
+            near = np.minimum(near, far(np.array([at]))[0])
+            at = int(np.where(left, near, np.inf).argmin())
+            total += near[at]
+        return 1.0 + float(total)
+    of, size, alive, members, height = np.arange(n), np.ones(n), np.ones(n, bool), {k: np.array([k]) for k in range(n)}, 0.0
+    chain: list[int] = []
+
+    def row(a: int) -> np.ndarray:
+        """Distances of cluster a to all clusters, by their numbers."""
+        parts = [far(x) for x in np.array_split(members[a], -(-len(members[a]) // ROWS))]
+        if method == "average":
+            out = np.bincount(of, weights=sum(p.sum(axis=0) for p in parts), minlength=n) / (len(members[a]) * size)
+        else:
+            out, each = np.zeros(n), np.max([p.max(axis=0) for p in parts], axis=0)
+            order = np.argsort(of, kind="stable")
+            first = np.flatnonzero(np.r_[True, np.diff(of[order]) > 0])
+            out[of[order][first]] = np.maximum.reduceat(each[order], first)
+        out[~alive] = out[a] = np.inf
+        return out
+
+    for _ in range(n - 1):  # nearest-neighbour chain
+        if not chain:
+            chain.append(next(iter(members)))
+        while True:
+            a = chain[-1]
+            d = row(a)
+            b = int(d.argmin())
+            if len(chain) > 1 and d[chain[-2]] <= d[b]:
+                b = chain[-2]
+            if len(chain) > 1 and b == chain[-2]:
+                break
+            chain.append(b)
+        height += d[b]
+        chain.pop()
+        chain.pop()
+        members[a] = np.concatenate([members[a], members.pop(b)])
+        size[a], alive[b] = len(members[a]), False
+        of[members[a]] = a
+    return 1.0 + float(height)
+
+
+def large_numbers(v: np.ndarray, known: np.ndarray, wanted: tuple[str, ...] = METHODS, missing: str = "distinct", specificity: np.ndarray | None = None) -> dict[str, float]:
+    """embedding_numbers() of one set of p packs (v: p x d) in memory of order p x d.
+
+    Eigenvalues are those of the d x d matrix of the known packs, and one for each pack that is an axis of its
+    own; sums over the similarity matrix are made of a few of its rows at a time.
+    """
+    out = {f"cluster_{x}": large_linkage(v, x) for x in LINKS if f"cluster_{x}" in wanted}
+    p = len(v)
+    if "mean_interp" in wanted:
+        total = sum(float(np.clip(_alike(v, rows), 0, 1).sum()) for rows in np.array_split(np.arange(p), -(-p // ROWS)))
+        out["mean_interp"] = 1 + (1 - (total - p) / (p * (p - 1))) * (p - 1)
+    if set(wanted) & set(EIGEN):
+        keep = np.flatnonzero(known) if missing == "drop" else np.arange(p)
+        e, there, w = v[keep], known[keep], None if specificity is None else specificity[keep]
+        if len(keep) < 2:
+            return out | {c: float(len(keep)) for c in wanted if c in EIGEN}
+        w = np.ones(len(keep)) if w is None else set_weights(w)
+        root = np.sqrt(w)
+        dual = (e * w[:, None]).T @ e
+        alone = w[~there]
+        if "effrank" in wanted:
+            lam = np.concatenate([np.linalg.eigvalsh(dual), alone])
+            q = lam[lam > 1e-12] / lam[lam > 1e-12].sum()
+            out["effrank"] = float(np.exp(-(q * np.log(q)).sum()))
+        if "participation" in wanted:
+            out["participation"] = float(w.sum() ** 2 / ((dual**2).sum() + (alone**2).sum()))
+        if "rowsum" in wanted:
+            sums = [(np.maximum(_alike(e, rows), 0) * root[None, :]).sum(axis=1) * root[rows] for rows in np.array_split(np.arange(len(keep)), -(-len(keep) // ROWS))]
+            out["rowsum"] = float((1 / np.concatenate(sums)).sum())
+    return out
+
+
 def set_weights(specificity: np.ndarray) -> np.ndarray:
     """Weights of one set, or of n sets of one size: what is not positive and finite is 1, and then their mean is brought to 1."""
     with np.errstate(invalid="ignore"):
@@ -211,6 +304,12 @@ def _by_embedding(batches: Iterator[pa.RecordBatch], wanted: tuple[str, ...], mi
         out = {c: np.zeros(len(lens)) for c in wanted}
         weighted = bool((w != 1).any())
         for p, k in {(int(a), int(b)) for a, b in zip(lens, n_known, strict=True)}:
+            if p > LARGE:
+                for one in np.flatnonzero((lens == p) & (n_known == k)):
+                    own = slice(starts[one], ends[one])
+                    for c, x in large_numbers(v[own], known[own], wanted, missing, w[own] if weighted else None).items():
+                        out[c][one] = x
+                continue
             for part in _parts(np.flatnonzero((lens == p) & (n_known == k)), p):
                 rows = starts[part][:, None] + np.arange(p)
                 for c, x in embedding_numbers(v[rows], known[rows], wanted, missing, w[rows] if weighted else None).items():
@@ -327,8 +426,8 @@ def tidy(bundled: DataFrame) -> DataFrame:
 
 def in_band(pairs: DataFrame, low: float, high: float, value: str = "n_eff") -> DataFrame:
     """Pairs whose value lies between two of its percentiles, both included."""
-    ends = F.broadcast(pairs.agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("__ends")))  # one row
-    return pairs.crossJoin(ends).where((F.col(value) >= F.col("__ends")[0]) & (F.col(value) <= F.col("__ends")[1])).drop("__ends")
+    ends = quantiles(pairs, value, [low, high]).get(0)
+    return pairs.where(F.col(value).between(*ends)) if ends else pairs.limit(0)
 
 
 def top_shared(shared: DataFrame, emb: DataFrame, top: int) -> DataFrame:

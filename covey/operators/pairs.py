@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from covey.functions import draw_int, draw_key, first_by_draw, places, ranked_by_draw
+from covey.operators.aggregates import quantiles
 from covey.session import checkpointed
 
 
@@ -148,10 +149,9 @@ def same_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def value_decile(values: DataFrame, value: str, n: int = 10) -> DataFrame:
-    """Adds decile: how many inner edges (distinct percentiles of value) lie at or below it. The edges are one row."""
-    edges = F.broadcast(values.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(k / n) for k in range(n + 1)]))).alias("edges")))
-    inner = F.slice("edges", 2, F.greatest(F.size("edges") - 2, F.lit(0)))
-    return values.crossJoin(edges).withColumn("decile", F.size(F.filter(inner, lambda x: x <= F.col(value))).cast("long")).drop("edges")
+    """Adds decile: how many inner edges (distinct percentiles of value) lie at or below it. The edges are searched by counting."""
+    edges = list(dict.fromkeys(quantiles(values, value, [k / n for k in range(n + 1)]).get(0, [])))
+    return values.withColumn("decile", sum(((F.col(value) >= e).cast("long") for e in edges[1:-1]), F.lit(0).cast("long")))
 
 
 def degree_matched(observed: DataFrame, pool: DataFrame, seed: int = 42) -> DataFrame:

@@ -645,3 +645,70 @@ def test_one_automaton_serves_all_targets_of_a_source(spark):
     assert len(out) == len(pairs) - 1
     for r in out:
         assert r.entropy_st == info.cross_entropy(words[r.target], words[r.source]) and r.entropy_ts == info.cross_entropy(words[r.source], words[r.target])
+
+
+def test_large_sets_need_no_matrix(monkeypatch):
+    """Estimators of a large set from its vectors alone: equal to those of the matrix, and for 12,000 packs within 500 MB."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    for p in (4, 5, 6, 70):
+        v, known, spec = unit(rng.normal(size=(p, 16)) + 0.5), rng.random(p) > 0.2, rng.random(p) * 3 - 0.3
+        v[~known] = 0
+        for missing in ("distinct", "drop"):
+            for w in (None, spec):
+                want = ne.embedding_numbers(v[None], known[None], ne.METHODS, missing, None if w is None else w[None])
+                got = ne.large_numbers(v, known, ne.METHODS, missing, w)
+                assert {c: pytest.approx(float(x[0])) for c, x in want.items()} == got
+    v = unit(rng.normal(size=(12_000, 64)) + 0.3)
+    tracemalloc.start()
+    got = ne.large_numbers(v, np.ones(12_000, bool), ("effrank", "participation", "rowsum"))
+    assert tracemalloc.get_traced_memory()[1] < 500e6 and 1 <= got["participation"] <= got["effrank"] <= 65
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("method", ne.LINKS)
+def test_linkage_against_plain_agglomeration(method):
+    """Merging the nearest two clusters again and again, for a few packs."""
+    rng = np.random.default_rng(8)
+    for p in (2, 3, 4, 5, 6):
+        v = rng.normal(size=(p, 5)) + 0.4
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        d = 1 - np.clip(v @ v.T, 0, 1)
+        clusters, total = [[k] for k in range(p)], 0.0
+        join = {"single": min, "complete": max, "average": lambda x: sum(x) / len(x)}[method]
+        while len(clusters) > 1:
+            far, i, j = min((join([d[a, b] for a in x for b in y]), i, j) for i, x in enumerate(clusters) for j, y in enumerate(clusters) if i < j)
+            total += far
+            clusters = [c for k, c in enumerate(clusters) if k not in (i, j)] + [clusters[i] + clusters[j]]
+        assert ne.linkage(v @ v.T, method) == pytest.approx(1 + total) == ne.large_linkage(v, method)
+
+
+def test_quantiles_by_counting(spark):
+    """Against numpy: ties, one value, wide and narrow spreads, keys, nulls and NaN, no rows."""
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.integers(0, 5, 400).astype(float), "b": rng.lognormal(0, 9, 300), "c": np.full(7, 3.5), "d": np.r_[-1e300, 1e300, rng.normal(size=50) * 1e-9], "e": np.array([2.0])}
+    data = [(k, float(x)) for k, v in groups.items() for x in v] + [("a", None), ("a", float("nan")), ("f", None)]
+    table, at = frame(spark, data, "g string, v double"), [0.0, 0.025, 0.25, 0.5, 0.75, 0.975, 1.0]
+    got = ag.quantiles(table, "v", at, "g")
+    assert set(got) == set(groups)
+    for k, v in groups.items():
+        assert got[k] == pytest.approx(np.quantile(v, at).tolist(), rel=1e-12)
+    assert ag.quantiles(table.where("g = 'f'"), "v", at) == {}
+
+
+def test_least_squares_keeps_its_digits(spark):
+    """Nearly collinear predictors, weights and a predictor that is the sum of others, against a dense solver."""
+    rng = np.random.default_rng(5)
+    x1 = rng.normal(size=400)
+    x2, w = x1 + 1e-6 * rng.normal(size=400), rng.random(400) + 0.1
+    y = 1 + 2 * x1 - 3 * x2 + 1e-8 * rng.normal(size=400)
+    table = frame(spark, [tuple(map(float, r)) for r in zip(x1, x2, x1 + x2, y, w, strict=True)] + [(None, 1.0, 1.0, 1.0, 1.0)], "x1 double, x2 double, x3 double, y double, w double").repartition(7)
+    solve = lambda m, s: np.linalg.lstsq(m * s[:, None], y * s, rcond=1e-13)[0].tolist()
+    one, ones = np.ones(400), np.ones(400)
+    got = lambda xs, **k: [r.estimate for r in inf.least_squares(table, xs, "y", **k).collect()]
+    assert got(["x1", "x2"]) == pytest.approx(solve(np.stack([one, x1, x2], 1), ones), rel=1e-8, abs=1e-8)
+    assert got(["x1", "x2"], weight="w") == pytest.approx(solve(np.stack([one, x1, x2], 1), np.sqrt(w)), rel=1e-8, abs=1e-8)
+    assert got(["x1", "x1"]) == pytest.approx(solve(np.stack([one, x1, x1], 1), ones), rel=1e-8, abs=1e-8)  # the shortest of many
+    assert inf.least_squares(table.limit(0), ["x1"], "y").count() == 2
