@@ -154,11 +154,14 @@ def linear_histogram(rows: DataFrame, x: str, width: float) -> DataFrame:
 
 
 def ccdf(rows: DataFrame, x: str) -> DataFrame:
-    """Share of the positive values that are at least as large, for each distinct value: values are counted before they are ordered."""
+    """Share of the positive values that are at least as large, for each distinct value: values are counted, dealt out by ranges and summed up within them."""
     counts = rows.where(F.col(x) > 0).groupBy(F.col(x).alias("x")).agg(F.count("*").alias("k"))
-    n = F.broadcast(counts.agg(F.sum("k").alias("n")))  # one row
-    below = F.coalesce(F.sum("k").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return counts.crossJoin(n).select("x", (1 - below / F.col("n")).alias("ccdf"))
+    dealt = checkpointed(counts.repartitionByRange("x").withColumn("part", F.spark_partition_id()))
+    before = lambda w: F.coalesce(F.sum("k").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy("part").agg(F.sum("k").alias("k"))  # a row for each range of values
+    starts = F.broadcast(parts.select("part", before(W.orderBy("part")).alias("start"), F.sum("k").over(W.partitionBy()).alias("n")))
+    below = F.col("start") + before(W.partitionBy("part").orderBy("x"))
+    return dealt.join(starts, "part").select("x", (1 - below / F.col("n")).alias("ccdf"))
 
 
 def pivot_counts(pairs: DataFrame, most: int) -> DataFrame:

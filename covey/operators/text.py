@@ -106,8 +106,6 @@ def df_sweep(tf: DataFrame, size: DataFrame, grid: tuple[float, ...], min_df: in
     return ceilings.join(terms, "max_df", "left").join(used, "max_df", "left").fillna(0)
 
 
-#: All white space, and all line breaks, of Unicode; spelt out so that any engine reads them alike.
-SPACE, LINE_BREAKS = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]", r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 #: Our own short list of words of the platform that texts come from.
 PLATFORM = "account accounts feed feeds follow followed follower followers following handle like liked likes list lists mute pack packs post posted posts profile reply replies repost reposts skeet starter thread timeline user users".split()
 
@@ -116,9 +114,13 @@ def cut_terms(tf: DataFrame, size: DataFrame, max_df: float, min_df: int, top: i
     """The commonest terms on either side of the ceiling: side, place, term, df, share, hashtag, stop_word, platform."""
     vocab = document_frequency(tf).crossJoin(size).where(F.col("df") >= min_df)
     side = F.when(F.col("df") > F.lit(max_df) * F.col("n_docs"), "discarded").otherwise("kept")
-    ranked = vocab.withColumn("side", side).withColumn("place", F.row_number().over(W.partitionBy("side").orderBy(F.desc("df"), "term")))
+    sided, first = vocab.withColumn("side", side), None
+    for name in ("discarded", "kept"):
+        one = sided.where(F.col("side") == name).orderBy(F.desc("df"), "term").limit(top)
+        first = one if first is None else first.union(one)
+    ranked = first.withColumn("place", F.row_number().over(W.partitionBy("side").orderBy(F.desc("df"), "term")))
     flags = [F.col("term").startswith("#").alias("hashtag"), F.col("term").isin(*STOP_WORDS).alias("stop_word"), F.col("term").isin(*platform).alias("platform")]
-    return ranked.where(F.col("place") <= top).select("side", "place", "term", "df", (F.col("df") / F.col("n_docs")).alias("share"), *flags)
+    return ranked.select("side", "place", "term", "df", (F.col("df") / F.col("n_docs")).alias("share"), *flags)
 
 
 def parsed_times(posts: DataFrame, source: str, time: str = "created_at") -> DataFrame:

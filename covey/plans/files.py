@@ -67,6 +67,36 @@ def read_edges_csv(spark, d):
     return io.read_edges(spark, path)
 
 
+@query(f"WITH {S['e']} SELECT source, target FROM e")
+def read_edges_parquet(spark, d):
+    path = _new(spark, "edges.parquet")
+    R.edges(spark, d).withColumn("created_at", F.lit("2024-01-01")).write.parquet(path)
+    return io.read_edges(spark, path)
+
+
+@query("SELECT c_custkey::VARCHAR AS node, 'listed' AS how FROM customer UNION ALL SELECT DISTINCT 'u' || p_partkey % 7, 'members' FROM part")
+def read_nodes(spark, d):
+    """The universe from a file of ids, and from the members of packs."""
+    ids, packs = _new(spark, "nodes.txt"), _new(spark, "packs.jsonl")
+    R.table(spark, d, "customer").select(F.explode(F.array(F.col("c_custkey").cast("string"), F.concat(F.lit(" "), F.col("c_custkey").cast("string")))).alias("value")).write.text(ids)
+    member = F.struct(F.concat(F.lit("u"), (F.col("p_partkey") % 7).cast("string")).alias("did"))
+    R.table(spark, d, "part").select(F.to_json(F.struct(F.col("p_name").alias("name"), F.array(member, member).alias("members"))).alias("value")).write.text(packs)
+    return io.read_nodes(spark, nodes=ids).withColumn("how", F.lit("listed")).union(io.read_nodes(spark, packs=packs).withColumn("how", F.lit("members")))
+
+
+@query(f"WITH {S['p']} SELECT kind, hops, count(*) AS n, sum(shared_packs)::BIGINT AS shared, round(avg(cosine), 9) AS mean FROM p, (VALUES ('csv'), ('parquet')) k(kind) GROUP BY 1, 2")
+def read_pair_tables(spark, d):
+    """The pair table by its two formats."""
+    out = None
+    for kind in ("csv", "parquet"):
+        path = _new(spark, f"pairs.{kind}")
+        io.write_table(R.pair_table(spark, d), path)
+        one = io.read_table(spark, path).groupBy("hops").agg(F.count("*").alias("n"), F.sum("shared_packs").alias("shared"), F.round(F.avg("cosine"), 9).alias("mean"))
+        one = one.select(F.lit(kind).alias("kind"), F.col("hops").cast("long").alias("hops"), "n", F.col("shared").cast("long").alias("shared"), "mean")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @query(f"WITH {S['e']} SELECT count(*) AS n FROM e")
 def edge_count(spark, d):
     """Rows of a written edge table, from its footers."""
