@@ -138,3 +138,13 @@ def test_stages_of_awkward_tables(spark, docs, none):
             assert out.columns == clash.columns and {r["__copy"] for r in out.collect()} <= {"x"}
             if name in ("quality_rules", "line_dedup"):
                 assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in out.collect())
+
+
+def test_two_pipelines_at_once(spark):
+    """Two runs in two threads of one driver: neither takes away what the other has staged."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    rows = lambda: sorted(map(tuple, corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()), key=str)
+    with ThreadPoolExecutor(2) as pool:
+        one, two = (pool.submit(rows) for _ in range(2))
+        assert one.result() == two.result() and one.result()
