@@ -712,3 +712,35 @@ def test_least_squares_keeps_its_digits(spark):
     assert got(["x1", "x2"], weight="w") == pytest.approx(solve(np.stack([one, x1, x2], 1), np.sqrt(w)), rel=1e-8, abs=1e-8)
     assert got(["x1", "x1"]) == pytest.approx(solve(np.stack([one, x1, x1], 1), ones), rel=1e-8, abs=1e-8)  # the shortest of many
     assert inf.least_squares(table.limit(0), ["x1"], "y").count() == 2
+
+
+# growth of the shared steps
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_comembers_without_a_shuffled_row_for_each_pair(spark, monkeypatch):
+    data = [(u, p) for p in range(6) for u in range(30) if (u * 7 + p * 5) % 4] + [(None, 1), (3, None)]
+    links = {(u, p) for u, p in data if u is not None and p is not None}
+    want = {}
+    for u, p in links:
+        for v, q in links:
+            if p == q and u < v:
+                want.setdefault((u, v), []).append(p)
+    m = frame(spark, data, "user_id long, pack_id long")
+    for block, piece, held in ((4000, 256, 500_000), (7, 3, 10)):
+        for name, value in (("BLOCK", block), ("PIECE", piece), ("HELD", held)):
+            monkeypatch.setattr(pr, name, value)
+        counts, sets = pr.comember_pairs(m), pr.comember_sets(m, 2)
+        assert {(r.user_a, r.user_b): r.shared_packs for r in counts.collect()} == {k: len(v) for k, v in want.items()}
+        assert {(r.user_a, r.user_b): r.packs for r in sets.collect()} == {k: sorted(v) for k, v in want.items() if len(v) >= 2}
+        assert all("user_b" not in line for df in (counts, sets) for line in plan_of(df).split("\n") if "Exchange" in line or "Aggregate" in line)
+    named = frame(spark, [(f"u{u}", f"p{p}") for u, p in links], "user_id string, pack_id string")
+    assert {(r.user_a, r.user_b): r.shared_packs for r in pr.comember_pairs(named).collect()} == {(f"u{a}", f"u{b}") if f"u{a}" < f"u{b}" else (f"u{b}", f"u{a}"): len(v) for (a, b), v in want.items()}
+
+
+def test_jaccard_of_packs_with_two_common_members(spark):
+    m = frame(spark, [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2), (3, 3), (4, 1)], "user_id long, pack_id long")
+    assert rows(ne.jaccard_packs(m, least=2)) == [(1, 2, 0.5)] and rows(ne.jaccard_packs(m)) == [(1, 2, 0.5), (2, 3, 1 / 3)]
