@@ -137,13 +137,13 @@ def path_summary(paths: DataFrame) -> DataFrame:
 
 def rings(ego: DataFrame, edges: DataFrame, n_hops: int = 3, max_frontier: int | None = None, seed: int = 42) -> DataFrame:
     """node and hop of the followed at each exact distance from ego (column node). Rings are whole; only the front that is expanded may be a sample."""
-    graph = load(edges, directed=True)
-    seen = ego.select("node", F.lit(0).alias("hop"))
+    graph = checkpointed(load(edges, directed=True))
+    seen = checkpointed(ego.select("node", F.lit(0).alias("hop")))
     front = seen.select("node")
     for k in range(1, n_hops + 1):
         if max_frontier is not None:
             front = front.orderBy(draw_key(seed, "node"), "node").limit(max_frontier)
         reached = front.join(graph, front.node == graph.source).select(F.col("target").alias("node")).distinct()
-        ring = reached.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(k))
+        ring = checkpointed(reached.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(k)))  # the next ring reads it twice
         seen, front = seen.union(ring), ring.select("node")
     return seen.where("hop > 0")
