@@ -744,3 +744,74 @@ def test_comembers_without_a_shuffled_row_for_each_pair(spark, monkeypatch):
 def test_jaccard_of_packs_with_two_common_members(spark):
     m = frame(spark, [(1, 1), (1, 2), (2, 1), (2, 2), (3, 2), (3, 3), (4, 1)], "user_id long, pack_id long")
     assert rows(ne.jaccard_packs(m, least=2)) == [(1, 2, 0.5)] and rows(ne.jaccard_packs(m)) == [(1, 2, 0.5), (2, 3, 1 / 3)]
+
+
+def read_rows(spark, data, schema):
+    """A table, and how many rows of it have been read."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def one(row):
+        reads.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(data, 2).map(one), schema), reads
+
+
+def test_fits_read_their_rows_once(spark):
+    data = [(float(k % 3), 1.0 + k % 3 + k % 2) for k in range(60)]
+    df, reads = read_rows(spark, data, "x double, y double")
+    models = inf.log_link(df, "x", "y").collect()
+    assert reads.value <= 2 * len(data) and {r.n for r in models} == {60}
+    assert all(abs(r.score) < 1e-6 for r in inf.log_link_scores(df, inf.log_link(df, "x", "y"), "x", "y").collect())
+
+
+def test_rings_read_the_edges_once(spark):
+    data = [(k, k + 1) for k in range(40)]
+    df, reads = read_rows(spark, data, "source long, target long")
+    assert rows(gr.rings(frame(spark, [(3,)], "node long"), df, 4)) == [(3 + k, k) for k in range(1, 5)]
+    assert reads.value <= 2 * len(data)
+
+
+def test_words_of_md5():
+    from hashlib import md5
+
+    for low, high in ((0, 10), (10, 100), (99_990, 100_000), (1_234_567, 1_234_700)):
+        assert inf.md5_words("42|7|", low, high).tolist() == [int(md5(f"42|7|{k}".encode()).hexdigest()[:8], 16) for k in range(low, high)]
+
+
+def test_draws_are_shuffled_as_counts_of_blocks(spark, monkeypatch):
+    from hashlib import md5
+    from zlib import decompress
+
+    monkeypatch.setattr(inf, "PLACES", 16)
+    monkeypatch.setattr(inf, "HASHED", 30)
+    units = sorted((f"u{k}" for k in range(45)), key=lambda u: (md5(u.encode()).hexdigest(), u))
+    df = inf.drawn(frame(spark, [(u,) for u in units], "unit string"), 7)
+    want = {u: [0] * 7 for u in units}
+    for boot in range(7):
+        for k in range(45):
+            want[units[int(md5(f"42|{boot}|{k}".encode()).hexdigest()[:8], 16) % 45]][boot] += 1
+    assert {r.unit: list(decompress(bytes(r.drawn))) for r in df.collect()} == {u: c for u, c in want.items() if any(c)}
+    assert "collect_list" not in plan_of(df)
+
+
+def test_degrees_without_pairs(spark, monkeypatch):
+    links = [(u, p) for p in range(5) for u in range(40) if (u * p + u) % 3 == 0] + [(99, 77), (None, 1)]
+    m = frame(spark, links, "user_id long, pack_id long")
+    pairs = pr.comember_pairs(m)
+    want = rows(pairs.select(F.explode(F.array("user_a", "user_b")).alias("node")).groupBy("node").count())
+    for users in (4096, 7):
+        monkeypatch.setattr(pr, "USERS", users)
+        degrees = pr.comember_degrees(m)
+        assert rows(degrees) == want and "user_b" not in plan_of(degrees)
+    known = m.groupBy(F.col("user_id").alias("node")).agg(F.count("*").alias("degree"))
+    assert rows(ag.degree_populations({"x": pairs, "y": degrees}, known))[0][1:] == rows(ag.degree_populations({"x": pairs, "y": degrees}, known))[1][1:]
+
+
+def test_numbers_of_known_sets(spark):
+    m = frame(spark, [(u, p) for u in range(6) for p in range(5) if (u + p) % 3], "user_id long, pack_id long")
+    emb = frame(spark, [(0, [1.0, 0.0]), (1, [0.6, 0.8]), (2, [0.0, 1.0])], "pack_id long, embedding array<float>")
+    pairs = pr.comember_pairs(m)
+    old = ne.for_pairs(pairs, pr.shared_packs(pairs, m), emb, "rowsum")
+    new = ne.for_sets(pairs.where("shared_packs = 1"), ne.with_set_key(pr.comember_sets(m, 2)), emb, "rowsum")
+    assert rows(new.select(*old.columns)) == rows(old) and old.count()
