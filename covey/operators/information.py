@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from math import log2
+from math import log2, sqrt
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from covey.functions import dot
 from covey.session import checkpointed, written
 
 
@@ -129,9 +128,13 @@ def embed_texts(texts: DataFrame, encoder: Callable[[list[str]], list[list[float
     """pack_id, embedding (length 1), model, text_hash for texts (pack_id, text); only texts that the cache lacks are encoded."""
     own = texts.select("pack_id", "text", F.md5("text").alias("text_hash")).where("text <> ''")
 
+    def unit(v: list[float]) -> list[float]:
+        norm = sqrt(sum(float(x) * float(x) for x in v))
+        return [float(x) / norm if norm > 0 else float(x) for x in v]
+
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pdf[["pack_id", "text_hash"]].assign(embedding=[[float(x) for x in v] for v in encoder(pdf.text.tolist())], model=model)[["pack_id", "embedding", "model", "text_hash"]]
+            yield pdf[["pack_id", "text_hash"]].assign(embedding=[unit(v) for v in encoder(pdf.text.tolist())], model=model)[["pack_id", "embedding", "model", "text_hash"]]
 
     todo = own
     if cache is not None:
@@ -139,8 +142,6 @@ def embed_texts(texts: DataFrame, encoder: Callable[[list[str]], list[list[float
         todo = own.join(known, ["pack_id", "text_hash"], "left_anti")
     kind = dict(texts.dtypes)["pack_id"]
     new = todo.mapInPandas(kernel, f"pack_id {kind}, embedding array<double>, model string, text_hash string")
-    norm = F.sqrt(dot("embedding", "embedding"))
-    new = new.withColumn("embedding", F.when(norm > 0, F.transform("embedding", lambda x: x / norm)).otherwise(F.col("embedding")))
     if cache is None:
         return new
     return cache.where(F.col("model") == model).join(own.select("pack_id", "text_hash"), ["pack_id", "text_hash"], "left_semi").select(*new.columns).union(new)
