@@ -815,3 +815,20 @@ def test_numbers_of_known_sets(spark):
     old = ne.for_pairs(pairs, pr.shared_packs(pairs, m), emb, "rowsum")
     new = ne.for_sets(pairs.where("shared_packs = 1"), ne.with_set_key(pr.comember_sets(m, 2)), emb, "rowsum")
     assert rows(new.select(*old.columns)) == rows(old) and old.count()
+
+
+def test_units_are_made_where_texts_are_encoded(spark):
+    got = info.embed_texts(frame(spark, [(1, "one text"), (2, "two")], "pack_id long, text string"), info.hashing_encoder(8), "m")
+    assert "zip_with" not in plan_of(got) and all(sum(x * x for x in r.embedding) == pytest.approx(1.0) for r in got.collect())
+
+
+def test_all_cosines_shuffle_no_pair(spark, monkeypatch):
+    weights = [(u, f"t{(u * 7 + k * k) % 11}", 0.1 * (u + k + 1)) for u in range(9) for k in range(4)]
+    weights = list({(u, t): (u, t, w) for u, t, w in weights}.values())
+    want = {(a, b): sum(w * x for u, t, w in weights if u == a for v, s, x in weights if v == b and s == t) for a in range(11) for b in range(a + 1, 11)}
+    users = frame(spark, [(u,) for u in range(11)], "user_id long")
+    for size in (1024, 3):
+        monkeypatch.setattr(tx, "USERS", size)
+        got = tx.all_cosines(frame(spark, weights, "user_id long, term string, weight double"), users)
+        assert {(r.user_a, r.user_b): r.cosine for r in got.collect()} == pytest.approx(want) and got.count() == 55
+        assert "user_b" not in "".join(line for line in plan_of(got).split("\n") if "Exchange" in line or "Join" in line)
