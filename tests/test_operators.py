@@ -786,7 +786,7 @@ def test_draws_are_shuffled_as_counts_of_blocks(spark, monkeypatch):
     monkeypatch.setattr(inf, "PLACES", 16)
     monkeypatch.setattr(inf, "HASHED", 30)
     units = sorted((f"u{k}" for k in range(45)), key=lambda u: (md5(u.encode()).hexdigest(), u))
-    df = inf.drawn(frame(spark, [(u,) for u in units], "unit string"), 7)
+    df = inf.drawn(frame(spark, [(u,) for u in units], "unit string"), 7, packed=True)
     want = {u: [0] * 7 for u in units}
     for boot in range(7):
         for k in range(45):
