@@ -365,6 +365,19 @@ def test_information_with_shared_packs(spark):
     assert rows(pr.symmetric_info(pr.with_shared(info, m), "flow")) == [(1, 2, pytest.approx(0.6), 2, 2), (3, 4, 1.0, 1, 0)]
 
 
+def test_shared_packs_of_many_pairs_are_counted_where_they_meet(spark):
+    """Sources of many packs and many targets: the ends meet in packs, in either direction, with the same counts as pair by pair."""
+    m = frame(spark, [(u, p) for u in range(20) for p in range(40) if (u * 7 + p) % (2 + u % 5) == 0 or p == 30 + u % 3], "user_id long, pack_id long").distinct()
+    info = frame(spark, [(a, b, 0.5 + a) for a in range(22) for b in (1, 3, 21)] + [(3, 1, 9.0)], "source long, target long, flow double")
+    sets: dict[int, set] = {}
+    for r in m.collect():
+        sets.setdefault(r.user_id, set()).add(r.pack_id)
+    found = rows(pr.with_shared(info, m).select("source", "target", "flow", "shared_packs"))
+    assert found == sorted(((a, b, f, len(sets.get(a, set()) & sets.get(b, set()))) for a, b, f in map(tuple, info.collect()) if a != b), key=str)
+    met, fewer = pr._met_in_packs(info.where("source <> target"), m)
+    assert fewer and not pr._met_in_packs(frame(spark, [(1, 3, 0.5)], "source long, target long, flow double"), m.withColumn("pack_id", F.lit(1)))[1]
+
+
 def test_summaries(spark):
     curves = frame(spark, [("a", 1, 0.1), ("a", 2, 0.3), ("b", 1, 0.3), ("b", 2, 0.2)], "k string, level long, mean double")
     assert rows(ag.swing(curves, "k").select("level", "settings", F.round("spread", 6))) == [(1, 2, 1.0), (2, 2, 0.4)]
