@@ -17,6 +17,8 @@ from covey.session import checkpointed
 HUB, EXPAND = 10_000, 2_000_000_000
 #: Searches of a batch: the bits of a long.
 BITS = 64
+#: Nodes of a front that are broadcast to pick its edges.
+NEAR = 500_000
 
 
 def load(edges: DataFrame, directed: bool = False) -> DataFrame:
@@ -25,14 +27,17 @@ def load(edges: DataFrame, directed: bool = False) -> DataFrame:
     return (e if directed else e.union(e.select("target", "source"))).distinct()
 
 
-def _dealt(graph: DataFrame, hub: int = HUB) -> tuple[DataFrame, DataFrame]:
-    """Edges to follow as node, salt, next, each with the degree of next (0 at a dead end), and the degrees (node, degree)."""
+def _dealt(graph: DataFrame, hub: int = HUB, look_ahead: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Edges to follow as node, salt, next, each with the degree of next (0 at a dead end, or without look_ahead), and the degrees (node, degree)."""
     degrees = checkpointed(graph.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("degree")))
     hubs = degrees.where(F.col("degree") > hub).withColumnRenamed("degree", "of_hub")
     ahead = degrees.select(F.col("node").alias("next"), F.col("degree").alias("next_degree"))
     own = graph.select(F.col("source").alias("node"), F.col("target").alias("next")).join(hubs, "node", "left")
     salt = F.when(F.col("of_hub").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("next"), _salts(F.col("of_hub"), hub))).cast("int")
-    return checkpointed(own.select("node", salt.alias("salt"), "next").join(ahead, "next", "left").select("node", "salt", "next", F.coalesce("next_degree", F.lit(0)).alias("next_degree"))), degrees
+    salted = own.select("node", salt.alias("salt"), "next")
+    if not look_ahead:
+        return salted.withColumn("next_degree", F.lit(0).cast("long")), degrees
+    return checkpointed(salted.join(ahead, "next", "left").select("node", "salt", "next", F.coalesce("next_degree", F.lit(0)).alias("next_degree"))), degrees
 
 
 def _salts(degree: Column, hub: int) -> Column:
@@ -57,24 +62,38 @@ def _level(front: DataFrame, edges: DataFrame, hub: int = HUB, most: int = EXPAN
     return out
 
 
+def _stepped(front: DataFrame, edges: DataFrame, ways: list[tuple[str, str]], hub: int, most: int, near: int) -> DataFrame:
+    """_level() of a front (node, batch, mask) over edges that are not dealt out: only those that leave the front are, picked by a broadcast of its nodes while they are few."""
+    nodes = front.select(F.col("node").alias("source")).distinct()
+    if nodes.count() <= near:
+        nodes = F.broadcast(nodes)
+    own = None
+    for a, b in ways:
+        one = edges.select(F.col(a).alias("source"), F.col(b).alias("target")).join(nodes, "source", "left_semi")
+        own = one if own is None else own.union(one)
+    dealt, degrees = _dealt(checkpointed(own), hub, look_ahead=False)  # repeated edges do no harm
+    return _level(front.select("node", "batch", "mask").join(degrees, "node"), dealt, hub, most)
+
+
 def _numbered(rows: DataFrame, order: str) -> DataFrame:
     """rows with batch and mask (one bit): every row a search of its own, rows alike in `order` side by side."""
     ids = checkpointed(rows.repartition(order).sortWithinPartitions(order).withColumn("id", F.monotonically_increasing_id()))
     return ids.withColumn("batch", F.expr(f"id div {BITS}")).withColumn("mask", F.expr(f"shiftleft(1L, cast(id % {BITS} as int))"))
 
 
-def hops(pairs: DataFrame, edges: DataFrame, max_hops: int = 4, directed: bool = False, hub: int = HUB, most: int = EXPAND) -> DataFrame:
+def hops(pairs: DataFrame, edges: DataFrame, max_hops: int = 4, directed: bool = False, hub: int = HUB, most: int = EXPAND, near: int = NEAR) -> DataFrame:
     """Adds hops to pairs: the distance if it is 1..max_hops, else max_hops + 1. Repeated pairs are all filled.
 
     Every distinct pair is a search. One front leaves its first end, one its second (against the edges), in
     turn a step at a time, and a pair is met when both have its bit at one node: the first time at the
     number of steps made, since walks of fewer have been tried. Bits of pairs that are met are dropped.
+    Edges are kept as they come, and a step shuffles those that leave its front, not the graph.
     """
-    graph = checkpointed(load(edges, directed))
-    ahead, degrees = _dealt(graph, hub)
-    back, back_degrees = (ahead, degrees) if not directed else _dealt(graph.select(F.col("target").alias("source"), F.col("source").alias("target")), hub)
+    pairs, graph = checkpointed(pairs), checkpointed(edges.select("source", "target").where("source <> target"))
+    along, against = ("source", "target"), ("target", "source")
+    ahead, back = ([along], [against]) if directed else ([along, against], [along, against])
     left = _numbered(pairs.select("user_a", "user_b").distinct().where("user_a <> user_b"), "user_a")
-    a, b = _start(left, "user_a", degrees), _start(left, "user_b", back_degrees)
+    a, b = (left.groupBy(F.col(end).alias("node"), "batch").agg(F.bit_or("mask").alias("mask")) for end in ("user_a", "user_b"))
     open_, found = None, None
 
     def still(front: DataFrame) -> DataFrame:
@@ -85,9 +104,9 @@ def hops(pairs: DataFrame, edges: DataFrame, max_hops: int = 4, directed: bool =
 
     for k in range(1, max_hops + 1):
         if k % 2:
-            a = _level(checkpointed(still(a)), ahead, hub, most)
+            a = _stepped(checkpointed(still(a)), graph, ahead, hub, most, near)
         else:
-            b = _level(checkpointed(still(b)), back, hub, most)
+            b = _stepped(checkpointed(still(b)), graph, back, hub, most, near)
         both = still(a).select("node", "batch", "mask").join(b.select("node", "batch", F.col("mask").alias("other")), ["node", "batch"])
         hit = checkpointed(both.groupBy("batch").agg(F.bit_or(F.col("mask").bitwiseAND(F.col("other"))).alias("hit")).where("hit <> 0"))
         met = left.join(hit, "batch").where("(mask & hit) <> 0").select("user_a", "user_b", F.lit(k).alias("hops"))

@@ -646,6 +646,17 @@ def test_distances_with_salted_hubs_and_sliced_levels(spark, directed, hub, most
     assert {(r.source, r.target): r.distance for r in paths.collect()} == {(a, b): distances(a).get(b, -1) for a in users for b in users if a != b}
 
 
+@pytest.mark.parametrize("directed", [False, True])
+def test_steps_deal_out_only_edges_that_leave_the_front(spark, directed, monkeypatch):
+    """Edges far from all pairs are neither dealt out nor shuffled; a front of more nodes than are broadcast gives the same."""
+    table = frame(spark, [(1, 2), (2, 3), (3, 4), (1, 2), *[(k, k + 1) for k in range(100, 400)]], "source long, target long")
+    pairs, dealt, old = frame(spark, [(1, 4), (4, 1), (1, 3), (2, 2)], "user_a long, user_b long"), [], gr._dealt
+    monkeypatch.setattr(gr, "_dealt", lambda graph, *a, **k: (dealt.append(graph.count()), old(graph, *a, **k))[1])
+    want = [(1, 3, 2), (1, 4, 3), (2, 2, 5), (4, 1, 5 if directed else 3)]
+    assert rows(gr.hops(pairs, table, directed=directed)) == want and max(dealt) <= 6
+    assert rows(gr.hops(pairs, table, directed=directed, near=0)) == want
+
+
 def test_one_automaton_serves_all_targets_of_a_source(spark):
     """Sources with more targets than a block, without tokens, and of one token; every way against the plain estimate."""
     import random
