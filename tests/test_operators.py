@@ -856,3 +856,11 @@ def test_all_cosines_shuffle_no_pair(spark, monkeypatch):
         got = tx.all_cosines(frame(spark, weights, "user_id long, term string, weight double"), users)
         assert {(r.user_a, r.user_b): r.cosine for r in got.collect()} == pytest.approx(want) and got.count() == 55
         assert "user_b" not in "".join(line for line in plan_of(got).split("\n") if "Exchange" in line or "Join" in line)
+
+
+def test_sets_of_pairs_are_counted_once(spark):
+    """The sets that a query reads several times are kept: no plan over them counts co-members anew."""
+    from covey.plans import structure as st
+
+    sets = st._sets(spark, "/root/testdata/sf0.001")
+    assert sets.count() and "MapInArrow" not in sets._jdf.queryExecution().toString()
