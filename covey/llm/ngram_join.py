@@ -10,8 +10,8 @@
    near enough in size, puts every link inside one block.
 3. Within a block (cut into chunks of bounded size, by size of the sets) inverted lists are built. A document searches for
    those that share at least T shingles with it: the longest lists are set aside, the others are merged
-   with a heap that skips ahead, and what is found often enough is looked up in the long lists by binary
-   search. Documents of one component need not be compared, and any link between two components
+   with a heap that skips ahead (or counted at once, where they hold many), and what is found often enough is
+   looked up in the long lists by binary search (many documents in one count). Documents of one component need not be compared, and any link between two components
    has an end outside the largest one, so only documents outside it search.
 4. Where a block has several chunks, its documents outside its largest component search the others whose
    sets are of sizes near enough.
@@ -45,6 +45,8 @@ CLASS, PARTS = 0.1133, 1 << 40
 FINE, KNOWN = 2, 1_000_000
 #: Leaders that a chunk is held against before the search, and the weight of a list's length in DivideSkip.
 LEADERS, MU = 4, 0.01
+#: Entries of short lists beyond which they are counted at once, and documents found beyond which the long ones are.
+SCAN, FEW = 2000, 8
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -334,22 +336,36 @@ class Lists:
         lens = self.begin[at + 1] - self.begin[at]
         order = np.argsort(-lens, kind="stable")
         n_long = min(need - 1, int(need / (MU * np.log2(max(2, int(lens.max()))) + 1)))
-        long = [self.of(int(t)) for t in at[order[:n_long]]]
-        short = [self.of(int(t)) for t in at[order[n_long:]]]
+        long, short = at[order[:n_long]], at[order[n_long:]]
         sizes = self.sizes
-        for doc, count in _merged(short, int(low), int(high), need - n_long):
+        if lens[order[n_long:]].sum() > SCAN:
+            shared = self._occurrences(short)
+            found = np.flatnonzero(shared[low:high] >= need - n_long) + low
+            if len(found) > FEW:  # the long lists of all at once
+                shared += self._occurrences(long)
+                yield from (doc for doc in found[shared[found] >= -(-4 * (n + sizes[found]) // 9)].tolist() if not skip(doc))
+                return
+            merged = zip(found.tolist(), shared[found].tolist(), strict=True)
+        else:
+            merged = _merged([self.of(int(t)) for t in short], int(low), int(high), need - n_long)
+        for doc, count in merged:
             if skip(doc):
                 continue
             wanted, left = -(-4 * (n + int(sizes[doc])) // 9), len(long)
-            for postings in long:  # binary probes, until the outcome is certain
+            for term in long:  # binary probes, until the outcome is certain
                 if count >= wanted or count + left < wanted:
                     break
+                postings = self.of(int(term))
                 k = bisect_left(postings, doc)
                 count += k < len(postings) and postings[k] == doc
                 left -= 1
             if count >= wanted:
                 yield doc
 
+    def _occurrences(self, terms: np.ndarray) -> np.ndarray:
+        """In how many of these lists each document is."""
+        return np.bincount(np.concatenate([np.empty(0, np.int64), *(self.holders[self.begin[t] : self.begin[t + 1]] for t in terms)]), minlength=len(self.sizes))
+
 
 def _merged(lists: list[list[int]], low: int, high: int, least: int) -> Iterator[tuple[int, int]]:
     """Heap merge: numbers in [low, high) that at least `least` lists hold, with how many do; lists that cannot matter skip ahead."""

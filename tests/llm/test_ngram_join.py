@@ -98,3 +98,23 @@ def test_components(spark):
         ngram_join._union(up, a, b)
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: ngram_join._find(up, x) for x in list(up) if ngram_join._find(up, x) != x}
+
+
+def test_a_block_of_near_misses_is_not_probed_pair_by_pair(monkeypatch):
+    """Sets that share 0.7 to 0.8 of their shingles with nearly all others: whoever searches finds many, and looks into the long lists once for all of them."""
+    rnd, probes = np.random.default_rng(3), []
+    base, fresh = np.arange(1, 301), iter(range(10**6, 10**8))
+    sets = [np.sort([next(fresh) if x < 0.085 else int(b) for b, x in zip(base, rnd.random(300), strict=True)]).astype("<u8") for _ in range(120)]
+    near = ngram_join.bisect_left
+    monkeypatch.setattr(ngram_join, "bisect_left", lambda *a: (probes.append(1), near(*a))[1])
+    up = {}
+    for a, b in ngram_join.chunk_links(list(range(len(sets))), [300] * len(sets), sets):
+        ngram_join._union(up, a, b)
+    want = {}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if ngram_join.linked(len(np.intersect1d(a, sets[j])), 300, 300):
+                ngram_join._union(want, i, j)
+    assert [ngram_join._find(up, k) for k in range(120)] == [ngram_join._find(want, k) for k in range(120)]
+    assert 2 < len({ngram_join._find(want, k) for k in range(120)}) < 118
+    assert len(probes) < 120 * 120
