@@ -49,7 +49,7 @@ def slice_cosine(m: DataFrame, docs: DataFrame, n_packs: int = 25, target_users:
 
 def census(m: DataFrame, docs: DataFrame, per_level: int = 1000, baseline_pairs: int = 1000, max_shared: int = 5, min_df: int = 10, max_df: float = 0.4, n_boot: int = 500, seed: int = 42) -> dict[str, DataFrame]:
     """Cosine of a stratified census of pairs, with a baseline that shares nothing, and its bootstrapped curve."""
-    drawn = pr.census(pr.comember_pairs(m, 2), per_level, max_shared, seed).unionByName(pr.baseline(m, baseline_pairs, seed))
+    drawn = pr.comember_census(m, per_level, max_shared, seed, min_packs=2).unionByName(pr.baseline(m, baseline_pairs, seed))
     pairs = tx.listed_cosines(drawn, _weights(docs, min_df, max_df), docs.where("text IS NOT NULL"))
     return {"pairs": pairs, "curve": aggregate_only(pairs, max_shared, n_boot, seed)}
 
@@ -215,13 +215,13 @@ def vocabulary_report(pairs: DataFrame, docs: DataFrame, grid: tuple[float, ...]
 def fit_corpus(pairs: DataFrame, docs: DataFrame, min_df: int = 10, max_df: float = 0.4) -> dict[str, DataFrame]:
     """Cosines of pairs by a fit on all users with a text (A), on the users of pairs with two texts (B), and on these with A's ceiling (C): terms, differences to A, and whether the tables have the same pairs."""
     docs = docs.where("text IS NOT NULL")
-    known = docs.select("user_id").distinct()
-    pairs = pairs.join(known.toDF("user_a"), "user_a", "left_semi").join(known.toDF("user_b"), "user_b", "left_semi")
+    known = checkpointed(tx.of_users(docs, inf.ends(pairs).toDF("user_id")).select("user_id").distinct())
+    pairs = checkpointed(pairs.join(known.toDF("user_a"), "user_a", "left_semi").join(known.toDF("user_b"), "user_b", "left_semi"))
     users = inf.ends(pairs).toDF("user_id")
-    tf = checkpointed(tx.term_counts(tx.tokens(docs)))
-    own, every, some = tf.join(users, "user_id", "left_semi"), tx.n_docs(docs), tx.n_docs(users)
-    vocab = {"A": tx.vocabulary(tf, every, min_df, max_df), "B": tx.vocabulary(own, some, min_df, max_df), "C": tx.vocabulary(own, every, min_df, max_df).drop("n_docs").crossJoin(some)}
-    scored = {k: checkpointed(tx.listed_cosines(pairs, tx.tfidf(own, v), docs)) for k, v in vocab.items()}
+    own = checkpointed(tx.term_counts(tx.tokens(tx.of_users(docs, users))))
+    every, some = F.broadcast(checkpointed(tx.n_docs(docs))), tx.n_docs(users)
+    vocab = {"A": tx.kept_terms(tx.document_frequencies(docs), every, min_df, max_df), "B": tx.vocabulary(own, some, min_df, max_df), "C": tx.vocabulary(own, every, min_df, max_df).drop("n_docs").crossJoin(some)}
+    scored = {k: checkpointed(tx.listed_cosines(pairs, tx.tfidf(own, v), known)) for k, v in vocab.items()}
     terms = differences = None
     for k, v in vocab.items():
         one = v.agg(F.count("*").alias("terms")).select(F.lit(k).alias("variant"), "terms")

@@ -864,3 +864,42 @@ def test_sets_of_pairs_are_counted_once(spark):
 
     sets = st._sets(spark, "/root/testdata/sf0.001")
     assert sets.count() and "MapInArrow" not in sets._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_pairs_that_the_census_cannot_draw_stay_where_they_are_counted(spark, monkeypatch, kind):
+    import random
+
+    rnd = random.Random(11)
+    m = frame(spark, list({(rnd.randrange(90), rnd.randrange(40)) for _ in range(500)}), "user_id long, pack_id long").withColumn("user_id", (F.col("user_id") * 37).cast(kind))
+    pairs, went, old = pr.comember_pairs(m, 2), [], pr.census
+    want = rows(pr.census(pairs, 3, 2))
+    monkeypatch.setattr(pr, "census", lambda drawn, *a: (went.append(drawn.count()), old(drawn, *a))[1])
+    assert rows(pr.comember_census(m, 3, 2, min_packs=2)) == want and len(want) == 6
+    assert went[0] < pairs.count() / 4
+
+
+def test_document_frequencies_shuffle_counts_of_terms(spark, monkeypatch):
+    plans, old = [], tx.checkpointed
+    monkeypatch.setattr(tx, "checkpointed", lambda df: (plans.append(plan_of(df)), old(df))[1])
+    data = [(1, "tree tree house"), (2, "tree #tag #tag"), (3, None), (4, "")]
+    docs = frame(spark, data, "user_id long, text string")
+    assert rows(tx.document_frequencies(docs)) == [("#tag", 1), ("house", 1), ("tree", 2)]
+    assert not [x for x in plans[-1].split("\n") if "Exchange" in x and "user_id" in x]
+    again = frame(spark, [*data, (1, "tree river")], "user_id long, text string")
+    assert rows(tx.document_frequencies(again)) == rows(tx.document_frequency(tx.term_counts(tx.tokens(again)))) == [("#tag", 1), ("house", 1), ("river", 1), ("tree", 2)]
+    users = frame(spark, [(2,), (4,), (2,)], "user_id long")
+    assert rows(tx.of_users(again, users)) == rows(tx.of_users(again, users, near=0)) == [(2, "tree #tag #tag"), (4, "")]
+
+
+def test_draws_of_pairs_of_texts():
+    import hashlib
+
+    import pyarrow as pa
+
+    from covey.functions.digests import Texts, draws_of
+
+    for a, b in (([5, 123456, -7], [4444444444, 1, 22]), (["ü" * 30, "", "b"], ["c\0", "dd", "e"])):
+        i, j = np.array([0, 1, 2, 0]), np.array([2, 1, 0, 1])
+        want = [int(hashlib.md5(f"42|{a[x]}|{b[y]}".encode()).hexdigest()[:8], 16) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
+        assert draws_of(42, Texts(pa.array(a)), i, Texts(pa.array(b)), j).tolist() == want
