@@ -7,11 +7,13 @@ Edges of hubs are dealt out over salts, and what a level expands at once is boun
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from covey.functions import draw_key
-from covey.session import checkpointed
+from covey.session import checkpointed, delete, stored
 
 #: Edges of a node that have one key; edges that a level follows at once, and beyond which it goes in slices.
 HUB, EXPAND = 10_000, 2_000_000_000
@@ -50,18 +52,24 @@ def _start(searches: DataFrame, end: str, degrees: DataFrame) -> DataFrame:
     return front.join(degrees, "node", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-def _level(front: DataFrame, edges: DataFrame, hub: int = HUB, most: int = EXPAND) -> DataFrame:
-    """The nodes one step from a front (checkpointed), in the front's form; at most about `most` edges are followed at once."""
+def _reached(front: DataFrame, edges: DataFrame, hub: int = HUB, most: int = EXPAND, cut: Callable = checkpointed, one_too: bool = True) -> DataFrame:
+    """The nodes one step from a front, in the front's form; at most about `most` edges are followed at once: slices are cut, and a front of one slice if one_too."""
     slices = -(-(front.agg(F.sum("degree")).first()[0] or 0) // most) or 1
     out = None
     for k in range(slices):
         own = front.where("degree > 0") if slices == 1 else front.where((F.col("degree") > 0) & (F.pmod(F.xxhash64("batch"), F.lit(slices)) == k))
         salted = own.select("node", "batch", "mask", F.explode(F.sequence(F.lit(0), _salts(F.col("degree"), hub) - 1)).alias("salt"))
-        one = checkpointed(salted.join(edges, ["node", "salt"]).groupBy(F.col("next").alias("node"), "batch").agg(F.bit_or("mask").alias("mask"), F.first("next_degree").alias("degree")))
+        one = salted.join(edges, ["node", "salt"]).groupBy(F.col("next").alias("node"), "batch").agg(F.bit_or("mask").alias("mask"), F.first("next_degree").alias("degree"))
+        one = cut(one) if slices > 1 or one_too else one
         out = one if out is None else out.union(one)
     return out
 
 
+def _level(front: DataFrame, edges: DataFrame, hub: int = HUB, most: int = EXPAND) -> DataFrame:
+    """The nodes one step from a front (checkpointed), in the front's form; at most about `most` edges are followed at once."""
+    return _reached(front, edges, hub, most)
+
+
 def _stepped(front: DataFrame, edges: DataFrame, ways: list[tuple[str, str]], hub: int, most: int, near: int) -> DataFrame:
     """_level() of a front (node, batch, mask) over edges that are not dealt out: only those that leave the front are, picked by a broadcast of its nodes while they are few."""
     nodes = front.select(F.col("node").alias("source")).distinct()
@@ -123,31 +131,60 @@ def hop_label(max_hops: int, column: str = "hops"):
     return F.when(F.col(column).between(1, max_hops), F.col(column).cast("string")).otherwise("unreachable")
 
 
-def shortest_paths(users: DataFrame, edges: DataFrame, directed: bool = True, drop_self: bool = True, drop_unreachable: bool = False, hub: int = HUB, most: int = EXPAND) -> DataFrame:
-    """source, target, distance between all users (column node) that are in the graph; -1 out of reach. Levels go on until no search reaches a new node."""
-    graph = checkpointed(load(edges, directed))
+def _levels(users: DataFrame, edges: DataFrame, directed: bool, hub: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The users (column node) that are in the graph as searches (node, id, batch, mask), and which searches reach which of them at which distance, 0 included: target, batch, mask, distance.
+
+    Levels go on until no search reaches a new node; of what they write, only the latest is kept.
+    """
+    spark, graph = users.sparkSession, checkpointed(load(edges, directed))
     nodes = graph.select(F.explode(F.array("source", "target")).alias("node")).union(edges.where("source = target").select(F.col("source").alias("node"))).distinct()
     q = _numbered(users.select("node").distinct().join(nodes, "node", "left_semi"), "node")
     ahead, degrees = _dealt(graph, hub)
-    front = checkpointed(_start(q, "node", degrees))
-    seen, k, found = front.select("node", "batch", F.col("mask").alias("seen")), 0, q.select(F.col("node").alias("source"), F.col("node").alias("target"), F.lit(0).alias("distance"))
-    bits = F.explode(F.expr(f"filter(sequence(0, {BITS - 1}), i -> (mask & shiftleft(1L, i)) <> 0)")).alias("bit")
-    names = q.select("id", F.col("node").alias("source"))
+    state, path = stored(_start(q, "node", degrees).withColumn("seen", F.col("mask")))
+    found, k = q.select(F.col("node").alias("target"), "batch", "mask", F.lit(0).alias("distance")), 0
+    front, seen = state.drop("seen"), state.select("node", "batch", "seen")
+    old = [path]  # tables that go when the next level is written
+
+    def cut(df: DataFrame) -> DataFrame:
+        df, path = stored(df)
+        old.append(path)
+        return df
+
     while not front.isEmpty():
         k += 1
-        reached = _level(front, ahead, hub, most)
-        both = reached.join(seen, ["node", "batch"], "full")
-        state = checkpointed(both.select("node", "batch", F.expr("coalesce(mask, 0L) & ~coalesce(seen, 0L)").alias("mask"), F.expr("coalesce(mask, 0L) | coalesce(seen, 0L)").alias("seen"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        both = _reached(front, ahead, hub, most, cut, False).join(seen, ["node", "batch"], "full")
+        state, new = stored(both.select("node", "batch", F.expr("coalesce(mask, 0L) & ~coalesce(seen, 0L)").alias("mask"), F.expr("coalesce(mask, 0L) | coalesce(seen, 0L)").alias("seen"), F.coalesce("degree", F.lit(0)).alias("degree")))
+        while old:
+            delete(spark, old.pop())
+        old.append(new)
         front, seen = state.where("mask <> 0").drop("seen"), state.select("node", "batch", "seen")
-        at = front.join(q.select("node"), "node", "left_semi").select(F.col("node").alias("target"), "batch", bits).withColumn("id", F.col("batch") * BITS + F.col("bit"))
-        found = found.union(at.join(names, "id").select("source", "target", F.lit(k).alias("distance")))
+        found = found.union(checkpointed(front.join(q.select("node"), "node", "left_semi").select(F.col("node").alias("target"), "batch", "mask", F.lit(k).alias("distance"))))
+    delete(spark, old.pop())
+    return q, found
+
+
+def shortest_paths(users: DataFrame, edges: DataFrame, directed: bool = True, drop_self: bool = True, drop_unreachable: bool = False, hub: int = HUB, most: int = EXPAND) -> DataFrame:
+    """source, target, distance between all users (column node) that are in the graph; -1 out of reach. A batch of sources meets a target as one row, and pairs are not shuffled."""
+    q, found = _levels(users, edges, directed, hub, most)
+    levels = found.groupBy("target", "batch").agg(F.collect_list(F.struct("distance", "mask")).alias("levels"))
+    sources = q.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("id", F.col("node").alias("source")))).alias("sources"))
+    every = sources.crossJoin(q.select(F.col("node").alias("target"))).join(levels, ["target", "batch"], "left")  # the result has all pairs
+    each = every.select("target", "levels", F.explode("sources").alias("s"))
+    far = F.expr(f"coalesce(get(filter(levels, l -> (shiftright(l.mask, cast(s.id % {BITS} as int)) & 1L) <> 0), 0).distance, -1)")
+    out = each.select(F.col("s.source").alias("source"), "target", far.alias("distance"))
     if drop_unreachable:
-        return found.where("distance > 0" if drop_self else "true")
-    every = q.select(F.col("node").alias("source")).crossJoin(q.select(F.col("node").alias("target")))  # the result has all pairs
-    out = every.join(found, ["source", "target"], "left").withColumn("distance", F.coalesce("distance", F.lit(-1)))
+        out = out.where("distance >= 0")
     return out.where("source <> target") if drop_self else out
 
 
+def summary_of_paths(users: DataFrame, edges: DataFrame, directed: bool = True, hub: int = HUB, most: int = EXPAND) -> DataFrame:
+    """path_summary() of shortest_paths(), from the bits of the searches: no pair is made."""
+    q, found = _levels(users, edges, directed, hub, most)
+    n = found.where("distance > 0").groupBy("distance").agg(F.sum(F.bit_count("mask")).alias("n"))
+    reached = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("reachable"), (F.sum(F.col("distance") * F.col("n")) / F.sum("n")).alias("mean"), F.max("distance").alias("max"))
+    return q.agg((F.count("*") * (F.count("*") - 1)).alias("pairs")).crossJoin(reached)  # one row each
+
+
 def path_summary(paths: DataFrame) -> DataFrame:
     """One row of shortest_paths()'s table: pairs, those within reach, and their mean and largest distance."""
     reached = F.when(F.col("distance") >= 0, F.col("distance"))

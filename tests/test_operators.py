@@ -903,3 +903,30 @@ def test_draws_of_pairs_of_texts():
         i, j = np.array([0, 1, 2, 0]), np.array([2, 1, 0, 1])
         want = [int(hashlib.md5(f"42|{a[x]}|{b[y]}".encode()).hexdigest()[:8], 16) for x, y in zip(i.tolist(), j.tolist(), strict=True)]
         assert draws_of(42, Texts(pa.array(a)), i, Texts(pa.array(b)), j).tolist() == want
+
+
+@pytest.mark.parametrize("most", [gr.EXPAND, 2000])
+def test_paths_keep_only_the_latest_level_and_shuffle_no_pair(spark, monkeypatch, most):
+    import random
+
+    rnd = random.Random(4)
+    edges = frame(spark, [(k, (k * 2 + rnd.randrange(9)) % 150) for k in range(150) for _ in range(2)] + [(900, 901), (7, 7), (902, 902)], "source long, target long")
+    users, live, most_live, old = frame(spark, [(k,) for k in [*range(0, 150, 2), 900, 901, 902, 999]], "node long"), set(), [], (gr.stored, gr.delete)
+
+    def stored(df):
+        df, path = old[0](df)
+        live.add(path)
+        most_live.append(len(live))
+        return df, path
+
+    monkeypatch.setattr(gr, "stored", stored)
+    monkeypatch.setattr(gr, "delete", lambda spark, path: (live.remove(path), old[1](spark, path)))
+    paths = gr.shortest_paths(users, edges, most=most)
+    assert not live and len(most_live) > 5 and (most == 2000 or max(most_live) == 2)
+    assert not [x for x in plan_of(paths).split("\n") if "Exchange" in x and "source" in x and "sources" not in x]
+    summary = gr.summary_of_paths(users, edges, most=most).first()
+    assert tuple(summary) == tuple(gr.path_summary(paths).first()) and summary.pairs == 78 * 77 and 0 < summary.reachable < summary.pairs
+    none = gr.summary_of_paths(frame(spark, [(902,)], "node long"), edges).first()
+    assert tuple(none) == (0, 0, None, None)
+    reachable = rows(gr.shortest_paths(users, edges, drop_unreachable=True))
+    assert reachable == [r for r in rows(paths) if r[2] >= 0] and len(reachable) == summary.reachable
