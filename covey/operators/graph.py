@@ -2,15 +2,21 @@
 
 Searches run side by side in the bits of a long: 64 of them share a batch, and a row (node, batch, mask) says
 which have reached the node. A level is one join with the edges and a bit_or, summed before its shuffle.
-Edges of hubs are dealt out over salts, and what a level expands at once is bounded.
+Edges of hubs are dealt out over salts, and what a level expands at once is bounded. Where a task can hold
+the edges (`held`), it makes all levels of its searches by itself, and nothing but the edges goes to disk.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from covey.functions import draw_key
 from covey.session import checkpointed, delete, stored
@@ -21,6 +27,10 @@ HUB, EXPAND = 10_000, 2_000_000_000
 BITS = 64
 #: Nodes of a front that are broadcast to pick its edges.
 NEAR = 500_000
+#: Edges that a task holds (4 bytes each) to search by itself; how many copies of them are dealt out at most; edges of a piece; numbers of a table of what searches have seen.
+HELD, COPIES, PIECE, CELLS = 64_000_000, 16, 1_000_000, 6_000_000
+#: Distances that a task holds.
+FAR = 16_000_000
 
 
 def load(edges: DataFrame, directed: bool = False) -> DataFrame:
@@ -163,8 +173,152 @@ def _levels(users: DataFrame, edges: DataFrame, directed: bool, hub: int, most:
     return q, found
 
 
-def shortest_paths(users: DataFrame, edges: DataFrame, directed: bool = True, drop_self: bool = True, drop_unreachable: bool = False, hub: int = HUB, most: int = EXPAND) -> DataFrame:
-    """source, target, distance between all users (column node) that are in the graph; -1 out of reach. A batch of sources meets a target as one row, and pairs are not shuffled."""
+def _packed(batches: Iterator[pa.RecordBatch], most: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows: source, target (whole numbers below 2 ** 31). Pieces of at most `most` distinct edges: targets, how many sources each has, and these, in bytes."""
+    def put() -> pa.RecordBatch:
+        keys = np.unique(np.concatenate(kept))
+        target, source = (keys >> 32).astype(np.int32), (keys & 0x7FFFFFFF).astype(np.int32)
+        start = np.flatnonzero(np.r_[True, target[1:] != target[:-1]])
+        counts = np.diff(np.r_[start, len(keys)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (target[start], counts, source)], schema=schema)
+
+    kept, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            source, target = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("source", "target"))
+            kept.append(target << 32 | source)
+            n += batch.num_rows
+            if n >= most:
+                yield put()
+                kept, n = [], 0
+    if kept:
+        yield put()
+
+
+def _searched(pieces: list[tuple], n: int, first: int, last: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Level by level from 0: the distance, and for each batch of the searches of the nodes first..last - 1 (a row) which reach a node of n at it, in bits."""
+    at = np.arange(first, last)
+    seen = np.zeros((-(-len(at) // BITS), n), np.uint64)
+    seen[(at - first) // BITS, at] = np.uint64(1) << ((at - first) % BITS).astype(np.uint64)
+    front, k = seen.copy(), 0
+    while True:
+        yield k, front
+        active, new, k = (front != 0).any(axis=0), np.zeros_like(front), k + 1
+        for targets, counts, sources in pieces:
+            own = np.flatnonzero(active[sources])
+            if not len(own):
+                continue
+            of, sources = np.repeat(targets, counts)[own], sources[own]
+            start = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            to = of[start]
+            for row in range(len(front)):
+                new[row, to] |= np.bitwise_or.reduceat(front[row][sources], start)
+        new &= ~seen
+        if not new.any():
+            return
+        seen |= new
+        front = new
+
+
+def _groups(batches: Iterator[pa.RecordBatch], pieces: int) -> Iterator[tuple]:
+    """Of each group that a task has: its first and last search, the names of the nodes that are searched for, and the pieces of the edges."""
+    held: dict[int, list] = {}
+    for batch in batches:
+        for row in range(batch.num_rows):
+            group, first, last, names, *piece = (batch.column(c).slice(row, 1) for c in ("first", "first", "last", "names", "targets", "counts", "sources"))
+            own = held.setdefault(group[0].as_py(), [None, []])
+            if names[0].is_valid:
+                own[0] = (first[0].as_py(), last[0].as_py(), names.flatten())
+            else:
+                own[1].append(tuple(np.frombuffer(x[0].as_py(), np.int32) for x in piece))
+    for head, edges in held.values():
+        if head is None or len(edges) != pieces:
+            raise ValueError(f"{len(edges)} of {pieces} pieces of the edges have come")
+        yield *head, edges
+
+
+def _pairs_found(batches: Iterator[pa.RecordBatch], pieces: int, n: int, words: int, drop_self: bool, drop_unreachable: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """source, target, distance of the searches of a group."""
+    for first, last, names, edges in _groups(batches, pieces):
+        for low in range(first, last, words * BITS):
+            high = min(last, low + words * BITS)
+            far = np.full((high - low, len(names)), -1, np.int32)
+            for k, front in _searched(edges, n, low, high):
+                for row in range(len(front)):
+                    own = far[row * BITS : (row + 1) * BITS]
+                    bits = np.unpackbits(np.ascontiguousarray(front[row, : len(names)]).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                    own[bits.T[: len(own)] != 0] = k
+            step = max(1, 65536 // len(names))
+            for a in range(0, high - low, step):
+                block = far[a : a + step]
+                keep = block >= 0 if drop_unreachable else np.ones(block.shape, bool)
+                if drop_self:
+                    keep[np.arange(len(block)), low + a + np.arange(len(block))] = False
+                i, j = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(low + a + i)), names.take(pa.array(j)), pa.array(block[i, j])], schema=schema)
+
+
+def _counts_found(batches: Iterator[pa.RecordBatch], pieces: int, n: int, words: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """distance and n: how many of the nodes that are searched for the searches of a group reach at each distance."""
+    for first, last, names, edges in _groups(batches, pieces):
+        for low in range(first, last, words * BITS):
+            found = [(k, int(np.bitwise_count(front[:, : len(names)]).sum(dtype=np.int64))) for k, front in _searched(edges, n, low, min(last, low + words * BITS))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([x for _, x in found], pa.int64())], schema=schema)
+
+
+def _dense(rows: DataFrame, start: int) -> tuple[DataFrame, int]:
+    """rows with id: start, start + 1, ..., in order of their partitions; and the next id."""
+    own = checkpointed(rows.withColumn("__at", F.monotonically_increasing_id()))
+    sizes = sorted(own.groupBy(F.shiftright("__at", 33).cast("int").alias("part")).agg(F.count("*").alias("n")).collect())  # a row for each partition
+    before = np.cumsum([start, *[r.n for r in sizes]]).tolist()
+    begins = F.broadcast(rows.sparkSession.createDataFrame([(r.part, b) for r, b in zip(sizes, before)], "__part int, __begin long"))
+    out = own.withColumn("__part", F.shiftright("__at", 33).cast("int")).join(begins, "__part")
+    return out.withColumn("id", (F.col("__begin") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).cast("int")).drop("__at", "__part", "__begin"), before[-1]
+
+
+def _held(users: DataFrame, edges: DataFrame, directed: bool, held: int, kernel: Callable, cells: int, text: str) -> tuple[DataFrame, int] | None:
+    """The rows of kernel, which is given all edges and a group of the searches of users (column node) that are in the graph, and how many of these there are; None if there are more than `held` edges.
+
+    Nodes are numbered, those that are searched for first; edges to others that nothing leaves are left out. A
+    task gets the edges as pieces of numbers, so that what is shuffled are at most COPIES of 4 bytes an edge.
+    """
+    spark = users.sparkSession
+    every, path = stored(edges.select("source", "target"))
+    graph = every.where("source <> target")
+    graph = graph if directed else graph.union(graph.select("target", "source"))
+    if graph.count() > held:
+        delete(spark, path)
+        return None
+    ends = every.select(F.explode(F.array("source", "target")).alias("node")).join(users.select("node").distinct(), "node", "left_semi")
+    q, n_q = _dense(ends.distinct().orderBy("node"), 0)
+    q = checkpointed(q)
+    leaving = graph.select(F.col("source").alias("node")).distinct().join(q, "node", "left_anti")
+    rest, n = _dense(leaving, n_q)
+    ids = checkpointed(q.union(rest.select(*q.columns)))
+    numbered = graph.join(ids.select(F.col("node").alias("source"), F.col("id").alias("s")), "source").select("s", "target").join(ids.select(F.col("node").alias("target"), F.col("id").alias("t")), "target")
+    row = "targets binary, counts binary, sources binary"
+    shape = to_arrow_schema(StructType.fromDDL(row))
+    piece = PIECE
+    pieces = checkpointed(numbered.select(F.col("s").alias("source"), F.col("t").alias("target")).mapInArrow(lambda batches: _packed(batches, piece, shape), row))
+    delete(spark, path)
+    words = max(1, min(64, CELLS // max(1, n), cells // max(1, BITS * n_q)))
+    tasks = max(1, min(COPIES, spark.sparkContext.defaultParallelism, -(-n_q // BITS)))
+    size = -(-n_q // (tasks * BITS)) * BITS or BITS  # whole batches
+    groups = spark.range(0, n_q, size).select(F.col("id").cast("int").alias("first"), F.least(F.col("id") + size, F.lit(n_q)).cast("int").alias("last"))
+    names = q.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "node"))), lambda x: x["node"]).alias("names"))  # one row
+    kind = dict(q.dtypes)["node"]
+    heads = groups.crossJoin(F.broadcast(names)).selectExpr("first", "last", "names", *(f"cast(null AS binary) AS {c}" for c in pieces.columns))
+    bodies = pieces.crossJoin(F.broadcast(groups)).selectExpr("first", "last", f"cast(null AS array<{kind}>) AS names", *pieces.columns)
+    dealt = heads.union(bodies).repartitionById(tasks, F.expr(f"cast(first div {size} AS int)"))
+    text = text.format(kind=kind)
+    schema, k = to_arrow_schema(StructType.fromDDL(text)), pieces.count()
+    return dealt.mapInArrow(lambda batches: kernel(batches, k, n, words, schema=schema), text), n_q
+
+
+def shortest_paths(users: DataFrame, edges: DataFrame, directed: bool = True, drop_self: bool = True, drop_unreachable: bool = False, hub: int = HUB, most: int = EXPAND, held: int = 0) -> DataFrame:
+    """source, target, distance between all users (column node) that are in the graph; -1 out of reach. A batch of sources meets a target as one row, and pairs are not shuffled. At most `held` edges are held by each task, which then makes the levels of its searches by itself."""
+    if held and (own := _held(users, edges, directed, held, partial(_pairs_found, drop_self=drop_self, drop_unreachable=drop_unreachable), FAR, "source {kind}, target {kind}, distance int")):
+        return own[0]
     q, found = _levels(users, edges, directed, hub, most)
     levels = found.groupBy("target", "batch").agg(F.collect_list(F.struct("distance", "mask")).alias("levels"))
     sources = q.groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("id", F.col("node").alias("source")))).alias("sources"))
@@ -177,10 +331,14 @@ def shortest_paths(users: DataFrame, edges: DataFrame, directed: bool = True, dr
     return out.where("source <> target") if drop_self else out
 
 
-def summary_of_paths(users: DataFrame, edges: DataFrame, directed: bool = True, hub: int = HUB, most: int = EXPAND) -> DataFrame:
+def summary_of_paths(users: DataFrame, edges: DataFrame, directed: bool = True, hub: int = HUB, most: int = EXPAND, held: int = 0) -> DataFrame:
     """path_summary() of shortest_paths(), from the bits of the searches: no pair is made."""
-    q, found = _levels(users, edges, directed, hub, most)
-    n = found.where("distance > 0").groupBy("distance").agg(F.sum(F.bit_count("mask")).alias("n"))
+    if held and (own := _held(users, edges, directed, held, _counts_found, FAR * BITS, "distance int, n long")):
+        counts, n_q = own
+        n, q = counts.where("distance > 0").groupBy("distance").agg(F.sum("n").alias("n")).where("n > 0"), users.sparkSession.range(n_q)
+    else:
+        q, found = _levels(users, edges, directed, hub, most)
+        n = found.where("distance > 0").groupBy("distance").agg(F.sum(F.bit_count("mask")).alias("n"))
     reached = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("reachable"), (F.sum(F.col("distance") * F.col("n")) / F.sum("n")).alias("mean"), F.max("distance").alias("max"))
     return q.agg((F.count("*") * (F.count("*") - 1)).alias("pairs")).crossJoin(reached)  # one row each
 

@@ -930,3 +930,27 @@ def test_paths_keep_only_the_latest_level_and_shuffle_no_pair(spark, monkeypatch
     assert tuple(none) == (0, 0, None, None)
     reachable = rows(gr.shortest_paths(users, edges, drop_unreachable=True))
     assert reachable == [r for r in rows(paths) if r[2] >= 0] and len(reachable) == summary.reachable
+
+
+@pytest.mark.parametrize("directed", [False, True])
+def test_paths_of_held_edges_write_no_level(spark, monkeypatch, directed):
+    """A task that holds the edges gives the same as levels on disk, over several batches, pieces and passes, and stores the edges alone."""
+    import random
+
+    rnd = random.Random(5)
+    edges = frame(spark, [(k, rnd.randrange(300)) for k in range(300) for _ in range(4)] + [(900, 901), (7, 7), (902, 902), (None, 3), (3, None)], "source long, target long")
+    users = frame(spark, [(k,) for k in [*range(0, 300, 2), 900, 901, 902, 999, None]], "node long")
+    want, summary = rows(gr.shortest_paths(users, edges, directed)), gr.summary_of_paths(users, edges, directed).first()
+    calls, old = [], gr.stored
+    monkeypatch.setattr(gr, "stored", lambda df: (calls.append(1), old(df))[1])
+    monkeypatch.setattr(gr, "PIECE", 100)
+    monkeypatch.setattr(gr, "CELLS", 1)
+    assert rows(gr.shortest_paths(users, edges, directed, held=10_000)) == want and len(want) == 153 * 152
+    assert rows(gr.shortest_paths(users, edges, directed, drop_unreachable=True, held=10_000)) == [r for r in want if r[2] >= 0]
+    assert len(rows(gr.shortest_paths(users, edges, directed, drop_self=False, held=10_000))) == 153 * 153
+    assert tuple(gr.summary_of_paths(users, edges, directed, held=10_000).first()) == tuple(summary) and len(calls) == 4
+    assert tuple(gr.summary_of_paths(frame(spark, [(902,)], "node long"), edges, held=10_000).first()) == (0, 0, None, None)
+    names = frame(spark, [("a", "b"), ("b", "c")], "source string, target string")
+    assert rows(gr.shortest_paths(frame(spark, [("a",), ("c",)], "node string"), names, directed, held=2 if directed else 4)) == [("a", "c", 2), ("c", "a", -1 if directed else 2)]
+    calls.clear()
+    assert tuple(gr.summary_of_paths(users, edges, directed, held=10).first()) == tuple(summary) and len(calls) > 5  # too many to hold: levels on disk
