@@ -129,7 +129,7 @@ def degrees(spark, a):
 
 def paths(spark, a):
     edges = io.cached_graph(spark, a.edges, a.cache, not a.undirected, a.rebuild) if a.cache else io.read_edges(spark, a.edges)
-    out = gr.shortest_paths(io.read_users(spark, a.users).toDF("node"), edges, not a.undirected, True, a.reachable)
+    out = gr.shortest_paths(io.read_users(spark, a.users).toDF("node"), edges, not a.undirected, True, a.reachable, held=gr.HELD)
     io.write_table(out, a.out)
     gr.path_summary(spark.read.parquet(a.out)).show()
 
