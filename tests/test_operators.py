@@ -954,3 +954,36 @@ def test_paths_of_held_edges_write_no_level(spark, monkeypatch, directed):
     assert rows(gr.shortest_paths(frame(spark, [("a",), ("c",)], "node string"), names, directed, held=2 if directed else 4)) == [("a", "c", 2), ("c", "a", -1 if directed else 2)]
     calls.clear()
     assert tuple(gr.summary_of_paths(users, edges, directed, held=10).first()) == tuple(summary) and len(calls) > 5  # too many to hold: levels on disk
+
+
+def test_block_cosines_give_what_listed_cosines_give(spark):
+    """Over several blocks and ceilings; users without a term kept, and a block without pairs."""
+    import random
+
+    from covey.operators import text as tx
+
+    rnd = random.Random(6)
+    words = [f"word{chr(97 + k)}" for k in range(12)]
+    docs = frame(spark, [(k, " ".join(rnd.choices(words, range(12, 0, -1), k=8))) for k in range(40)] + [(40, "lonely"), (41, "")], "user_id long, text string")
+    pairs = frame(spark, [(a, b, 1 + (a + b) % 7) for a in range(42) for b in range(a + 1, 42) if rnd.random() < 0.4], "user_a long, user_b long, shared_packs long")
+    tf, users = tx.term_counts(tx.tokens(docs)), docs.select("user_id")
+    df, size = tx.document_frequency(tf), tx.n_docs(docs)
+    want = [{(r.user_a, r.user_b): r.cosine for r in tx.listed_cosines(pairs, tx.tfidf(tf, tx.kept_terms(df, size, 2, x)), users).collect()} for x in (0.3, 0.6)]
+    for most in (30, 1_000_000):
+        got = tx.block_cosines(pairs, tf, df, size, users, 2, (0.3, 0.6), most).collect()
+        assert len(got) == len(want[0]) == pairs.count() and {r.shared_packs for r in got} == {1, 2, 3, 4, 5, 6, 7}
+        assert all(r.cosines[k] == pytest.approx(want[k][r.user_a, r.user_b], abs=1e-12) for r in got for k in (0, 1))
+
+
+@pytest.mark.parametrize("name", ["similarity_by_overlap"])
+def test_curves_over_overlap_are_of_all_co_members(spark, name, monkeypatch):
+    from covey.operators import text as tx
+    from covey.plans import registry
+    from covey.sources import roles as R
+
+    SF, seen, old = "/root/testdata/sf0.001", [], tx.block_cosines
+    monkeypatch.setattr(tx, "block_cosines", lambda pairs, *a: (seen.append(old(pairs, *a)), seen[-1])[1])
+    registry.QUERIES[name](spark, SF)
+    texts = R.texts(spark, SF).where("text IS NOT NULL").select("user_id")
+    every = pr.comember_pairs(R.membership(spark, SF).join(texts, "user_id", "left_semi"))
+    assert seen[0].count() == every.count() > 1000  # five levels of 200 were drawn before
