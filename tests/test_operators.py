@@ -975,7 +975,7 @@ def test_block_cosines_give_what_listed_cosines_give(spark):
         assert all(r.cosines[k] == pytest.approx(want[k][r.user_a, r.user_b], abs=1e-12) for r in got for k in (0, 1))
 
 
-@pytest.mark.parametrize("name", ["similarity_by_overlap"])
+@pytest.mark.parametrize("name", ["similarity_by_overlap", "curve_swing"])
 def test_curves_over_overlap_are_of_all_co_members(spark, name, monkeypatch):
     from covey.operators import text as tx
     from covey.plans import registry
