@@ -987,3 +987,15 @@ def test_curves_over_overlap_are_of_all_co_members(spark, name, monkeypatch):
     texts = R.texts(spark, SF).where("text IS NOT NULL").select("user_id")
     every = pr.comember_pairs(R.membership(spark, SF).join(texts, "user_id", "left_semi"))
     assert seen[0].count() == every.count() > 1000  # five levels of 200 were drawn before
+
+
+def test_all_cosines_cut_a_block_into_sides(spark, monkeypatch):
+    """A block may have more users than a product; there are as many blocks as the weights ask for, not as the users do."""
+    weights = [(u, f"t{(u * 5 + k) % 13}", 0.1 * (u + k + 1)) for u in range(20) for k in range(4)]
+    want = {(a, b): sum(w * x for u, t, w in weights if u == a for v, s, x in weights if v == b and s == t) for a in range(21) for b in range(a + 1, 21)}
+    monkeypatch.setattr(tx, "USERS", 3)
+    for blocks, held in ((1, 1000), (2, 1000), (1, 30)):
+        monkeypatch.setattr(tx, "BLOCKS", blocks)
+        monkeypatch.setattr(tx, "WEIGHTS", held)
+        got = tx.all_cosines(frame(spark, weights, "user_id long, term string, weight double"), frame(spark, [(u,) for u in range(21)], "user_id long"))
+        assert {(r.user_a, r.user_b): r.cosine for r in got.collect()} == pytest.approx(want) and got.count() == 210
